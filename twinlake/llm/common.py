@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -49,30 +50,17 @@ def chunks(text: str) -> list[str]:
     leading blank, then one class of characters) and gives such a line feed a token of its own, so
     tokens of the parts in order are the tokens of the text. A part that holds other white space is
     left to the tokeniser as it is."""
-    parts = text.split(" ")
-    out = [parts[0]]
-    add = out.append
-    held = parts[0]
-    for p in parts[1:]:
-        if p and held and not p[0].isspace() and not held[-1].isspace():
-            p = " " + p
-            add(p)
-            held = p
-        else:  # a run of white space: not a cut
-            held = out[-1] = out[-1] + " " + p
-    if "\n" not in text:
-        return out
-    cut = []
-    for p in out:
-        if "\n" not in p:
-            cut.append(p)
-            continue
-        bits = p.split("\n")
-        if all(b and not b[-1].isspace() for b in bits[:-1]) and all(b and not b[0].isspace() for b in bits[1:]):
-            cut.append(bits[0])
-            for b in bits[1:]:
-                cut.append("\n")
-                cut.append(b)
-        else:
-            cut.append(p)
-    return cut
+    if _ODD(text):
+        return _SAFE(text)
+    out = []
+    for k, line in enumerate(text.split("\n")):
+        if k:
+            out.append("\n")
+        first, *rest = line.split(" ")
+        out.append(first)
+        out += [" " + x for x in rest]
+    return out
+
+
+_ODD = re.compile(r"\s\s|^\s|\s\Z").search
+_SAFE = re.compile(r"(?:(?<!\s) (?!\s)|(?<=\S)\n(?=\S)|)(?:(?!(?<=\S)[ \n](?=\S)).)*", re.S).findall

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from twinlake.llm import linededup, pii
+from twinlake.llm import linededup, packing, pii, token_store
 
 
 def queries() -> dict:
     return {
+        "op2_bit_planes": token_store.op2,
+        "op4_packing": packing.op4,
         "op7_line_dedup": linededup.op7,
         "op8_pii": pii.op8,
     }
