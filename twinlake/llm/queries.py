@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from twinlake.llm import linededup, packing, pii, token_store
+from twinlake.llm import bpe, linededup, packing, pii, token_store
 
 
 def queries() -> dict:
     return {
         "op2_bit_planes": token_store.op2,
         "op4_packing": packing.op4,
+        "op5_bpe": bpe.op5,
         "op7_line_dedup": linededup.op7,
         "op8_pii": pii.op8,
     }
