@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinlake.llm import bpe, linededup, packing, pii, token_store
+from twinlake.llm import ann, bpe, linededup, packing, pii, token_store
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5,
         "op7_line_dedup": linededup.op7,
         "op8_pii": pii.op8,
+        "op10_nearest": ann.op10,
     }
 
 
