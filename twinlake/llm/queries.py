@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from twinlake.llm import ann, bpe, linededup, packing, pii, token_store
+from twinlake.llm import ann, bagminhash, bpe, langid, linededup, packing, pii, token_store
 
 
 def queries() -> dict:
     return {
         "op2_bit_planes": token_store.op2,
+        "op3_language": langid.op3,
         "op4_packing": packing.op4,
         "op5_bpe": bpe.op5,
         "op7_line_dedup": linededup.op7,
         "op8_pii": pii.op8,
+        "op9_near_duplicates": bagminhash.op9,
         "op10_nearest": ann.op10,
     }
 
