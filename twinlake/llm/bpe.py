@@ -37,7 +37,7 @@ class Batch:
     def add(self, doc, text: str, split=chunks) -> None:
         parts, words = self.parts, self.words
         got = split(text) if text else []
-        for x in set(got):
+        for x in dict.fromkeys(got):  # in order: workers differ in how they order sets
             if x not in parts:
                 parts[x] = np.array([words.setdefault(w, len(words)) for w in self.cutter(x)], "<u4").tobytes()
         raw = b"".join(map(parts.__getitem__, got))
