@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from twinlake.llm import ann, bagminhash, bpe, langid, linededup, packing, pii, token_store
+from twinlake.llm import ann, bagminhash, bpe, langid, linededup, maxent_lm, media, packing, pii, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_image_copies": media.op1,
         "op2_bit_planes": token_store.op2,
         "op3_language": langid.op3,
         "op4_packing": packing.op4,
         "op5_bpe": bpe.op5,
+        "op6_maxent_lm": maxent_lm.op6,
         "op7_line_dedup": linededup.op7,
         "op8_pii": pii.op8,
         "op9_near_duplicates": bagminhash.op9,
