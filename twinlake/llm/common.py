@@ -50,7 +50,7 @@ def chunks(text: str) -> list[str]:
     leading blank, then one class of characters) and gives such a line feed a token of its own, so
     tokens of the parts in order are the tokens of the text. A part that holds other white space is
     left to the tokeniser as it is."""
-    if _ODD(text):
+    if is_odd(text):
         return _SAFE(text)
     out = []
     for k, line in enumerate(text.split("\n")):
@@ -62,5 +62,10 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def is_odd(text: str) -> bool:
+    """Whether white space stands next to white space or at an end."""
+    return _ODD(text) is not None
+
+
 _ODD = re.compile(r"\s\s|^\s|\s\Z").search
 _SAFE = re.compile(r"(?:(?<!\s) (?!\s)|(?<=\S)\n(?=\S)|)(?:(?!(?<=\S)[ \n](?=\S)).)*", re.S).findall

@@ -60,8 +60,8 @@ def _writer(path: str, end_id: int, cut, block: int, mode: str, level: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     held.append(ids + end)
                     docs.append(doc)

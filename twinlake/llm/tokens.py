@@ -3,37 +3,62 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from twinlake.llm.common import chunks
+from twinlake.llm.common import chunks, is_odd
 
-#: Chunks that a worker remembers at once, and the longest one that it remembers.
-REMEMBERED, LONGEST = 500_000, 40
+#: Words that a worker remembers at once, and the longest one that it remembers.
+REMEMBERED, LONGEST = 1_000_000, 40
+
+
+def spaced(text: str) -> list[str]:
+    """Parts for a byte-level tokeniser, as keys: a bare word has a blank before it, a line's first word has a
+    line feed before it, and a text's first word, or a part of a text with other white space, two."""
+    if is_odd(text):
+        return ["\n\n" + x for x in chunks(text)]
+    out = []
+    for line in text.split("\n"):
+        words = line.split(" ")
+        words[0] = "\n" + words[0]
+        out += words
+    out[0] = "\n" + out[0]
+    return out
+
+
+def spaced_text(key: str) -> str:
+    if key[:1] != "\n":
+        return " " + key
+    return key[2:] if key[1:2] == "\n" else key
 
 
 def words_only(text: str) -> list[str]:
-    """Parts of a text for a tokeniser that drops white space."""
+    """Parts for a tokeniser that drops white space."""
     return [x for x in text.replace("\n", " ").split(" ") if x]
 
 
+def word_text(key: str) -> str:
+    return key
+
+
 class Encoder:
-    """A tokenizers file applied to whole texts; a chunk met again is not encoded again."""
+    """A tokenizers file applied to whole texts; a word met again is not encoded again."""
 
     _held: dict = {}
 
-    def __init__(self, path: str, cut=chunks):
+    def __init__(self, path: str, cut=spaced):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cut, self.memo = cut, {}
+        self.cut, self.said, self.memo = cut, spaced_text if cut is spaced else word_text, {}
 
     @classmethod
-    def of(cls, path: str, cut=chunks) -> Encoder:
+    def of(cls, path: str, cut=spaced) -> Encoder:
         """One per worker and file: workers are used again for later tasks."""
         key = (path, cut.__name__)
         if key not in cls._held:
@@ -41,38 +66,20 @@ class Encoder:
         return cls._held[key]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut, memo = self.cut, self.memo
-        out = []
-        for t in texts:
-            parts = cut(t) if t else []
-            new = [x for x in set(parts) if x not in memo]
-            once = {}
-            if new:
-                for x, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    (memo if len(x) <= LONGEST else once)[x] = np.array(e.ids, "<u4").tobytes()
-            if once:
-                get = {**{x: memo[x] for x in set(parts) if x in memo}, **once}.__getitem__
-            else:
-                get = memo.__getitem__
-            out.append(b"".join(map(get, parts)))
-            if len(memo) > REMEMBERED:
-                memo.clear()
+        said, memo = self.said, self.memo
+        if len(memo) > REMEMBERED:
+            memo.clear()
+        parts = [self.cut(t) if t else [] for t in texts]
+        new = list(set().union(*parts).difference(memo)) if memo else list(set().union(*parts))
+        for x, e in zip(new, self.tok.encode_batch_fast(list(map(said, new)), add_special_tokens=False), strict=True):
+            memo[x] = array("I", e.ids).tobytes()
+        get = memo.__getitem__
+        out = [b"".join(map(get, p)) for p in parts]
+        for x in new:
+            if len(x) > LONGEST:
+                del memo[x]
         return out
 
 
 def binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
-
-
-def encoder_map(path: str, end_id: int, cut=chunks):
-    """For mapInArrow on (id, text): (id, ids), ``end_id`` appended."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = Encoder.of(path, cut), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), binary(ids)], names=["id", "ids"])
-
-    return run

@@ -51,5 +51,5 @@ def residual(p: DataFrame) -> DataFrame:
 
 def duplicates(copies: DataFrame) -> DataFrame:
     """(sys, n, copy, again): one row per drawn particle; ``again`` marks those to be jittered."""
-    d = copies.where("copies > 0").select("sys", "n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).cast("long").alias("copy"), F.col("copies"))
+    d = copies.where("copies > 0").select("sys", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "copies")
     return d.select("sys", "n", "copy", (F.col("copies") > 1).alias("again"))

@@ -163,8 +163,13 @@ def select_state(spark, d):
 @query("spectral_obs", f"WITH {ENS} SELECT ens, n, j, round(sum(x * CASE WHEN j % 2 = 0 THEN cos(2 * pi() * (j // 2 + 1) * i / 64) ELSE sin(2 * pi() * (j // 2 + 1) * i / 64) END / sqrt(32)), 6) + 0.0 AS y FROM ens CROSS JOIN range(0, 4) t(j) GROUP BY ens, n, j")
 def spectral_obs(spark, d):
     """Observation by harmonics: array arithmetic in the row, no join."""
-    wave = lambda j: (F.cos if j % 2 == 0 else F.sin)
-    y = [F.reduce(F.transform("embedding", lambda x, i, j=j: x.cast("double") * wave(j)(2 * F.pi() * (j // 2 + 1) * i / 64) / F.sqrt(F.lit(32.0))), F.lit(0.0), lambda s, v: s + v) for j in range(4)]
+
+    def harmonic(j):
+        wave = F.sin if j % 2 else F.cos
+        part = F.transform("embedding", lambda x, i: x.cast("double") * wave(2 * F.pi() * (j // 2 + 1) * i / 64) / F.sqrt(F.lit(32.0)))
+        return F.reduce(part, F.lit(0.0), lambda s, v: s + v)
+
+    y = [harmonic(j) for j in range(4)]
     e = read(spark, d, "embeddings").select(F.col("label").cast("long").alias("ens"), F.col("vec_id").alias("n"), F.posexplode(F.array(*y)).alias("j", "y"))
     return e.select("ens", "n", F.col("j").cast("long").alias("j"), r6(F.col("y")).alias("y"))
 
@@ -270,18 +275,18 @@ for _kind in _TAPERS:
     _taper(_kind)
 
 
-@query("local_obs_mean_dist", f"WITH {_SITES}, b AS (SELECT *, CASE WHEN (p - 1) < (SELECT count(*) FROM part) % 7 * ((SELECT count(*) FROM part) // 7 + 1) THEN (p - 1) // ((SELECT count(*) FROM part) // 7 + 1) ELSE (SELECT count(*) FROM part) % 7 + ((p - 1) - (SELECT count(*) FROM part) % 7 * ((SELECT count(*) FROM part) // 7 + 1)) // ((SELECT count(*) FROM part) // 7) END AS batch FROM pr) SELECT batch::BIGINT AS batch, s, round(avg(dist), 6) + 0.0 AS dist, count(*)::BIGINT AS n FROM b GROUP BY batch, s")
+@query("local_obs_mean_dist", f"WITH {_SITES}, b AS (SELECT *, CASE WHEN p < (SELECT count(*) FROM part) % 7 * ((SELECT count(*) FROM part) // 7 + 1) THEN p // ((SELECT count(*) FROM part) // 7 + 1) ELSE (SELECT count(*) FROM part) % 7 + (p - (SELECT count(*) FROM part) % 7 * ((SELECT count(*) FROM part) // 7 + 1)) // ((SELECT count(*) FROM part) // 7) END AS batch FROM pr) SELECT batch::BIGINT AS batch, s, round(avg(dist), 6) + 0.0 AS dist, count(*)::BIGINT AS n FROM b GROUP BY batch, s")
 def local_obs_mean_dist(spark, d):
     size = read(spark, d, "part").count()
-    b = lo.batches(_pairs(spark, d).withColumn("at", F.col("p") - 1), "at", size, 7)
+    b = lo.batches(_pairs(spark, d), "p", size, 7)
     return b.groupBy("batch", "s").agg(r6(F.avg("dist")).alias("dist"), F.count(F.lit(1)).alias("n"))
 
 
-@query("pairwise_dist", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_suppkey - b.s_suppkey) ** 2), 6) + 0.0 AS dist FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+@query("pairwise_dist", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_suppkey - b.s_suppkey) ** 2), 6) + 0.0 AS dist FROM supplier a JOIN supplier b ON a.s_nationkey % 5 = b.s_nationkey % 5 AND a.s_suppkey < b.s_suppkey")
 def pairwise_dist(spark, d):
     s = read(spark, d, "supplier")
-    a, b = (s.select("s_nationkey", F.col("s_suppkey").alias(n), F.col("s_acctbal").alias(f"x{n}")) for n in ("a", "b"))
-    j = a.join(b, "s_nationkey").where("a < b")
+    a, b = (s.select((F.col("s_nationkey") % 5).alias("g"), F.col("s_suppkey").alias(n), F.col("s_acctbal").alias(f"x{n}")) for n in ("a", "b"))
+    j = a.join(b, "g").where("a < b")
     return j.select("a", "b", r6(lo.distance([F.col("xa"), F.col("a")], [F.col("xb"), F.col("b")])).alias("dist"))
 
 
@@ -306,10 +311,10 @@ def pf_neff(spark, d):
     return rounded(pa.effective_size(_particles(spark, d)), "n_eff")
 
 
-@query("pf_temper", f"WITH {_PART}, t AS (SELECT *, least(w ** (1 / 2.0 - 1), 1e100) AS s0 FROM rw), u AS (SELECT *, s0 / sum(s0 * w) OVER (PARTITION BY sys) AS s FROM t) SELECT sys, n, round(s, 6) + 0.0 AS s, round(s * w, 9) + 0.0 AS sw FROM u")
+@query("pf_temper", f"WITH {_PART}, t AS (SELECT *, least(w ** (1 / 2.0 - 1), 1e100) AS s0 FROM rw), u AS (SELECT *, s0 / sum(s0 * w) OVER (PARTITION BY sys) AS s FROM t) SELECT sys, n, round(s, 3) + 0.0 AS s, round(s * w, 8) + 0.0 AS sw FROM u")
 def pf_temper(spark, d):
     t = pa.tempered(_particles(spark, d), 2.0)
-    return t.select("sys", "n", r6(F.col("s")).alias("s"), r6(F.col("sw"), 9).alias("sw"))
+    return t.select("sys", "n", r6(F.col("s"), 3).alias("s"), r6(F.col("sw"), 8).alias("sw"))
 
 
 _SYS = f"{_PART}, c AS (SELECT sys, n, sum(w) OVER (PARTITION BY sys ORDER BY n ROWS UNBOUNDED PRECEDING) AS hi, count(*) OVER (PARTITION BY sys) AS size FROM rw), iv AS (SELECT sys, n, coalesce(lag(hi) OVER (PARTITION BY sys ORDER BY n), -1) AS lo, CASE WHEN n = size THEN 2 ELSE hi END AS hi FROM c), tooth AS (SELECT sys, (0.37 + t.j) / size AS u FROM (SELECT DISTINCT sys, size FROM c) z, range(0, 400) t(j) WHERE t.j < size), cp AS (SELECT iv.sys, iv.n, count(tooth.u)::BIGINT AS copies FROM iv LEFT JOIN tooth ON tooth.sys = iv.sys AND tooth.u > iv.lo AND tooth.u <= iv.hi GROUP BY iv.sys, iv.n)"

@@ -119,7 +119,7 @@ def twin_experiments(xps: DataFrame, dt: float, dko: int, obs: int, r: float, mo
                     free = go(free)
                     xs.append(free[0])
                 mu, cov = np.mean(xs[100:], 0), np.cov(np.array(xs[100:]).T)
-                e = np.array(x0) + np.sqrt(2) * rng.standard_normal((int(xp.N or 2), len(x0)))
+                e = np.array(x0) + np.sqrt(2) * rng.standard_normal((2 if pd.isna(xp.N) else int(xp.N), len(x0)))
                 w, rows = np.full(len(e), 1 / len(e)), []
                 for ko in range(obs):
                     for _ in range(dko):
