@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlake.llm.common import others
 from twinlake.llm.tokens import binary, spaced, spaced_text
 
 #: Characters of text after which a batch is closed; a longer document is a batch of its own or ends one.
@@ -212,7 +213,8 @@ def _byte_table(ranks: str) -> list[bytes]:
 def decode(df: DataFrame, ranks: str, listed: bool = False) -> DataFrame:
     """Adds ``decoded`` (the bytes of ``ids``) by a lookup in the token-byte table, which has a row a token.
 
-    ``listed`` adds the ids in decimal, joined by commas, as ``listed``."""
+    ``listed`` adds the ids in decimal, joined by commas, as ``listed``. Columns of these names are replaced."""
+    df = df.select(*[F.col(f"`{c}`") for c in others(df, "decoded", *["listed"] * listed)])
 
     def run(it):
         table = _byte_table(ranks)
@@ -226,7 +228,7 @@ def decode(df: DataFrame, ranks: str, listed: bool = False) -> DataFrame:
                     more.append(pa.array([",".join(map(say, x)) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "decoded", "listed"][: len(part.columns) + len(more)])
 
-    return df.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema)}, decoded binary{', listed string' * listed}")
+    return df.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, decoded binary{', listed string' * listed}")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import materialise
+from twinlake.llm.common import materialise, others
 from twinlake.llm.tokens import Encoder, binary, spaced
 
 CAPACITY = 1024
@@ -111,19 +111,15 @@ def plan(count: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return {"key": size << 40 | rank, "rank": rank, "per": per, "first": first, "offset": offset}
 
 
-def _ranker(column: str):
-    """Adds the task, and the rank in it among rows of one size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
-            rank = []
-            for s in b.column(column).to_pylist():
-                rank.append(seen.get(s, 0))
-                seen[s] = rank[-1] + 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shard] * b.num_rows, pa.int32()), pa.array(rank, pa.int64())], names=[*b.schema.names, "_shard", "_rank"])
-
-    return run
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the task to (row, size), and the rank in it among rows of one size."""
+    shard, seen = TaskContext.get().partitionId(), {}
+    for b in batches:
+        rank = []
+        for s in b.column(1).to_pylist():
+            rank.append(seen.get(s, 0))
+            seen[s] = rank[-1] + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shard] * b.num_rows, pa.int32()), pa.array(rank, pa.int64())], names=["row", "size", "shard", "rank"])
 
 
 def pack(df: DataFrame, size_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
@@ -131,33 +127,36 @@ def pack(df: DataFrame, size_col: str = "length", capacity: int = CAPACITY) -> D
 
     Rows are ranked within (task, size) in one pass and the result is written, so ranks stay as they are if
     a task runs again; counts by (task, size) make them global. A size of which there are very many is so
-    split over all tasks. A null size or one under 1 gets null places; one over ``capacity`` is an error."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _shard int, _rank long"
-    d = materialise(df.mapInArrow(_ranker(size_col), schema), "pack")
+    split over all tasks. A null size or one under 1 gets null places; one over ``capacity`` is an error.
+    Columns named like the two that are added are replaced."""
+    names = others(df, "sequence_id", "offset")
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
     size = F.col(f"`{size_col}`").cast("long")
-    count = d.where(size >= 1).groupBy("_shard", size.alias("_size")).agg(F.count(F.lit(1)).alias("n"))
-    base = count.select("_shard", "_size", (F.sum("n").over(Window.partitionBy("_size").orderBy("_shard")) - F.col("n")).alias("_base"))
-    hist = {r["_size"]: r["n"] for r in count.groupBy("_size").agg(F.sum("n").alias("n")).collect()}
+    d = df.select(row.alias("row"), F.when(size >= 1, size).alias("size"))
+    kind = d.schema["row"].dataType.simpleString()
+    d = materialise(d.mapInArrow(_ranked, f"row {kind}, size long, shard int, rank long"), "pack")
+    count = d.where("size is not null").groupBy("shard", "size").agg(F.count(F.lit(1)).alias("n"))
+    base = count.select("shard", "size", (F.sum("n").over(Window.partitionBy("size").orderBy("shard")) - F.col("n")).alias("base"))
+    hist = {r["size"]: r["n"] for r in count.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     if any(s > capacity for s in hist):
         raise ValueError(f"a size is over the capacity of {capacity}")
     p = plan(hist, capacity)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s, r = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), "f8") for c in ("_size", "_rank"))
-            ok = np.isfinite(s)
-            s, r = np.where(ok, s, 0).astype("i8"), np.where(ok, r, 0).astype("i8")
-            at = np.clip(np.searchsorted(p["key"], s << 40 | r, "right") - 1, 0, None)
-            local = r - p["rank"][at] if len(p["key"]) else r
-            seq = p["first"][at] + local // p["per"][at] if len(p["key"]) else r
-            off = p["offset"][at] + local % p["per"][at] * s if len(p["key"]) else r
-            keep = [b.column(c) for c in b.schema.names if c not in ("_size", "_rank")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(seq, pa.int64(), mask=~ok), pa.array(off, pa.int64(), mask=~ok)], names=[*[c for c in b.schema.names if c not in ("_size", "_rank")], "sequence_id", "offset"])
-
-    joined = d.withColumn("_size", F.when(size >= 1, size)).join(base, ["_shard", "_size"], "left")
-    ranked = joined.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_size").cast("double").alias("_size"), (F.col("_rank") + F.coalesce("_base", F.lit(0))).cast("double").alias("_rank"))
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, sequence_id long, offset long"
-    return ranked.mapInArrow(place, out)
+            known = b.column("size").is_valid().to_numpy(zero_copy_only=False)
+            s, r = (b.column(c).fill_null(0).to_numpy() for c in ("size", "rank"))
+            seq, off = np.zeros(len(s), "i8"), np.zeros(len(s), "i8")
+            if known.any():
+                at = np.searchsorted(p["key"], s[known] << 40 | r[known], "right") - 1
+                local = r[known] - p["rank"][at]
+                seq[known] = p["first"][at] + local // p["per"][at]
+                off[known] = p["offset"][at] + local % p["per"][at] * s[known]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(seq, pa.int64(), mask=~known), pa.array(off, pa.int64(), mask=~known)], names=["row", "sequence_id", "offset"])
+
+    ranked = d.join(base, ["shard", "size"], "left").select("row", "size", (F.col("rank") + F.coalesce("base", F.lit(0).cast("long"))).alias("rank"))
+    out = ranked.mapInArrow(place, f"row {kind}, sequence_id long, offset long")
+    return out.select(*[F.col(f"row.`{c}`") for c in names], "sequence_id", "offset")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

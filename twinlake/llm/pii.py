@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import let
+from twinlake.llm.common import let, others, unused
 
 #: Fixed values of the contract's four base kinds, in its order, then this operator's own kinds.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
@@ -114,8 +114,10 @@ def _found(text: Column, kind: str) -> Column:
     return F.when(has, spans).otherwise(none)
 
 
-def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """All columns and ``_spans``: array of (kind, start, end, score) by start, then kind as listed.
+def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS, out: str = "_spans") -> DataFrame:
+    """All columns and ``out``: array of (kind, start, end, score) by start, then kind as listed.
+
+    A column of the input that is named like ``out`` is replaced.
 
     Places are code points, the end exclusive. Matches of a kind are leftmost and do not overlap; a
     match that its validator refuses is dropped without a retry. E-mail, IP, card and phone spans stay
@@ -125,22 +127,25 @@ def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KIN
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rank = {k: i for i, k in enumerate(kinds)}
     empty = F.array().cast(_SPAN)
-    every = df.withColumn("_found", F.flatten(F.array(*[F.coalesce(_found(text, k), empty) for k in kinds])))
+    raw = unused(df, "_found")
+    every = df.withColumn(raw, F.flatten(F.array(*[F.coalesce(_found(text, k), empty) for k in kinds])))
     order = F.create_map(*[F.lit(x) for k in kinds for x in (k, rank[k])])
-    less = F.array_sort(F.transform("_found", lambda s: F.struct(s.start.alias("start"), order[s.kind].alias("k"), s.end.alias("end"), s.kind.alias("kind"), s.score.alias("score"))))
-    return every.withColumn("_spans", F.transform(less, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.score.alias("score")))).drop("_found")
+    less = F.array_sort(F.transform(raw, lambda s: F.struct(s.start.alias("start"), order[s.kind].alias("k"), s.end.alias("end"), s.kind.alias("kind"), s.score.alias("score"))))
+    spans = F.transform(less, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.score.alias("score")))
+    return every.select(*[F.col(f"`{c}`") for c in others(df, out)], spans.alias(out))
 
 
 def redact(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """The same columns, each span in ``text_col`` replaced by its kind in angle brackets.
 
     Of overlapping spans the first by start stays whole and what a later one adds is cut too. Null stays null."""
-    found = find_pii(df, text_col, kinds)
+    spans = unused(df, "_spans")
+    found = find_pii(df, text_col, kinds, spans)
     text = F.col(f"`{text_col}`")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     said = lambda s, x: F.when(x.start >= s.at, F.concat(F.substr(text, s.at + 1, x.start - s.at), F.lit("<"), F.upper(x.kind), F.lit(">"))).otherwise(F.lit(""))
-    masked = F.reduce("_spans", begin, lambda s, x: F.struct(F.greatest(s.at, x.end).alias("at"), F.concat(s.out, said(s, x)).alias("out")), lambda s: F.concat(s.out, F.substr(text, s.at + 1)))
-    new = F.when(F.size("_spans") > 0, masked).otherwise(text)
+    masked = F.reduce(spans, begin, lambda s, x: F.struct(F.greatest(s.at, x.end).alias("at"), F.concat(s.out, said(s, x)).alias("out")), lambda s: F.concat(s.out, F.substr(text, s.at + 1)))
+    new = F.when(F.size(spans) > 0, masked).otherwise(text)
     return found.select(*[(new if c == text_col else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
