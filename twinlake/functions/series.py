@@ -56,3 +56,10 @@ def ring_mean(e: DataFrame, half: int, dims: int) -> DataFrame:
     wide = e.unionByName(e.where(F.col("i") < half).withColumn("i", F.col("i") + dims)).unionByName(e.where(F.col("i") >= dims - half).withColumn("i", F.col("i") - dims))
     w = Window.partitionBy("ens", "n").orderBy("i").rowsBetween(-half, half)
     return wide.withColumn("x", F.avg("x").over(w)).where(F.col("i").between(0, dims - 1))
+
+
+def logistic(k: Column, at: float, length: float, base: float) -> Column:
+    """Logistic growth towards one, with the value ``at`` at ``k = base`` and rate one over ``length``."""
+    import math
+
+    return 1 / (1 + F.exp(-(math.log(at / (1 - at)) + (k - base) / length)))

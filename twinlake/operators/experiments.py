@@ -91,3 +91,26 @@ def names(xps: DataFrame, distinct: list[str]) -> DataFrame:
     """Adds ``name``: the method and each distinct parameter that is set, shortened to six letters."""
     part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c[:6]}:"), F.col(c).cast("string")))
     return xps.withColumn("name", F.concat_ws(" ", "da_method", *[part(c) for c in distinct]))
+
+
+def squeezed(xps: DataFrame, dims: list[str]) -> DataFrame:
+    """Without the dimensions that have one value only."""
+    kinds = {r["column"]: r["kind"] for r in classify(xps, dims).collect()}  # a row a dimension
+    return xps.drop(*[c for c in dims if kinds[c] != "distinct"])
+
+
+def last_at(xps: DataFrame, dims: list[str], order: str = "seq") -> DataFrame:
+    """One row per coordinate, the last by ``order``: an aggregate, so no row moves that cannot win."""
+    rest = [c for c in xps.columns if c not in dims]
+    return xps.groupBy(dims).agg(F.max_by(F.struct(*rest), F.col(order)).alias("last")).select(*dims, "last.*")
+
+
+#: Short names of statistics.
+ALIASES = {"rmse": "err.rms", "rmss": "spread.rms", "rmv": "spread.rms"}
+
+
+def stat(avrgs: DataFrame, key: str) -> DataFrame:
+    """The rows of one statistic under the name asked for."""
+    head, _, rest = key.partition(".")
+    full = ".".join(filter(None, (ALIASES.get(head, head), rest)))
+    return avrgs.where(F.col("statkey").isin(key, full)).withColumn("statkey", F.lit(key))

@@ -53,3 +53,33 @@ def duplicates(copies: DataFrame) -> DataFrame:
     """(sys, n, copy, again): one row per drawn particle; ``again`` marks those to be jittered."""
     d = copies.where("copies > 0").select("sys", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "copies")
     return d.select("sys", "n", "copy", (F.col("copies") > 1).alias("again"))
+
+
+def bandwidth(size: Column, dims: int) -> Column:
+    """Scott's rule: the width of a jitter kernel."""
+    return F.pow(size, F.lit(-1.0 / (dims + 4)))
+
+
+def adaptive_root(p: DataFrame, share: float, step: float, most: int) -> DataFrame:
+    """(sys, root): the least of 1, 1 + step, ... after whose flattening the effective size is ``share`` of all; null if none is.
+
+    The few roots are tried at once: a row a particle and root, summed by system before the shuffle."""
+    r = p.select("sys", "w", F.explode(F.array(*[F.lit(1 + step * k) for k in range(most + 1)])).alias("root"))
+    v = F.pow("w", 1 / F.col("root"))
+    s = r.groupBy("sys", "root").agg((F.sum(v) * F.sum(v) / F.sum(v * v)).alias("n_eff"), F.count(F.lit(1)).alias("size"))
+    return s.groupBy("sys").agg(F.min(F.when(F.col("n_eff") >= share * F.col("size"), F.col("root"))).alias("root"))
+
+
+def coloured(p: DataFrame, value: str = "y") -> DataFrame:
+    """Adds ``c``, the weighted anomaly whose squares add up to the unbiased weighted variance."""
+    from twinlake.functions.ensemble import centre
+
+    c = centre(p.select(F.col("sys").alias("ens"), F.lit(0).alias("i"), "w", F.col(value).alias("x"))).select(F.col("ens").alias("sys"), "mu", "ub")
+    return p.join(c, "sys").withColumn("c", F.sqrt(F.col("ub") * F.col("w")) * (F.col(value) - F.col("mu")))
+
+
+def jittered(drawn: DataFrame, width: float, seed: int, value: str = "y") -> DataFrame:
+    """Repeats (``again``) moved by a Gauss draw of standard deviation ``width`` that depends on (sys, n, copy) alone."""
+    from twinlake.functions.draws import gauss
+
+    return drawn.withColumn(value, F.col(value) + F.when(F.col("again"), width * gauss(seed, F.col("sys"), F.col("n"), F.col("copy"))).otherwise(0.0))

@@ -47,8 +47,41 @@ def ikeda(x, u=0.9):
     return np.stack([1 + u * (x[:, 0] * c - x[:, 1] * s), u * (x[:, 0] * s + x[:, 1] * c)], 1)
 
 
-FLOWS: dict[str, Callable] = {"lorenz63": lorenz63, "lorenz84": lorenz84, "lorenz96": lorenz96, "vissio_lucarini": vissio_lucarini, "lotka_volterra": lotka_volterra}
-MAPS: dict[str, Callable] = {"ikeda": ikeda}
+def double_pendulum(x, g=9.8):
+    """Two angles and their speeds; unit masses and lengths. Row: angle, speed, angle, speed."""
+    a, u, b, v = x.T
+    s, c = np.sin(b - a), np.cos(b - a)
+    below = 2 - c * c
+    du = (u * u * s * c + g * np.sin(b) * c + v * v * s - 2 * g * np.sin(a)) / below
+    dv = (-v * v * s * c + 2 * g * np.sin(a) * c - 2 * u * u * s - 2 * g * np.sin(b)) / below
+    return np.stack([u, du, v, dv], 1)
+
+
+def two_scale(x, slow=36, force=10.0, coupling=1.0, b=10.0, c=10.0):
+    """A ring of slow variables, each driving its share of a ring of fast ones that turns the other way."""
+    big, small = x[:, :slow], x[:, slow:]
+    per = small.shape[1] // slow
+    pull = coupling * c / b
+    dbig = lorenz96(big, force) - pull * small.reshape(len(x), slow, per).sum(2)
+    w = b * small
+    dsmall = c / b * ((np.roll(w, 1, 1) - np.roll(w, -2, 1)) * np.roll(w, -1, 1) - w) + pull * np.repeat(big, per, 1)
+    return np.concatenate([dbig, dsmall], 1)
+
+
+def kuramoto_sivashinsky(x, length=32 * np.pi):
+    """u_t = - u_xx - u_xxxx - u u_x on a ring, derivatives by Fourier series."""
+    k = 2 * np.pi * np.fft.rfftfreq(x.shape[1], length / x.shape[1])
+    v, sq = np.fft.rfft(x), np.fft.rfft(x * x)
+    return np.fft.irfft((k**2 - k**4) * v - 0.5j * k * sq, x.shape[1])
+
+
+FLOWS: dict[str, Callable] = {"lorenz63": lorenz63, "lorenz84": lorenz84, "lorenz96": lorenz96, "vissio_lucarini": vissio_lucarini, "lotka_volterra": lotka_volterra, "double_pendulum": double_pendulum, "two_scale": two_scale, "kuramoto_sivashinsky": kuramoto_sivashinsky}
+def advection(x):
+    """Upwind at Courant number one, which is exact: the wave moves one index to the left."""
+    return np.roll(x, -1, 1)
+
+
+MAPS: dict[str, Callable] = {"ikeda": ikeda, "advection": advection}
 
 
 def rk4(f: Callable, x: np.ndarray, dt: float) -> np.ndarray:
@@ -89,3 +122,28 @@ def starts(spark: SparkSession, x0: list[float], n: int, shift: float = 0.01) ->
     from pyspark.sql import functions as F
 
     return spark.range(n).select(F.col("id").alias("truth_id"), F.array(*[F.lit(float(v)) + F.col("id") * shift for v in x0]).alias("x0"))
+
+
+def lyapunov(starts: DataFrame, model: str, dt: float, steps: int, spin_up: int = 200) -> DataFrame:
+    """(truth_id, i, exponent): mean growth rates of perturbations along each trajectory, largest first.
+
+    A bundle of one perturbation a dimension goes along by differences and is made orthogonal again each
+    step; the logs of its stretching are averaged over time."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        go, eps = stepper(model, dt), 1e-7
+        for b in it:
+            for r in b.itertuples():
+                x = np.array(r.x0, "f8")[None]
+                for _ in range(spin_up):
+                    x = go(x)
+                n = x.shape[1]
+                q, total = np.eye(n), np.zeros(n)
+                for _ in range(steps):
+                    near = go(np.concatenate([x, x + eps * q.T]))
+                    x = near[:1]
+                    q, tri = np.linalg.qr((near[1:] - x).T / eps)
+                    total += np.log(np.abs(np.diag(tri)))
+                yield pd.DataFrame({"truth_id": r.truth_id, "i": range(n), "exponent": np.sort(total / (steps * dt))[::-1]})
+
+    return starts.mapInPandas(run, "truth_id long, i long, exponent double")
