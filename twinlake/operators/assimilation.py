@@ -85,7 +85,7 @@ def local_transform(e: DataFrame, obs: DataFrame, r: float, radius: float, size:
     near = near.select("batch", "j", taper(mean, radius, kind).alias("h")).where("h > 1e-3")
     yo = anomalies(e).join(obs.select("j", "i", "y"), "i").select("ens", "n", "j", F.col("a").alias("ya"), (F.col("y") - F.col("mu")).alias("dy"))
     seen = near.join(yo, "j").select("ens", "batch", "n", F.col("j").alias("i"), "ya", "dy", "h")
-    mine = e.withColumn("batch", F.floor(F.col("i") / batch).cast("long"))
+    mine = e.select(*[F.col(c).alias(c) for c in ("ens", "n", "i", "x")], F.floor(F.col("i") / batch).cast("long").alias("batch"))
 
     def run(state: pd.DataFrame, local: pd.DataFrame) -> pd.DataFrame:
         if state.empty or local.empty:
