@@ -137,7 +137,7 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
         least = []
         for k in range(len(SLICES)):
             x = dense(k)
-            least.append(float(np.quantile((x @ c.T).max(1), QUANTILE)) - MARGIN if len(x) else 0.0)
+            least.append(float(np.quantile((x @ c.T).max(1), QUANTILE)) - MARGIN if len(x) else least[-1] if least else 0.0)  # longer texts lie nearer
         return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": binary([r.astype("f4").tobytes() for r in c]), "least": pa.array([least] * len(c), pa.list_(pa.float64()))})
 
     got = picked.select("text", "lang", "h").mapInArrow(sparse, "lang string, h long, kind int, at binary, val binary").groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least array<double>")
