@@ -195,14 +195,78 @@ def linked(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
+def occurrences(sorted_bag: np.ndarray) -> np.ndarray:
+    """Repeats made different: each hash mixed with its number among its equals, so that multisets become sets."""
+    if not len(sorted_bag):
+        return sorted_bag
+    first = np.flatnonzero(np.concatenate([[True], sorted_bag[1:] != sorted_bag[:-1]]))
+    nth = np.arange(len(sorted_bag)) - np.repeat(first, np.diff(np.concatenate([first, [len(sorted_bag)]])))
+    return np.where(nth == 0, sorted_bag, mix(sorted_bag + nth.astype(_U) * _U(0x9E3779B97F4A7C15)))
+
+
+def _block(threshold: float):
+    """Of one block of others and one of members: the pairs of different components that overlap enough.
+
+    One other at a time is marked in the table of all others' shingles and counted along the members'."""
+
+    def run(key, others: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if others.num_rows and members.num_rows:
+            bags = [[occurrences(np.frombuffer(x, _U)) for x in t.column("bag").to_pylist()] for t in (others, members)]
+            words = np.unique(np.concatenate(bags[0]))
+            size = np.array([len(x) for x in bags[1]])
+            flat = np.concatenate(bags[1])
+            at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
+            hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
+            row, at = np.repeat(np.arange(len(size)), size)[hit], at[hit]
+            node, comp = members.column("node").to_numpy(), members.column("comp").to_numpy()
+            mark = np.zeros(len(words), bool)
+            for o, c, x in zip(others.column("node").to_pylist(), others.column("comp").to_pylist(), bags[0], strict=True):
+                mine = np.searchsorted(words, x)
+                mark[mine] = True
+                both = np.bincount(row[mark[at]], minlength=len(size))
+                mark[mine] = False
+                s = both / np.maximum(1, len(x) + size - both)
+                found += [(min(o, n), max(o, n), v) for n, v in zip(*(y[(s >= threshold) & (comp != c)].tolist() for y in (node, s)), strict=True)]
+        a, b, s = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    return run
+
+
+#: Bytes of shingles of the others and of the members that one task holds at once.
+OTHERS_BYTES, MEMBERS_BYTES = 1 << 20, 8 << 20
+
+
+def remaining_links(first: DataFrame, label: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) between nodes of one pivot that lie in different components after the first round.
+
+    ``first`` is (a = pivot, b = node). Of a pivot's nodes those outside its largest component are a query set,
+    held against all its nodes in blocks of bounded size; no pair is a row unless it is a link."""
+    own = first.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(label, "node", "left").select("pivot", "node", F.coalesce("comp", "node").alias("comp"))
+    per = own.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("pivot").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("pivot", "main")
+    rest = own.join(mixed, "pivot").select("pivot", "node", "comp", (F.col("comp") != F.col("main")).alias("other"))
+    rest = materialise(rest.join(bags, "node"), "bag-rest")
+    length = F.octet_length("bag")
+    split = rest.groupBy("pivot").agg(F.ceil(F.sum(F.when(F.col("other"), length).otherwise(0)) / OTHERS_BYTES).alias("obs"), F.ceil(F.sum(length) / MEMBERS_BYTES).alias("mbs"))
+    rest = rest.join(split.select("pivot", F.greatest("obs", F.lit(1)).alias("obs"), F.greatest("mbs", F.lit(1)).alias("mbs")), "pivot")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    others = rest.where("other").select("pivot", "node", "comp", "bag", dealt("obs").alias("ob"), every("mbs").alias("mb"))
+    members = rest.select(*[F.col(c).alias(c) for c in ("pivot", "node", "comp", "bag")], dealt("mbs").alias("mb"), every("obs").alias("ob"))
+    keys = ["pivot", "ob", "mb"]
+    return others.groupBy(keys).cogroup(members.groupBy(keys)).applyInArrow(_block(threshold), "a long, b long, similarity double")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: its id column, ``class_id`` (smallest id of its class), ``class_size``, ``is_first``.
 
     Documents of equal text are one node (a 64-bit hash of the text). Nodes that share a band key are
     candidates; every link is checked on the whole multisets of five-word shingles. In a bucket all are
-    first held against its smallest node; then, where a bucket still lies in several components, each
-    member outside the largest of them is held against all members of other components. So every pair
-    that shares a key is checked or already joined, without all pairs of a group. Null texts are each
+    first held against its smallest node, the pivot; then, where a pivot's nodes still lie in several
+    components, those outside the largest of them are a query set that is held, in blocks, against all its
+    nodes. So every pair that shares a key is checked or already joined. Null texts are each
     a class of their own, with their id as class; texts without words are linked to equal texts only.
     A null id stays null and counts in its class; rows that repeat the first's id and text are all
     first, being one document."""
@@ -212,20 +276,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = materialise(banded(full.select("node", "text"), bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "bag-keys")
     key = keys.select("node", F.explode("keys").alias("key"))
     pivot = key.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(key.join(pivot, "key").select("key", "node", "pivot"), "bag-buckets")
-    first = materialise(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "bag-pairs")
+    first = materialise(key.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "bag-pairs")
     needed = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
     bags = materialise(bags_of(full.groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi").select("node", "text")), "bags")
     edges = materialise(linked(first, bags, threshold), "bag-links")
     label = components(edges)
-    member = shared.join(label, "node", "left").select("key", "node", "pivot", F.coalesce("comp", "node").alias("comp"))
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    member = materialise(member.join(mixed, "key"), "bag-mixed")
-    main = member.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-    other = member.join(main, "key").where("comp <> main").select("key", F.col("node").alias("o"), F.col("comp").alias("oc"))
-    more = other.join(member, "key").where((F.col("oc") != F.col("comp")) & (F.col("node") != F.col("pivot")) & (F.col("o") != F.col("pivot")))
-    more = materialise(more.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "bag-more")
-    extra = materialise(linked(more, bags, threshold), "bag-links")
+    extra = materialise(remaining_links(first, label, bags, threshold).distinct(), "bag-links")
     if extra.limit(1).count():
         label = components(edges.unionByName(extra))
     node = full.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).join(label, "node", "left").select("node", "least", "n", F.coalesce("comp", "node").alias("comp"))
