@@ -241,7 +241,7 @@ def round2sigfig_prices(spark, d):
 
 # --- localization ----------------------------------------------------------------------------------------
 
-_SITES = "pt AS (SELECT p_partkey AS id, (p_partkey * 7.31) % 360 AS pos FROM part), st AS (SELECT s_suppkey AS id, (s_suppkey * 3.7) % 360 AS pos FROM supplier), pr AS (SELECT pt.id AS p, st.id AS s, least(abs(pt.pos - st.pos), 360 - abs(pt.pos - st.pos)) AS dist FROM pt JOIN st ON least(abs(pt.pos - st.pos), 360 - abs(pt.pos - st.pos)) <= 9)"
+_SITES = "pt AS (SELECT p_partkey AS id, (p_partkey * 7.31::DOUBLE) % 360 AS pos FROM part), st AS (SELECT s_suppkey AS id, (s_suppkey * 3.7::DOUBLE) % 360 AS pos FROM supplier), pr AS (SELECT pt.id AS p, st.id AS s, least(abs(pt.pos - st.pos), 360 - abs(pt.pos - st.pos)) AS dist FROM pt JOIN st ON least(abs(pt.pos - st.pos), 360 - abs(pt.pos - st.pos)) <= 9)"
 _TAPERS = {
     "Gauss": "exp(-0.5 * (dist / 4) ** 2)",
     "Exp": "exp(-0.5 * (dist / 4) ** 3)",
