@@ -311,10 +311,10 @@ def pf_neff(spark, d):
     return rounded(pa.effective_size(_particles(spark, d)), "n_eff")
 
 
-@query("pf_temper", f"WITH {_PART}, t AS (SELECT *, least(w ** (1 / 2.0 - 1), 1e100) AS s0 FROM rw), u AS (SELECT *, s0 / sum(s0 * w) OVER (PARTITION BY sys) AS s FROM t) SELECT sys, n, round(s, 3) + 0.0 AS s, round(s * w, 8) + 0.0 AS sw FROM u")
+@query("pf_temper", f"WITH {_PART}, t AS (SELECT *, least(w ** (1 / 2.0 - 1), 1e100) AS s0 FROM rw), u AS (SELECT *, s0 / sum(s0 * w) OVER (PARTITION BY sys) AS s FROM t) SELECT sys, n, round(ln(s), 6) + 0.0 AS log_s, round(s * w, 8) + 0.0 AS sw FROM u")
 def pf_temper(spark, d):
     t = pa.tempered(_particles(spark, d), 2.0)
-    return t.select("sys", "n", r6(F.col("s"), 3).alias("s"), r6(F.col("sw"), 8).alias("sw"))
+    return t.select("sys", "n", r6(F.log("s")).alias("log_s"), r6(F.col("sw"), 8).alias("sw"))  # s spans many orders
 
 
 _SYS = f"{_PART}, c AS (SELECT sys, n, sum(w) OVER (PARTITION BY sys ORDER BY n ROWS UNBOUNDED PRECEDING) AS hi, count(*) OVER (PARTITION BY sys) AS size FROM rw), iv AS (SELECT sys, n, coalesce(lag(hi) OVER (PARTITION BY sys ORDER BY n), -1) AS lo, CASE WHEN n = size THEN 2 ELSE hi END AS hi FROM c), tooth AS (SELECT sys, (0.37 + t.j) / size AS u FROM (SELECT DISTINCT sys, size FROM c) z, range(0, 400) t(j) WHERE t.j < size), cp AS (SELECT iv.sys, iv.n, count(tooth.u)::BIGINT AS copies FROM iv LEFT JOIN tooth ON tooth.sys = iv.sys AND tooth.u > iv.lo AND tooth.u <= iv.hi GROUP BY iv.sys, iv.n)"
