@@ -24,6 +24,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: Bands of components that must all agree: a pair at 0.8 is missed with probability 5e-6, one at 0.3 is a candidate with 0.03.
 BANDS, ROWS = 40, 6
 
+#: Hashes of words, and keys of texts, that a worker remembers at once.
+REMEMBERED_WORDS, REMEMBERED_TEXTS = 250_000, 10_000
+
 _U = np.uint64
 
 
@@ -42,7 +45,7 @@ def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
     parts = (text or "").lower().split()
     if not parts:
         return np.zeros(0, _U)
-    if len(_words) > 1_000_000:
+    if len(_words) > REMEMBERED_WORDS:
         _words.clear()
     for w in set(parts):
         if w not in _words:
@@ -147,7 +150,7 @@ def banded(d: DataFrame, bands: int, rows: int) -> DataFrame:
                 part = b.slice(at, 256)
                 nodes = part.column(0).to_pylist()
                 new = {n: i for i, n in enumerate(nodes) if n not in done}
-                if len(done) > 50_000:
+                if len(done) > REMEMBERED_TEXTS:
                     done.clear()
                     new = {n: i for i, n in enumerate(nodes)}
                 texts = part.column(1).take(pa.array(list(new.values()), pa.int32())).to_pylist()
@@ -160,14 +163,26 @@ def banded(d: DataFrame, bands: int, rows: int) -> DataFrame:
     return d.mapInArrow(run, "node long, keys array<long>")
 
 
+def to_bag(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each hash, sorted, repeats included."""
+    x = np.sort(hashes & _U((1 << 48) - 1))
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_bag(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def bags_of(d: DataFrame) -> DataFrame:
-    """(node, bag): the sorted shingle hashes of each text, repeats included."""
+    """(node, bag): the shingles of each text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), binary([np.sort(shingles(t)).tobytes() for t in part.column(1).to_pylist()])], names=["node", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column(0), binary([to_bag(shingles(t)) for t in part.column(1).to_pylist()])], names=["node", "bag"])
 
     return d.mapInArrow(run, "node long, bag binary")
 
@@ -187,7 +202,7 @@ def linked(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         for p in it:
             for at in range(0, p.num_rows, 256):
                 part = p.slice(at, 256)
-                s = [similarity(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+                s = [similarity(from_bag(x), from_bag(y)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
                 keep = pa.array([v >= threshold for v in s], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
@@ -205,31 +220,31 @@ def occurrences(sorted_bag: np.ndarray) -> np.ndarray:
 
 
 def _block(threshold: float):
-    """Of one block of others and one of members: the pairs of different components that overlap enough.
+    """Of one block of others and one of members: the pairs of components that a link joins, each once.
 
     One other at a time is marked in the table of all others' shingles and counted along the members'."""
 
     def run(key, others: pa.Table, members: pa.Table) -> pa.Table:
-        found: list[tuple] = []
+        found: set[tuple[int, int]] = set()
         if others.num_rows and members.num_rows:
-            bags = [[occurrences(np.frombuffer(x, _U)) for x in t.column("bag").to_pylist()] for t in (others, members)]
+            bags = [[occurrences(from_bag(x)) for x in t.column("bag").to_pylist()] for t in (others, members)]
             words = np.unique(np.concatenate(bags[0]))
             size = np.array([len(x) for x in bags[1]])
             flat = np.concatenate(bags[1])
             at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
             hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
             row, at = np.repeat(np.arange(len(size)), size)[hit], at[hit]
-            node, comp = members.column("node").to_numpy(), members.column("comp").to_numpy()
+            comp = members.column("comp").to_numpy()
             mark = np.zeros(len(words), bool)
-            for o, c, x in zip(others.column("node").to_pylist(), others.column("comp").to_pylist(), bags[0], strict=True):
+            for c, x in zip(others.column("comp").to_pylist(), bags[0], strict=True):
                 mine = np.searchsorted(words, x)
                 mark[mine] = True
                 both = np.bincount(row[mark[at]], minlength=len(size))
                 mark[mine] = False
-                s = both / np.maximum(1, len(x) + size - both)
-                found += [(min(o, n), max(o, n), v) for n, v in zip(*(y[(s >= threshold) & (comp != c)].tolist() for y in (node, s)), strict=True)]
-        a, b, s = list(zip(*found, strict=True)) or [[], [], []]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+                near = (both >= threshold * np.maximum(1, len(x) + size - both)) & (comp != c)
+                found |= {(min(c, m), max(c, m)) for m in np.unique(comp[near]).tolist()}
+        a, b = list(zip(*sorted(found), strict=True)) or [[], []]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -239,10 +254,10 @@ OTHERS_BYTES, MEMBERS_BYTES = 1 << 20, 8 << 20
 
 
 def remaining_links(first: DataFrame, label: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b, similarity) between nodes of one pivot that lie in different components after the first round.
+    """(a, b): components between which nodes of one pivot have a link that the first round did not see.
 
     ``first`` is (a = pivot, b = node). Of a pivot's nodes those outside its largest component are a query set,
-    held against all its nodes in blocks of bounded size; no pair is a row unless it is a link."""
+    held against all its nodes in blocks of bounded size; a row is a pair of components, never one of nodes."""
     own = first.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(label, "node", "left").select("pivot", "node", F.coalesce("comp", "node").alias("comp"))
     per = own.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("pivot").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("pivot", "main")
@@ -256,7 +271,7 @@ def remaining_links(first: DataFrame, label: DataFrame, bags: DataFrame, thresho
     others = rest.where("other").select("pivot", "node", "comp", "bag", dealt("obs").alias("ob"), every("mbs").alias("mb"))
     members = rest.select(*[F.col(c).alias(c) for c in ("pivot", "node", "comp", "bag")], dealt("mbs").alias("mb"), every("obs").alias("ob"))
     keys = ["pivot", "ob", "mb"]
-    return others.groupBy(keys).cogroup(members.groupBy(keys)).applyInArrow(_block(threshold), "a long, b long, similarity double")
+    return others.groupBy(keys).cogroup(members.groupBy(keys)).applyInArrow(_block(threshold), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -281,9 +296,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bags = materialise(bags_of(full.groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi").select("node", "text")), "bags")
     edges = materialise(linked(first, bags, threshold), "bag-links")
     label = components(edges)
-    extra = materialise(remaining_links(first, label, bags, threshold).distinct(), "bag-links")
+    extra = materialise(remaining_links(first, label, bags, threshold), "bag-links")
     if extra.limit(1).count():
-        label = components(edges.unionByName(extra))
+        top = components(extra).select(F.col("node").alias("part"), F.col("comp").alias("top"))
+        joined = label.join(top, label.comp == top.part, "full_outer")  # a part without a label is a node by itself
+        label = materialise(joined.select(F.coalesce("node", "part").alias("node"), F.coalesce("top", "comp").alias("comp")), "bag-label")
     node = full.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).join(label, "node", "left").select("node", "least", "n", F.coalesce("comp", "node").alias("comp"))
     group = node.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("first_node"))
     known = node.join(group, "comp").select("node", "class_id", "class_size", "first_node")
