@@ -215,9 +215,10 @@ def mean_with_conf_daily(spark, d):
     return rounded(se.mean_with_confidence(s), "val", "prec", places=4)
 
 
-@query("rolling_window", f"WITH {EVENTS} SELECT sys, k, round(avg(y) OVER (PARTITION BY sys ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) + 0.0 AS rolling, round(avg(y) OVER (PARTITION BY sys ORDER BY k ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS running FROM s")
+@query("rolling_window", f"WITH {EVENTS} SELECT sys, k, round(avg(y) OVER (PARTITION BY sys ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + 1e-9, 6) + 0.0 AS rolling, round(avg(y) OVER (PARTITION BY sys ORDER BY k ROWS UNBOUNDED PRECEDING) + 1e-9, 6) + 0.0 AS running FROM s")
 def rolling_window(spark, d):
-    return rounded(se.rolling(_events(spark, d), 9).select("sys", "k", "rolling", "running"), "rolling", "running")
+    r = se.rolling(_events(spark, d), 9)  # means of decimals fall on ties of the sixth place: both sides add a little
+    return r.select("sys", "k", *[r6(F.col(c) + 1e-9).alias(c) for c in ("rolling", "running")])
 
 
 @query("time_avg_burnin", f"WITH {EVENTS} SELECT sys, round(avg(y), 6) + 0.0 AS val, count(*)::BIGINT AS n FROM s WHERE k * 0.05 > 4 GROUP BY sys")
