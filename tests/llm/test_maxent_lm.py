@@ -85,3 +85,29 @@ def test_steps_lower_the_loss():
     for _ in range(20):
         lm._step(w, seen, lm._rows(h), target)
     assert loss() < 0.7 * before
+
+
+def test_every_position_is_an_example(spark):
+    rows = [(1, "a b a b a b a b c"), (2, "b"), (3, None), (4, "held out")]
+    d = documents(spark, rows).select(F.col("doc_id").alias("id"), (F.col("doc_id") < 4).alias("train"), "text")
+    code = {b"": 0, b"a": 1, b"b": 2, b"c": 3}
+    got = Counter()
+    for r in lm.examples(lm.batches(d.coalesce(1)), code).collect():
+        raw = lm.zstandard.decompress(r.blob)
+        x, n = np.frombuffer(raw, "<i2", 4 * r.events).reshape(4, -1).T, np.frombuffer(raw, "<i4", r.events, 8 * r.events)
+        assert n.sum() == r.n
+        for e, k in zip(x.tolist(), n.tolist(), strict=True):
+            got[tuple(e)] += k
+    want = Counter()
+    for _, t in rows[:3]:
+        c = [code[(w or "").encode()] for w in tokens(t)]
+        want += Counter((x, *[c[i - k] if i >= k else lm.START for k in (1, 2, 3)]) for i, x in enumerate(c))
+    assert got == want
+
+
+def test_a_count_is_a_repeated_example():
+    h, target = np.array([[1, 2, 3], [1, 2, 3], [4, 5, 6]], "i4"), np.array([7, 7, 8])
+    w = [np.zeros((lm.ROWS, lm.ALL), "f4") for _ in range(2)]
+    lm._step(w[0], np.full_like(w[0], 0.1), lm._rows(h), target)
+    lm._step(w[1], np.full_like(w[1], 0.1), lm._rows(h[1:]), target[1:], np.array([2, 1], "f4"))
+    assert np.allclose(*w, atol=1e-6)

@@ -5,7 +5,8 @@ Events are the words seen in training, an end, and unseen words. The most freque
 softmax over features of the three words before (each word alone, two of them by skipping, and a hashed pair),
 times p(word | class): in a word class a softmax over hashed (feature, class) rows, in a tail class
 (count + 1) / (tokens + words + 1), whose last share is that class's unseen words. Counts cover all training
-documents. Gradients are taken at one position in ``STRIDE`` of every training document."""
+documents. Gradients are taken at every position of every training document; equal events of a batch are one
+example with a count."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ START = HEAD + TAILS
 CODES = START + 1
 PAIR_BITS, INNER_BITS = 13, 14
 ROWS = 3 * CODES + (1 << PAIR_BITS) + 1
-STRIDE, ROUNDS, RATE, MINIBATCH = 8, 2, 0.15, 4096
+ROUNDS, RATE, MINIBATCH = 2, 0.15, 4096
 TASK_EXAMPLES = 2_000_000
 
 
@@ -162,10 +163,12 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    """One AdaGrad step on a minibatch."""
+def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> None:
+    """One AdaGrad step on a minibatch, each example of which counts ``times``."""
     g = np.exp(_log_softmax(_sum_rows(w, rows)))
     g[np.arange(len(g)), target] -= 1
+    if times is not None:
+        g *= times[:, None]
     flat = rows.reshape(-1)
     order = np.argsort(flat, kind="stable")
     starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
@@ -175,22 +178,33 @@ def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray)
     w[at] -= RATE * total / np.sqrt(seen[at] + 1e-6)
 
 
+def _events(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of four codes, in order, and how often each occurs."""
+    one = x[:, 3].astype("i8")
+    for k in (2, 1, 0):
+        one = one << 16 | x[:, k]
+    one, n = np.unique(one, return_counts=True)
+    return np.stack([one >> 16 * k & 0xFFFF for k in range(4)], 1).astype("<i2"), n.astype("<i4")
+
+
 def examples(t: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """(n, blob): target and history codes at one position in STRIDE of each training document."""
+    """(n, events, blob): target and history codes at every position of each training document.
+
+    Equal events of a batch are one, with their count; ``n`` is the number of positions, ``events`` that of events."""
 
     def run(it):
         for b in _read(it):
             code = _codes(b.words, head)
             out = []
-            for doc, (used, p) in enumerate(zip(b.train, b.places, strict=True)):
+            for used, p in zip(b.train, b.places, strict=True):
                 if used:
                     c = code[p]
-                    at = np.arange((b.number + doc) * 5 % STRIDE, len(c), STRIDE)
-                    out.append(np.concatenate([c[at, None], _history(c, np.arange(len(c)))[at]], 1))
-            x = np.concatenate(out).astype("<i2") if out else np.zeros((0, 4), "<i2")
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), binary([zstandard.compress(np.ascontiguousarray(x.T).tobytes(), 3)])], names=["n", "blob"])
+                    out.append(np.concatenate([c[:, None], _history(c, np.arange(len(c)))], 1).astype("<i2"))
+            x, n = _events(np.concatenate(out)) if out else (np.zeros((0, 4), "<i2"), np.zeros(0, "<i4"))
+            blob = zstandard.compress(np.ascontiguousarray(x.T).tobytes() + n.tobytes(), 3)
+            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(x)], pa.int64()), binary([blob])], names=["n", "events", "blob"])
 
-    return t.mapInArrow(run, "n long, blob binary")
+    return t.mapInArrow(run, "n long, events long, blob binary")
 
 
 def _start(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,34 +215,34 @@ def _start(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w, u
 
 
-def train(ex: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def train(ex: DataFrame, counts: np.ndarray, total: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Rounds of local steps in every task from shared weights, then the mean of the tasks' weights by their examples.
 
-    Weights are of fixed size; they travel in blocks, summed by block."""
+    ``total`` is the number of positions. Weights are of fixed size; they travel in blocks, summed by block."""
     w, u = _start(counts)
-    ex = materialise(ex, "lm-examples")
-    total = ex.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if not total:
         return w, u
-    ex = ex.repartition(int(-(-total // TASK_EXAMPLES)))
+    ex = materialise(ex.repartition(int(-(-total // TASK_EXAMPLES))), "lm-examples")
     for r in range(rounds):
 
         def run(it, w=w, u=u, r=r):
             v, q = w.copy(), u.copy()
             sv, sq, n = np.full_like(v, 0.1), np.full_like(q, 0.1), 0
             for b in it:
-                for blob in b.column("blob").to_pylist():
-                    x = np.frombuffer(zstandard.decompress(blob), "<i2").reshape(4, -1).T.astype("i4")
-                    x = x[np.random.default_rng(r).permutation(len(x))]
+                for blob, size in zip(b.column("blob").to_pylist(), b.column("events").to_pylist(), strict=True):
+                    raw = zstandard.decompress(blob)
+                    order = np.random.default_rng(r).permutation(size)
+                    x = np.frombuffer(raw, "<i2", 4 * size).reshape(4, -1).T[order].astype("i4")
+                    times = np.frombuffer(raw, "<i4", size, 8 * size)[order].astype("f4")
                     for at in range(0, len(x), MINIBATCH):
-                        m = x[at : at + MINIBATCH]
+                        m, k = x[at : at + MINIBATCH], times[at : at + MINIBATCH]
                         t, h = m[:, 0], m[:, 1:]
                         cls = np.where(t < HEAD, t // WIDTH, CLASSES + t - HEAD)
-                        _step(v, sv, _rows(h), cls)
+                        _step(v, sv, _rows(h), cls, k)
                         ok = t < HEAD
                         if ok.any():
-                            _step(q, sq, _inner(h[ok], cls[ok]), t[ok] % WIDTH)
-                    n += len(x)
+                            _step(q, sq, _inner(h[ok], cls[ok]), t[ok] % WIDTH, k[ok])
+                    n += int(times.sum(dtype="f8"))
             if n:
                 raw = np.concatenate([v.reshape(-1), q.reshape(-1)]) * np.float32(n)
                 cut = np.array_split(raw, 16)
@@ -279,7 +293,7 @@ def score(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text")
     tails = {int(r.tail): (r.n, r.v) for r in total.where(outside).groupBy(tail.alias("tail")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     tail_n, tail_v = (np.array([tails.get(t, (0, 0))[k] for t in range(TAILS)], "f8") for k in (0, 1))
     counts = np.concatenate([np.pad(np.array([r.c for r in top], "f8"), (0, HEAD - len(top))), tail_n + tail_v + 1])
-    w, u = train(examples(t, head), counts)
+    w, u = train(examples(t, head), counts, n_all)
     # a class that is not full spreads over its words only
     width = np.clip(len(names) - WIDTH * np.arange(CLASSES), 0, WIDTH)
     closed = np.where(np.arange(WIDTH)[None, :] < width[:, None], 0.0, -np.inf).astype("f4")
