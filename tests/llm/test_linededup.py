@@ -64,3 +64,48 @@ def test_whole_table_never_loses_a_line_or_adds_one(spark):
 def test_no_python_in_the_plan(spark):
     plan = linededup.line_dedup(documents(spark, texts()[:5]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute(rows, window=2, min_words=8, longest=6):
+    """All runs of all lengths, each against every earlier place."""
+    docs = [(i, [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")], t.split("\n")) for i, t in sorted(rows)]
+    seen, out = set(), {}
+    for i, said, lines in docs:
+        gone = set()
+        for p in range(len(said)):
+            for k in range(1, min(longest, len(said) - p) + 1):
+                run = tuple(x for _, x in said[p : p + k])
+                if k <= window and sum(x.count(" ") + 1 for x in run) < min_words:
+                    continue
+                if run in seen:
+                    gone |= {at for at, _ in said[p : p + k]}
+                seen.add(run)
+        out[i] = "\n".join(x for at, x in enumerate(lines) if at not in gone)
+    return out
+
+
+def test_two_short_lines_of_eight_words(spark):
+    two = "Erreth was ofretihaou the that edouhe.\nOf, edti oner."
+    rows = [(1, two), (2, two), (3, f"x\n{two}\ny")]
+    assert kept(spark, rows) == brute(rows) == {1: two, 2: "", 3: "x\ny"}
+
+
+def test_run_whose_pairs_stand_first_elsewhere(spark):
+    """Twenty times, for which pair of a run was looked at depended on its hash."""
+    rows = []
+    for g in range(20):
+        rows += [(10 * g + k, "\n".join(f"{c}{g}" for c in t)) for k, t in enumerate(("abz", "ybc", "abc", "qabcr"))]
+    got = kept(spark, rows)
+    assert got == brute(rows)
+    assert all(got[10 * g + 3] == f"q{g}\nr{g}" for g in range(20))
+
+
+def test_random_lines_against_all_runs(spark):
+    import random
+
+    rng = random.Random(4)
+    line = [" ".join("w" * (1 + k) for _ in range(n)) for k, n in enumerate((1, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9))]
+    rows = [(i, "\n".join(rng.choice(line) for _ in range(rng.randrange(1, 9)))) for i in range(200)]
+    for window, words in ((2, 8), (1, 8), (3, 12)):
+        assert kept(spark, rows, window=window, min_words=words) == brute(rows, window, words)
+    assert kept(spark, [(i, t) for i, t in texts() if t is not None]) == brute([(i, t) for i, t in texts() if t is not None])

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes: DataFrame functions only."""
+"""Line dedup by keys of shortest runs of line hashes: DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from twinlake.llm.common import let, others
 
-#: Lines of context that a fingerprint carries on each side, for the extension of its match.
-CONTEXT = 3
-
 
 def _lines(text: Column) -> Column:
     """The non-blank lines: their place, a hash of the trimmed line, its words."""
@@ -20,50 +17,34 @@ def _lines(text: Column) -> Column:
     )
 
 
-def _minima(h: Column, n: Column, window: int) -> Column:
-    """Places of the smallest two-line hash of each window (of equal ones the last), each once."""
-    none = F.array().cast("array<struct<p:int,k:int,key:bigint>>")
-
-    def chosen(pair):
-        best = lambda i: F.reduce(F.sequence(F.lit(1), F.lit(window - 1)), i, lambda b, k: F.when(F.get(pair, i + k) <= F.get(pair, b), i + k).otherwise(b))
-        return F.transform(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(pair) - window), best)), lambda i: F.struct(i.alias("p"), F.lit(2).alias("k"), F.get(pair, i).alias("key")))
-
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(h, i - 1), F.get(h, i)))
-    return F.when(n > window, let(pairs, chosen)).otherwise(none)
+def _runs(h: Column, w: Column, n: Column, k: int, window: int, min_words: int) -> Column:
+    """Runs of ``k`` lines that are long enough and are not put together from shorter such runs: place, lines, key."""
+    words = lambda i, k: sum((F.get(w, i + j) for j in range(1, k)), F.get(w, i))
+    need = lambda i: F.lit(True) if k > window else words(i, k) >= min_words
+    made = lambda i: (words(i, k - 1) >= min_words) & (words(i + 1, k - 1) >= min_words) if k > 1 else F.lit(False)
+    at = F.filter(F.sequence(F.lit(0), n - k), lambda i: need(i) & ~made(i))
+    run = F.transform(at, lambda i: F.struct(i.alias("p"), F.lit(k).alias("k"), F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in range(k)]).alias("key")))
+    return F.when(n >= k, run).otherwise(F.array().cast("array<struct<p:int,k:int,key:bigint>>"))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 8) -> DataFrame:
-    """One row per fingerprint: document (``id``, ``th``), place ``p``, lines ``k``, ``key`` and context.
+    """One row per fingerprint: document (``id``, ``th``), place ``p``, lines ``k``, ``key``.
 
-    Units are pairs of neighbouring lines; each ``window`` of them gives its smallest hash, so any run
-    of ``window + 1`` repeated lines shares a fingerprint. A line of ``min_words`` words or more is a
-    run of full length by itself and always a fingerprint."""
+    A run counts if it has ``window + 1`` lines or ``min_words`` words. Every run that counts is covered by
+    runs of at most ``window + 1`` lines that count, and of these each one is a fingerprint whose key is of all
+    its lines, but for those whose first and last ``k - 1`` lines count by themselves."""
     d = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), _lines(F.col(text_col)).alias("ln"))
-    heavy = F.filter(F.transform("ln", lambda x, i: F.when(x.w >= min_words, F.struct(i.alias("p"), F.lit(1).alias("k"), F.xxhash64(x.h).alias("key")))), lambda x: x.isNotNull())
-    both = F.concat(heavy, let(F.col("ln.h"), lambda h: _minima(h, F.size(h), window)))
-    d = d.select("id", "th", F.col("ln.h").alias("h"), F.col("ln.w").alias("w"), both.alias("both"))
-    d = d.select("id", "th", "h", "w", F.explode_outer("both").alias("f")).where("f is not null").select("id", "th", "h", "w", "f.p", "f.k", "f.key")
-    left = lambda a: F.transform(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda d: F.when(F.col("p") >= d, F.get(a, F.col("p") - d)))
-    right = lambda a: F.transform(F.sequence(F.lit(0), F.lit(CONTEXT - 1)), lambda d: F.get(a, F.col("p") + F.col("k") + d))
-    own = F.reduce(F.slice("w", F.col("p") + 1, F.col("k")), F.lit(0), lambda s, x: s + x)
-    return d.select("id", "th", "p", "k", "key", left(F.col("h")).alias("l"), right(F.col("h")).alias("r"), left(F.col("w")).alias("lw"), right(F.col("w")).alias("rw"), own.alias("own"))
-
-
-def _agree(a: str, b: str) -> Column:
-    """Leading places at which two contexts hold the same line."""
-    at = F.filter(F.sequence(F.lit(0), F.lit(CONTEXT - 1)), lambda i: F.coalesce(F.get(F.col(a), i) != F.get(F.col(b), i), F.lit(True)))
-    return F.coalesce(F.get(at, 0), F.lit(CONTEXT))
+    every = lambda h, w: F.concat(*[_runs(h, w, F.size(h), k, window, min_words) for k in range(1, window + 2)])
+    d = d.select("id", "th", let(F.col("ln.h"), lambda h: let(F.col("ln.w"), lambda w: every(h, w))).alias("runs"))
+    return d.select("id", "th", F.explode_outer("runs").alias("f")).where("f is not null").select("id", "th", "f.p", "f.k", "f.key")
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 8) -> DataFrame:
     """Per document with later repeats: ``drop``, the places (among non-blank lines) of repeated lines."""
     f = fingerprints(df, id_col, text_col, window, min_words)
-    first = f.groupBy("key", "k").agg(F.min(F.struct("id", "th", "p", "l", "r")).alias("a"), F.count(F.lit(1)).alias("seen")).where("seen > 1").select("key", "k", "a")
-    m = f.join(first, ["key", "k"]).where(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("th") == F.col("a.th")) & (F.col("p") == F.col("a.p"))))
-    m = m.withColumns({"al": F.col("a.l"), "ar": F.col("a.r")}).withColumns({"nl": _agree("l", "al"), "nr": _agree("r", "ar")})
-    total = lambda a, n: F.reduce(F.slice(a, F.lit(1), F.col(n)), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    m = m.where((F.col("k") + F.col("nl") + F.col("nr") >= window + 1) | (F.col("own") + total("lw", "nl") + total("rw", "nr") >= min_words))
-    m = m.select("id", "th", F.explode(F.sequence(F.col("p") - F.col("nl"), F.col("p") + F.col("k") + F.col("nr") - 1)).alias("at"))
+    first = f.groupBy("key").agg(F.min(F.struct("id", "th", "p")).alias("a"), F.count(F.lit(1)).alias("seen")).where("seen > 1").select("key", "a")
+    m = f.join(first, "key").where(~(F.col("id").eqNullSafe(F.col("a.id")) & (F.col("th") == F.col("a.th")) & (F.col("p") == F.col("a.p"))))
+    m = m.select("id", "th", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("k") - 1)).alias("at"))
     return m.groupBy("id", "th").agg(F.collect_set("at").alias("drop"))
 
 
