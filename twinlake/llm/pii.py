@@ -103,8 +103,10 @@ def _found(text: Column, kind: str) -> Column:
         lambda s, x: F.when(x.m.isNull(), s).otherwise(F.struct((s.at + F.length(x.g) + F.length(x.m)).alias("at"), F.concat(s.out, F.array(F.struct(x.m.alias("m"), (s.at + F.length(x.g)).alias("start"), (s.at + F.length(x.g) + F.length(x.m)).alias("end")))).alias("out"))),
         lambda s: s.out,
     )
-    near = lambda s: F.substr(text, F.greatest(s.start - CONTEXT_CHARS + 1, F.lit(1)), F.least(F.lit(CONTEXT_CHARS), s.start))
-    score = lambda s: F.least(F.lit(1.0), F.when(near(s).rlike(CONTEXT_WORDS[kind]), BASE_SCORE[kind] + RAISE).otherwise(BASE_SCORE[kind]))
+    before = lambda s: F.substr(text, F.greatest(s.start - CONTEXT_CHARS + 1, F.lit(1)), F.least(F.lit(CONTEXT_CHARS), s.start))
+    after = lambda s: F.substr(text, s.end + 1, F.lit(CONTEXT_CHARS))
+    near = lambda s: before(s).rlike(CONTEXT_WORDS[kind]) | after(s).rlike(CONTEXT_WORDS[kind])
+    score = lambda s: F.least(F.lit(1.0), F.when(near(s), BASE_SCORE[kind] + RAISE).otherwise(BASE_SCORE[kind]))
     spans = F.transform(F.filter(placed, lambda s: _confirmed(kind, s.m)), lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), score(s).alias("score")))
     if kind not in KINDS[:4]:
         spans = F.filter(spans, lambda s: s.score >= THRESHOLD)
@@ -122,7 +124,7 @@ def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KIN
     Places are code points, the end exclusive. Matches of a kind are leftmost and do not overlap; a
     match that its validator refuses is dropped without a retry. E-mail, IP, card and phone spans stay
     whatever their score; IBAN, SSN and secret spans need ``THRESHOLD``, which context words in the
-    ``CONTEXT_CHARS`` characters before them can lift them to. Null and empty texts have no spans.
+    ``CONTEXT_CHARS`` characters before or after them can lift them to. Null and empty texts have no spans.
     Rows are taken one by one: repeated rows and null ids are of no matter."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rank = {k: i for i, k in enumerate(kinds)}
