@@ -100,6 +100,24 @@ def test_run_whose_pairs_stand_first_elsewhere(spark):
     assert all(got[10 * g + 3] == f"q{g}\nr{g}" for g in range(20))
 
 
+def test_runs_whose_pairs_each_stand_earlier(spark):
+    """Forty runs of three lines in two documents; each of their pairs stands once in an earlier one."""
+    rows = []
+    for g in range(40):
+        a, b, c = (f"{x} of {g}" for x in "abc")
+        rows += [(4 * g, f"{a}\n{b}\nq{g}"), (4 * g + 1, f"r{g}\n{b}\n{c}"), (1000 + g, f"{a}\n{b}\n{c}"), (2000 + g, f"s{g}\n{a}\n{b}\n{c}\nt{g}")]
+    got = kept(spark, rows)
+    assert got == brute(rows)
+    assert all(got[2000 + g] == f"s{g}\nt{g}" for g in range(40))
+
+
+def test_very_many_lines(spark):
+    """Two texts of 100,000 lines: the second goes, but for its own last line."""
+    long = "\n".join(f"line {k % 5000} of {k // 7}" for k in range(100_000))
+    got = kept(spark, [(1, long), (2, long + "\nends")])
+    assert got[2] == "ends" and len(got[1]) <= len(long)
+
+
 def test_random_lines_against_all_runs(spark):
     import random
 

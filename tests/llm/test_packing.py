@@ -17,7 +17,6 @@ from twinlake.llm import packing as p
 
 def want_pieces(rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = []
     for i, t in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -50,7 +49,7 @@ def test_whole_table(spark):
 
 
 def test_edges(spark, tmp_path):
-    rows = [(1, None), (2, ""), (None, "no id"), (3, "twice"), (3, "twice"), (4, "word and more " * 20000), (5, "a" * 5000), (6, "  x \n\n y ")]
+    rows = [(1, None), (2, ""), (None, "no id"), (3, "twice"), (3, "twice"), (4, "word and more " * 20000), (5, "a" * 5000), (6, "  x \n\n y "), (7, "x <|endoftext|> y\nz<|endoftext|>")]
     check(spark, folder(spark, tmp_path, documents=documents(spark, rows, more=True)), rows)
 
 

@@ -13,7 +13,6 @@ from twinlake.llm import token_store as ts
 
 def want(rows):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     out, at = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -29,7 +28,7 @@ def test_whole_table(spark):
 
 @pytest.mark.parametrize("mode", ["bit", "byte"])
 def test_edges(spark, tmp_path, mode):
-    rows = [(3, None), (1, ""), (2, "Hello  WORLD\n\tthis is it"), (None, "no id"), (5, "<|endoftext|> x"), (5, "b"), (5, "b"), (6, "word and more " * 30000), (7, "é 😀  x " * 20), (8, "a" * 3000)]
+    rows = [(3, None), (1, ""), (2, "Hello  WORLD\n\tthis is it"), (None, "no id"), (5, "<|endoftext|> x"), (9, "x <|endoftext|>\ny a<|startoftext|>b  <|endoftext|>"), (5, "b"), (5, "b"), (6, "word and more " * 30000), (7, "é 😀  x " * 20), (8, "a" * 3000)]
     path = f"{tmp_path}/store"
     ts.write_store(documents(spark, rows, more=True), path, public_tokenizers.path("word_bpe_49k.json"), 1, mode=mode, block=1000)
     got = ts.read_store(spark, path).collect()
@@ -37,6 +36,8 @@ def test_edges(spark, tmp_path, mode):
     assert sorted([(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in got], key=key) == want(rows)
     index = spark.read.parquet(f"{path}/index").collect()
     assert sum(r.n_ids for r in index) == sum(r.n_tokens for r in got) and all(r.plane_bytes for r in index)
+    some = ts.read_store(spark, path, first=2, last=5).collect()
+    assert sorted(map(str, some)) == sorted(str(r) for r in got if r.doc_id is not None and 2 <= r.doc_id <= 5)
 
 
 def test_planes_round_trip():

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine), a temporary one is set."""
+    Where the session has none, a temporary one is set if all runs on one machine (as in tests); on a cluster
+    that folder would be another on each machine, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="twinlake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -1,7 +1,7 @@
 """Language by nearest centroid: hashed TF-IDF byte n-grams, several clustered centroids a language, cosine.
 
-Inverse document frequencies come from all documents to learn from. Centroids are fitted on at most ``SAMPLE``
-documents a language, taken by a hash of their id, and on at most ``LANGS`` languages, the most frequent."""
+Inverse document frequencies come from all documents to learn from, and every language that they have is learnt.
+Centroids are fitted on at most ``SAMPLE`` documents a language, taken by a hash of their text."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from twinlake.llm.tokens import binary
 
 DIM, ORDERS = 8192, (1, 2, 3)
-SAMPLE, LANGS, CENTROIDS, STEPS = 1500, 200, 4, 8
+SAMPLE, CENTROIDS, STEPS = 1500, 4, 8
+#: Rows and characters of text of which vectors are made at once, and places of which n-grams are.
+BATCH_ROWS, BATCH_CHARS, SLAB = 128, 1 << 19, 1 << 19
 #: Lengths (bytes, powers of two) at which slices of the sample give the least usual cosine, and how far below it a text is rejected.
 SLICES, QUANTILE, MARGIN = (32, 64, 128, 256, 512, 1024), 0.005, 0.15
 UNKNOWN = "und"
@@ -28,27 +30,43 @@ def has_letter(text: str | None) -> bool:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed n-grams, a row a text, of lower-cased UTF-8 in which runs of other signs are one blank; and their lengths."""
-    raw = [t.lower().encode() for t in texts]
+    """Counts of hashed n-grams, a row a text, of lower-cased UTF-8 in which runs of other signs are one blank; and their lengths.
+
+    N-grams are counted a slab of places at a time, so a very long text takes a few bytes a byte."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     b = _SPACE[np.frombuffer(b"".join(x + b"\n\n\n" for x in raw), np.uint8)]
-    n = np.array([len(x) + 3 for x in raw])
-    doc = np.repeat(np.arange(len(raw)), n)
+    doc = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) + 3 for x in raw])
     keep = (b != 32) | np.concatenate([[True], (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])])
-    b, doc = b[keep].astype(np.uint32), doc[keep]
-    out = np.zeros(len(raw) * DIM, np.int64)
-    for k in ORDERS:
-        if len(b) < k:
-            continue
-        code = np.full(len(b) - k + 1, k, np.uint32)
-        for i in range(k):
-            code = (code << np.uint32(8)) ^ b[i : len(b) - k + 1 + i] ^ (code >> np.uint32(24))
-        code = (code * np.uint32(2654435769)) >> np.uint32(32 - 13)
-        at = doc[k - 1 :]
-        same = doc[: len(at)] == at
-        out += np.bincount((at.astype(np.int64) * DIM + code)[same], minlength=len(out))
+    b, doc = b[keep], doc[keep]
+    out = np.zeros(len(raw) * DIM, np.int32)
+    for start in range(0, len(b), SLAB):
+        for k in ORDERS:
+            n = min(SLAB, len(b) - k + 1 - start)
+            if n <= 0:
+                continue
+            code = np.full(n, k, np.uint32)
+            for i in range(k):
+                code = (code << np.uint32(8)) ^ b[start + i : start + i + n] ^ (code >> np.uint32(24))
+            code = (code * np.uint32(2654435769)) >> np.uint32(32 - 13)
+            at = doc[start + k - 1 : start + k - 1 + n]
+            same = doc[start : start + n] == at
+            out += np.bincount((at.astype(np.int64) * DIM + code)[same], minlength=len(out))
     return out.reshape(len(raw), DIM), np.bincount(doc, minlength=len(raw))
 
 
+def slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded rows and characters; ``text`` is the place of the column that is measured."""
+    size = np.array([len(t or "") for t in b.column(text).to_pylist()], "i8")
+    at = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > at and (total + n > BATCH_CHARS or i - at >= BATCH_ROWS):
+            yield b.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < b.num_rows:
+        yield b.slice(at)
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     v = np.sqrt(counts, dtype="f4") * idf.astype("f4")
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -60,8 +78,8 @@ def frequencies(d: DataFrame) -> tuple[np.ndarray, int]:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM + 1, np.int64), 0
         for b in it:
-            for at in range(0, b.num_rows, 128):
-                c, _ = grams([t or "" for t in b.slice(at, 128).column("text").to_pylist()])
+            for part in slices(b, 0):
+                c, _ = grams([t or "" for t in part.column("text").to_pylist()])
                 df[:DIM] += (c > 0).sum(0)
                 df[DIM] += len(c)
         yield pa.RecordBatch.from_arrays([pa.array(range(DIM + 1), pa.int32()), pa.array(df, pa.int64())], names=["gram", "df"])
@@ -88,22 +106,24 @@ def _clusters(x: np.ndarray, k: int, steps: int) -> np.ndarray:
 
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
-    """Centroids, their languages and their least usual cosines, from (id, text, lang) rows."""
+    """Centroids, their languages and their least usual cosines, from (text, lang) rows.
+
+    What comes to the driver is a count, and at most ``CENTROIDS`` vectors, a language."""
     train = train.where("text is not null and lang is not null")
-    langs = {r.lang: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    langs = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
     if not langs:
         return {"langs": [], "centroids": np.zeros((0, DIM), "f4"), "idf": np.ones(DIM), "least": np.zeros((0, len(SLICES)))}
     df, n = frequencies(train)
     idf = np.log((1 + n) / (1 + df)) + 1
 
     share = F.element_at(F.create_map(*[F.lit(x) for lang, k in langs.items() for x in (lang, min(1.0, 1.1 * sample / k))]), F.col("lang"))
-    picked = train.withColumn("h", F.xxhash64("id", "text")).where(F.col("lang").isin(*langs) & (F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)))
+    picked = train.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
 
     def sparse(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The whole text's vector, and that of a slice of each length, as (places, values)."""
         for b in it:
-            for at in range(0, b.num_rows, 64):
-                part, rows = b.slice(at, 64), []
+            for part in slices(b, 0):
+                rows = []
                 texts, names, hs = (part.column(c).to_pylist() for c in ("text", "lang", "h"))
                 kinds = [-1] * len(texts)
                 for i in range(len(texts)):
@@ -156,8 +176,7 @@ def predict(d: DataFrame, model: dict) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in slices(b, 1):
                 texts = part.column(1).to_pylist()
                 ok = np.array([has_letter(t) for t in texts]) & (len(langs) > 0)
                 lang, score, accept = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), bool)
@@ -189,8 +208,7 @@ def accepted(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in slices(b, place):
                 texts = part.column(place).to_pylist()
                 keep = np.array([has_letter(t) for t in texts])
                 if keep.any() and len(langs):

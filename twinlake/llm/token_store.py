@@ -101,9 +101,17 @@ def _bases(spark: SparkSession, path: str) -> dict[int, int]:
     return out
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (little-endian 32-bit)."""
-    base = _bases(spark, path)
+def read_store(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (little-endian 32-bit).
+
+    The chunk index gives each chunk its start, and says which chunks hold ids from ``first`` to ``last``: only
+    these are unpacked. Without bounds all documents are read; with a bound, those with a null id are not."""
+    index = spark.read.parquet(f"{path}/index")
+    if first is not None:
+        index = index.where(F.col("last_doc") >= first)
+    if last is not None:
+        index = index.where(F.col("first_doc").isNull() | (F.col("first_doc") <= last))
+    chunks = spark.read.schema(CHUNK).parquet(f"{path}/chunks").drop("start").join(index.select("shard", "chunk", "start"), ["shard", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
@@ -117,9 +125,12 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(np.array(r["doc_lens"], "i8"))
                 starts = ends - np.array(r["doc_lens"], "i8")
                 cut = [ids[4 * a : 4 * z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"] + base[r["shard"]], pa.int64()), pa.array(r["doc_lens"], pa.int64()), binary(cut)], names=["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(starts + r["start"], pa.int64()), pa.array(r["doc_lens"], pa.int64()), binary(cut)], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.schema(CHUNK).parquet(f"{path}/chunks").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    out = chunks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    for bound, ok in ((first, F.col("doc_id") >= F.lit(first)), (last, F.col("doc_id") <= F.lit(last))):
+        out = out if bound is None else out.where(ok)
+    return out
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

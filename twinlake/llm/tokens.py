@@ -14,7 +14,7 @@ from twinlake.llm.common import chunks, is_odd
 #: Words that are encoded as one text, and the longest one that is.
 TOGETHER, SHORT = 256, 100
 #: Words that a worker remembers at once, and the longest one that it remembers.
-REMEMBERED, LONGEST = 1_000_000, 40
+REMEMBERED, LONGEST = 250_000, 40
 
 
 def spaced(text: str) -> list[str]:
@@ -47,7 +47,10 @@ def word_text(key: str) -> str:
 
 
 class Encoder:
-    """A tokenizers file applied to whole texts; a word met again is not encoded again."""
+    """A tokenizers file applied to whole texts; a word met again is not encoded again.
+
+    The ids are those of the plain library call on the whole text with ``add_special_tokens=False``: a special
+    token's string in a text gives that token."""
 
     _held: dict = {}
 
@@ -56,7 +59,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.cut, self.said, self.memo = cut, spaced_text if cut is spaced else word_text, {}
 
     @classmethod
@@ -83,7 +85,7 @@ class Encoder:
             memo.clear()
         parts = [self.cut(t) if t else [] for t in texts]
         new = list(set().union(*parts).difference(memo)) if memo else list(set().union(*parts))
-        plain = [x for x in new if x[:1] != "\n" and len(x) <= SHORT]
+        plain = [x for x in new if x[:1] != "\n" and len(x) <= SHORT and "<|" not in x]
         self._together(plain)
         rest = [x for x in new if x not in memo]
         for x, e in zip(rest, self.tok.encode_batch_fast(list(map(said, rest)), add_special_tokens=False), strict=True):
