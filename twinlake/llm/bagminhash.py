@@ -25,7 +25,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 
 #: Hashes of words, and keys of texts, that a worker remembers at once.
-REMEMBERED_WORDS, REMEMBERED_TEXTS = 250_000, 10_000
+REMEMBERED_WORDS, REMEMBERED_TEXTS = 100_000, 5_000
 
 _U = np.uint64
 
@@ -141,26 +141,24 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def banded(d: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, keys) of (node, text); no keys for a text without words."""
+    """(h, size, keys) of (h, text), ``h`` being a digest of the text: its shingles, and band keys unless it has no words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, list[int]] = {}
+        done: dict[bytes, tuple[int, list[int]]] = {}
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                nodes = part.column(0).to_pylist()
-                new = {n: i for i, n in enumerate(nodes) if n not in done}
+                texts = part.column(0).to_pylist()
                 if len(done) > REMEMBERED_TEXTS:
                     done.clear()
-                    new = {n: i for i, n in enumerate(nodes)}
-                texts = part.column(1).take(pa.array(list(new.values()), pa.int32())).to_pylist()
-                bags = [multiset(shingles(t)) for t in texts]
+                new = {n: i for i, n in enumerate(texts) if n not in done}
+                first = list(dict.fromkeys(texts))
+                bags = [multiset(shingles(t)) for t in part.column(1).take(pa.array(list(new.values()), pa.int32())).to_pylist()]
                 keys = band_keys(signatures(bags, bands * rows), bands, rows).tolist()
-                done |= {n: (k if len(bag[0]) else []) for n, k, bag in zip(new, keys, bags, strict=True)}
-                first = list(new)
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array([done[n] for n in first], pa.list_(pa.int64()))], names=["node", "keys"])
+                done |= {n: (int(bag[1].sum()), k if len(bag[0]) else []) for n, k, bag in zip(new, keys, bags, strict=True)}
+                yield pa.RecordBatch.from_arrays([binary(first), pa.array([done[n][0] for n in first], pa.int64()), pa.array([done[n][1] for n in first], pa.list_(pa.int64()))], names=["h", "size", "keys"])
 
-    return d.mapInArrow(run, "node long, keys array<long>")
+    return d.mapInArrow(run, "h binary, size long, keys array<long>")
 
 
 def to_bag(hashes: np.ndarray) -> bytes:
@@ -222,35 +220,38 @@ def occurrences(sorted_bag: np.ndarray) -> np.ndarray:
 def _block(threshold: float):
     """Of one block of others and one of members: the pairs of components that a link joins, each once.
 
-    One other at a time is marked in the table of all others' shingles and counted along the members'."""
+    One other at a time is marked in the table of all others' shingles and counted along some members' at once."""
 
     def run(key, others: pa.Table, members: pa.Table) -> pa.Table:
         found: set[tuple[int, int]] = set()
         if others.num_rows and members.num_rows:
-            bags = [[occurrences(from_bag(x)) for x in t.column("bag").to_pylist()] for t in (others, members)]
-            words = np.unique(np.concatenate(bags[0]))
-            size = np.array([len(x) for x in bags[1]])
-            flat = np.concatenate(bags[1])
-            at = np.minimum(np.searchsorted(words, flat), max(0, len(words) - 1))
-            hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
-            row, at = np.repeat(np.arange(len(size)), size)[hit], at[hit]
-            comp = members.column("comp").to_numpy()
+            asked = [occurrences(from_bag(x)) for x in others.column("bag").to_pylist()]
+            words = np.unique(np.concatenate(asked))
+            mine = [np.searchsorted(words, x).astype("i4") for x in asked]
             mark = np.zeros(len(words), bool)
-            for c, x in zip(others.column("comp").to_pylist(), bags[0], strict=True):
-                mine = np.searchsorted(words, x)
-                mark[mine] = True
-                both = np.bincount(row[mark[at]], minlength=len(size))
-                mark[mine] = False
-                near = (both >= threshold * np.maximum(1, len(x) + size - both)) & (comp != c)
-                found |= {(min(c, m), max(c, m)) for m in np.unique(comp[near]).tolist()}
+            for start in range(0, members.num_rows if len(words) else 0, MEMBERS_AT_ONCE):
+                part = members.slice(start, MEMBERS_AT_ONCE)
+                bags = [occurrences(from_bag(x)) for x in part.column("bag").to_pylist()]
+                size = np.array([len(x) for x in bags])
+                flat = np.concatenate(bags)
+                at = np.minimum(np.searchsorted(words, flat), len(words) - 1).astype("i4")
+                hit = words[at] == flat
+                row, at = np.repeat(np.arange(len(size), dtype="i4"), size)[hit], at[hit]
+                comp = part.column("comp").to_numpy()
+                for c, x in zip(others.column("comp").to_pylist(), mine, strict=True):
+                    mark[x] = True
+                    both = np.bincount(row[mark[at]], minlength=len(size))
+                    mark[x] = False
+                    near = (both >= threshold * np.maximum(1, len(x) + size - both)) & (comp != c)
+                    found |= {(min(c, m), max(c, m)) for m in np.unique(comp[near]).tolist()}
         a, b = list(zip(*sorted(found), strict=True)) or [[], []]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-#: Bytes of shingles of the others and of the members that one task holds at once.
-OTHERS_BYTES, MEMBERS_BYTES = 1 << 20, 8 << 20
+#: Bytes of shingles of the others and of the members that one task gets, and members whose shingles are laid out at once.
+OTHERS_BYTES, MEMBERS_BYTES, MEMBERS_AT_ONCE = 4 << 20, 32 << 20, 512
 
 
 def remaining_links(first: DataFrame, label: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -262,10 +263,9 @@ def remaining_links(first: DataFrame, label: DataFrame, bags: DataFrame, thresho
     per = own.groupBy("pivot", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("pivot").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("pivot", "main")
     rest = own.join(mixed, "pivot").select("pivot", "node", "comp", (F.col("comp") != F.col("main")).alias("other"))
-    rest = materialise(rest.join(bags, "node"), "bag-rest")
-    length = F.octet_length("bag")
-    split = rest.groupBy("pivot").agg(F.ceil(F.sum(F.when(F.col("other"), length).otherwise(0)) / OTHERS_BYTES).alias("obs"), F.ceil(F.sum(length) / MEMBERS_BYTES).alias("mbs"))
-    rest = rest.join(split.select("pivot", F.greatest("obs", F.lit(1)).alias("obs"), F.greatest("mbs", F.lit(1)).alias("mbs")), "pivot")
+    rest = materialise(rest.join(bags.select("node", F.octet_length("bag").alias("bytes")), "node"), "bag-rest")
+    split = rest.groupBy("pivot").agg(F.ceil(F.sum(F.when(F.col("other"), F.col("bytes")).otherwise(0)) / OTHERS_BYTES).alias("obs"), F.ceil(F.sum("bytes") / MEMBERS_BYTES).alias("mbs"))
+    rest = rest.join(split.select("pivot", F.greatest("obs", F.lit(1)).alias("obs"), F.greatest("mbs", F.lit(1)).alias("mbs")), "pivot").join(bags, "node")
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     others = rest.where("other").select("pivot", "node", "comp", "bag", dealt("obs").alias("ob"), every("mbs").alias("mb"))
@@ -277,34 +277,41 @@ def remaining_links(first: DataFrame, label: DataFrame, bags: DataFrame, thresho
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: its id column, ``class_id`` (smallest id of its class), ``class_size``, ``is_first``.
 
-    Documents of equal text are one node (a 64-bit hash of the text). Nodes that share a band key are
-    candidates; every link is checked on the whole multisets of five-word shingles. In a bucket all are
-    first held against its smallest node, the pivot; then, where a pivot's nodes still lie in several
+    Documents of equal text (by a digest of 128 bits) are one node, numbered when the table of distinct texts
+    is written. Nodes that share a band key are candidates; every link is checked on the whole multisets of
+    five-word shingles. In a bucket all are first held against its smallest node, the pivot, but for those
+    whose length alone rules a link out; then, where a pivot's nodes still lie in several
     components, those outside the largest of them are a query set that is held, in blocks, against all its
     nodes. So every pair that shares a key is checked or already joined. Null texts are each
     a class of their own, with their id as class; texts without words are linked to equal texts only.
     A null id stays null and counts in its class; rows that repeat the first's id and text are all
     first, being one document."""
-    spark = df.sparkSession
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    full = d.where("text is not null").select("id", F.xxhash64("text").alias("node"), "text")
-    keys = materialise(banded(full.select("node", "text"), bands, rows).groupBy("node").agg(F.first("keys").alias("keys")), "bag-keys")
+    full = d.where("text is not null").select("id", F.unhex(F.md5("text")).alias("h"), "text")
+    distinct = full.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "bag-texts")
+    banded_once = banded(full.select("h", "text"), bands, rows).groupBy("h").agg(F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keys = materialise(banded_once.join(distinct.select("h", "node"), "h").select("h", "node", "size", "keys"), "bag-keys")
     key = keys.select("node", F.explode("keys").alias("key"))
     pivot = key.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialise(key.join(pivot, "key").where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "bag-pairs")
-    needed = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
-    bags = materialise(bags_of(full.groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi").select("node", "text")), "bags")
-    edges = materialise(linked(first, bags, threshold), "bag-links")
+    needed = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct().join(keys.select("h", "node"), "node")
+    texts = full.groupBy("h").agg(F.first("text").alias("text")).join(needed, "h").select("node", "text")
+    bags = materialise(bags_of(texts), "bags")
+    size = keys.select("node", "size")
+    near = first.join(size.select(F.col("node").alias("a"), F.col("size").alias("n")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("m")), "b")
+    near = near.where(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")).select("a", "b")
+    edges = materialise(linked(near, bags, threshold), "bag-links")
     label = components(edges)
     extra = materialise(remaining_links(first, label, bags, threshold), "bag-links")
     if extra.limit(1).count():
         top = components(extra).select(F.col("node").alias("part"), F.col("comp").alias("top"))
         joined = label.join(top, label.comp == top.part, "full_outer")  # a part without a label is a node by itself
         label = materialise(joined.select(F.coalesce("node", "part").alias("node"), F.coalesce("top", "comp").alias("comp")), "bag-label")
-    node = full.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).join(label, "node", "left").select("node", "least", "n", F.coalesce("comp", "node").alias("comp"))
+    node = distinct.join(label, "node", "left").select("h", "node", "least", "n", F.coalesce("comp", "node").alias("comp"))
     group = node.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.min_by("node", F.struct(F.col("least").isNull(), "least", "node")).alias("first_node"))
-    known = node.join(group, "comp").select("node", "class_id", "class_size", "first_node")
-    out = full.select("id", "node").join(known, "node").select("id", "class_id", "class_size", (F.col("node") == F.col("first_node")).alias("_kept"))
+    known = node.join(group, "comp").select("h", "class_id", "class_size", (F.col("node") == F.col("first_node")).alias("_kept"))
+    out = full.select("id", "h").join(known, "h").select("id", "class_id", "class_size", "_kept")
     alone = d.where("text is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("_kept"))
     out = out.withColumn("_kept", F.col("_kept") & F.col("id").eqNullSafe(F.col("class_id"))).unionByName(alone)
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("_kept").alias("is_first"))
