@@ -4,6 +4,7 @@ import hashlib
 import re
 
 from helpers import CLASH, DATA, documents, texts
+from pyspark.sql import functions as F
 
 from twinlake.llm import pii
 
@@ -81,3 +82,16 @@ def test_context_that_follows(spark):
     rows = [(1, "078-05-1120 (SSN)"), (2, f"{key} is the api key"), (3, f"078-05-1120 {far}ssn"), (4, f"ssn {far}078-05-1120"), (5, f"{key} alone"), (6, "😀 078-05-1120"), (7, "😀 078-05-1120 is my social security number")]
     got = {r.doc_id: r.text for r in pii.redact(documents(spark, rows)).collect()}
     assert got == {**dict(rows), 1: "<SSN> (SSN)", 2: "<SECRET> is the api key", 7: "😀 <SSN> is my social security number"}
+
+
+def test_very_many_matches(spark):
+    """100,000 matches in one text, in time that grows with it alone."""
+    import time
+
+    text = " ".join(f"x{k}@y.zz" for k in range(100_000))
+    began = time.time()
+    (r,) = pii.find_pii(documents(spark, [(1, text)])).select(F.size("_spans").alias("n"), F.element_at("_spans", -1).alias("last")).collect()
+    assert r.n == 100_000 and text[r.last.start : r.last.end] == "x99999@y.zz"
+    (r,) = pii.redact(documents(spark, [(1, text)])).collect()
+    assert r.text == " ".join(["<EMAIL>"] * 100_000)
+    assert time.time() - began < 60

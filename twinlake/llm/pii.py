@@ -90,24 +90,52 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+#: Values that ``running`` folds one by one; a power of two.
+BLOCK_BITS = 6
+
+
+def running(values: Column, zero: Column, merge) -> Column:
+    """For each value the fold of all before it: by blocks, so the work is a few dozen steps a value however many there are."""
+    block = 1 << BLOCK_BITS
+
+    def by_blocks(v):
+        last = F.shiftright(F.size(v) - 1, BLOCK_BITS)
+        whole = F.transform(F.sequence(F.lit(0), last), lambda b: F.reduce(F.slice(v, b * block + 1, F.lit(block)), zero, merge))
+        first = let(whole, lambda w: F.transform(w, lambda _, b: F.reduce(F.slice(w, F.lit(1), b), zero, merge)))
+        one = lambda f: F.transform(v, lambda _, j: F.reduce(F.slice(v, j - j % block + 1, j % block), F.get(f, F.shiftright(j, BLOCK_BITS)), merge))
+        return F.when(F.size(v) > 0, let(first, one)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, by_blocks)
+
+
 def _found(text: Column, kind: str) -> Column:
     """Confirmed matches of one kind with their places in code points.
 
-    The pieces between matches and the matches give the places: their lengths add up."""
+    The pieces between matches and the matches give the places: their lengths add up. They also give each match its
+    surroundings, of which no more than ``CONTEXT_CHARS`` pieces are needed; so no match looks at the whole text."""
     none = F.lit(None).cast(_SPAN)
     hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(text, PATTERNS[kind], -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,end:int>>").alias("out"))
-    placed = F.reduce(
-        F.arrays_zip(hits.alias("m"), gaps.alias("g")), start,
-        lambda s, x: F.when(x.m.isNull(), s).otherwise(F.struct((s.at + F.length(x.g) + F.length(x.m)).alias("at"), F.concat(s.out, F.array(F.struct(x.m.alias("m"), (s.at + F.length(x.g)).alias("start"), (s.at + F.length(x.g) + F.length(x.m)).alias("end")))).alias("out"))),
-        lambda s: s.out,
-    )
-    before = lambda s: F.substr(text, F.greatest(s.start - CONTEXT_CHARS + 1, F.lit(1)), F.least(F.lit(CONTEXT_CHARS), s.start))
-    after = lambda s: F.substr(text, s.end + 1, F.lit(CONTEXT_CHARS))
-    near = lambda s: before(s).rlike(CONTEXT_WORDS[kind]) | after(s).rlike(CONTEXT_WORDS[kind])
-    score = lambda s: F.least(F.lit(1.0), F.when(near(s), BASE_SCORE[kind] + RAISE).otherwise(BASE_SCORE[kind]))
-    spans = F.transform(F.filter(placed, lambda s: _confirmed(kind, s.m)), lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), score(s).alias("score")))
+    parts = F.flatten(F.transform(F.arrays_zip(hits.alias("m"), gaps.alias("g")), lambda x: F.array(x.g, F.coalesce(x.m, F.lit("")))))
+    near = lambda s: s.rlike(CONTEXT_WORDS[kind])
+    score = lambda b, a: F.least(F.lit(1.0), F.when(near(b) | near(a), BASE_SCORE[kind] + RAISE).otherwise(BASE_SCORE[kind]))
+
+    def placed(p):
+        def spans(at):
+            def one(m, j):
+                own = 2 * j + 1  # of the match among the parts, the piece before it being 2 j
+                some = F.least(own, F.lit(CONTEXT_CHARS))
+                before = F.right(F.array_join(F.transform(F.slice(p, own - some + 1, some), lambda x: F.right(x, F.lit(CONTEXT_CHARS))), ""), F.lit(CONTEXT_CHARS))
+                after = F.left(F.array_join(F.transform(F.slice(p, own + 2, F.lit(CONTEXT_CHARS)), lambda x: F.left(x, F.lit(CONTEXT_CHARS))), ""), F.lit(CONTEXT_CHARS))
+                start = F.get(at, own)
+                return F.struct(m.alias("m"), start.alias("start"), (start + F.length(m)).alias("end"), score(before, after).alias("score"))
+
+            return F.transform(hits, one)
+
+        return let(running(F.transform(p, F.length), F.lit(0), lambda a, n: a + n), spans)
+
+    spans = F.filter(let(parts, placed), lambda s: _confirmed(kind, s.m))
+    spans = F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.end.alias("end"), s.score.alias("score")))
     if kind not in KINDS[:4]:
         spans = F.filter(spans, lambda s: s.score >= THRESHOLD)
     has = text.rlike(PATTERNS[kind])
@@ -125,7 +153,8 @@ def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KIN
     match that its validator refuses is dropped without a retry. E-mail, IP, card and phone spans stay
     whatever their score; IBAN, SSN and secret spans need ``THRESHOLD``, which context words in the
     ``CONTEXT_CHARS`` characters before or after them can lift them to. Null and empty texts have no spans.
-    Rows are taken one by one: repeated rows and null ids are of no matter."""
+    Rows are taken one by one: repeated rows and null ids are of no matter. The work is linear in a text's
+    length and in its matches."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rank = {k: i for i, k in enumerate(kinds)}
     empty = F.array().cast(_SPAN)
@@ -144,10 +173,18 @@ def redact(df: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = KINDS
     spans = unused(df, "_spans")
     found = find_pii(df, text_col, kinds, spans)
     text = F.col(f"`{text_col}`")
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    said = lambda s, x: F.when(x.start >= s.at, F.concat(F.substr(text, s.at + 1, x.start - s.at), F.lit("<"), F.upper(x.kind), F.lit(">"))).otherwise(F.lit(""))
-    masked = F.reduce(spans, begin, lambda s, x: F.struct(F.greatest(s.at, x.end).alias("at"), F.concat(s.out, said(s, x)).alias("out")), lambda s: F.concat(s.out, F.substr(text, s.at + 1)))
-    new = F.when(F.size(spans) > 0, masked).otherwise(text)
+    covered = running(F.transform(spans, lambda x: x.end), F.lit(0), lambda a, e: F.greatest(a, e))
+    letters = lambda c, a, z: F.array_join(F.slice(c, a + 1, z - a), "")
+
+    def masked(c):
+        def said(to):
+            one = lambda x, j: let(F.get(to, j), lambda at: F.when(x.start >= at, F.concat(letters(c, at, x.start), F.lit("<"), F.upper(x.kind), F.lit(">"))).otherwise(F.lit("")))
+            return F.array_join(F.transform(spans, one), "")
+
+        end = F.array_max(F.transform(spans, lambda x: x.end))
+        return F.concat(let(covered, said), letters(c, end, F.size(c)))
+
+    new = F.when(F.size(spans) > 0, let(F.split(text, ""), masked)).otherwise(text)
     return found.select(*[(new if c == text_col else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
