@@ -1,38 +1,44 @@
 """Hashed maximum-entropy language model with class-factored softmax.
 
-Events are the words seen in training, an end, and unseen words. The most frequent words share classes of
-``WIDTH``; all others fall into tail classes by their last bytes. p(word | history) is p(class | history), a
-softmax over features of the three words before (each word alone, two of them by skipping, and a hashed pair),
-times p(word | class): in a word class a softmax over hashed (feature, class) rows, in a tail class
-(count + 1) / (tokens + words + 1), whose last share is that class's unseen words. Counts cover all training
-documents. Gradients are taken at every position of every training document; equal events of a batch are one
-example with a count."""
+Events are the words seen in training, the end, and one event for all unseen words. A word's probability is a product
+of softmaxes along its path of classes, ``SLOTS`` to a class: the most frequent words have short paths of their own;
+all others that training has twice or more are dealt over ``BUCKETS`` buckets by a hash of the whole word, and share a
+bucket by their counts; words seen once, and unseen ones, are one class, which its counts of counts divide. Each
+softmax adds a fixed log frequency and the weights of three hashed features of the history at that class: the word
+before, the word before that one (a skip), and both. Words enter features by a hash of the whole word, so no word is
+without n-gram and skip features, whatever its frequency.
+
+Counts cover all training documents, and gradients are taken at every position of every one of them: tasks take local
+AdaGrad steps from shared weights, and what they changed is averaged row by row, by how much each task saw of a row."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlake.llm.bpe import BATCH_CHARS, pack_places, unpack_places
+from twinlake.llm.bpe import pack_places, unpack_places
 from twinlake.llm.common import materialise
 from twinlake.llm.tokens import binary
 
-CLASSES, WIDTH, TAILS, SUFFIX = 32, 32, 32, 3
-HEAD, ALL = CLASSES * WIDTH, CLASSES + TAILS
-#: Codes of history words: a frequent word, a tail class, or before the start.
-START = HEAD + TAILS
-CODES = START + 1
-PAIR_BITS, INNER_BITS = 13, 14
-ROWS = 3 * CODES + (1 << PAIR_BITS) + 1
-ROUNDS, RATE, MINIBATCH = 2, 0.15, 4096
-TASK_EXAMPLES = 2_000_000
+SLOTS = 16
+#: Slots of the root: one of 16 words, three of 256 words, eleven of 4,096 buckets, one for words seen once or never.
+TOP, MID, BUCKETS, RARE_SLOT = 16, 3 * 256, 11 * 4096, 15
+HEAD = TOP + MID
+#: Codes of words: rank among the frequent ones, the rare class, then buckets.
+RARE, CODES = HEAD, HEAD + 1 + BUCKETS
+#: Classes: the root, its slots, theirs, and theirs.
+NODES = 1 + 16 + 256 + 4096
+ROW_BITS, FEATURES, START = 18, 3, np.uint32(0xFFFFFFFF)
+ROUNDS, RATE, MINIBATCH, FIRST_SEEN = 2, 0.3, 4096, 0.05
+#: Positions that one task learns from, blocks that weights travel in, and characters of a batch of documents.
+TASK_POSITIONS, BLOCKS, BATCH_CHARS = 8_000_000, 64, 8_000_000
+
+_U = np.uint32
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,13 +65,6 @@ class Words:
         self.places.append(np.fromiter(map(words.__getitem__, got), "<u4", len(got)))
         self.chars += len(text or "")
 
-    @classmethod
-    def of(cls, row: dict) -> Words:
-        out = cls(row["batch"])
-        out.words, out.docs, out.train = row["words"], row["docs"], row["train"]
-        out.places = np.split(unpack_places(row["places"]), np.cumsum(row["lens"])[:-1])
-        return out
-
 
 def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     first, k = TaskContext.get().partitionId() << 32, 0
@@ -83,7 +82,7 @@ def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield held
 
 
-HELD = "batch long, docs array<long>, train array<boolean>, lens array<long>, words array<binary>, places binary"
+HELD = "batch long, docs array<long>, train array<boolean>, lens array<long>, places binary"
 
 
 def batches(d: DataFrame) -> DataFrame:
@@ -93,253 +92,258 @@ def batches(d: DataFrame) -> DataFrame:
         for b in _batches(it):
             yield pa.RecordBatch.from_arrays([
                 pa.array([b.number], pa.int64()), pa.array([b.docs], pa.list_(pa.int64())), pa.array([b.train], pa.list_(pa.bool_())), pa.array([[len(p) for p in b.places]], pa.list_(pa.int64())),
-                pa.array([list(b.words)], pa.list_(pa.binary())), binary([pack_places(np.concatenate(b.places))]),
-            ], names=[x.split()[0] for x in HELD.split(", ")])
+                binary([pack_places(np.concatenate(b.places))]), pa.array([list(b.words)], pa.list_(pa.binary())),
+            ], names=[x.split()[0] for x in HELD.split(", ")] + ["words"])
 
-    return d.mapInArrow(run, HELD)
+    return d.mapInArrow(run, HELD + ", words array<binary>")
 
 
-def _read(it: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in it:
         for k in range(b.num_rows):
-            yield Words.of(b.slice(k, 1).to_pylist()[0])
+            yield b.slice(k, 1).to_pylist()[0]
 
 
 def word_counts(t: DataFrame) -> DataFrame:
-    """(batch, idx, word, n): each batch's distinct words and how often its training documents hold them."""
+    """(word, n): how often the training documents of each batch hold each of its words."""
 
     def run(it):
-        for b in _read(it):
-            used = [p for p, t in zip(b.places, b.train, strict=True) if t]
-            n = np.bincount(np.concatenate(used), minlength=len(b.words)) if used else np.zeros(len(b.words), "i8")
-            words = list(b.words)
-            for at in range(0, len(words), 50_000):
-                w = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([b.number] * len(w), pa.int64()), pa.array(range(at, at + len(w)), pa.int32()), binary(w), pa.array(n[at : at + len(w)], pa.int64())], names=["batch", "idx", "word", "n"])
-
-    return t.mapInArrow(run, "batch long, idx int, word binary, n long")
-
-
-def _codes(words, head: dict[bytes, int]) -> np.ndarray:
-    """A word's place among the frequent ones, or HEAD and its tail class."""
-    return np.fromiter((head[w] if w in head else HEAD + zlib.crc32(w[-SUFFIX:]) % TAILS for w in words), "i4")
-
-
-def _history(code: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Codes of the three words before each token; ``first`` is its place in its document."""
-    out = np.full((len(code), 3), START, "i4")
-    for k in (1, 2, 3):
-        ok = np.flatnonzero(first >= k)
-        out[ok, k - 1] = code[ok - k]
-    return out
-
-
-def _rows(h: np.ndarray) -> np.ndarray:
-    """Rows of the class weights that a history switches on."""
-    pair = ((h[:, 0].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (h[:, 1].astype(np.uint32) * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-    return np.stack([h[:, 0], CODES + h[:, 1], 2 * CODES + h[:, 2], 3 * CODES + (pair >> np.uint32(32 - PAIR_BITS)).astype("i4"), np.full(len(h), ROWS - 1)], 1)
+        for r in _rows(it):
+            used = unpack_places(r["places"])[np.repeat(np.array(r["train"], bool), r["lens"])]
+            n = np.bincount(used, minlength=len(r["words"]))
+            for at in range(0, len(n), 50_000):
+                yield pa.RecordBatch.from_arrays([binary(r["words"][at : at + 50_000]), pa.array(n[at : at + 50_000], pa.int64())], names=["word", "n"])
 
+    return t.mapInArrow(run, "word binary, n long").where("n > 0")
 
-def _inner(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Rows of the weights inside a class: hashed (history word, class), and the class alone."""
-    out = []
-    for k in range(3):
-        word = h[:, k] if k < 2 else np.full(len(h), CODES)
-        x = (word.astype(np.uint32) * np.uint32(0x9E3779B1) + cls.astype(np.uint32) * np.uint32(0x27D4EB2F) + np.uint32(k)) * np.uint32(0x85EBCA77)
-        out.append(((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - INNER_BITS))
-    return np.stack(out, 1).astype("i4")
 
+def batch_words(t: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """(batch, idx, word, rank): each batch's distinct words; ``rank`` is -1 but for the frequent ones."""
 
-def _sum_rows(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z = z + w[rows[:, k]]
-    return z
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+    def run(it):
+        for r in _rows(it):
+            for at in range(0, len(r["words"]), 50_000):
+                w = r["words"][at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(w), pa.int64()), pa.array(range(at, at + len(w)), pa.int32()), binary(w), pa.array([head.get(x, -1) for x in w], pa.int32())], names=["batch", "idx", "word", "rank"])
+
+    return t.select("batch", "words").mapInArrow(run, "batch long, idx int, word binary, rank int")
+
+
+def coded(t: DataFrame, head: dict[bytes, int], total: DataFrame) -> DataFrame:
+    """The batches with each distinct word's training count, hash and code in place of the words."""
+    known = batch_words(t, head).join(total, "word", "left").select("batch", "idx", "rank", F.coalesce("c", F.lit(0)).alias("c"), F.crc32("word").alias("crc"))
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({n: [] for n in names}, schema=schema)
+        n = right.num_rows
+        at = right.column("idx").to_numpy()
+        c, crc, code = np.zeros(n, "<i8"), np.zeros(n, "<u4"), np.zeros(n, "<i4")
+        c[at], crc[at] = right.column("c").to_numpy(), right.column("crc").to_numpy()
+        rank = right.column("rank").to_numpy()
+        code[at] = rank
+        code = np.where(code >= 0, code, np.where(c <= 1, RARE, RARE + 1 + crc % BUCKETS)).astype("<i4")
+        more = [binary([x.tobytes()]) for x in (c, crc, code)]
+        return pa.table([*[left.column(k) for k in names[:-3]], *more], schema=schema)
+
+    names = [x.split()[0] for x in HELD.split(", ")] + ["c", "crc", "code"]
+    schema = pa.schema([("batch", pa.int64()), ("docs", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int64())), ("places", pa.binary()), ("c", pa.binary()), ("crc", pa.binary()), ("code", pa.binary())])
+    return t.drop("words").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(run, HELD + ", c binary, crc binary, code binary")
+
+
+def paths(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes and slots of each code's path, four columns, and how many of them count."""
+    q, b = code - TOP, code - RARE - 1
+    top, mid, rare = code < TOP, (code >= TOP) & (code < HEAD), code == RARE
+    slot = np.where(top, 0, np.where(mid, 1 + q // 256, np.where(rare, RARE_SLOT, 4 + b // 4096)))
+    one = np.where(top, code, np.where(mid, q // 16 % 16, b // 256 % 16))
+    two = np.where(mid, q % 16, b // 16 % 16)
+    depth = np.where(top, 2, np.where(mid, 3, np.where(rare, 1, 4)))
+    node = np.stack([np.zeros_like(slot), 1 + slot, 17 + slot * 16 + one, 273 + slot * 256 + one * 16 + two], 1)
+    return node.astype("i4"), np.stack([slot, one, two, b % 16], 1).astype("i4"), depth
+
+
+def log_frequencies(mass: np.ndarray) -> np.ndarray:
+    """The fixed part of each class's softmax: the log of how often its slots are taken; ``mass`` is by code."""
+    node, slot, depth = paths(np.arange(CODES))
+    out = np.zeros(NODES * SLOTS)
+    for k in range(4):
+        on = depth > k
+        out += np.bincount(node[on, k] * SLOTS + slot[on, k], weights=mass[on], minlength=len(out))
+    with np.errstate(divide="ignore"):
+        return np.log(out).astype("f4").reshape(NODES, SLOTS)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(16))) * _U(0x85EBCA6B)
+    return (x ^ (x >> _U(13))) * _U(0xC2B2AE35)
+
+
+def features(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Hashes of the three features of each position's history."""
+    a, b = _mix(h1 * _U(0x9E3779B1) + _U(1)), _mix(h2 * _U(0x85EBCA77) + _U(2))
+    return np.stack([a, b, _mix(a * _U(0x27D4EB2F) ^ b)], 1)
+
+
+class Examples:
+    """One softmax a row: position, class, slot taken, rows of weights."""
+
+    def __init__(self, code: np.ndarray, f: np.ndarray):
+        node, slot, depth = paths(code)
+        self.of, level = np.nonzero(np.arange(4) < depth[:, None])
+        self.node, self.slot = node[self.of, level], slot[self.of, level]
+        x = f[self.of] + (self.node.astype(_U) * _U(0x165667B1))[:, None]
+        self.rows = (_mix(x) >> _U(32 - ROW_BITS)).astype("i4")
+
+
+def _log_softmax(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
+    z = bias[e.node]
+    for k in range(FEATURES):
+        z += w[e.rows[:, k]]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def _step(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> None:
-    """One AdaGrad step on a minibatch, each example of which counts ``times``."""
-    g = np.exp(_log_softmax(_sum_rows(w, rows)))
-    g[np.arange(len(g)), target] -= 1
-    if times is not None:
-        g *= times[:, None]
-    flat = rows.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-    total = np.add.reduceat(g[order // rows.shape[1]], starts, axis=0)
-    at = flat[order][starts]
-    seen[at] += total**2
-    w[at] -= RATE * total / np.sqrt(seen[at] + 1e-6)
-
-
-def _events(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of four codes, in order, and how often each occurs."""
-    one = x[:, 3].astype("i8")
-    for k in (2, 1, 0):
-        one = one << 16 | x[:, k]
-    one, n = np.unique(one, return_counts=True)
-    return np.stack([one >> 16 * k & 0xFFFF for k in range(4)], 1).astype("<i2"), n.astype("<i4")
-
-
-def examples(t: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """(n, events, blob): target and history codes at every position of each training document.
-
-    Equal events of a batch are one, with their count; ``n`` is the number of positions, ``events`` that of events."""
-
-    def run(it):
-        for b in _read(it):
-            code = _codes(b.words, head)
-            out = []
-            for used, p in zip(b.train, b.places, strict=True):
-                if used:
-                    c = code[p]
-                    out.append(np.concatenate([c[:, None], _history(c, np.arange(len(c)))], 1).astype("<i2"))
-            x, n = _events(np.concatenate(out)) if out else (np.zeros((0, 4), "<i2"), np.zeros(0, "<i4"))
-            blob = zstandard.compress(np.ascontiguousarray(x.T).tobytes() + n.tobytes(), 3)
-            yield pa.RecordBatch.from_arrays([pa.array([int(n.sum())], pa.int64()), pa.array([len(x)], pa.int64()), binary([blob])], names=["n", "events", "blob"])
-
-    return t.mapInArrow(run, "n long, events long, blob binary")
-
-
-def _start(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights whose bias rows already give the unigram model."""
-    w, u = np.zeros((ROWS, ALL), "f4"), np.zeros((1 << INNER_BITS, WIDTH), "f4")
-    mass = np.concatenate([counts[:HEAD].reshape(CLASSES, WIDTH).sum(1), counts[HEAD:]])
-    w[ROWS - 1] = np.log(mass + 1)
-    return w, u
-
-
-def train(ex: DataFrame, counts: np.ndarray, total: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Rounds of local steps in every task from shared weights, then the mean of the tasks' weights by their examples.
-
-    ``total`` is the number of positions. Weights are of fixed size; they travel in blocks, summed by block."""
-    w, u = _start(counts)
+def _step(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, e: Examples) -> None:
+    """One AdaGrad step, with one accumulator a row of weights."""
+    g = np.exp(_log_softmax(bias, w, e))
+    g[np.arange(len(g)), e.slot] -= 1
+    flat = e.rows.reshape(-1)
+    order = np.argsort(flat)
+    own = flat[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    total = np.add.reduceat(g[order // FEATURES], starts, axis=0)
+    at = own[starts]
+    seen[at] += (total**2).mean(1)
+    w[at] -= RATE * total / np.sqrt(seen[at])[:, None]
+
+
+def _positions(r: dict) -> dict:
+    """Of a coded batch, by position: code, the two words before, training count, place of the document's end."""
+    place, lens = unpack_places(r["places"]), np.array(r["lens"], "i8")
+    crc = np.frombuffer(r["crc"], "<u4")[place]
+    first = np.repeat(np.cumsum(lens) - lens, lens)
+    nth = np.arange(len(place)) - first
+    h1, h2 = np.full(len(crc), START), np.full(len(crc), START)
+    h1[1:], h2[2:] = crc[:-1], crc[:-2]
+    h1[nth < 1] = START
+    h2[nth < 2] = START
+    return {"code": np.frombuffer(r["code"], "<i4")[place], "h1": h1, "h2": h2, "c": np.frombuffer(r["c"], "<i8")[place], "lens": lens}
+
+
+def train(t: DataFrame, bias: np.ndarray, total: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after ``rounds`` of local steps in every task; ``t`` are coded batches that hold ``total`` positions to learn from.
+
+    Weights are of fixed size. What a task changed travels in blocks with each row's sum of squared gradients,
+    by which the changes are averaged: a row that one task alone has seen keeps all of its change."""
+    w = np.zeros((1 << ROW_BITS, SLOTS), "f4")
     if not total:
-        return w, u
-    ex = materialise(ex.repartition(int(-(-total // TASK_EXAMPLES))), "lm-examples")
+        return w
+    t = t.coalesce(int(-(-total // TASK_POSITIONS)))
+    kind = "block int, part int, change binary, seen binary"
     for r in range(rounds):
 
-        def run(it, w=w, u=u, r=r):
-            v, q = w.copy(), u.copy()
-            sv, sq, n = np.full_like(v, 0.1), np.full_like(q, 0.1), 0
-            for b in it:
-                for blob, size in zip(b.column("blob").to_pylist(), b.column("events").to_pylist(), strict=True):
-                    raw = zstandard.decompress(blob)
-                    order = np.random.default_rng(r).permutation(size)
-                    x = np.frombuffer(raw, "<i2", 4 * size).reshape(4, -1).T[order].astype("i4")
-                    times = np.frombuffer(raw, "<i4", size, 8 * size)[order].astype("f4")
-                    for at in range(0, len(x), MINIBATCH):
-                        m, k = x[at : at + MINIBATCH], times[at : at + MINIBATCH]
-                        t, h = m[:, 0], m[:, 1:]
-                        cls = np.where(t < HEAD, t // WIDTH, CLASSES + t - HEAD)
-                        _step(v, sv, _rows(h), cls, k)
-                        ok = t < HEAD
-                        if ok.any():
-                            _step(q, sq, _inner(h[ok], cls[ok]), t[ok] % WIDTH, k[ok])
-                    n += int(times.sum(dtype="f8"))
+        def run(it, w=w, r=r):
+            v, seen, n = w.copy(), np.full(len(w), FIRST_SEEN, "f4"), 0
+            for row in _rows(it):
+                p = _positions(row)
+                used = np.flatnonzero(np.repeat(np.array(row["train"], bool), p["lens"]))
+                used = np.random.default_rng(r).permutation(used)
+                n += len(used)
+                for at in range(0, len(used), MINIBATCH):
+                    i = used[at : at + MINIBATCH]
+                    _step(bias, v, seen, Examples(p["code"][i], features(p["h1"][i], p["h2"][i])))
             if n:
-                raw = np.concatenate([v.reshape(-1), q.reshape(-1)]) * np.float32(n)
-                cut = np.array_split(raw, 16)
-                yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([n] * 16, pa.int64()), binary([c.astype("<f4").tobytes() for c in cut])], names=["block", "n", "blob"])
+                seen -= np.float32(FIRST_SEEN)
+                cut = [[x.tobytes() for x in np.split(y, BLOCKS)] for y in ((v - w).astype("<f2"), seen)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([TaskContext.get().partitionId() % 16] * BLOCKS, pa.int32()), binary(cut[0]), binary(cut[1])], names=["block", "part", "change", "seen"])
 
         def add(key, rows):
-            out, n = None, 0
-            for blob, k in zip(rows.column("blob").to_pylist(), rows.column("n").to_pylist(), strict=True):
-                x = np.frombuffer(blob, "<f4").astype("f8")
-                out, n = x if out is None else out + x, n + k
-            return pa.table({"block": [key[0].as_py()], "n": [n], "blob": [(out / n).astype("<f4").tobytes()]}, schema=pa.schema([("block", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]))
+            change, seen = np.zeros((len(w) // BLOCKS, SLOTS)), np.full(len(w) // BLOCKS, 1e-30)
+            for x, y in zip(rows.column("change").to_pylist(), rows.column("seen").to_pylist(), strict=True):
+                much = np.frombuffer(y, "<f4").astype("f8")
+                change += np.frombuffer(x, "<f2").reshape(-1, SLOTS) * much[:, None]
+                seen += much
+            out = [binary([(change / seen[:, None]).astype("<f2").tobytes()]), binary([seen.astype("<f4").tobytes()])]
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "change": out[0], "seen": out[1]})
+
+        got = t.mapInArrow(run, kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).collect()
+        w = w + np.concatenate([np.frombuffer(bytes(g.change), "<f2").astype("f4") for g in sorted(got, key=lambda g: g.block)]).reshape(w.shape)
+    return w
+
+
+class Model:
+    """All that scoring needs, of fixed size: log frequencies, weights, and the counts that divide buckets and rare words."""
+
+    def __init__(self, total: DataFrame):
+        """From (word, c), the counts of all training words."""
+        top = total.where("c > 1").orderBy(F.desc("c"), "word").limit(HEAD).collect()
+        self.head = {bytes(r.word): i for i, r in enumerate(top)}
+        s = total.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2))]).first()
+        self.n, self.v, self.once, twice = s
+        tail = total.where("c > 1")
+        if len(top) == HEAD:
+            least = top[-1]
+            tail = tail.where((F.col("c") < least.c) | ((F.col("c") == least.c) & (F.col("word") > F.lit(bytearray(least.word)))))
+        else:
+            tail = tail.where(F.lit(False))
+        self.bucket = np.zeros(BUCKETS)
+        for r in tail.groupBy((F.crc32("word") % BUCKETS).alias("b")).agg(F.sum("c").alias("n")).collect():
+            self.bucket[int(r.b)] = r.n
+        self.mass = np.concatenate([np.pad(np.array([r.c for r in top], "f8"), (0, HEAD - len(top))), [self.once + 1], self.bucket])
+        self.bias = log_frequencies(self.mass)
+        #: Of the rare class, the share of unseen words: by what words seen once and twice say of each other.
+        self.unseen = (self.once + 1) / (self.once + 2 * twice + 2) if self.once else 1.0
+        self.weights = np.zeros((1 << ROW_BITS, SLOTS), "f4")
+
+    def inside(self, code: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Log share of a word in what its path leads to."""
+        out = np.zeros(len(code))
+        tail, rare = code > RARE, code == RARE
+        out[tail] = np.log(c[tail] / self.bucket[code[tail] - RARE - 1])
+        out[rare] = np.where(c[rare] == 0, np.log(self.unseen), np.log(max(1 - self.unseen, 1e-300) / max(self.once, 1)))
+        return out
+
 
-        got = ex.mapInArrow(run, "block int, n long, blob binary").groupBy("block").applyInArrow(add, "block int, n long, blob binary").collect()
-        flat = np.concatenate([np.frombuffer(bytes(g.blob), "<f4") for g in sorted(got, key=lambda g: g.block)])
-        w, u = flat[: w.size].reshape(w.shape).copy(), flat[w.size :].reshape(u.shape).copy()
-    return w, u
+def fitted(t: DataFrame) -> tuple[DataFrame, Model]:
+    """The coded batches of ``t``, and the model learnt from their training documents."""
+    total = materialise(word_counts(t).groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    model = Model(total)
+    t = materialise(coded(t, model.head, total), "lm-coded")
+    model.weights = train(t, model.bias, model.n)
+    return t, model
 
 
-def _payload(t: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """(batch, docs, lens, places, codes): the batches with their words' codes in place of the words."""
+def scored(t: DataFrame, model: Model) -> DataFrame:
+    """Per document of the coded batches: ``doc_id``, ``n_tokens``, ``n_known``, ``base_score``, ``score``."""
 
     def run(it):
-        for b in it:
-            codes = [_codes(words, head).astype("<i2").tobytes() for words in b.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("batch", "docs", "lens", "places")], binary(codes)], names=["batch", "docs", "lens", "places", "codes"])
+        for r in _rows(it):
+            p = _positions(r)
+            logp = model.inside(p["code"], p["c"])
+            for at in range(0, len(logp), 4 * MINIBATCH):
+                i = slice(at, at + 4 * MINIBATCH)
+                e = Examples(p["code"][i], features(p["h1"][i], p["h2"][i]))
+                own = _log_softmax(model.bias, model.weights, e)[np.arange(len(e.slot)), e.slot]
+                logp[i] += np.bincount(e.of, weights=own.astype("f8"), minlength=len(logp[i]))
+            starts = np.cumsum(p["lens"]) - p["lens"]
+            per = [np.add.reduceat(x, starts) for x in ((p["c"] > 0).astype("i8"), np.log10((p["c"] + 1) / (model.n + model.v + 1)), logp / np.log(10))]
+            yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(p["lens"]), pa.array(per[0]), pa.array(per[1]), pa.array(per[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return t.mapInArrow(run, "batch long, docs array<long>, lens array<long>, places binary, codes binary")
+    return t.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: ``doc_id``, ``learnt``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+    """Per document: ``doc_id``, ``n_tokens``, ``n_known``, ``base_score``, ``score``, ``train_tokens``.
 
     ``learn`` is a column that says from which rows to learn. Scores are log10 probabilities of the whole
     text; null and empty texts are the end alone; null ids and repeated rows are scored like any other.
     Texts are cut into words once: batches of documents, as places in the batch's distinct words, are written.
-    Those words are counted over all training documents by a window on the word and meet their batch again."""
+    Those words are counted over all training documents, and their counts meet each batch again by a join on the word."""
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("train"), F.col(f"`{text_col}`").alias("text"))
-    t = materialise(batches(d), "lm-batches")
-    local = materialise(word_counts(t), "lm-words")
-    total = materialise(local.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    top = total.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    head = {bytes(r.word): i for i, r in enumerate(top)}
-    n_all, v_all = total.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    names = [bytes(r.word) for r in top]
-    tail = F.crc32(F.substring("word", -SUFFIX, SUFFIX)) % TAILS
-    last = (top[-1].c, bytes(top[-1].word)) if len(top) == HEAD else None
-    outside = F.lit(False) if last is None else (F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("word") > F.lit(bytearray(last[1]))))
-    tails = {int(r.tail): (r.n, r.v) for r in total.where(outside).groupBy(tail.alias("tail")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    tail_n, tail_v = (np.array([tails.get(t, (0, 0))[k] for t in range(TAILS)], "f8") for k in (0, 1))
-    counts = np.concatenate([np.pad(np.array([r.c for r in top], "f8"), (0, HEAD - len(top))), tail_n + tail_v + 1])
-    w, u = train(examples(t, head), counts, n_all)
-    # a class that is not full spreads over its words only
-    width = np.clip(len(names) - WIDTH * np.arange(CLASSES), 0, WIDTH)
-    closed = np.where(np.arange(WIDTH)[None, :] < width[:, None], 0.0, -np.inf).astype("f4")
-    shut = np.concatenate([np.where(width > 0, 0.0, -np.inf), np.zeros(TAILS)]).astype("f4")
-
-    def joined(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        if left.num_rows:
-            r = left.to_pylist()[0]
-            code = np.frombuffer(r["codes"], "<i2").astype("i4")
-            if right.num_rows != len(code):
-                raise RuntimeError("a batch lost words")
-            c = np.zeros(len(code), "f8")
-            c[right.column("idx").to_numpy()] = right.column("c").to_numpy()
-            base = np.log10((c + 1) / (n_all + v_all + 1))
-            own = np.maximum(code - HEAD, 0)
-            inside = np.log(c + 1) - np.log(tail_n[own] + tail_v[own] + 1)
-            place, lens = unpack_places(r["places"]), np.array(r["lens"], "i8")
-            ends = np.cumsum(lens)
-            logp = np.empty(len(place))
-            first = np.arange(len(place)) - np.repeat(ends - lens, lens)
-            all_codes = code[place]
-            for at in range(0, len(place), 30_000):
-                lo = max(0, at - 3)
-                x = all_codes[lo : at + 30_000]
-                h, x = _history(x, np.minimum(first[lo : at + 30_000], np.arange(len(x))))[at - lo :], x[at - lo :]
-                cls = np.where(x < HEAD, x // WIDTH, CLASSES + x - HEAD)
-                lp = _log_softmax(_sum_rows(w, _rows(h)) + shut)[np.arange(len(x)), cls].astype("f8")
-                ok = x < HEAD
-                if ok.any():
-                    lp[ok] += _log_softmax(_sum_rows(u, _inner(h[ok], cls[ok])) + closed[cls[ok]])[np.arange(ok.sum()), x[ok] % WIDTH]
-                lp[~ok] += inside[place[at : at + 30_000][~ok]]
-                logp[at : at + len(x)] = lp
-            for doc, e, n in zip(r["docs"], ends.tolist(), lens.tolist(), strict=True):
-                p = place[e - n : e]
-                out["doc_id"].append(doc)
-                out["n_tokens"].append(n)
-                out["n_known"].append(int((c[p] > 0).sum()))
-                out["base_score"].append(float(base[p].sum()))
-                out["score"].append(float(logp[e - n : e].sum() / np.log(10)))
-        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
-
-    known = local.select("batch", "idx", F.sum("n").over(Window.partitionBy("word")).alias("c"))
-    got = _payload(t, head).groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(joined, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return got.withColumn("train_tokens", F.lit(n_all).cast("long"))
+    t, model = fitted(materialise(batches(d), "lm-batches"))
+    return scored(t, model).withColumn("train_tokens", F.lit(model.n).cast("long"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
