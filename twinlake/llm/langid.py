@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from twinlake.llm.tokens import binary
 
 DIM, ORDERS = 8192, (1, 2, 3)
 SAMPLE, CENTROIDS, STEPS = 1500, 4, 8
-#: Rows and characters of text of which vectors are made at once, and places of which n-grams are.
-BATCH_ROWS, BATCH_CHARS, SLAB = 128, 1 << 19, 1 << 19
+#: Rows and bytes of text of which vectors are made at once, and places of which n-grams are.
+BATCH_ROWS, BATCH_BYTES, SLAB = 128, 1 << 19, 1 << 19
 #: Lengths (bytes, powers of two) at which slices of the sample give the least usual cosine, and how far below it a text is rejected.
 SLICES, QUANTILE, MARGIN = (32, 64, 128, 256, 512, 1024), 0.005, 0.15
 UNKNOWN = "und"
@@ -55,11 +56,11 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of bounded rows and characters; ``text`` is the place of the column that is measured."""
-    size = np.array([len(t or "") for t in b.column(text).to_pylist()], "i8")
+    """A batch in parts of bounded rows and bytes; ``text`` is the place of the column that is measured."""
+    size = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
     at = total = 0
     for i, n in enumerate(size.tolist()):
-        if i > at and (total + n > BATCH_CHARS or i - at >= BATCH_ROWS):
+        if i > at and (total + n > BATCH_BYTES or i - at >= BATCH_ROWS):
             yield b.slice(at, i - at)
             at, total = i, 0
         total += n
@@ -137,27 +138,31 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
                 v = vectors(grams(texts)[0], idf)
                 for row, lang, h, kind in zip(v, names, hs, kinds, strict=True):
                     nz = np.flatnonzero(row)
-                    rows.append((lang, h, kind, nz.astype("<i4").tobytes(), row[nz].tobytes()))
+                    rows.append((lang, h, kind, nz.astype("<u2").tobytes(), row[nz].astype("<f2").tobytes()))
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), binary(list(c[3])), binary(list(c[4]))], names=["lang", "h", "kind", "at", "val"])
 
     def cluster(key, t):
-        rows = sorted(t.to_pylist(), key=lambda r: (r["kind"], r["h"], r["at"]))
-
-        def dense(kind: int) -> np.ndarray:
-            own = [r for r in rows if r["kind"] == kind][:sample]
-            x = np.zeros((len(own), DIM), "f4")
-            for i, r in enumerate(own):
-                x[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["val"], "f4")
-            return x
-
-        whole = dense(-1)
-        _, first = np.unique(np.round(whole @ np.random.default_rng(0).normal(size=DIM), 6), return_index=True)  # copies count once
+        kinds, hs = t.column("kind").to_numpy(), t.column("h").to_numpy()
+
+        def parts(kind: int) -> Iterator[np.ndarray]:
+            """The vectors of one kind, by hash, some at a time."""
+            own = np.flatnonzero(kinds == kind)
+            own = own[np.argsort(hs[own], kind="stable")][:sample]
+            for k in range(0, len(own), 256):
+                x = np.zeros((len(own[k : k + 256]), DIM), "f4")
+                for i, r in enumerate(own[k : k + 256].tolist()):
+                    x[i, np.frombuffer(t.column("at")[r].as_py(), "<u2")] = np.frombuffer(t.column("val")[r].as_py(), "<f2")
+                yield x
+
+        whole = np.concatenate([np.zeros((0, DIM), "f4"), *parts(-1)])
+        _, first = np.unique(np.round(whole @ np.random.default_rng(0).normal(size=DIM).astype("f4"), 4), return_index=True)  # copies count once
         c = _clusters(whole[np.sort(first)], CENTROIDS, STEPS)
+        del whole
         least = []
         for k in range(len(SLICES)):
-            x = dense(k)
-            least.append(float(np.quantile((x @ c.T).max(1), QUANTILE)) - MARGIN if len(x) else least[-1] if least else 0.0)  # longer texts lie nearer
+            near = np.concatenate([np.zeros(0, "f4"), *[(x @ c.T).max(1) for x in parts(k)]])
+            least.append(float(np.quantile(near, QUANTILE)) - MARGIN if len(near) else least[-1] if least else 0.0)  # longer texts lie nearer
         return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": binary([r.astype("f4").tobytes() for r in c]), "least": pa.array([least] * len(c), pa.list_(pa.float64()))})
 
     got = picked.select("text", "lang", "h").mapInArrow(sparse, "lang string, h long, kind int, at binary, val binary").groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least array<double>")

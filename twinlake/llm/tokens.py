@@ -14,7 +14,7 @@ from twinlake.llm.common import chunks, is_odd
 #: Words that are encoded as one text, and the longest one that is.
 TOGETHER, SHORT = 256, 100
 #: Words that a worker remembers at once, and the longest one that it remembers.
-REMEMBERED, LONGEST = 250_000, 40
+REMEMBERED, LONGEST = 120_000, 40
 
 
 def spaced(text: str) -> list[str]:
