@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe and exact reranking.
 
 A pseudo-rotation is three rounds of random signs and a Walsh-Hadamard transform; a vector's hash is the
-signed axis nearest to its rotated direction. A table has two such hashes: the first deals rows out, the
-second is probed inside a group. A query visits its cheapest pairs of axes in each table."""
+signed axis nearest to its rotated direction. A table's cell is a pair of such hashes. A query visits its cheapest
+cells in each table; rows that it meets in at least ``HITS`` tables are candidates, whose distances are exact."""
 
 from __future__ import annotations
 
@@ -12,61 +12,95 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from twinlake.llm.common import materialise
 
-#: Measured on random directions in 64 dimensions, the hardest case: a recall of 0.96 among 500 vectors, 0.99 among 10,000.
-TABLES, PROBES, SEED = 12, 768, 7
-#: Rows of a group beyond which it is split.
-GROUP_ROWS = 20_000
+#: Measured on random directions in 64 dimensions, the hardest case: README.
+TABLES, PROBES, HITS, SEED = 80, 56, 2, 7
+#: Best axes of each hash that probed pairs are made of.
+AXES = 32
+#: A query with fewer candidates of ``HITS`` hits takes those of one hit too.
+ENOUGH = 100
+#: Rows whose vectors a task holds at once for reranking.
+BLOCK_ROWS = 4000
+#: Dimensions up to which a pseudo-rotation is kept as one matrix.
+DENSE = 256
 
 
-def hadamard(n: int) -> np.ndarray:
-    h = np.ones((1, 1))
-    while len(h) < n:
-        h = np.block([[h, h], [h, -h]])
-    return h / np.sqrt(len(h))
+def hadamard(x: np.ndarray) -> np.ndarray:
+    """The Walsh-Hadamard transform of each row, by butterflies; the length is a power of two."""
+    n, h = x.shape[1], 1
+    while h < n:
+        y = x.reshape(len(x), n // (2 * h), 2, h)
+        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], 2).reshape(len(x), n)
+        h *= 2
+    return x / np.float32(np.sqrt(n))
 
 
 class Tables:
     def __init__(self, dim: int, tables: int, seed: int):
         self.dim, self.tables = dim, tables
         self.size = max(2, 1 << (dim - 1).bit_length())
-        self.h = hadamard(self.size)
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 2, 3, self.size))
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, 2, 3, self.size)).astype("f4")
+        self.dense = None
+        if self.size <= DENSE:
+            unit = np.eye(self.size, dtype="f4")
+            self.dense = [[self._rotated(unit, t, w) for w in (0, 1)] for t in range(tables)]
 
-    def rotated(self, x: np.ndarray, table: int, which: int) -> np.ndarray:
-        y = np.zeros((len(x), self.size))
-        y[:, : self.dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    def _rotated(self, y: np.ndarray, table: int, which: int) -> np.ndarray:
         for s in self.signs[table, which]:
-            y = (y * s) @ self.h
+            y = hadamard(y * s)
         return y
 
-    def axis(self, x: np.ndarray, table: int, which: int) -> np.ndarray:
-        y = self.rotated(x, table, which)
+    def unit(self, x: np.ndarray) -> np.ndarray:
+        """Directions, filled up with noughts to the size of the transform; scaled by the largest part first."""
+        y = np.zeros((len(x), self.size), "f4")
+        x = x / np.abs(x).max(1, keepdims=True)
+        y[:, : self.dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return y
+
+    def rotated(self, unit: np.ndarray, table: int, which: int) -> np.ndarray:
+        return unit @ self.dense[table][which] if self.dense else self._rotated(unit, table, which)
+
+    def axis(self, unit: np.ndarray, table: int, which: int) -> np.ndarray:
+        y = self.rotated(unit, table, which)
         at = np.abs(y).argmax(1)
         return np.where(y[np.arange(len(y)), at] >= 0, at, at + self.size)
 
-    def probes(self, x: np.ndarray, table: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n cheapest pairs of axes of each row: by squared loss against its best axes."""
-        cost = []
+    def cells(self, unit: np.ndarray, table: int) -> np.ndarray:
+        """The cell of each row: a number for table and both axes."""
+        return (table * 2 * self.size + self.axis(unit, table, 0)) * 2 * self.size + self.axis(unit, table, 1)
+
+    def probes(self, unit: np.ndarray, table: int, n: int) -> np.ndarray:
+        """The n cheapest cells of each row: by squared loss against its best axes."""
+        cost, axes = [], []
         for which in (0, 1):
-            y = self.rotated(x, table, which)
+            y = self.rotated(unit, table, which)
             z = np.concatenate([y, -y], 1)
-            cost.append((z.max(1, keepdims=True) - z) ** 2)
-        both = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(x), -1)
-        n = min(n, both.shape[1])
+            m = min(AXES, z.shape[1])
+            best = np.argpartition(-z, m - 1, axis=1)[:, :m]
+            top = np.take_along_axis(z, best, 1)
+            cost.append((top.max(1, keepdims=True) - top) ** 2)
+            axes.append(best)
+        both = (cost[0][:, :, None] + cost[1][:, None, :]).reshape(len(unit), -1)
+        n, m = min(n, both.shape[1]), axes[1].shape[1]
         best = np.argpartition(both, n - 1, axis=1)[:, :n]
-        return best // (2 * self.size), best % (2 * self.size)
+        first, second = np.take_along_axis(axes[0], best // m, 1), np.take_along_axis(axes[1], best % m, 1)
+        return (table * 2 * self.size + first) * 2 * self.size + second
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.array(col.to_pylist(), "f8").reshape(-1, dim)
+    return col.flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) -> tuple[DataFrame, int]:
-    """(id, vec) of vectors that take part: not null, of the common length, all components finite, not zero."""
-    v = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    """(id, vec) of vectors that take part: not null, of the common length, all components finite, not zero.
+
+    Components stay floats where they are floats."""
+    kind = df.schema[vec_col].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<float>" if single else "array<double>").alias("vec")).where("id is not null and vec is not null")
     v = v.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
     if dim is None:
         top = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -75,97 +109,102 @@ def usable(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) ->
 
 
 def _closest(k: int, dim: int):
-    """Of one group: each query's k best rows among those whose second axis it probes."""
+    """Of one block of rows: each query's k best among its candidates there; a candidate below nought is all rows.
+
+    ``vectors`` are the block's rows (with their ids) and the queries that have candidates in it (with none)."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, pairs: pa.Table, vectors: pa.Table) -> pa.Table:
         found: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            x, second = np.stack([np.frombuffer(b, "f8") for b in left.column("vec").to_pylist()]), left.column("second").to_numpy()
-            ids = left.column("ids").to_pylist()
-            norm = (x**2).sum(1)
-            for at in range(0, right.num_rows, 256):
-                part = right.slice(at, 256)
-                q = np.stack([np.frombuffer(b, "f8") for b in part.column("vec").to_pylist()])
-                near = (q**2).sum(1)[:, None] + norm[None, :] - 2 * q @ x.T
-                for i, (qid, probed) in enumerate(zip(part.column("query_id").to_pylist(), part.column("second").to_pylist(), strict=True)):
-                    ok = np.zeros(4096 if not probed else max(probed) + 1, bool)
-                    ok[probed] = True
-                    rows = np.flatnonzero((second < len(ok)) & ok[np.minimum(second, len(ok) - 1)])
-                    if len(rows) > k + 1:  # one more, for the query's own row
-                        d = near[i, rows]
-                        rows = rows[d <= np.partition(d, k)[k] + 1e-9 * (1 + norm.max())]
-                    d = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
-                    each = sorted((s, v) for s, r in zip(d.tolist(), rows.tolist(), strict=True) for v in ids[r] if v != qid)[:k]
-                    found += [(qid, v, s) for s, v in each]
+        if pairs.num_rows and vectors.num_rows:
+            every = _matrix(vectors.column("vec").combine_chunks(), dim)
+            node, query = (vectors.column(c).fill_null(0).to_numpy() for c in ("node", "query_id"))
+            ids = vectors.column("ids").to_pylist()
+            rows = np.array([i for i, x in enumerate(ids) if x is not None], "i8")
+            of_query = {int(query[i]): i for i, x in enumerate(ids) if x is None}
+            order = rows[np.argsort(node[rows])]
+            q, p = pairs.column("query_id").to_numpy(), pairs.column("node").to_numpy()
+            by = np.argsort(q, kind="stable")
+            q, p = q[by], p[by]
+            starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+            for a, z in zip(starts, [*starts[1:], len(q)], strict=True):
+                qid, own = int(q[a]), p[a:z]
+                at = order if own[0] < 0 else order[np.searchsorted(node[order], own)]
+                d = np.sqrt(((every[at] - every[of_query[qid]]) ** 2).sum(1))
+                if len(d) > k + 1:  # one more, for the query's own row
+                    near = d <= np.partition(d, k)[k]
+                    d, at = d[near], at[near]
+                each = sorted((s, v) for s, r in zip(d.tolist(), at.tolist(), strict=True) for v in ids[r] if v != qid)[:k]
+                found += [(qid, v, s) for s, v in each]
         c = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table({"query_id": pa.array(c[0], pa.int64()), "vec_id": pa.array(c[1], pa.int64()), "score": pa.array(c[2], pa.float64())})
 
     return run
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> DataFrame:
+def candidates(held: DataFrame, asked: DataFrame, t: Tables, probes: int, hits: int, enough: int) -> DataFrame:
+    """(query_id, node): rows that a query meets in ``hits`` tables, or in one where it has fewer than ``enough`` such rows."""
+    dim = t.dim
+
+    def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                u = t.unit(_matrix(part.column("vec"), dim))
+                cell = np.stack([t.cells(u, n) for n in range(t.tables)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1), pa.int64()), pa.array(np.repeat(part.column("node").to_numpy(), t.tables), pa.int64())], names=["cell", "node"])
+
+    def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                u = t.unit(_matrix(part.column("vec"), dim))
+                cell = np.concatenate([t.probes(u, n, probes) for n in range(t.tables)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1), pa.int64()), pa.array(np.repeat(part.column("id").to_numpy(), cell.shape[1]), pa.int64())], names=["cell", "query_id"])
+
+    rows = held.select("node", "vec").mapInArrow(index, "cell long, node long")
+    met = rows.join(asked.mapInArrow(probe, "cell long, query_id long"), "cell").groupBy("query_id", "node").agg(F.count(F.lit(1)).alias("hits"))
+    met = materialise(met, "ann-met")
+    few = met.groupBy("query_id").agg(F.count_if(F.col("hits") >= hits).alias("n")).where(F.col("n") < enough)
+    more = met.where(F.col("hits") < hits).join(few, "query_id", "left_semi")
+    return met.where(F.col("hits") >= hits).select("query_id", "node").unionByName(more.select("query_id", "node"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, hits: int = HITS, enough: int = ENOUGH, seed: int = SEED) -> DataFrame:
     """Per query its ``k`` nearest rows found: ``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance).
 
     A query's own id is no candidate; ties go to the smaller id. Vectors that are null, zero, of another
     length than most, or hold null or non-finite components take no part, nor do null ids. Equal vectors
     are one row of the index that carries their k + 1 smallest ids, which are all that can be asked for;
-    an id that comes twice counts once. Large groups are split by counts (two axes a table: a bounded
-    list). A query that finds under ``k`` visits every group of one table, which is exact."""
-    spark = rows.sparkSession
+    an id that comes twice counts once. The index is (cell, row); vectors are joined once, for the candidates, by
+    blocks of rows. A query that finds under ``k`` is held against all rows, which is exact."""
     v, dim = usable(rows, id_col, vec_col)
     q, _ = usable(queries, id_col, vec_col, dim)
-    t = Tables(dim, tables, seed)
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
     held = v.dropDuplicates(["id", "vec"]).withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-
-    def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                x = _matrix(part.column("vec"), dim)
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                for n in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(n * 2 * t.size + t.axis(x, n, 0), pa.int32()), pa.array(t.axis(x, n, 1), pa.int32()), part.column("ids"), raw], names=["grp", "second", "ids", "vec"])
-
-    def probe(every: bool):
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                for at in range(0, b.num_rows, 64):
-                    part, out = b.slice(at, 64), []
-                    x = _matrix(part.column("vec"), dim)
-                    for n in range(1 if every else tables):
-                        if not every:
-                            first, second = t.probes(x, n, probes)
-                        for i, qid in enumerate(part.column("id").to_pylist()):
-                            if every:
-                                out += [(a, list(range(2 * t.size)), qid, x[i].tobytes()) for a in range(2 * t.size)]
-                            else:
-                                out += [(n * 2 * t.size + a, second[i][first[i] == a].tolist(), qid, x[i].tobytes()) for a in np.unique(first[i]).tolist()]
-                    c = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.list_(pa.int32())), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["grp", "second", "query_id", "vec"])
-
-        return run
-
-    table = materialise(held.mapInArrow(index, "grp int, second int, ids array<long>, vec binary"), "ann-index")
-    parts = {r.grp: -(-r["count"] // GROUP_ROWS) for r in table.groupBy("grp").count().where(F.col("count") > GROUP_ROWS).collect()}
-    split = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("grp")), F.lit(1)) if parts else F.lit(1)
-    table = table.withColumn("part", F.pmod(F.xxhash64("vec"), split.cast("long")).cast("int"))
-
-    def search(asked: DataFrame, every: bool) -> DataFrame:
-        p = asked.mapInArrow(probe(every), "grp int, second array<int>, query_id long, vec binary")
-        p = p.withColumn("part", F.explode(F.sequence(F.lit(0), split.cast("int") - 1)))
-        got = table.groupBy("grp", "part").cogroup(p.groupBy("grp", "part")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
+    held = materialise(held.withColumn("node", F.monotonically_increasing_id()), "ann-rows")
+    asked = materialise(q.dropDuplicates(["id"]), "ann-queries")
+    blocks = max(1, -(-held.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    vectors = held.select(block.alias("block"), "node", F.lit(None).cast("long").alias("query_id"), "ids", "vec")
+
+    def reranked(pairs: DataFrame) -> DataFrame:
+        """The k nearest of (block, query_id, node)."""
+        own = pairs.select("block", "query_id").distinct().join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id")
+        own = own.select("block", F.lit(None).cast("long").alias("node"), "query_id", F.lit(None).cast("array<long>").alias("ids"), "vec")
+        both = vectors.unionByName(own)
+        got = pairs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_closest(k, dim), "query_id long, vec_id long, score double")
         got = got.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
         return got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
 
-    asked = q.dropDuplicates(["id"])
-    found = materialise(search(asked, False), "ann-found")
-    short = found.groupBy("query_id").count().where(F.col("count") >= k)
-    rest = asked.join(short, asked.id == short.query_id, "left_anti")
-    again = search(rest, True)
-    kept = found.join(short.select("query_id"), "query_id", "left_semi")
     cols = ["query_id", "rank", "vec_id", "score"]
-    return kept.select(cols).unionByName(again.select(cols))
+    met = candidates(held, asked, Tables(dim, tables, seed), probes, hits, enough)
+    found = materialise(reranked(met.select(block.alias("block"), "query_id", "node")).select(cols), "ann-found")
+    full = found.groupBy("query_id").count().where(F.col("count") >= k)
+    short = materialise(asked.join(full, asked.id == full.query_id, "left_anti").select(F.col("id").alias("query_id")), "ann-short")
+    if not short.limit(1).count():
+        return found
+    again = reranked(short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "query_id", F.lit(-1).cast("long").alias("node")))
+    return found.join(short, "query_id", "left_anti").select(cols).unionByName(again.select(cols))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
