@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import materialise
+from twinlake.llm.common import materialise, small_batches, tidy
 from twinlake.llm.components import components
 from twinlake.llm.tokens import binary
 
@@ -158,7 +158,7 @@ def banded(d: DataFrame, bands: int, rows: int) -> DataFrame:
                 done |= {n: (int(bag[1].sum()), k if len(bag[0]) else []) for n, k, bag in zip(new, keys, bags, strict=True)}
                 yield pa.RecordBatch.from_arrays([binary(first), pa.array([done[n][0] for n in first], pa.int64()), pa.array([done[n][1] for n in first], pa.list_(pa.int64()))], names=["h", "size", "keys"])
 
-    return d.mapInArrow(run, "h binary, size long, keys array<long>")
+    return d.mapInArrow(tidy(run), "h binary, size long, keys array<long>")
 
 
 def to_bag(hashes: np.ndarray) -> bytes:
@@ -182,7 +182,7 @@ def bags_of(d: DataFrame) -> DataFrame:
                 part = b.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), binary([to_bag(shingles(t)) for t in part.column(1).to_pylist()])], names=["node", "bag"])
 
-    return d.mapInArrow(run, "node long, bag binary")
+    return d.mapInArrow(tidy(run), "node long, bag binary")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -205,7 +205,7 @@ def linked(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"]).filter(keep)
 
     j = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
-    return j.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
+    return j.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long, similarity double")
 
 
 def occurrences(sorted_bag: np.ndarray) -> np.ndarray:
@@ -286,6 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a class of their own, with their id as class; texts without words are linked to equal texts only.
     A null id stays null and counts in its class; rows that repeat the first's id and text are all
     first, being one document."""
+    small_batches(df.sparkSession)
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     full = d.where("text is not null").select("id", F.unhex(F.md5("text")).alias("h"), "text")
     distinct = full.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlake.llm.common import small_batches, tidy
 from twinlake.llm.tokens import binary
 
 DIM, ORDERS = 8192, (1, 2, 3)
@@ -86,7 +87,7 @@ def frequencies(d: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(range(DIM + 1), pa.int32()), pa.array(df, pa.int64())], names=["gram", "df"])
 
     out = np.zeros(DIM + 1, np.int64)
-    for r in d.select("text").mapInArrow(run, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
+    for r in d.select("text").mapInArrow(tidy(run), "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
         out[r.gram] = r.df
     return out[:DIM], int(out[DIM])
 
@@ -165,7 +166,7 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> dict:
             least.append(float(np.quantile(near, QUANTILE)) - MARGIN if len(near) else least[-1] if least else 0.0)  # longer texts lie nearer
         return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "centroid": binary([r.astype("f4").tobytes() for r in c]), "least": pa.array([least] * len(c), pa.list_(pa.float64()))})
 
-    got = picked.select("text", "lang", "h").mapInArrow(sparse, "lang string, h long, kind int, at binary, val binary").groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least array<double>")
+    got = picked.select("text", "lang", "h").mapInArrow(tidy(sparse), "lang string, h long, kind int, at binary, val binary").groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, least array<double>")
     rows = sorted(got.collect(), key=lambda r: (r.lang, bytes(r.centroid)))
     return {"langs": [r.lang for r in rows], "centroids": np.stack([np.frombuffer(bytes(r.centroid), "f4") for r in rows]), "idf": idf, "least": np.array([r.least for r in rows])}
 
@@ -195,7 +196,7 @@ def predict(d: DataFrame, model: dict) -> DataFrame:
                     accept[ok] = (rung < 0) | (s >= least[best, np.maximum(rung, 0)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(accept, pa.bool_())], names=["id", "lang_pred", "score", "accepted"])
 
-    return d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, lang_pred string, score double, accepted boolean")
+    return d.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(tidy(run), "id long, lang_pred string, score double, accepted boolean")
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -207,6 +208,7 @@ def accepted(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
     """The rows of ``df`` whose text the classifier, fitted on its labelled rows, accepts; all columns, as they are.
 
     Null texts and texts without a letter go. Rows are taken one by one: repeated rows and null ids are of no matter."""
+    small_batches(df.sparkSession)
     model = fit(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")))
     langs, least, centroids, idf = model["langs"], model["least"], model["centroids"], model["idf"]
     place = df.columns.index(text_col)
@@ -224,7 +226,7 @@ def accepted(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_c
                     keep[keep] = (rung < 0) | (cos[np.arange(len(best)), best] >= least[best, np.maximum(rung, 0)])
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import materialise, others
+from twinlake.llm.common import materialise, others, small_batches, tidy
 from twinlake.llm.tokens import Encoder, binary, spaced
 
 CAPACITY = 1024
@@ -171,6 +171,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     """Per piece of a document of at most ``capacity`` ids: ``doc_id``, ``piece``, ``start``, ``length``, ``ids``.
 
     Null texts are empty and hold ``end_id`` alone; null ids and repeated rows give pieces like any other."""
+    small_batches(df.sparkSession)
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
                 c = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), binary(list(c[4]))], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return d.mapInArrow(run, PIECE)
+    return d.mapInArrow(tidy(run), PIECE)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
