@@ -44,9 +44,15 @@ def test_many_batches(spark, tmp_path, monkeypatch):
 
 
 def test_decode_keeps_columns(spark):
-    d = spark.createDataFrame([(1, bytearray(b""), "a")], "doc_id long, ids binary, decoded string")
-    r = bpe.decode(d, RANKS).collect()[0]
-    assert bytes(r.decoded) == b""
+    byte = {w: i for w, i in bpe.load_ranks(RANKS).items()}
+    d = spark.createDataFrame([(1, [], "a"), (2, [byte[b"a"], byte[b"\xff"], 10**6, byte[b"\x00"]], "a")], "doc_id long, ids array<int>, decoded string")
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(d, RANKS).collect()}
+    assert got == {1: b"", 2: b"a\xff\x00"}
+
+
+def test_decoding_is_a_join(spark):
+    plan = bpe.decode(spark.createDataFrame([(1, [1])], "doc_id long, ids array<int>"), RANKS)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "MapInArrow" not in plan
 
 
 def test_empty_table(spark, tmp_path):

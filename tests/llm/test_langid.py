@@ -56,3 +56,52 @@ def test_empty_and_unlabelled(spark, tmp_path):
     assert langid.op3(spark, folder(spark, tmp_path, documents=documents(spark, []))).collect() == []
     d = documents(spark, [(1, "some text", None)])
     assert [r.lang_pred for r in langid.op3(spark, folder(spark, tmp_path, documents=d)).collect()] == ["und"]
+
+
+def brute_counts(text):
+    raw = [b if chr(b).isalpha() or b >= 128 else 32 for b in text.lower().encode()] + [32, 32, 32]
+    b = [x for i, x in enumerate(raw) if x != 32 or i == 0 or raw[i - 1] != 32]
+    out = {}
+    for k in (1, 2, 3):
+        for i in range(len(b) - k + 1):
+            code = k
+            for x in b[i : i + k]:
+                code = ((code << 8) % 2**32) ^ x ^ (code >> 24)
+            code = code * 2654435769 % 2**32 >> 19
+            out[code] = out.get(code, 0) + 1
+    return out
+
+
+def test_counts_against_brute_force(monkeypatch):
+    texts = ["The and of", "", "éa -- B  b", "der und das " * 40, "x"]
+    for slab in (1 << 19, 7):
+        monkeypatch.setattr(langid, "SLAB", slab)
+        counts, _ = langid.grams(texts)
+        for row, t in zip(counts, texts, strict=True):
+            assert {int(i): int(row[i]) for i in row.nonzero()[0]} == brute_counts(t)
+
+
+def test_predictions_against_brute_force(spark):
+    import math
+
+    d = documents(spark, rows()).selectExpr("doc_id id", "text", "lang")
+    model = langid.fit(d)
+    got = {r.id: r for r in langid.predict(d, model).collect()}
+    for i, t, _ in rows()[::9]:
+        v = {g: math.sqrt(n) * model["idf"][g] for g, n in brute_counts(t).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cos = [(sum(x * c[g] for g, x in v.items()) / size, lang) for c, lang in zip(model["centroids"], model["langs"], strict=True)]
+        best = max(cos)
+        assert got[i].lang_pred == best[1] and abs(got[i].score - min(1, best[0])) < 1e-4
+
+
+def test_every_language_is_learnt(spark):
+    many = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 2} " * 12, f"l{k}") for k in range(230)]
+    assert len(set(langid.fit(documents(spark, many).selectExpr("doc_id id", "text", "lang"))["langs"])) == 230
+
+
+def test_repeated_documents_tie(spark):
+    d = documents(spark, [*rows(), *[(1000 + i, t, lang) for i, t, lang in rows()]])
+    model = langid.fit(d.selectExpr("doc_id id", "text", "lang"))
+    p = {r.id: (r.lang_pred, r.score) for r in langid.predict(d.selectExpr("doc_id id", "text"), model).collect()}
+    assert all(p[i] == p[1000 + i] for i, *_ in rows())

@@ -57,3 +57,13 @@ def test_components(spark):
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_clashing_columns_go_through(spark):
+    rows = [(i, f"the {i} and of a thing with number {i * 31} in it and {' '.join(f'word{i}x{k}' for k in range(30))}") for i in range(20)]
+    d = documents(spark, rows, more=True)
+    for _, stage in cp.STAGES[:-1]:
+        out = cp.materialise(stage(spark, d, DATA), "test")
+        assert out.columns == d.columns
+        d = out
+    assert d.count() == 20 and all(d.where(f"`{c}` <> '{c}'").count() == 0 for c in ("node", "row", "_spans"))

@@ -13,8 +13,8 @@ from twinlake.llm.common import chunks, is_odd
 
 #: Words that are encoded as one text, and the longest one that is.
 TOGETHER, SHORT = 256, 100
-#: Words that a worker remembers at once, and the longest one that it remembers.
-REMEMBERED, LONGEST = 120_000, 40
+#: Words after which a worker begins a new memory, beside which it keeps the last one, and the longest word it remembers.
+REMEMBERED, LONGEST = 100_000, 40
 
 
 def spaced(text: str) -> list[str]:
@@ -60,6 +60,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.cut, self.said, self.memo = cut, spaced_text if cut is spaced else word_text, {}
+        self.last: dict = {}
 
     @classmethod
     def of(cls, path: str, cut=spaced) -> Encoder:
@@ -81,10 +82,16 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         said, memo = self.said, self.memo
-        if len(memo) > REMEMBERED:
-            memo.clear()
+        if len(memo) > REMEMBERED:  # words that come again are carried over, those that came once go
+            self.last, self.memo = memo, {}
+            memo = self.memo
         parts = [self.cut(t) if t else [] for t in texts]
-        new = list(set().union(*parts).difference(memo)) if memo else list(set().union(*parts))
+        new = set().union(*parts)
+        new = new.difference(memo) if memo else new
+        again = new.intersection(self.last) if self.last else ()
+        for x in again:
+            memo[x] = self.last[x]
+        new = list(new.difference(again)) if again else list(new)
         plain = [x for x in new if x[:1] != "\n" and len(x) <= SHORT and "<|" not in x]
         self._together(plain)
         rest = [x for x in new if x not in memo]
