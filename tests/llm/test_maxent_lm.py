@@ -98,7 +98,7 @@ def brute(model, counts, text):
         a, b = mix((h1 * 0x9E3779B1 + 1) % 2**32), mix((h2 * 0x85EBCA77 + 2) % 2**32)
         for node, slot in path(code):
             z = model.bias[node].astype("f8")
-            for f in (a, b, mix(a * 0x27D4EB2F % 2**32 ^ b)):
+            for f in (a, mix(a * 0x27D4EB2F % 2**32 ^ b), b)[: 3 if node == 0 else 2]:
                 z = z + model.weights[mix((f + node * 0x165667B1) % 2**32) >> (32 - lm.ROW_BITS)]
             total += z[slot] - np.log(np.exp(z).sum())
         if code == 784:
@@ -149,3 +149,15 @@ def test_held_out_gain(spark):
     """At least 0.3 log10 a token over the base on held-out texts of a table of a thousand documents."""
     got = lm.op6(spark, DATA.replace("sf0.001", "sf0.01")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert (got.s - got.b) / got.n > 0.3
+
+
+def test_a_count_is_a_repeated_example():
+    code, h = np.array([700, 700, 5], "i4"), np.array([1, 1, 4], "u4")
+    bias = np.zeros((lm.NODES, lm.SLOTS), "f4")
+    w = [np.zeros((1 << lm.ROW_BITS, lm.SLOTS), "f4") for _ in range(2)]
+    seen = [np.full(1 << lm.ROW_BITS, lm.FIRST_SEEN, "f4") for _ in range(2)]
+    lm._step(bias, w[0], seen[0], lm.Examples(code, lm.features(h, h)))
+    lm._step(bias, w[1], seen[1], lm.Examples(code[1:], lm.features(h[1:], h[1:])), np.array([2, 1], "f4"))
+    assert np.allclose(*w, atol=1e-6) and np.allclose(*seen, atol=1e-5)
+    used, times = lm._events({"code": code, "h1": h, "h2": h}, np.arange(3))
+    assert sorted(zip(code[used].tolist(), times.tolist(), strict=True)) == [(5, 1.0), (700, 2.0)]

@@ -5,11 +5,11 @@ of softmaxes along its path of classes, ``SLOTS`` to a class: the most frequent
 all others that training has twice or more are dealt over ``BUCKETS`` buckets by a hash of the whole word, and share a
 bucket by their counts; words seen once, and unseen ones, are one class, which its counts of counts divide. Each
 softmax adds a fixed log frequency and the weights of three hashed features of the history at that class: the word
-before, the word before that one (a skip), and both. Words enter features by a hash of the whole word, so no word is
+before, both words before, and at the root the last but one alone (a skip). Words enter features by a hash of the whole word, so no word is
 without n-gram and skip features, whatever its frequency.
 
 Counts cover all training documents, and gradients are taken at every position of every one of them: tasks take local
-AdaGrad steps from shared weights, and what they changed is averaged row by row, by how much each task saw of a row."""
+AdaGrad steps from shared weights, and what they changed is averaged row by row, by how much each task saw of a row. Equal events of a batch are one, with their count."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlake.llm.bpe import pack_places, unpack_places
@@ -33,8 +33,8 @@ HEAD = TOP + MID
 RARE, CODES = HEAD, HEAD + 1 + BUCKETS
 #: Classes: the root, its slots, theirs, and theirs.
 NODES = 1 + 16 + 256 + 4096
-ROW_BITS, FEATURES, START = 18, 3, np.uint32(0xFFFFFFFF)
-ROUNDS, RATE, MINIBATCH, FIRST_SEEN = 2, 0.3, 4096, 0.05
+ROW_BITS, START = 18, np.uint32(0xFFFFFFFF)
+ROUNDS, RATE, MINIBATCH, FIRST_SEEN = 1, 0.3, 8192, 0.05
 #: Positions that one task learns from, blocks that weights travel in, and characters of a batch of documents.
 TASK_POSITIONS, BLOCKS, BATCH_CHARS = 8_000_000, 64, 8_000_000
 
@@ -105,45 +105,38 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def word_counts(t: DataFrame) -> DataFrame:
-    """(word, n): how often the training documents of each batch hold each of its words."""
+    """(batch, idx, word, c, nth): each batch's distinct words with their count in all training documents.
+
+    One shuffle by word, of one row a word and batch; ``nth`` is 1 in one row of each word."""
 
     def run(it):
         for r in _rows(it):
             used = unpack_places(r["places"])[np.repeat(np.array(r["train"], bool), r["lens"])]
             n = np.bincount(used, minlength=len(r["words"]))
             for at in range(0, len(n), 50_000):
-                yield pa.RecordBatch.from_arrays([binary(r["words"][at : at + 50_000]), pa.array(n[at : at + 50_000], pa.int64())], names=["word", "n"])
-
-    return t.mapInArrow(run, "word binary, n long").where("n > 0")
-
-
-def batch_words(t: DataFrame, head: dict[bytes, int]) -> DataFrame:
-    """(batch, idx, word, rank): each batch's distinct words; ``rank`` is -1 but for the frequent ones."""
-
-    def run(it):
-        for r in _rows(it):
-            for at in range(0, len(r["words"]), 50_000):
                 w = r["words"][at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(w), pa.int64()), pa.array(range(at, at + len(w)), pa.int32()), binary(w), pa.array([head.get(x, -1) for x in w], pa.int32())], names=["batch", "idx", "word", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(w), pa.int64()), pa.array(range(at, at + len(w)), pa.int32()), binary(w), pa.array(n[at : at + len(w)], pa.int64())], names=["batch", "idx", "word", "n"])
 
-    return t.select("batch", "words").mapInArrow(run, "batch long, idx int, word binary, rank int")
+    own = Window.partitionBy("word")
+    d = t.drop("docs").mapInArrow(run, "batch long, idx int, word binary, n long")
+    return d.select("batch", "idx", "word", F.sum("n").over(own).alias("c"), F.row_number().over(own.orderBy("batch")).alias("nth"))
 
 
-def coded(t: DataFrame, head: dict[bytes, int], total: DataFrame) -> DataFrame:
+def coded(t: DataFrame, words: DataFrame, head: dict[bytes, int]) -> DataFrame:
     """The batches with each distinct word's training count, hash and code in place of the words."""
-    known = batch_words(t, head).join(total, "word", "left").select("batch", "idx", "rank", F.coalesce("c", F.lit(0)).alias("c"), F.crc32("word").alias("crc"))
+    rank = t.sparkSession.createDataFrame([(bytearray(w), i) for w, i in head.items()], "word binary, rank int")
+    known = words.join(rank, "word", "left") if head else words.withColumn("rank", F.lit(None).cast("int"))
+    code = F.when(F.col("rank").isNotNull(), F.col("rank")).when(F.col("c") <= 1, RARE).otherwise(RARE + 1 + F.crc32("word") % BUCKETS).cast("int")
+    known = known.select("batch", "idx", "c", F.crc32("word").alias("crc"), code.alias("code"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({n: [] for n in names}, schema=schema)
-        n = right.num_rows
-        at = right.column("idx").to_numpy()
-        c, crc, code = np.zeros(n, "<i8"), np.zeros(n, "<u4"), np.zeros(n, "<i4")
-        c[at], crc[at] = right.column("c").to_numpy(), right.column("crc").to_numpy()
-        rank = right.column("rank").to_numpy()
-        code[at] = rank
-        code = np.where(code >= 0, code, np.where(c <= 1, RARE, RARE + 1 + crc % BUCKETS)).astype("<i4")
-        more = [binary([x.tobytes()]) for x in (c, crc, code)]
+        at, more = right.column("idx").to_numpy(), []
+        for name, kind in (("c", "<i8"), ("crc", "<u4"), ("code", "<i4")):
+            x = np.zeros(len(at), kind)
+            x[at] = right.column(name).to_numpy()
+            more.append(binary([x.tobytes()]))
         return pa.table([*[left.column(k) for k in names[:-3]], *more], schema=schema)
 
     names = [x.split()[0] for x in HELD.split(", ")] + ["c", "crc", "code"]
@@ -180,13 +173,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def features(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Hashes of the three features of each position's history."""
+    """Hashes of the three features of each position's history: the word before, the pair, the skip."""
     a, b = _mix(h1 * _U(0x9E3779B1) + _U(1)), _mix(h2 * _U(0x85EBCA77) + _U(2))
-    return np.stack([a, b, _mix(a * _U(0x27D4EB2F) ^ b)], 1)
+    return np.stack([a, _mix(a * _U(0x27D4EB2F) ^ b), b], 1)
 
 
 class Examples:
-    """One softmax a row: position, class, slot taken, rows of weights."""
+    """One softmax a row: position, class, slot taken, rows of weights.
+
+    The word before and the pair count at every class, the skip at the root, where most is decided, alone."""
 
     def __init__(self, code: np.ndarray, f: np.ndarray):
         node, slot, depth = paths(code)
@@ -194,29 +189,35 @@ class Examples:
         self.node, self.slot = node[self.of, level], slot[self.of, level]
         x = f[self.of] + (self.node.astype(_U) * _U(0x165667B1))[:, None]
         self.rows = (_mix(x) >> _U(32 - ROW_BITS)).astype("i4")
+        self.top = level == 0
 
 
 def _log_softmax(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
     z = bias[e.node]
-    for k in range(FEATURES):
-        z += w[e.rows[:, k]]
+    z += w[e.rows[:, 0]]
+    z += w[e.rows[:, 1]]
+    z[e.top] += w[e.rows[e.top, 2]]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
-def _step(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, e: Examples) -> None:
-    """One AdaGrad step, with one accumulator a row of weights."""
+def _step(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, e: Examples, times: np.ndarray | None = None) -> None:
+    """One AdaGrad step, with one accumulator a row of weights; an example's position counts ``times``."""
     g = np.exp(_log_softmax(bias, w, e))
     g[np.arange(len(g)), e.slot] -= 1
-    flat = e.rows.reshape(-1)
+    if times is not None:
+        g *= times[e.of][:, None]
+    top = np.flatnonzero(e.top)
+    flat = np.concatenate([e.rows[:, 0], e.rows[:, 1], e.rows[top, 2]])
+    of = np.concatenate([np.arange(len(g)), np.arange(len(g)), top])
     order = np.argsort(flat)
     own = flat[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    total = np.add.reduceat(g[order // FEATURES], starts, axis=0)
+    total = np.add.reduceat(g[of[order]], starts, axis=0)
     at = own[starts]
-    seen[at] += (total**2).mean(1)
-    w[at] -= RATE * total / np.sqrt(seen[at])[:, None]
+    seen[at] += np.einsum("ij,ij->i", total, total) / SLOTS
+    w[at] -= total * (RATE / np.sqrt(seen[at]))[:, None]
 
 
 def _positions(r: dict) -> dict:
@@ -232,6 +233,13 @@ def _positions(r: dict) -> dict:
     return {"code": np.frombuffer(r["code"], "<i4")[place], "h1": h1, "h2": h2, "c": np.frombuffer(r["c"], "<i8")[place], "lens": lens}
 
 
+def _events(p: dict, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the positions ``used`` for each event (word and history) among them, and how often it occurs."""
+    key = (p["h1"][used].astype("u8") << np.uint64(32) | p["h2"][used]) * np.uint64(0x9E3779B97F4A7C15) + p["code"][used].astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+    _, first, times = np.unique(key, return_index=True, return_counts=True)
+    return used[first], times.astype("f4")
+
+
 def train(t: DataFrame, bias: np.ndarray, total: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` of local steps in every task; ``t`` are coded batches that hold ``total`` positions to learn from.
 
@@ -244,16 +252,18 @@ def train(t: DataFrame, bias: np.ndarray, total: int, rounds: int = ROUNDS) -> n
     kind = "block int, part int, change binary, seen binary"
     for r in range(rounds):
 
-        def run(it, w=w, r=r):
+        def run(it, w=w.astype("<f2"), r=r):
+            w = w.astype("f4")
             v, seen, n = w.copy(), np.full(len(w), FIRST_SEEN, "f4"), 0
             for row in _rows(it):
                 p = _positions(row)
                 used = np.flatnonzero(np.repeat(np.array(row["train"], bool), p["lens"]))
-                used = np.random.default_rng(r).permutation(used)
                 n += len(used)
+                used, times = _events(p, used)
+                order = np.random.default_rng(r).permutation(len(used))
                 for at in range(0, len(used), MINIBATCH):
-                    i = used[at : at + MINIBATCH]
-                    _step(bias, v, seen, Examples(p["code"][i], features(p["h1"][i], p["h2"][i])))
+                    i, k = used[order[at : at + MINIBATCH]], times[order[at : at + MINIBATCH]]
+                    _step(bias, v, seen, Examples(p["code"][i], features(p["h1"][i], p["h2"][i])), k)
             if n:
                 seen -= np.float32(FIRST_SEEN)
                 cut = [[x.tobytes() for x in np.split(y, BLOCKS)] for y in ((v - w).astype("<f2"), seen)]
@@ -277,7 +287,7 @@ class Model:
     """All that scoring needs, of fixed size: log frequencies, weights, and the counts that divide buckets and rare words."""
 
     def __init__(self, total: DataFrame):
-        """From (word, c), the counts of all training words."""
+        """From (word, c), a row for each training word."""
         top = total.where("c > 1").orderBy(F.desc("c"), "word").limit(HEAD).collect()
         self.head = {bytes(r.word): i for i, r in enumerate(top)}
         s = total.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2))]).first()
@@ -308,9 +318,9 @@ class Model:
 
 def fitted(t: DataFrame) -> tuple[DataFrame, Model]:
     """The coded batches of ``t``, and the model learnt from their training documents."""
-    total = materialise(word_counts(t).groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    model = Model(total)
-    t = materialise(coded(t, model.head, total), "lm-coded")
+    words = materialise(word_counts(t), "lm-words")
+    model = Model(words.where("nth = 1 and c > 0").select("word", "c"))
+    t = materialise(coded(t, words, model.head), "lm-coded")
     model.weights = train(t, model.bias, model.n)
     return t, model
 
