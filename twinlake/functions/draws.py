@@ -52,3 +52,30 @@ def ball(e: DataFrame, row: list[str], index: str, dims: int, seed: int, out: st
     length = F.sqrt(F.sum(F.col("_g") ** 2).over(Window.partitionBy(row)))
     radius = 2 * F.pow(uniform(seed + 7, *[F.col(c) for c in row]), F.lit(1 / dims))
     return e.withColumn("_g", g).withColumn(out, F.col("_g") / length * radius).drop("_g")
+
+
+def coloured(draw, mean: list[float], cov: list[list[float]]) -> list[Column]:
+    """Columns of a draw with a full mean and covariance: ``draw(j)`` is a standard draw, keyed by the row, for coordinate j.
+
+    A number for ``cov`` is that variance in every coordinate. The factor is of the size of one state of few dimensions."""
+    import numpy as np
+
+    c = np.eye(len(mean)) * cov if np.isscalar(cov) else np.asarray(cov, "f8")
+    d, v = np.linalg.eigh(c)
+    if d.min() < -1e-9 * max(1.0, d.max()):
+        raise ValueError("a covariance has no negative directions")
+    root = np.linalg.cholesky(c) if d.min() > 0 else v * np.sqrt(np.maximum(d, 0))
+    return [F.lit(float(mean[i])) + sum((float(root[i, j]) * draw(j) for j in range(len(mean)) if root[i, j]), F.lit(0.0)) for i in range(len(mean))]
+
+
+def sampled(u: Column, kind: str, **of) -> Column:
+    """A draw from a uniform one, by kind: ``icdf`` (a function of u) or ``cdf`` (values and their running probabilities)."""
+    if kind == "icdf":
+        return of["icdf"](u)
+    if kind == "cdf":
+        steps = list(zip(of["values"], of["cdf"], strict=True))
+        out = F.when(u < steps[0][1], F.lit(steps[0][0]))
+        for v, p in steps[1:-1]:
+            out = out.when(u < p, F.lit(v))
+        return out.otherwise(F.lit(steps[-1][0]))
+    raise ValueError(f"no such kind: {kind}")

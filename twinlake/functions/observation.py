@@ -36,3 +36,9 @@ def shifted_sites(sites: DataFrame, time: Column, size: int, most: int, seed: in
     from twinlake.functions.draws import uniform
 
     return sites.withColumn("i", F.pmod(F.col("i") + F.floor(uniform(seed, time) * most).cast("long"), F.lit(size)))
+
+
+def tracked(e: DataFrame, sites: DataFrame, offset: Column, size: int) -> DataFrame:
+    """(ens, n, j, y): the state at sites (j, i) moved along a ring by ``offset``, a column over the member's keys."""
+    back = F.pmod(F.col("i") - offset, F.lit(size))
+    return e.withColumn("site", back).join(sites.select("j", F.col("i").alias("site")), "site").select("ens", "n", "j", F.col("x").alias("y"))

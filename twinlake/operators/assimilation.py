@@ -32,6 +32,69 @@ def localised_update(e: DataFrame, index: int, obs: float, r: float, weight: Col
     return j.select("ens", "n", "i", (F.col("x") + slope * (gain * (obs - F.col("m")) + shrink * F.col("ya"))).alias("x"))
 
 
+def regressed(e: DataFrame, index: int, move: Column) -> DataFrame:
+    """(ens, n, i, x): members move at state ``index`` by ``move``, and elsewhere by their regression on it.
+
+    ``move`` is over ``ya``, ``ym`` (anomaly and mean there), ``v`` (variance) and the keys ``ens`` and ``n``. Without
+    variance nothing moves."""
+    y = observed(e, index)
+    v = y.groupBy("ens").agg(F.var_samp("ya").alias("v"))
+    y = y.join(v.where("v > 0"), "ens")
+    j = anomalies(e).join(y.select("ens", "n", F.col("v").alias("v"), "ya", move.alias("move")), ["ens", "n"], "left")
+    c = j.groupBy(*KEY).agg((F.sum(F.col("a") * F.col("ya")) / (F.count(F.lit(1)) - 1) / F.first("v", ignorenulls=True)).alias("slope"))
+    return j.join(c, KEY).select("ens", "n", "i", (F.col("x") + F.coalesce(F.col("slope") * F.col("move"), F.lit(0.0))).alias("x"))
+
+
+def centred_noise(e: DataFrame, noise: Column, unit: bool = False) -> DataFrame:
+    """(ens, n, z): one draw a member (``noise`` over ens and n), its mean taken off; ``unit`` makes its mean square one."""
+    z = e.select("ens", "n").distinct().withColumn("z", noise)
+    m = z.groupBy("ens").agg(F.avg("z").alias("zm"), F.count(F.lit(1)).alias("size"), F.sum("z").alias("zs"), F.sum(F.col("z") ** 2).alias("zz"))
+    z = z.join(m, "ens").withColumn("z", F.col("z") - F.col("zm"))
+    scale = F.sqrt(F.col("size") / (F.col("zz") - F.col("zs") * F.col("zm"))) if unit else F.lit(1.0)
+    return z.select("ens", "n", (F.col("z") * scale).alias("z"))
+
+
+def stochastic_update(e: DataFrame, index: int, obs: float, r: float, noise: Column, unit: bool = False) -> DataFrame:
+    """(ens, n, i, x) after one observation that each member sees with its own noise.
+
+    ``noise`` is a standard draw a member, keyed by (ens, n), so it is the same in every task and retry."""
+    z = centred_noise(e, noise, unit)
+    y = observed(e, index)
+    v = y.groupBy("ens").agg(F.var_samp("ya").alias("v"))
+    y = y.join(v, "ens").join(z, ["ens", "n"])
+    gain = F.col("v") / (F.col("v") + r)
+    y = y.select("ens", "n", "ya", "v", (gain * (obs + np.sqrt(r) * F.col("z") - F.col("ym") - F.col("ya"))).alias("move"))
+    j = anomalies(e).join(y, ["ens", "n"])
+    c = j.groupBy(*KEY).agg((F.sum(F.col("a") * F.col("ya")) / (F.count(F.lit(1)) - 1)).alias("c"))
+    slope = F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(0.0)
+    return j.join(c, KEY).select("ens", "n", "i", (F.col("x") + slope * F.col("move")).alias("x"))
+
+
+def serial_updates(e: DataFrame, observations: list[tuple[int, float]], r: float, flavour: str = "Serial", noise=None) -> DataFrame:
+    """One observation (index, value) after another, each of variance ``r``.
+
+    Flavours: ``Serial`` (square root), ``DEnKF`` (half gain), ``Stoch`` (noise of its own for each member) and
+    ``Var1`` (the same with mean square one). ``noise(j)`` is the draw of the j-th observation."""
+    gain = F.col("v") / (F.col("v") + r)
+    part = {"Serial": 1 / (1 + F.sqrt(F.lit(r) / (F.col("v") + r))), "DEnKF": F.lit(0.5)}.get(flavour)
+    if part is None and flavour not in ("Stoch", "Var1"):
+        raise ValueError(f"no such flavour: {flavour}")
+    for j, (index, obs) in enumerate(observations):
+        if part is None:
+            e = stochastic_update(e, index, obs, r, noise(j), unit=flavour == "Var1")
+        else:
+            e = regressed(e, index, gain * (obs - F.col("ym")) - part * gain * F.col("ya"))
+    return e
+
+
+def analysis(e: DataFrame, observations: list[tuple[int, float]], r: float, flavour: str, noise=None, inflation: float = 1.0) -> DataFrame:
+    """The ensemble update of a named flavour, then inflation."""
+    from twinlake.functions.ensemble import inflated
+
+    e = serial_updates(e, observations, r, {"PertObs": "Stoch"}.get(flavour, flavour), noise)
+    return e if inflation == 1.0 else inflated(e, inflation)
+
+
 def rank_histogram_update(e: DataFrame, index: int, obs: float, r: float) -> DataFrame:
     """(ens, n, i, x): the observed variable's members move to even quantiles of their reweighted distribution,
     interpolated between members; all others follow by regression.
@@ -135,10 +198,8 @@ def finite_size_inflation(e: DataFrame, obs: DataFrame, r: float, xn: float = 1.
         y = pdf.pivot(index="n", columns="j", values="a").to_numpy() / np.sqrt(r)
         dy = pdf.drop_duplicates("j").sort_values("j")["dy"].to_numpy() / np.sqrt(r)
         n = len(y)
-        _, s, vt = np.linalg.svd(y, full_matrices=True)
-        s2 = np.zeros(y.shape[1])
-        s2[: len(s)] = s**2
-        du2 = (vt @ dy) ** 2
+        _, s, vt = np.linalg.svd(y, full_matrices=False)  # directions without spread add nothing to the slope
+        s2, du2 = s**2, (vt @ dy) ** 2
         prior = np.mean(1 / (np.concatenate([s**2, np.zeros(n)])[:n] + n - 1)) * (n - 1)
         en, cl = (n + 1) / n, (n + g) / (n - 1)
         fix = np.sqrt((en / cl) ** prior)
@@ -152,3 +213,23 @@ def finite_size_inflation(e: DataFrame, obs: DataFrame, r: float, xn: float = 1.
 
     a = anomalies(e).join(obs, "i").select("ens", "n", "j", "a", (F.col("y") - F.col("mu")).alias("dy"))
     return a.groupBy("ens").applyInPandas(run, "ens long, infl double")
+
+
+def diagonal_spectra(m: DataFrame, truth: DataFrame) -> DataFrame:
+    """(ens, s, sval, umisf) of estimates (ens, i, mu, var) whose covariance is diagonal: coordinates, largest variance first."""
+    order = Window.partitionBy("ens").orderBy(F.desc(F.round("var", 9)), "i")
+    d = m.join(truth, "i").withColumn("s", (F.row_number().over(order) - 1).cast("long"))
+    return d.select("ens", "s", F.sqrt("var").alias("sval"), (F.col("mu") - F.col("truth")).alias("umisf"))
+
+
+def mean_weight(e: DataFrame, index: int, obs: DataFrame, r: float) -> DataFrame:
+    """(ens, size, ww): the squared length of the mean's weights in ensemble space after one observation (y) of a state."""
+    a = anomalies(e.where(F.col("i") == index))
+    s = a.groupBy("ens").agg((F.sum(F.col("a") ** 2) / r).alias("s"), F.first("mu").alias("mu"), F.count(F.lit(1)).cast("double").alias("size"))
+    s = s.withColumn("one", F.lit(1)).join(obs.withColumn("one", F.lit(1)), "one")
+    return s.select("ens", "size", (F.col("s") * (F.col("y") - F.col("mu")) ** 2 / r / (F.col("size") - 1 + F.col("s")) ** 2).alias("ww"))
+
+
+def zeta(size: Column, ww: Column) -> Column:
+    """The effective number of the prior's precision after an analysis, for squared weights ``ww``."""
+    return (size - 1) * (size / (size - 1)) / ((size + 1) / size + ww)

@@ -4,6 +4,9 @@ A coordinate may be null and nulls compare equal; a missing statistic is NaN and
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,3 +117,97 @@ def stat(avrgs: DataFrame, key: str) -> DataFrame:
     head, _, rest = key.partition(".")
     full = ".".join(filter(None, (ALIASES.get(head, head), rest)))
     return avrgs.where(F.col("statkey").isin(key, full)).withColumn("statkey", F.lit(key))
+
+
+def stat_or_raise(avrgs: DataFrame, key: str, experiments: DataFrame) -> DataFrame:
+    """``stat``, and a null value for each experiment (``seq``) that lacks it: a warning if some do, an error if all do."""
+    got = stat(avrgs, key)
+    n = experiments.join(got.select("seq"), "seq", "left_semi").count()
+    if not n:
+        raise AttributeError(f"no experiment has the statistic {key}")
+    all_ = experiments.select("seq").join(got, "seq", "left").withColumn("statkey", F.lit(key))
+    if n < experiments.count():
+        warnings.warn(f"some experiments lack the statistic {key}", stacklevel=2)
+    return all_
+
+
+def at(xps: DataFrame, place: int | slice | list[int], order: str = "seq") -> DataFrame:
+    """The experiments at places of the list in order: one, a slice without negative parts, or a list.
+
+    Only rows up to the last place asked for are put in order and numbered."""
+    if isinstance(place, int):
+        place = slice(place, place + 1)
+    if isinstance(place, slice):
+        first, step = place.start or 0, place.step or 1
+        if step != 1 and place.stop is None:
+            raise ValueError("a slice with a step needs an end: rows are numbered up to it")
+        d = xps.orderBy(order).offset(first)
+        d = d if place.stop is None else d.limit(max(0, place.stop - first))
+        if step == 1:
+            return d
+        n = F.row_number().over(Window.orderBy(order)) - 1
+        return d.withColumn("_at", n).where(F.col("_at") % step == 0).drop("_at")
+    top = xps.orderBy(order).limit(max(place, default=-1) + 1).withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
+    return top.where(F.col("_at").isin(*place)).drop("_at")
+
+
+def is_like(name: str, pattern: str | re.Pattern | Callable | Iterable) -> bool:
+    """Whether a column's name is a value, matches an expression, suits a test, or is among some of these."""
+    if isinstance(pattern, str):
+        return name == pattern
+    if isinstance(pattern, re.Pattern):
+        return pattern.search(name) is not None
+    return pattern(name) if callable(pattern) else any(is_like(name, p) for p in pattern)
+
+
+def intersect(xps: DataFrame, *patterns) -> DataFrame:
+    """Only the columns that are like one of the patterns."""
+    return xps.select(*[c for c in xps.columns if is_like(c, patterns)])
+
+
+def complement(xps: DataFrame, *patterns) -> DataFrame:
+    """Only the columns that are like none of the patterns."""
+    return xps.select(*[c for c in xps.columns if not is_like(c, patterns)])
+
+
+def known_dims(xps: DataFrame, dims: list[str]) -> list[str]:
+    """Those of ``dims`` that are columns; the others are warned of."""
+    for c in dims:
+        if c not in xps.columns:
+            warnings.warn(f"there is no dimension {c}", stacklevel=2)
+    return [c for c in dims if c in xps.columns]
+
+
+def put(space: DataFrame, rows: DataFrame, dims: list[str]) -> DataFrame:
+    """``space`` with ``rows`` set at their coordinates; rows of other columns or types are an error."""
+    want, have = ({f.name: f.dataType for f in d.schema} for d in (space, rows))
+    if want != have:
+        raise TypeError(f"rows do not conform: {sorted(set(want.items()) ^ set(have.items()), key=str)}")
+    same = reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}")) for c in dims])
+    kept = space.alias("s").join(rows.alias("r"), same, "left_anti")
+    return kept.unionByName(rows)
+
+
+def guarded(xps: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Adds ``crashed`` and ``error``, the first check that a row fails; the job goes on with the others.
+
+    A check that is null counts as failed."""
+    error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
+    return xps.withColumn("error", error).withColumn("crashed", F.col("error").isNotNull())
+
+
+def printed(xps: DataFrame, outer: list[str], inner: list[str], mean: list[str], optimise: list[str], value: str = "val") -> DataFrame:
+    """The data of a printed table: a row per ``outer`` and ``inner`` coordinate, averaged over ``mean``, best over ``optimise``.
+
+    Columns: the coordinates, the optimum's coordinates, ``val``, ``prec``, ``n_fail`` and ``n_success`` there."""
+    keep = [*outer, *inner]
+    m = mean_over(xps, [*keep, *optimise], value)
+    best = Window.partitionBy(keep).orderBy(F.isnan("val"), "val", *optimise)
+    b = m.withColumn("_r", F.row_number().over(best)).where("_r = 1") if optimise else m
+    return b.select(*keep, *optimise, "val", "prec", "n_fail", "n_success")
+
+
+def plotted(xps: DataFrame, panel: list[str], line: list[str], axis: str, mean: list[str], value: str = "val") -> DataFrame:
+    """The data of a plot: per panel and line a point for each tick of ``axis``, with the tick's place (null last)."""
+    m = mean_over(xps, [*panel, *line, axis], value)
+    return m.join(ticks(xps, axis), F.col(axis).eqNullSafe(F.col("tick"))).select(*panel, *line, axis, "place", "val", "prec")

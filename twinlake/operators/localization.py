@@ -37,17 +37,42 @@ def taper(d: Column, radius: float, kind: str = "GC") -> Column:
     return F.when(r <= 1, near).when(r <= 2, far).otherwise(0.0)
 
 
+def _shifted(at, k: int):
+    return lambda x: at(k, x)
+
+
+def near_points(points: DataFrame, sites: DataFrame, dims: int, cell: float, reach: float, period: list[float] | None = None) -> DataFrame:
+    """(p, s, dist): points and sites (id, pos) within ``reach``, ``pos`` being an array of ``dims`` numbers; never all by all.
+
+    Both sides are dealt to grid cells at least ``cell`` wide, and each point looks at the cells that ``reach`` touches.
+    With ``period``, a length a dimension, space is periodic and positions lie in [0, period)."""
+    count = [max(1, int(w // cell)) for w in period] if period else [None] * dims
+    width = [w / n for w, n in zip(period, count, strict=True)] if period else [cell] * dims
+
+    def at(k: int, shift: Column) -> Column:
+        c = (F.floor(F.get("pos", F.lit(k)) / width[k]) + shift).cast("long")
+        return F.pmod(c, F.lit(count[k])) if period else c
+
+    p = points.select(F.col("id").alias("p"), "pos")
+    for k in range(dims):
+        steps = int(-(-reach // width[k]))
+        steps = min(steps, count[k]) if period else steps
+        p = p.withColumn(f"c{k}", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), _shifted(at, k)))))
+    s = sites.select(F.col("id").alias("s"), "pos", *[at(k, F.lit(0)).alias(f"c{k}") for k in range(dims)]).withColumnRenamed("pos", "to")
+    j = p.join(s, [f"c{k}" for k in range(dims)])
+    d = distance([F.get("pos", F.lit(k)) for k in range(dims)], [F.get("to", F.lit(k)) for k in range(dims)], period)
+    return j.select("p", "s", d.alias("dist")).where(F.col("dist") <= reach)
+
+
 def near_pairs(points: DataFrame, sites: DataFrame, cell: float, reach: float, period: float) -> DataFrame:
-    """Pairs (p, s) of points and sites on a ring within ``reach``, joined by grid cell, never all by all.
+    """``near_points`` on a ring: positions are plain numbers in [0, period)."""
+    one = lambda d: d.select("id", F.array("pos").alias("pos"))
+    return near_points(one(points), one(sites), 1, cell, reach, [period])
+
 
-    Both sides have (id, pos); cells are ``cell`` wide and each point looks at the cells that ``reach`` touches."""
-    cells = round(period / cell)
-    steps = int(-(-reach // cell))
-    around = F.array_distinct(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda k: F.pmod((F.floor(F.col("pos") / cell) + k).cast("long"), F.lit(cells))))
-    p = points.select(F.col("id").alias("p"), F.col("pos").alias("pp"), F.explode(around).alias("cell"))
-    s = sites.select(F.col("id").alias("s"), F.col("pos").alias("sp"), F.pmod(F.floor(F.col("pos") / cell).cast("long"), F.lit(cells)).alias("cell"))
-    d = distance([F.col("pp")], [F.col("sp")], [period])
-    return p.join(s, "cell").select("p", "s", d.alias("dist")).where(F.col("dist") <= reach)
+def no_localization(sites: DataFrame) -> DataFrame:
+    """(batch, s, coeff): the whole state is one batch, which every site informs with weight one."""
+    return sites.select(F.lit(0).cast("long").alias("batch"), "s", F.lit(1.0).alias("coeff"))
 
 
 def local_observations(pairs: DataFrame, radius: float, kind: str = "GC", cutoff: float = CUTOFF) -> DataFrame:
@@ -60,3 +85,15 @@ def batches(df: DataFrame, index: str, size: int, parts: int) -> DataFrame:
     big, base = size % parts, size // parts
     i = F.col(index)
     return df.withColumn("batch", F.when(i < big * (base + 1), F.floor(i / (base + 1))).otherwise(F.lit(big) + F.floor((i - big * (base + 1)) / base)).cast("long"))
+
+
+def direct_localization(spark, shape: list[int], seen: Column, radius: float, kind: str = "GC") -> DataFrame:
+    """(p, s, coeff) of a periodic grid numbered row by row, whose points for which ``seen`` (over ``i``) holds are observed."""
+    size, place, rest = 1, [], F.col("i")
+    for n in reversed(shape):
+        place.insert(0, (rest % n).cast("double"))
+        rest = F.floor(rest / n)
+        size *= n
+    g = spark.range(size).select(F.col("id").alias("i")).select("i", F.col("i").alias("id"), F.array(*place).alias("pos"))
+    reach = 2 * radius * FACTORS[kind] if kind == "GC" else radius * FACTORS[kind] * (4 if kind in ("Gauss", "Exp") else 1)
+    return local_observations(near_points(g.select("id", "pos"), g.where(seen).select("id", "pos"), len(shape), max(1.0, radius), reach, [float(n) for n in shape]), radius, kind)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlake.functions.series import running
+
+#: Particles to a slice of the running sum, on average.
+SLICE = 256
+
 
 def reweight(p: DataFrame, loglik: Column) -> DataFrame:
     """New ``w`` by Bayes' rule in logs: no likelihood underflows. Input (sys, n, w)."""
@@ -32,13 +37,11 @@ def systematic(p: DataFrame, u: float) -> DataFrame:
     """(sys, n, copies): how often a comb of N teeth at (u + j) / N falls in each particle's share.
 
     The teeth in a share are a difference of two ceilings of the running sum: no tooth is made."""
-    w = Window.partitionBy("sys").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     size = p.groupBy("sys").agg(F.count(F.lit(1)).alias("size"))
-    d = p.join(size, "sys").withColumn("hi", F.sum("w").over(w))
-    at = lambda c: F.greatest(F.least(F.floor(c * F.col("size") - u) + 1, F.col("size")), F.lit(0))
-    teeth = d.withColumn("t", at(F.col("hi")).cast("long"))
-    prev = F.coalesce(F.lag("t").over(Window.partitionBy("sys").orderBy("n")), F.lit(0))
-    return teeth.select("sys", "n", (F.col("t") - prev).cast("long").alias("copies"))
+    d = running(p, time="n", value="w").join(size, "sys")
+    at = lambda c: F.greatest(F.least(F.floor(F.round(c, 13) * F.col("size") - u) + 1, F.col("size")), F.lit(0))
+    last = F.col("count") == F.col("size")  # what rounding leaves of the last share belongs to it
+    return d.select("sys", "n", (F.when(last, F.col("size")).otherwise(at(F.col("so_far"))) - at(F.col("before"))).cast("long").alias("copies"))
 
 
 def residual(p: DataFrame) -> DataFrame:
@@ -49,6 +52,33 @@ def residual(p: DataFrame) -> DataFrame:
     return d.join(total, "sys").select("sys", "n", "copies", (F.col("left") / F.col("total")).alias("rest"))
 
 
+def multinomial(p: DataFrame, draws: DataFrame) -> DataFrame:
+    """(sys, n, copies): how many of the draws (sys, u), u in [0, 1), fall in each particle's share of the running sum.
+
+    Shares and draws are dealt to slices of [0, 1) and meet there: a share takes part in each slice that it reaches
+    into, so no task holds a whole system and no draw is compared to a particle elsewhere."""
+    size = p.groupBy("sys").agg(F.count(F.lit(1)).alias("size"))
+    many = F.greatest(F.lit(1), F.ceil(F.col("size") / SLICE)).cast("long")
+    d = running(p, time="n", value="w").join(size, "sys").withColumn("many", many)
+    hi = F.when(F.col("count") == F.col("size"), F.lit(2.0)).otherwise(F.col("so_far"))
+    slice_ = lambda c: F.least(F.floor(c * F.col("many")), F.col("many") - 1).cast("long")
+    shares = d.select("sys", "n", F.col("before").alias("lo"), hi.alias("hi"), F.explode(F.sequence(slice_(F.col("before")), slice_(hi))).alias("slice"))
+    u = draws.join(size.withColumn("many", many), "sys").select("sys", "u", slice_(F.col("u")).alias("slice"))
+    hit = shares.join(u, ["sys", "slice"]).where("u >= lo and u < hi").groupBy("sys", "n").agg(F.count(F.lit(1)).alias("copies"))
+    return p.select("sys", "n").join(hit, ["sys", "n"], "left").select("sys", "n", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"))
+
+
+def residual_draws(p: DataFrame, u: Column) -> DataFrame:
+    """(sys, n, copies): whole copies of N w, and one more for each draw of the rest that falls to a particle.
+
+    ``u``, in [0, 1), is over sys and j, the number of the draw from nought."""
+    r = residual(p)
+    left = r.groupBy("sys").agg((F.count(F.lit(1)) - F.sum("copies")).alias("left")).where("left > 0")
+    draws = left.select("sys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("j")).select("sys", u.alias("u"))
+    more = multinomial(r.select("sys", "n", F.col("rest").alias("w")), draws)
+    return r.join(more.withColumnRenamed("copies", "more"), ["sys", "n"]).select("sys", "n", (F.col("copies") + F.col("more")).alias("copies"))
+
+
 def duplicates(copies: DataFrame) -> DataFrame:
     """(sys, n, copy, again): one row per drawn particle; ``again`` marks those to be jittered."""
     d = copies.where("copies > 0").select("sys", "n", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"), "copies")
@@ -60,14 +90,30 @@ def bandwidth(size: Column, dims: int) -> Column:
     return F.pow(size, F.lit(-1.0 / (dims + 4)))
 
 
-def adaptive_root(p: DataFrame, share: float, step: float, most: int) -> DataFrame:
-    """(sys, root): the least of 1, 1 + step, ... after whose flattening the effective size is ``share`` of all; null if none is.
+def adaptive_root(p: DataFrame, share: float, step: float, at_once: int = 32) -> DataFrame:
+    """(sys, root): the least of 1, 1 + step, ... after whose flattening the effective size is ``share`` of all.
+
+    The effective size grows with the root, so steps are first doubled, all doublings at once, and then the bracket of
+    each system is cut in ``at_once`` parts until it is one step; a row a particle and root is summed by system before
+    the shuffle. Null where no root suits: too few particles have any weight."""
+    size = p.groupBy("sys").agg(F.count(F.lit(1)).alias("size"))
+    some = p.where("w > 0").select("sys", "w")
 
-    The few roots are tried at once: a row a particle and root, summed by system before the shuffle."""
-    r = p.select("sys", "w", F.explode(F.array(*[F.lit(1 + step * k) for k in range(most + 1)])).alias("root"))
-    v = F.pow("w", 1 / F.col("root"))
-    s = r.groupBy("sys", "root").agg((F.sum(v) * F.sum(v) / F.sum(v * v)).alias("n_eff"), F.count(F.lit(1)).alias("size"))
-    return s.groupBy("sys").agg(F.min(F.when(F.col("n_eff") >= share * F.col("size"), F.col("root"))).alias("root"))
+    def reached(tried: DataFrame) -> DataFrame:
+        """(sys, k, ok) of particles (sys, w, k)."""
+        v = F.pow("w", 1 / (1 + step * F.col("k")))
+        s = tried.groupBy("sys", "k").agg((F.sum(v) * F.sum(v) / F.sum(v * v)).alias("n_eff")).join(size, "sys")
+        return s.select("sys", "k", (F.col("n_eff") >= share * F.col("size")).alias("ok"))
+
+    powers = F.array(*[F.lit((1 << j) - 1).cast("long") for j in range(41)])
+    ends = lambda d: d.groupBy("sys").agg(F.max(F.when(~F.col("ok"), F.col("k"))).alias("lo"), F.min(F.when(F.col("ok"), F.col("k"))).alias("hi"))
+    b = ends(reached(some.withColumn("k", F.explode(powers)))).withColumn("lo", F.coalesce("lo", F.lit(-1)))
+    while (b.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0) > 1:
+        part = F.transform(F.sequence(F.lit(1), F.lit(at_once)), lambda i: F.col("lo") + F.ceil((F.col("hi") - F.col("lo")) * i / at_once))
+        cut = some.join(b.where("hi - lo > 1"), "sys").select("sys", "w", F.explode(F.array_distinct(part)).alias("k"))
+        c = ends(reached(cut)).select("sys", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        b = b.join(c, "sys", "left").select("sys", F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"))
+    return b.select("sys", (1 + step * F.col("hi")).alias("root"))
 
 
 def coloured(p: DataFrame, value: str = "y") -> DataFrame:
@@ -83,3 +129,8 @@ def jittered(drawn: DataFrame, width: float, seed: int, value: str = "y") -> Dat
     from twinlake.functions.draws import gauss
 
     return drawn.withColumn(value, F.col(value) + F.when(F.col("again"), width * gauss(seed, F.col("sys"), F.col("n"), F.col("copy"))).otherwise(0.0))
+
+
+def laplace_loglik(innovation: Column, spread: float) -> Column:
+    """Log likelihood, up to a constant, of a double exponential error with standard deviation ``spread``."""
+    return -(2.0**0.5) * F.abs(innovation) / spread

@@ -114,18 +114,18 @@ def sector_summaries(spark, d):
     return rounded(en.sector_summaries(en.errors(en.uniform_weights(e), _truth(e)), "err", sec, ["ens"]), "m", "ms", "rms", "ma", "gm")
 
 
-_CRPS = """, one AS (SELECT ens, i, sum(w * abs(x - truth)) AS a FROM wens JOIN truth USING (i) GROUP BY ens, i), two AS (SELECT p.ens, p.i, sum(p.w * q.w * abs(p.x - q.x)) AS b FROM wens p JOIN wens q ON p.ens = q.ens AND p.i = q.i AND p.i < 8 GROUP BY p.ens, p.i) SELECT ens, i, round(a - b / 2, 6) + 0.0 AS crps FROM one JOIN two USING (ens, i)"""
+_CRPS = """, one AS (SELECT ens, i, sum(w * abs(x - truth)) AS a FROM wens JOIN truth USING (i) GROUP BY ens, i), two AS (SELECT p.ens, p.i, sum(p.w * q.w * abs(p.x - q.x)) AS b FROM wens p JOIN wens q ON p.ens = q.ens AND p.i = q.i GROUP BY p.ens, p.i) SELECT ens, i, round(a - b / 2, 6) + 0.0 AS crps FROM one JOIN two USING (ens, i)"""
 
 
 @query("crps_ens", f"WITH {ENS}, {TRUTH}, {UNIFORM}{_CRPS}")
 def crps_ens(spark, d):
-    e = _ens(spark, d).where("i < 8")
+    e = _ens(spark, d)
     return rounded(en.crps(en.uniform_weights(e), _truth(e)), "crps")
 
 
 @query("crps_weighted", f"WITH {ENS}, {TRUTH}, {WEIGHTED}{_CRPS}")
 def crps_weighted(spark, d):
-    e = _weighted(spark, d).where("i < 8")
+    e = _weighted(spark, d)
     return rounded(en.crps(e, _truth(e)), "crps")
 
 
@@ -135,17 +135,17 @@ def rank_hist(spark, d):
     return rounded(en.rank_histogram(en.rank_of_truth(e, _truth(e))), "density")
 
 
-_COV = f"WITH {ENS}, a AS (SELECT ens, n, i, x - avg(x) OVER (PARTITION BY ens, i) AS a FROM ens WHERE i < 16), cov AS (SELECT p.ens, p.i, q.i AS j, sum(p.a * q.a) / (count(*) - 1) AS cov FROM a p JOIN a q ON p.ens = q.ens AND p.n = q.n AND p.i <= q.i GROUP BY p.ens, p.i, q.i)"
+_COV = f"WITH {ENS}, a AS (SELECT ens, n, i, x - avg(x) OVER (PARTITION BY ens, i) AS a FROM ens), cov AS (SELECT p.ens, p.i, q.i AS j, sum(p.a * q.a) / (count(*) - 1) AS cov FROM a p JOIN a q ON p.ens = q.ens AND p.n = q.n AND p.i <= q.i GROUP BY p.ens, p.i, q.i)"
 
 
 @query("ens_cov_corr", f"{_COV} SELECT c.ens, c.i, c.j, round(c.cov, 6) + 0.0 AS cov, round(c.cov / sqrt(l.cov * r.cov), 6) + 0.0 AS corr FROM cov c JOIN cov l ON l.ens = c.ens AND l.i = c.i AND l.j = c.i JOIN cov r ON r.ens = c.ens AND r.i = c.j AND r.j = c.j")
 def ens_cov_corr(spark, d):
-    return rounded(en.covariance(_ens(spark, d), 16), "cov", "corr")
+    return rounded(en.covariance(_ens(spark, d), 64), "cov", "corr")
 
 
-@query("circulant_acf", f"{_COV}, b AS (SELECT ens, i, j, cov FROM cov UNION ALL SELECT ens, j, i, cov FROM cov WHERE i < j) SELECT ens, (j - i + 16) % 16 AS lag, round(sum(cov) / 16, 6) + 0.0 AS acf FROM b GROUP BY ens, (j - i + 16) % 16")
+@query("circulant_acf", f"{_COV}, b AS (SELECT ens, i, j, cov FROM cov UNION ALL SELECT ens, j, i, cov FROM cov WHERE i < j) SELECT ens, (j - i + 64) % 64 AS lag, round(sum(cov) / 64, 6) + 0.0 AS acf FROM b GROUP BY ens, (j - i + 64) % 64")
 def circulant_acf(spark, d):
-    return rounded(en.circulant_acf(en.covariance(_ens(spark, d), 16), 16), "acf")
+    return rounded(en.circulant_acf(en.covariance(_ens(spark, d), 64), 64), "acf")
 
 
 @query("ring_mean", f"WITH {ENS}, wide AS (SELECT * FROM ens UNION ALL SELECT ens, n, i + 64, x FROM ens WHERE i < 2 UNION ALL SELECT ens, n, i - 64, x FROM ens WHERE i >= 62), w AS (SELECT ens, n, i, avg(x) OVER (PARTITION BY ens, n ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS x FROM wide) SELECT ens, n, i, round(x, 6) + 0.0 AS x FROM w WHERE i BETWEEN 0 AND 63")
@@ -283,21 +283,48 @@ def local_obs_mean_dist(spark, d):
     return b.groupBy("batch", "s").agg(r6(F.avg("dist")).alias("dist"), F.count(F.lit(1)).alias("n"))
 
 
-@query("pairwise_dist", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_suppkey - b.s_suppkey) ** 2), 6) + 0.0 AS dist FROM supplier a JOIN supplier b ON a.s_nationkey % 5 = b.s_nationkey % 5 AND a.s_suppkey < b.s_suppkey")
+_REACH = "a.s_suppkey < b.s_suppkey AND sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_suppkey - b.s_suppkey) ** 2) <= 300"
+
+
+@query("pairwise_dist", f"SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(sqrt((a.s_acctbal - b.s_acctbal) ** 2 + (a.s_suppkey - b.s_suppkey) ** 2), 6) + 0.0 AS dist FROM supplier a JOIN supplier b ON {_REACH}")
 def pairwise_dist(spark, d):
-    s = read(spark, d, "supplier")
-    a, b = (s.select((F.col("s_nationkey") % 5).alias("g"), F.col("s_suppkey").alias(n), F.col("s_acctbal").alias(f"x{n}")) for n in ("a", "b"))
-    j = a.join(b, "g").where("a < b")
-    return j.select("a", "b", r6(lo.distance([F.col("xa"), F.col("a")], [F.col("xb"), F.col("b")])).alias("dist"))
+    """All pairs of suppliers that lie within a reach in two dimensions, by grid cell."""
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal"), F.col("s_suppkey").cast("double")).alias("pos"))
+    j = lo.near_points(s, s, 2, cell=300.0, reach=300.0).where("p < s")
+    return j.select(F.col("p").alias("a"), F.col("s").alias("b"), r6(F.col("dist")).alias("dist"))
+
+
+_TORUS = "pt AS (SELECT p_partkey AS id, (p_partkey * 7.31::DOUBLE) % 360 AS x, (p_partkey * 3.17::DOUBLE) % 100 AS y FROM part), st AS (SELECT s_suppkey AS id, (s_suppkey * 3.7::DOUBLE) % 360 AS x, (s_suppkey * 13.3::DOUBLE) % 100 AS y FROM supplier), dd AS (SELECT pt.id AS p, st.id AS s, sqrt(least(abs(pt.x - st.x), 360 - abs(pt.x - st.x)) ** 2 + least(abs(pt.y - st.y), 100 - abs(pt.y - st.y)) ** 2) AS dist FROM pt, st)"
+
+
+@query("pairwise_dist_torus", f"WITH {_TORUS} SELECT p, s, round(dist, 6) + 0.0 AS dist FROM dd WHERE dist <= 15")
+def pairwise_dist_torus(spark, d):
+    """Points and sites on a grid that is periodic both ways, within a reach."""
+    pts = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array((F.col("p_partkey") * 7.31 % 360).cast("double"), (F.col("p_partkey") * 3.17 % 100).cast("double")).alias("pos"))
+    st = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array((F.col("s_suppkey") * 3.7 % 360).cast("double"), (F.col("s_suppkey") * 13.3 % 100).cast("double")).alias("pos"))
+    return rounded(lo.near_points(pts, st, 2, cell=8.0, reach=15.0, period=[360.0, 100.0]), "dist")
+
+
+@query("taper_torus", f"WITH {_TORUS}, c AS (SELECT p, s, {_TAPERS['GC']} AS coeff FROM dd WHERE dist <= 15) SELECT p, s, round(coeff, 6) + 0.0 AS coeff FROM c WHERE coeff > 1e-3")
+def taper_torus(spark, d):
+    """Local observations of each point of a two-dimensional state."""
+    pts = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array((F.col("p_partkey") * 7.31 % 360).cast("double"), (F.col("p_partkey") * 3.17 % 100).cast("double")).alias("pos"))
+    st = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array((F.col("s_suppkey") * 3.7 % 360).cast("double"), (F.col("s_suppkey") * 13.3 % 100).cast("double")).alias("pos"))
+    return rounded(lo.local_observations(lo.near_points(pts, st, 2, cell=8.0, reach=15.0, period=[360.0, 100.0]), 4.0, "GC"), "coeff")
+
+
+@query("no_localization", "SELECT 0::BIGINT AS batch, s_suppkey AS s, 1.0::DOUBLE AS coeff FROM supplier")
+def no_localization(spark, d):
+    return lo.no_localization(read(spark, d, "supplier").select(F.col("s_suppkey").alias("s")))
 
 
 # --- particles -------------------------------------------------------------------------------------------
 
-_PART = f"{EVENTS}, p AS (SELECT sys, k AS n, y, 1.0 / count(*) OVER (PARTITION BY sys) AS w0 FROM s WHERE k <= 400), l AS (SELECT *, ln(w0) - 0.5 * ((y - 50) / 20) ** 2 AS lw FROM p), e AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY sys)) AS e FROM l), rw AS (SELECT sys, n, e / sum(e) OVER (PARTITION BY sys) AS w FROM e)"
+_PART = f"{EVENTS}, p AS (SELECT sys, k AS n, y, 1.0 / count(*) OVER (PARTITION BY sys) AS w0 FROM s), l AS (SELECT *, ln(w0) - 0.5 * ((y - 50) / 20) ** 2 AS lw FROM p), e AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY sys)) AS e FROM l), rw AS (SELECT sys, n, e / sum(e) OVER (PARTITION BY sys) AS w FROM e)"
 
 
 def _particles(spark, d):
-    s = _events(spark, d).where("k <= 400")
+    s = _events(spark, d)
     p = s.join(s.groupBy("sys").agg((1 / F.count(F.lit(1))).alias("w")), "sys").withColumnRenamed("k", "n")
     return pa.reweight(p, -0.5 * ((F.col("y") - 50) / 20) ** 2).select("sys", "n", "w")
 
@@ -318,7 +345,7 @@ def pf_temper(spark, d):
     return t.select("sys", "n", r6(F.log("s")).alias("log_s"), r6(F.col("sw"), 8).alias("sw"))  # s spans many orders
 
 
-_SYS = f"{_PART}, c AS (SELECT sys, n, sum(w) OVER (PARTITION BY sys ORDER BY n ROWS UNBOUNDED PRECEDING) AS hi, count(*) OVER (PARTITION BY sys) AS size FROM rw), iv AS (SELECT sys, n, coalesce(lag(hi) OVER (PARTITION BY sys ORDER BY n), -1) AS lo, CASE WHEN n = size THEN 2 ELSE hi END AS hi FROM c), tooth AS (SELECT sys, (0.37 + t.j) / size AS u FROM (SELECT DISTINCT sys, size FROM c) z, range(0, 400) t(j) WHERE t.j < size), cp AS (SELECT iv.sys, iv.n, count(tooth.u)::BIGINT AS copies FROM iv LEFT JOIN tooth ON tooth.sys = iv.sys AND tooth.u > iv.lo AND tooth.u <= iv.hi GROUP BY iv.sys, iv.n)"
+_SYS = f"{_PART}, c AS (SELECT sys, n, sum(w) OVER (PARTITION BY sys ORDER BY n ROWS UNBOUNDED PRECEDING) AS hi, count(*) OVER (PARTITION BY sys) AS size FROM rw), iv AS (SELECT sys, n, coalesce(lag(hi) OVER (PARTITION BY sys ORDER BY n), -1) AS lo, CASE WHEN n = size THEN 2 ELSE hi END AS hi FROM c), tooth AS (SELECT sys, (0.37 + t.j) / size AS u FROM (SELECT sys, size, unnest(range(size)) AS j FROM (SELECT DISTINCT sys, size FROM c)) t), cp AS (SELECT iv.sys, iv.n, count(tooth.u)::BIGINT AS copies FROM iv LEFT JOIN tooth ON tooth.sys = iv.sys AND tooth.u > iv.lo AND tooth.u <= iv.hi GROUP BY iv.sys, iv.n)"
 
 
 @query("pf_resample_sys", f"WITH {_SYS} SELECT sys, n, copies FROM cp")
@@ -326,7 +353,7 @@ def pf_resample_sys(spark, d):
     return pa.systematic(_particles(spark, d), 0.37)
 
 
-@query("pf_duplicates", f"WITH {_SYS} SELECT sys, n, c::BIGINT AS copy, copies > 1 AS again FROM cp, range(1, 401) t(c) WHERE c <= copies")
+@query("pf_duplicates", f"WITH {_SYS} SELECT sys, n, c::BIGINT AS copy, copies > 1 AS again FROM (SELECT sys, n, copies, unnest(range(1, copies + 1)) AS c FROM cp)")
 def pf_duplicates(spark, d):
     return pa.duplicates(pa.systematic(_particles(spark, d), 0.37))
 
@@ -554,10 +581,15 @@ def _stream(spark, d):
 
 
 def _shared(spark, name):
+    """A new path in the folder that driver and executors share; a temporary one where all is one machine."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp()
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -39,9 +39,9 @@ def obs_interpolated(spark, d):
     return rounded(ob.interpolated(_ens(spark, d), sites, 64), "y")
 
 
-@query("obs_cubic", f"WITH {ENS} SELECT ens, n, i, round(x ** 3, 6) + 0.0 AS y FROM ens WHERE i < 3")
+@query("obs_cubic", f"WITH {ENS} SELECT ens, n, i, round(x ** 3, 6) + 0.0 AS y FROM ens")
 def obs_cubic(spark, d):
-    return _ens(spark, d).where("i < 3").select("ens", "n", "i", r6(F.col("x") * F.col("x") * F.col("x")).alias("y"))
+    return _ens(spark, d).select("ens", "n", "i", r6(F.col("x") * F.col("x") * F.col("x")).alias("y"))
 
 
 @query("obs_alternating", f"WITH {ENS} SELECT ens, n, i, x FROM ens WHERE i % 2 = n % 2")
@@ -85,11 +85,11 @@ def rank_hist_weighted(spark, d):
     return m.groupBy("ens", F.least(F.floor(F.col("mass") * 10 + 1e-9), F.lit(9)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ens_spectra", f"{_COV}, err AS (SELECT ens, i, avg(x) AS mu FROM ens WHERE i < 16 GROUP BY ens, i), t AS (SELECT ens, sum((mu - truth) ** 2) AS err2 FROM err JOIN (SELECT i, avg(x) AS truth FROM ens GROUP BY i) USING (i) GROUP BY ens) SELECT ens, round(sum(cov), 5) + 0.0 AS total, round(any_value(err2), 5) + 0.0 AS misfit, count(*)::BIGINT AS n FROM cov JOIN t USING (ens) WHERE i = j GROUP BY ens")
+@query("ens_spectra", f"{_COV}, err AS (SELECT ens, i, avg(x) AS mu FROM ens GROUP BY ens, i), t AS (SELECT ens, sum((mu - truth) ** 2) AS err2 FROM err JOIN (SELECT i, avg(x) AS truth FROM ens GROUP BY i) USING (i) GROUP BY ens) SELECT ens, round(sum(cov), 5) + 0.0 AS total, round(any_value(err2), 5) + 0.0 AS misfit, count(*)::BIGINT AS n FROM cov JOIN t USING (ens) WHERE i = j GROUP BY ens")
 def ens_spectra(spark, d):
     """Singular values and misfits along them; their squares add up to the variance and the squared error."""
     e = _ens(spark, d)
-    s = da.ensemble_spectra(e, _truth(e), 16)
+    s = da.ensemble_spectra(e, _truth(e), 64)
     return s.groupBy("ens").agg(r6(F.sum(F.col("sval") ** 2), 5).alias("total"), r6(F.sum(F.col("umisf") ** 2), 5).alias("misfit"), F.count(F.lit(1)).alias("n"))
 
 
@@ -114,7 +114,7 @@ def eakf_localised(spark, d):
     return rounded(da.localised_update(_ens(spark, d), 3, 0.1, 0.02, lo.taper(far, 4.0, "Quadro")), "x")
 
 
-@query("enks_lag_block", f"WITH {ENS}, e2 AS (SELECT ens, n, i, x FROM ens UNION ALL SELECT ens, n, 64 + i, 0.9 * x FROM ens), a AS (SELECT *, x - avg(x) OVER (PARTITION BY ens, i) AS a, avg(x) OVER (PARTITION BY ens, i) AS mu FROM e2), y AS (SELECT ens, n, a AS ya, mu AS ym FROM a WHERE i = 3), c AS (SELECT a.ens, a.i, sum(a.a * y.ya) / (count(*) - 1) AS c FROM a JOIN y USING (ens, n) GROUP BY a.ens, a.i), v AS (SELECT ens, c AS v FROM c WHERE i = 3) SELECT a.ens, a.n, a.i // 64 AS lag, a.i % 64 AS i, round(a.x + c.c / (v.v + 0.02) * (0.1 - y.ym) - 1 / (1 + sqrt(0.02 / (v.v + 0.02))) * c.c / (v.v + 0.02) * y.ya, 6) + 0.0 AS x FROM a JOIN y USING (ens, n) JOIN c ON c.ens = a.ens AND c.i = a.i JOIN v ON v.ens = a.ens")
+@query("enks_lag_block", f"WITH {ENS}, e2 AS (SELECT ens, n, i, x FROM ens UNION ALL SELECT ens, n, 64 + i, 0.9 * x FROM ens), m AS MATERIALIZED (SELECT ens, i, avg(x) AS mu FROM e2 GROUP BY ens, i), a AS MATERIALIZED (SELECT ens, n, i, x, x - mu AS a, mu FROM e2 JOIN m USING (ens, i)), y AS MATERIALIZED (SELECT ens, n, a AS ya, mu AS ym FROM a WHERE i = 3), c AS MATERIALIZED (SELECT a.ens, a.i, sum(a.a * y.ya) / (count(*) - 1) AS c FROM a JOIN y USING (ens, n) GROUP BY a.ens, a.i), v AS (SELECT ens, c AS v FROM c WHERE i = 3) SELECT a.ens, a.n, a.i // 64 AS lag, a.i % 64 AS i, round(a.x + c.c / (v.v + 0.02) * (0.1 - y.ym) - 1 / (1 + sqrt(0.02 / (v.v + 0.02))) * c.c / (v.v + 0.02) * y.ya, 6) + 0.0 AS x FROM a JOIN y USING (ens, n) JOIN c ON c.ens = a.ens AND c.i = a.i JOIN v ON v.ens = a.ens")
 def enks_lag_block(spark, d):
     """A smoother's step: states of the lag window stand beside the present one and take the same update."""
     e = _ens(spark, d)
@@ -123,7 +123,18 @@ def enks_lag_block(spark, d):
     return u.select("ens", "n", F.floor(F.col("i") / 64).cast("long").alias("lag"), (F.col("i") % 64).alias("i"), r6(F.col("x")).alias("x"))
 
 
-@query("rank_histogram_filter")
+_ANOM = f"{ENS}, m AS MATERIALIZED (SELECT ens, i, avg(x) AS mu FROM ens GROUP BY ens, i), a AS MATERIALIZED (SELECT ens, n, i, x, x - mu AS a, mu FROM ens JOIN m USING (ens, i))"
+_RHF = """d AS (SELECT ens, n, a AS ya, (0.1 - mu - a) / sqrt(0.02) AS d FROM a WHERE i = 3),
+w AS (SELECT *, greatest(exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER (PARTITION BY ens), 1e-10) AS w, count(*) OVER (PARTITION BY ens) AS sz, row_number() OVER (PARTITION BY ens ORDER BY d, n) AS rk FROM d),
+c AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY ens ORDER BY rk ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY ens) * (sz - 1) / sz AS cw FROM w),
+q AS MATERIALIZED (SELECT *, least(greatest((rk - 0.5) / sz, min(cw) OVER (PARTITION BY ens)), max(cw) OVER (PARTITION BY ens)) AS q FROM c),
+lo AS (SELECT q.ens, q.n, max(c.cw) AS c0, arg_max(c.d, c.cw) AS d0 FROM q JOIN c ON c.ens = q.ens AND c.cw <= q.q GROUP BY q.ens, q.n),
+hi AS (SELECT q.ens, q.n, min(c.cw) AS c1, arg_min(c.d, c.cw) AS d1 FROM q JOIN c ON c.ens = q.ens AND c.cw >= q.q GROUP BY q.ens, q.n),
+mv AS MATERIALIZED (SELECT q.ens, q.n, q.ya, CASE WHEN c1 > c0 THEN d0 + (q.q - c0) / (c1 - c0) * (d1 - d0) ELSE d0 END - q.d AS move FROM q JOIN lo USING (ens, n) JOIN hi USING (ens, n)),
+sl AS (SELECT a.ens, a.i, sum(a.a * mv.ya) / sum(mv.ya * mv.ya) AS slope FROM a JOIN mv USING (ens, n) GROUP BY a.ens, a.i)"""
+
+
+@query("rank_histogram_filter", f"WITH {_ANOM}, {_RHF} SELECT a.ens, a.n, a.i, round(a.x - mv.move * sl.slope * sqrt(0.02), 6) + 0.0 AS x FROM a JOIN mv USING (ens, n) JOIN sl ON sl.ens = a.ens AND sl.i = a.i")
 def rank_histogram_filter(spark, d):
     return rounded(da.rank_histogram_update(_ens(spark, d), 3, 0.1, 0.02), "x")
 
@@ -139,6 +150,32 @@ def letkf_step(spark, d):
     return rounded(da.local_transform(e, _obs_of_truth(spark, e, 4), 0.02, 4.0, 64), "x")
 
 
+_ONE = """o AS (SELECT i, avg(x) AS y FROM ens WHERE i % 16 = 0 GROUP BY i), near AS (SELECT s.i, o.i AS oi, o.y, CASE WHEN t.dist / 6.56 <= 1 THEN (1 - (t.dist / 6.56) ** 4) ** 4 ELSE 0 END AS h FROM (SELECT DISTINCT i FROM ens) s, o, LATERAL (SELECT (least(abs(s.i // 2 * 2 - o.i), 64 - abs(s.i // 2 * 2 - o.i)) + least(abs(s.i // 2 * 2 + 1 - o.i), 64 - abs(s.i // 2 * 2 + 1 - o.i))) / 2.0 AS dist) t),
+l AS MATERIALIZED (SELECT a.ens, a.n, near.i, a.a * sqrt(near.h / 0.02) AS ya, (near.y - a.mu) * sqrt(near.h / 0.02) AS dy FROM a JOIN near ON near.oi = a.i WHERE near.h > 1e-3),
+g AS (SELECT a.ens, a.i, sum(l.ya * a.a) AS ga, sum(l.ya * l.ya) AS s, any_value(l.dy) AS dy, count(*) - 1 AS n1 FROM a JOIN l USING (ens, n, i) GROUP BY a.ens, a.i)"""
+
+
+@query("letkf_one_obs", f"WITH {_ANOM}, {_ONE} SELECT a.ens, a.n, a.i, round(a.x + CASE WHEN g.ga IS NULL THEN 0 ELSE g.dy / (g.n1 + g.s) * g.ga + (sqrt(g.n1 / (g.n1 + g.s)) - 1) / g.s * l.ya * g.ga END, 6) + 0.0 AS x FROM a LEFT JOIN g ON g.ens = a.ens AND g.i = a.i LEFT JOIN l ON l.ens = a.ens AND l.n = a.n AND l.i = a.i")
+def letkf_one_obs(spark, d):
+    """Local analyses so far apart that a batch sees one observation at most, for which the transform has a closed form."""
+    e = _ens(spark, d)
+    return rounded(da.local_transform(e, _obs_of_truth(spark, e, 16), 0.02, 4.0, 64, kind="Quadro"), "x")
+
+
+_FINITE = """s AS (SELECT ens, sum(a * a) / 0.02 AS s2, any_value((t.truth - a.mu) ** 2) / 0.02 AS du2, count(*)::DOUBLE AS n FROM a JOIN (SELECT avg(x) AS truth FROM ens WHERE i = 0) t ON true WHERE i = 0 GROUP BY ens),
+f AS (SELECT *, (1 / (s2 + n - 1) + (n - 1) / (n - 1)) / n * (n - 1) AS prior FROM s),
+k AS (SELECT *, (n + 1) / n / sqrt(((n + 1) / n / (n / (n - 1))) ** prior) AS en, n / (n - 1) * sqrt(((n + 1) / n / (n / (n - 1))) ** prior) AS cl FROM f),
+b(ens, s2, du2, n, en, cl, lo, hi, step) AS (SELECT ens, s2, du2, n, en, cl, -12.0::DOUBLE, 12.0::DOUBLE, 0 FROM k UNION ALL
+SELECT ens, s2, du2, n, en, cl, CASE WHEN g < 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN g < 0 THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM (SELECT *, - s2 * du2 / (exp((lo + hi) / 2) * s2 + n - 1) ** 2 * exp((lo + hi) / 2) - en * exp(-(lo + hi) / 2) + cl AS g FROM b WHERE step < 60))"""
+
+
+@query("enkf_n_one_obs", f"WITH RECURSIVE {_ANOM}, {_FINITE} SELECT ens, round(exp((lo + hi) / 4), 4) + 0.0 AS infl FROM b WHERE step = 60")
+def enkf_n_one_obs(spark, d):
+    """Finite-size inflation from one observed variable, by bisection."""
+    e = _ens(spark, d)
+    return rounded(da.finite_size_inflation(e, _obs_of_truth(spark, e, 64), 0.02), "infl", places=4)
+
+
 @query("enkf_n_inflation")
 def enkf_n_inflation(spark, d):
     e = _ens(spark, d)
@@ -153,10 +190,10 @@ def pf_bandwidth(spark, d):
     return _particles(spark, d).groupBy("sys").agg(r6(pa.bandwidth(F.count(F.lit(1)), 3), 9).alias("bandwidth"))
 
 
-@query("pf_adaptive_root", f"WITH {_PART}, r AS (SELECT 1 + 0.2 * k AS root FROM range(0, 21) t(k)), fl AS (SELECT sys, root, w ** (1 / root) AS v FROM rw, r), sz AS (SELECT sys, root, sum(v) ** 2 / sum(v * v) AS n_eff, count(*) AS size FROM fl GROUP BY sys, root) SELECT sys, round(min(CASE WHEN n_eff >= 0.8 * size THEN root END), 1) + 0.0 AS root FROM sz GROUP BY sys")
+@query("pf_adaptive_root", f"WITH {_PART}, r AS (SELECT 1 + 0.2 * k AS root FROM range(0, 120) t(k)), fl AS (SELECT sys, root, w ** (1 / root) AS v FROM rw, r), sz AS (SELECT sys, root, sum(v) ** 2 / sum(v * v) AS n_eff, count(*) AS size FROM fl GROUP BY sys, root) SELECT sys, round(min(CASE WHEN n_eff >= 0.8 * size THEN root END), 1) + 0.0 AS root FROM sz GROUP BY sys")
 def pf_adaptive_root(spark, d):
     """The least flattening of the weights after which four fifths of the particles count."""
-    return rounded(pa.adaptive_root(_particles(spark, d), 0.8, 0.2, 20), "root", places=1)
+    return rounded(pa.adaptive_root(_particles(spark, d), 0.8, 0.2), "root", places=1)
 
 
 @query("pf_colour", f"WITH {_PART}, x AS (SELECT rw.sys, rw.n, rw.w, s.y FROM rw JOIN s ON s.sys = rw.sys AND s.k = rw.n), c AS (SELECT sys, sum(w * y) AS mu, CASE WHEN 1 - max(w) < 1e-10 THEN 1 ELSE 1 / (1 - sum(w * w)) END AS ub FROM x GROUP BY sys) SELECT sys, n, round(sqrt(ub * w) * (y - mu), 6) + 0.0 AS c FROM x JOIN c USING (sys)")
@@ -300,7 +337,10 @@ def runs_crashed(spark, d):
     return runs.crashed(x.select("xp_id"), runs.load_run(spark, root, "sweep"))
 
 
-@query("settings_table")
+_SETTINGS = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::{'DOUBLE' if isinstance(v, float) else 'INTEGER'}" for v in row) + ")" for row in settings.SETTINGS)
+
+
+@query("settings_table", f"SELECT * FROM (VALUES {_SETTINGS}) v({', '.join(c.split()[0] for c in settings.KIND.split(', '))})")
 def settings_table(spark, d):
     return settings.settings(spark)
 

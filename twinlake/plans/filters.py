@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.functions.ensemble import KEY, anomalies
+from twinlake.functions.series import BLOCK, blocked
 
 
 def climatology(s: DataFrame) -> DataFrame:
@@ -19,13 +20,15 @@ def climatology(s: DataFrame) -> DataFrame:
 
 def persistence(s: DataFrame) -> DataFrame:
     """(sys, k, y, forecast): the last value; none at the start."""
-    return s.withColumn("forecast", F.lag("y").over(Window.partitionBy("sys").orderBy("k")))
+    d = blocked(s, before=1).withColumn("forecast", F.lag("y").over(Window.partitionBy("sys", "blk").orderBy("k")))
+    return d.where("own").select(*s.columns, "forecast")
 
 
 def previous_observation(s: DataFrame, every: int) -> DataFrame:
     """As-of: the latest value at a multiple of ``every`` strictly before each step."""
-    w = Window.partitionBy("sys").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return s.withColumn("forecast", F.last(F.when(F.col("k") % every == 0, F.col("y")), ignorenulls=True).over(w))
+    w = Window.partitionBy("sys", "blk").orderBy("k").rowsBetween(-every, -1)
+    d = blocked(s, before=every).withColumn("forecast", F.last(F.when(F.col("k") % every == 0, F.col("y")), ignorenulls=True).over(w))
+    return d.where("own").select(*s.columns, "forecast")
 
 
 def optimal_interpolation(s: DataFrame, r: float, scale: float = 1.0) -> DataFrame:
@@ -37,29 +40,87 @@ def optimal_interpolation(s: DataFrame, r: float, scale: float = 1.0) -> DataFra
     return s.join(c, "sys").select("sys", "k", "y", (F.col("mu") + b / (b + r) * (F.col("y") - F.col("mu"))).alias("analysis"))
 
 
-def kalman(s: DataFrame, f: float, q: float, r: float, smooth: bool = False) -> DataFrame:
-    """(sys, k, y, forecast, mean, var[, smoothed]): the scalar Kalman filter of each series, one group a series.
-
-    Starts from the first observation with variance r. ``smooth`` adds the backward pass."""
-    kind = "sys string, k long, y double, forecast double, mean double, var double" + (", smoothed double" if smooth else "")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def variance_after(k: int, f: float, q: float, r: float) -> float:
+    """Variance of the scalar filter after step ``k``, from ``r`` at the first: a fractional linear map, by powers of its matrix."""
+    m, v, n = np.array([[r * f * f, r * q], [f * f, q + r]]), np.array([r, 1.0]), k - 1
+    while n:
+        if n & 1:
+            v = m @ v
+            v = v / v[1]
+        m = m @ m
+        m = m / np.abs(m).max()
+        n >>= 1
+    return float(v[0] / v[1])
+
+
+def kalman(s: DataFrame, f: float, q: float, r: float, smooth: bool = False, size: int = BLOCK) -> DataFrame:
+    """(sys, k, y, forecast, mean, var[, smoothed]): the scalar Kalman filter of each series (k from 1, without gaps).
+
+    Starts from the first observation with variance r. ``smooth`` adds the backward pass. Gains depend on k alone, and
+    a step is a linear map of the mean, so a block of ``size`` steps is one too: blocks are summed up each by itself,
+    the sums are chained (a row a block), and each block then runs from the mean that it starts with. The backward
+    pass is chained from the last block in the same way."""
+    pass_ = s.withColumn("blk", F.floor((F.col("k") - 1) / size).cast("long"))
+
+    def gains(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Forecast variances and gains of ``n`` steps from ``k``; the first step of all takes its observation as it is."""
+        pf, g = np.empty(n), np.empty(n)
+        p = variance_after(k - 1, f, q, r) if k > 1 else r
+        for i in range(n):
+            pf[i], g[i] = (f * f * p + q, 0.0) if k + i > 1 else (r, 0.0)
+            g[i] = pf[i] / (pf[i] + r) if k + i > 1 else 0.0
+            p = (1 - g[i]) * pf[i]
+        return pf, g
+
+    def forward(pdf: pd.DataFrame, m: float) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        k, y = int(pdf["k"].iat[0]), pdf["y"].to_numpy()
+        pf, g = gains(k, len(y))
+        fc, mean = np.empty(len(y)), np.empty(len(y))
+        for i in range(len(y)):
+            fc[i] = f * m if k + i > 1 else y[i]
+            m = mean[i] = fc[i] + g[i] * (y[i] - fc[i])
+        return pd.DataFrame({"sys": pdf["sys"], "k": pdf["k"], "y": y, "forecast": fc, "mean": mean, "var": (1 - g) * pf, "blk": pdf["blk"]})
+
+    def backward(pdf: pd.DataFrame, z: float | None) -> np.ndarray:
+        """Smoothed means of one block, from the first of the next, or from the last itself."""
+        mean, var = pdf["mean"].to_numpy(), pdf["var"].to_numpy()
+        c, out = var * f / (f * f * var + q), np.empty(len(mean))
+        for i in range(len(mean) - 1, -1, -1):
+            z = out[i] = mean[i] if z is None else mean[i] + c[i] * (z - f * mean[i])
+        return out
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = [forward(pdf, m)["mean"].iat[-1] for m in (0.0, 1.0)]
+        return pd.DataFrame({"sys": [pdf["sys"].iat[0]], "blk": [pdf["blk"].iat[0]], "slope": [ends[1] - ends[0]], "level": [ends[0]]})
+
+    def summed_back(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        starts = [backward(pdf, z)[0] for z in (0.0, 1.0, None)]
+        return pd.DataFrame({"sys": [pdf["sys"].iat[0]], "blk": [pdf["blk"].iat[0]], "slope": [starts[1] - starts[0]], "level": [starts[0]], "alone": [starts[2]]})
+
+    def chained(pdf: pd.DataFrame, reverse: bool) -> pd.DataFrame:
+        pdf, at, out = pdf.sort_values("blk", ascending=not reverse), None, []
+        for row in pdf.itertuples():
+            out.append(at)
+            at = row.level + row.slope * (at or 0.0) if at is not None or not reverse else row.alone
+        return pd.DataFrame({"sys": pdf["sys"], "blk": pdf["blk"], "at": out})
+
+    one, link = "sys string, blk long, slope double, level double", "sys string, blk long, at double"
+    steps = "sys string, k long, y double, forecast double, mean double, var double, blk long"
+    start = pass_.groupBy("sys", "blk").applyInPandas(summed, one).groupBy("sys").applyInPandas(lambda x: chained(x, False), link)
+    begun = pass_.join(start, ["sys", "blk"])
+    out = begun.groupBy("sys", "blk").applyInPandas(lambda x: forward(x, 0.0 if pd.isna(x["at"].iat[0]) else float(x["at"].iat[0])), steps)
+    if not smooth:
+        return out.drop("blk")
+    end = out.groupBy("sys", "blk").applyInPandas(summed_back, f"{one}, alone double").groupBy("sys").applyInPandas(lambda x: chained(x, True), link)
+
+    def smoothed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
-        y = pdf["y"].to_numpy()
-        fc, m, p, pf = (np.empty(len(y)) for _ in range(4))
-        for k in range(len(y)):
-            fc[k], pf[k] = (f * m[k - 1], f * f * p[k - 1] + q) if k else (y[0], r)
-            gain = pf[k] / (pf[k] + r) if k else 0.0
-            m[k], p[k] = fc[k] + gain * (y[k] - fc[k]), (1 - gain) * pf[k]
-        out = {"sys": pdf["sys"], "k": pdf["k"], "y": y, "forecast": fc, "mean": m, "var": p}
-        if smooth:
-            z = m.copy()
-            for k in range(len(y) - 2, -1, -1):
-                z[k] = m[k] + p[k] * f / pf[k + 1] * (z[k + 1] - fc[k + 1])
-            out["smoothed"] = z
-        return pd.DataFrame(out)
-
-    return s.groupBy("sys").applyInPandas(run, kind)
+        z = pdf["at"].iat[0]
+        return pdf.drop(columns=["at", "blk"]).assign(smoothed=backward(pdf, None if pd.isna(z) else float(z)))[["sys", "k", "y", "forecast", "mean", "var", "smoothed"]]
+
+    return out.join(end, ["sys", "blk"]).groupBy("sys", "blk").applyInPandas(smoothed, steps.replace("blk long", "smoothed double"))
 
 
 def scalar_update(e: DataFrame, index: int, obs: float, r: float, flavour: str = "DEnKF") -> DataFrame:
@@ -150,3 +211,8 @@ def twin_experiments(xps: DataFrame, dt: float, dko: int, obs: int, r: float, mo
                 yield pd.DataFrame(rows, columns=["xp_id", "ko", "err", "spread"])
 
     return xps.select("xp_id", "da_method", "N", F.coalesce("infl", F.lit(1.0)).alias("infl"), "seed").repartition("xp_id").mapInPandas(run, "xp_id long, ko long, err double, spread double")
+
+
+def scheduled(s: DataFrame, plan: DataFrame, slot) -> DataFrame:
+    """Adds ``mu``, the estimate that ``plan`` (slot, mu) gives beforehand for the slot of each step."""
+    return s.withColumn("slot", slot).join(plan, "slot").drop("slot")

@@ -39,3 +39,21 @@ def compacted(spark: SparkSession, root: str, name: str, run_ts: int, files: int
     new = max(latest_run(spark, root, name), run_ts) + 1
     load_run(spark, root, name, run_ts).coalesce(files).write.parquet(f"{root}/{name}/run_ts={new}")
     return new
+
+
+def job_folders(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of the folders under ``root`` whose names are numbers, in order: one a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x) for x in (p.getPath().getName() for p in fs.listStatus(path)) if x.isdigit())
+
+
+def overwritten(spark: SparkSession, xps: DataFrame, root: str, name: str, run_ts: int) -> None:
+    """Put ``xps`` in place of a run: written beside it first, so the old rows may be read for it, then renamed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(f"{root}/{name}/run_ts={run_ts}"), hadoop.Path(f"{root}/{name}/_new_{run_ts}")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    xps.write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"could not rename {new.toString()}")

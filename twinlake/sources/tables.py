@@ -25,7 +25,15 @@ def ensembles(df: DataFrame, ens: str = "label", member: str = "vec_id", state:
     return df.select(F.col(ens).cast("long").alias("ens"), F.col(member).cast("long").alias("n"), F.posexplode(state).alias("i", "x")).select("ens", "n", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
-def series(events: DataFrame, system: str = "event_type", time: str = "ts", value: str = "value") -> DataFrame:
-    """(sys, k, y): observations of each system, numbered in order of time."""
-    w = Window.partitionBy(system).orderBy(time, "event_id")
-    return events.select(F.col(system).alias("sys"), F.row_number().over(w).cast("long").alias("k"), F.col(value).alias("y"))
+def series(events: DataFrame, system: str = "event_type", time: str = "ts", value: str = "value", width: str = "hour") -> DataFrame:
+    """(sys, k, y): observations of each system, numbered in order of time.
+
+    Counts by system and span of time (``width``) give each span its first number, so a task numbers one span of one
+    system at a time, and only a count a span is put in order for a whole system."""
+    e = events.select(F.col(system).alias("sys"), F.date_trunc(width, F.col(time)).alias("span"), F.col(time).alias("t"), "event_id", F.col(value).alias("y"))
+    ahead = Window.partitionBy("sys").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    n = e.groupBy("sys", "span").agg(F.count(F.lit(1)).alias("n"))
+    base = n.select(F.col("sys").alias("s"), F.col("span").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    d = e.join(base, F.col("sys").eqNullSafe(F.col("s")) & F.col("span").eqNullSafe(F.col("p")))
+    k = F.col("base") + F.row_number().over(Window.partitionBy("sys", "span").orderBy("t", "event_id"))
+    return d.select("sys", k.cast("long").alias("k"), "y")
