@@ -34,9 +34,11 @@ RARE, CODES = HEAD, HEAD + 1 + BUCKETS
 #: Classes: the root, its slots, theirs, and theirs.
 NODES = 1 + 16 + 256 + 4096
 ROW_BITS, START = 18, np.uint32(0xFFFFFFFF)
-ROUNDS, RATE, MINIBATCH, FIRST_SEEN = 1, 0.3, 8192, 0.05
+ROUNDS, RATE, MINIBATCH, FIRST_SEEN = 1, 0.3, 4096, 0.05
 #: Positions that one task learns from, blocks that weights travel in, and characters of a batch of documents.
-TASK_POSITIONS, BLOCKS, BATCH_CHARS = 8_000_000, 64, 8_000_000
+TASK_POSITIONS, BLOCKS, BATCH_CHARS = 8_000_000, 64, 20_000_000
+#: Positions of a batch that are put in random order, and equal events among them put together, at once.
+TOGETHER = 1 << 20
 
 _U = np.uint32
 
@@ -178,50 +180,65 @@ def features(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return np.stack([a, _mix(a * _U(0x27D4EB2F) ^ b), b], 1)
 
 
+_NODE, _SLOT, _DEPTH = paths(np.arange(CODES))
+
+
 class Examples:
     """One softmax a row: position, class, slot taken, rows of weights.
 
     The word before and the pair count at every class, the skip at the root, where most is decided, alone."""
 
     def __init__(self, code: np.ndarray, f: np.ndarray):
-        node, slot, depth = paths(code)
-        self.of, level = np.nonzero(np.arange(4) < depth[:, None])
-        self.node, self.slot = node[self.of, level], slot[self.of, level]
-        x = f[self.of] + (self.node.astype(_U) * _U(0x165667B1))[:, None]
-        self.rows = (_mix(x) >> _U(32 - ROW_BITS)).astype("i4")
-        self.top = level == 0
-
-
-def _log_softmax(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
-    z = bias[e.node]
-    z += w[e.rows[:, 0]]
-    z += w[e.rows[:, 1]]
-    z[e.top] += w[e.rows[e.top, 2]]
+        depth = _DEPTH[code]
+        self.of = np.repeat(np.arange(len(code)), depth)
+        level = np.arange(len(self.of)) - (np.cumsum(depth) - depth)[self.of]
+        self.node, self.slot = _NODE[code[self.of], level], _SLOT[code[self.of], level]
+        self.top = np.flatnonzero(level == 0)
+        mixed = lambda x, node: (_mix(x + node.astype(_U) * _U(0x165667B1)) >> _U(32 - ROW_BITS)).astype("i4")
+        self.rows = [mixed(f[self.of, 0], self.node), mixed(f[self.of, 1], self.node), mixed(f[:, 2], self.node[self.top])]
+
+
+def _sums(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
+    """What each softmax is taken of, less its largest."""
+    z = bias.take(e.node, 0)
+    z += w.take(e.rows[0], 0)
+    z += w.take(e.rows[1], 0)
+    z[e.top] += w.take(e.rows[2], 0)
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def _log_taken(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
+    """Log probability of the slot that each example takes."""
+    z = _sums(bias, w, e)
+    own = z[np.arange(len(z)), e.slot].astype("f8")
+    return own - np.log(np.exp(z, out=z).sum(1, dtype="f8"))
+
+
 def _step(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, e: Examples, times: np.ndarray | None = None) -> None:
     """One AdaGrad step, with one accumulator a row of weights; an example's position counts ``times``."""
-    g = np.exp(_log_softmax(bias, w, e))
-    g[np.arange(len(g)), e.slot] -= 1
+    g = _sums(bias, w, e)
+    np.exp(g, out=g)
+    g /= g.sum(1, keepdims=True)
+    every = np.arange(len(g))
+    g[every, e.slot] -= 1
     if times is not None:
         g *= times[e.of][:, None]
-    top = np.flatnonzero(e.top)
-    flat = np.concatenate([e.rows[:, 0], e.rows[:, 1], e.rows[top, 2]])
-    of = np.concatenate([np.arange(len(g)), np.arange(len(g)), top])
+    flat = np.concatenate(e.rows)
+    of = np.concatenate([every, every, e.top])
     order = np.argsort(flat)
     own = flat[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    total = np.add.reduceat(g[of[order]], starts, axis=0)
+    total = np.add.reduceat(g.take(of[order], 0), starts, axis=0)
     at = own[starts]
-    seen[at] += np.einsum("ij,ij->i", total, total) / SLOTS
-    w[at] -= total * (RATE / np.sqrt(seen[at]))[:, None]
+    much = seen[at] + np.einsum("ij,ij->i", total, total) / SLOTS
+    seen[at] = much
+    total *= (RATE / np.sqrt(much))[:, None]
+    w[at] = w.take(at, 0) - total
 
 
 def _positions(r: dict) -> dict:
-    """Of a coded batch, by position: code, the two words before, training count, place of the document's end."""
+    """Of a coded batch, by position: code, the two words before, place in the batch's words."""
     place, lens = unpack_places(r["places"]), np.array(r["lens"], "i8")
     crc = np.frombuffer(r["crc"], "<u4")[place]
     first = np.repeat(np.cumsum(lens) - lens, lens)
@@ -230,7 +247,7 @@ def _positions(r: dict) -> dict:
     h1[1:], h2[2:] = crc[:-1], crc[:-2]
     h1[nth < 1] = START
     h2[nth < 2] = START
-    return {"code": np.frombuffer(r["code"], "<i4")[place], "h1": h1, "h2": h2, "c": np.frombuffer(r["c"], "<i8")[place], "lens": lens}
+    return {"code": np.frombuffer(r["code"], "<i4")[place], "h1": h1, "h2": h2, "place": place, "lens": lens}
 
 
 def _events(p: dict, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +276,12 @@ def train(t: DataFrame, bias: np.ndarray, total: int, rounds: int = ROUNDS) -> n
                 p = _positions(row)
                 used = np.flatnonzero(np.repeat(np.array(row["train"], bool), p["lens"]))
                 n += len(used)
-                used, times = _events(p, used)
-                order = np.random.default_rng(r).permutation(len(used))
-                for at in range(0, len(used), MINIBATCH):
-                    i, k = used[order[at : at + MINIBATCH]], times[order[at : at + MINIBATCH]]
-                    _step(bias, v, seen, Examples(p["code"][i], features(p["h1"][i], p["h2"][i])), k)
+                for start in range(0, len(used), TOGETHER):
+                    some, times = _events(p, used[start : start + TOGETHER])
+                    order = np.random.default_rng(r).permutation(len(some))
+                    for at in range(0, len(some), MINIBATCH):
+                        i, k = some[order[at : at + MINIBATCH]], times[order[at : at + MINIBATCH]]
+                        _step(bias, v, seen, Examples(p["code"][i], features(p["h1"][i], p["h2"][i])), k)
             if n:
                 seen -= np.float32(FIRST_SEEN)
                 cut = [[x.tobytes() for x in np.split(y, BLOCKS)] for y in ((v - w).astype("<f2"), seen)]
@@ -330,15 +348,16 @@ def scored(t: DataFrame, model: Model) -> DataFrame:
 
     def run(it):
         for r in _rows(it):
-            p = _positions(r)
-            logp = model.inside(p["code"], p["c"])
-            for at in range(0, len(logp), 4 * MINIBATCH):
-                i = slice(at, at + 4 * MINIBATCH)
-                e = Examples(p["code"][i], features(p["h1"][i], p["h2"][i]))
-                own = _log_softmax(model.bias, model.weights, e)[np.arange(len(e.slot)), e.slot]
-                logp[i] += np.bincount(e.of, weights=own.astype("f8"), minlength=len(logp[i]))
+            p, c = _positions(r), np.frombuffer(r["c"], "<i8")
             starts = np.cumsum(p["lens"]) - p["lens"]
-            per = [np.add.reduceat(x, starts) for x in ((p["c"] > 0).astype("i8"), np.log10((p["c"] + 1) / (model.n + model.v + 1)), logp / np.log(10))]
+            known = np.add.reduceat((c > 0).astype("i8")[p["place"]], starts)
+            base = np.add.reduceat(np.log10((c + 1) / (model.n + model.v + 1))[p["place"]], starts)
+            logp = model.inside(np.frombuffer(r["code"], "<i4"), c)[p["place"]]
+            for at in range(0, len(logp), MINIBATCH):
+                i = slice(at, at + MINIBATCH)
+                e = Examples(p["code"][i], features(p["h1"][i], p["h2"][i]))
+                logp[i] += np.bincount(e.of, weights=_log_taken(model.bias, model.weights, e), minlength=len(logp[i]))
+            per = [known, base, np.add.reduceat(logp, starts) / np.log(10)]
             yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(p["lens"]), pa.array(per[0]), pa.array(per[1]), pa.array(per[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return t.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
