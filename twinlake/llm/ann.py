@@ -24,6 +24,8 @@ AXES = 32
 ENOUGH = 100
 #: Rows whose vectors a task holds at once for reranking.
 BLOCK_ROWS = 4000
+#: Rows of a part, within which a query's hits are counted at once.
+PART_ROWS = 1_000_000
 #: Dimensions up to which a pseudo-rotation is kept as one matrix.
 DENSE = 256
 
@@ -109,7 +111,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str, dim: int | None = None) ->
 
 
 def _closest(k: int, dim: int):
-    """Of one block of rows: each query's k best among its candidates there; a candidate below nought is all rows.
+    """Of one block of rows: each query's k best among its candidates there; an empty list is all rows.
 
     ``vectors`` are the block's rows (with their ids) and the queries that have candidates in it (with none)."""
 
@@ -122,13 +124,10 @@ def _closest(k: int, dim: int):
             rows = np.array([i for i, x in enumerate(ids) if x is not None], "i8")
             of_query = {int(query[i]): i for i, x in enumerate(ids) if x is None}
             order = rows[np.argsort(node[rows])]
-            q, p = pairs.column("query_id").to_numpy(), pairs.column("node").to_numpy()
-            by = np.argsort(q, kind="stable")
-            q, p = q[by], p[by]
-            starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-            for a, z in zip(starts, [*starts[1:], len(q)], strict=True):
-                qid, own = int(q[a]), p[a:z]
-                at = order if own[0] < 0 else order[np.searchsorted(node[order], own)]
+            lists = pairs.column("nodes").combine_chunks()
+            for i, qid in enumerate(pairs.column("query_id").to_pylist()):
+                own = lists[i].values.to_numpy() if len(lists[i]) else None
+                at = order if own is None else order[np.searchsorted(node[order], own)]
                 d = np.sqrt(((every[at] - every[of_query[qid]]) ** 2).sum(1))
                 if len(d) > k + 1:  # one more, for the query's own row
                     near = d <= np.partition(d, k)[k]
@@ -141,8 +140,11 @@ def _closest(k: int, dim: int):
     return run
 
 
-def candidates(held: DataFrame, asked: DataFrame, t: Tables, probes: int, hits: int, enough: int) -> DataFrame:
-    """(query_id, node): rows that a query meets in ``hits`` tables, or in one where it has fewer than ``enough`` such rows."""
+def candidates(held: DataFrame, asked: DataFrame, t: Tables, probes: int, hits: int, enough: int, blocks: int) -> DataFrame:
+    """(block, query_id, nodes): rows that a query meets in ``hits`` tables, or in one where it has fewer than ``enough`` such rows.
+
+    A cell is one row a part of all rows, with its rows as a list, so what meets is a row a cell that a query visits;
+    hits are counted a query and part at a time. Rows of a block, ``node`` modulo ``blocks``, are one list."""
     dim = t.dim
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +163,23 @@ def candidates(held: DataFrame, asked: DataFrame, t: Tables, probes: int, hits:
                 cell = np.concatenate([t.probes(u, n, probes) for n in range(t.tables)], 1)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1), pa.int64()), pa.array(np.repeat(part.column("id").to_numpy(), cell.shape[1]), pa.int64())], names=["cell", "query_id"])
 
+    def count(key, rows):
+        """Of one query and part: its candidates, a row a block of rows."""
+        node, n = np.unique(rows.column("nodes").combine_chunks().flatten().to_numpy(), return_counts=True)
+        some = node[n >= hits]
+        some = node if len(some) < -(-enough // parts) else some
+        block = some % blocks
+        order = np.argsort(block, kind="stable")
+        block, some = block[order], some[order]
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(some) else np.zeros(0, "i8")
+        nodes = pa.ListArray.from_arrays(pa.array([*starts, len(some)], pa.int32()), pa.array(some, pa.int64()))
+        return pa.table({"block": pa.array(block[starts], pa.int64()), "query_id": pa.array([key[0].as_py()] * len(starts), pa.int64()), "nodes": nodes})
+
+    parts = max(1, -(-blocks * BLOCK_ROWS // PART_ROWS))
     rows = held.select("node", "vec").mapInArrow(index, "cell long, node long")
-    met = rows.join(asked.mapInArrow(probe, "cell long, query_id long"), "cell").groupBy("query_id", "node").agg(F.count(F.lit(1)).alias("hits"))
-    met = materialise(met, "ann-met")
-    few = met.groupBy("query_id").agg(F.count_if(F.col("hits") >= hits).alias("n")).where(F.col("n") < enough)
-    more = met.where(F.col("hits") < hits).join(few, "query_id", "left_semi")
-    return met.where(F.col("hits") >= hits).select("query_id", "node").unionByName(more.select("query_id", "node"))
+    cells = rows.groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.collect_list("node").alias("nodes"))
+    met = cells.join(asked.mapInArrow(probe, "cell long, query_id long"), "cell").select("query_id", "part", "nodes")
+    return materialise(met.groupBy("query_id", "part").applyInArrow(count, "block long, query_id long, nodes array<long>"), "ann-met")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probes: int = PROBES, hits: int = HITS, enough: int = ENOUGH, seed: int = SEED) -> DataFrame:
@@ -184,11 +197,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
     held = materialise(held.withColumn("node", F.monotonically_increasing_id()), "ann-rows")
     asked = materialise(q.dropDuplicates(["id"]), "ann-queries")
     blocks = max(1, -(-held.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    block = F.pmod(F.col("node"), F.lit(blocks))
     vectors = held.select(block.alias("block"), "node", F.lit(None).cast("long").alias("query_id"), "ids", "vec")
 
     def reranked(pairs: DataFrame) -> DataFrame:
-        """The k nearest of (block, query_id, node)."""
+        """The k nearest of (block, query_id, nodes); no nodes are all rows of the block."""
         own = pairs.select("block", "query_id").distinct().join(asked.select(F.col("id").alias("query_id"), "vec"), "query_id")
         own = own.select("block", F.lit(None).cast("long").alias("node"), "query_id", F.lit(None).cast("array<long>").alias("ids"), "vec")
         both = vectors.unionByName(own)
@@ -197,13 +210,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec
         return got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
 
     cols = ["query_id", "rank", "vec_id", "score"]
-    met = candidates(held, asked, Tables(dim, tables, seed), probes, hits, enough)
-    found = materialise(reranked(met.select(block.alias("block"), "query_id", "node")).select(cols), "ann-found")
+    met = candidates(held, asked, Tables(dim, tables, seed), probes, hits, enough, blocks)
+    found = materialise(reranked(met).select(cols), "ann-found")
     full = found.groupBy("query_id").count().where(F.col("count") >= k)
     short = materialise(asked.join(full, asked.id == full.query_id, "left_anti").select(F.col("id").alias("query_id")), "ann-short")
     if not short.limit(1).count():
         return found
-    again = reranked(short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "query_id", F.lit(-1).cast("long").alias("node")))
+    again = reranked(short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "query_id", F.array().cast("array<long>").alias("nodes")))
     return found.join(short, "query_id", "left_anti").select(cols).unionByName(again.select(cols))
 
 
