@@ -71,8 +71,9 @@ def multinomial(p: DataFrame, draws: DataFrame) -> DataFrame:
 def residual_draws(p: DataFrame, u: Column) -> DataFrame:
     """(sys, n, copies): whole copies of N w, and one more for each draw of the rest that falls to a particle.
 
-    ``u``, in [0, 1), is over sys and j, the number of the draw from nought."""
-    r = residual(p)
+    ``u``, in [0, 1), is over sys and j, the number of the draw from nought. The shares are read several times and
+    are kept for that: they are as many rows as particles."""
+    r = residual(p).persist()
     left = r.groupBy("sys").agg((F.count(F.lit(1)) - F.sum("copies")).alias("left")).where("left > 0")
     draws = left.select("sys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("left") - 1)).alias("j")).select("sys", u.alias("u"))
     more = multinomial(r.select("sys", "n", F.col("rest").alias("w")), draws)
