@@ -69,16 +69,18 @@ def model_of(spark, rows, learn="true"):
 
 def path(code):
     """Classes and slots, written out."""
-    if code < 16:
-        steps = [0, code]
-    elif code < 784:
-        q = code - 16
-        steps = [1 + q // 256, q // 16 % 16, q % 16]
-    elif code == 784:
+    if code < 5:
+        steps = [code]
+    elif code < 21:
+        steps = [5, code - 5]
+    elif code < 789:
+        q = code - 21
+        steps = [6 + q // 256, q // 16 % 16, q % 16]
+    elif code == 789:
         steps = [15]
     else:
-        b = code - 785
-        steps = [4 + b // 4096, b // 256 % 16, b // 16 % 16, b % 16]
+        b = code - 790
+        steps = [9 + b // 4096, b // 256 % 16, b // 16 % 16, b % 16]
     node = [0, 1 + steps[0], 17 + 16 * steps[0] + (steps + [0])[1], 273 + 256 * steps[0] + 16 * (steps + [0])[1] + (steps + [0, 0])[2]]
     return list(zip(node, steps))
 
@@ -94,17 +96,17 @@ def brute(model, counts, text):
     for word in tokens(text):
         w = (word or "").encode()
         c, crc = counts[w], zlib.crc32(w)
-        code = model.head[w] if w in model.head else 784 if c <= 1 else 785 + crc % lm.BUCKETS
+        code = model.head[w] if w in model.head else 789 if c <= 1 else 790 + crc % lm.BUCKETS
         a, b = mix((h1 * 0x9E3779B1 + 1) % 2**32), mix((h2 * 0x85EBCA77 + 2) % 2**32)
         for node, slot in path(code):
             z = model.bias[node].astype("f8")
             for f in (a, mix(a * 0x27D4EB2F % 2**32 ^ b), b)[: 3 if node == 0 else 2]:
                 z = z + model.weights[mix((f + node * 0x165667B1) % 2**32) >> (32 - lm.ROW_BITS)]
             total += z[slot] - np.log(np.exp(z).sum())
-        if code == 784:
+        if code == 789:
             total += math.log(model.unseen if c == 0 else (1 - model.unseen) / model.once)
-        elif code > 784:
-            total += math.log(c / model.bucket[code - 785])
+        elif code > 789:
+            total += math.log(c / model.bucket[code - 790])
         h1, h2 = crc, h1
     return total / math.log(10)
 
@@ -114,7 +116,7 @@ def test_scores_against_brute_force(spark):
     t, model = model_of(spark, rows, "doc_id % 3 != 0")
     counts = Counter((x or "").encode() for i, text in rows if i % 3 for x in tokens(text))
     got = {r.doc_id: r.score for r in lm.scored(t, model).collect()}
-    assert any(code > 784 for code in [785 if c > 1 and w not in model.head else 0 for w, c in counts.items()])
+    assert any(code > 789 for code in [790 if c > 1 and w not in model.head else 0 for w, c in counts.items()])
     for i, text in rows:
         assert math.isclose(got[i], brute(model, counts, text), rel_tol=1e-4, abs_tol=1e-3), i
 
@@ -125,7 +127,7 @@ def test_next_words_sum_to_one(spark):
     _, model = model_of(spark, rows)
     counts = Counter((x or "").encode() for _, text in rows for x in tokens(text))
     words = [*counts, b"never seen zzzq"]
-    code = np.array([model.head[w] if w in model.head else 784 if counts[w] <= 1 else 785 + zlib.crc32(w) % lm.BUCKETS for w in words], "i4")
+    code = np.array([model.head[w] if w in model.head else 789 if counts[w] <= 1 else 790 + zlib.crc32(w) % lm.BUCKETS for w in words], "i4")
     e = lm.Examples(code, lm.features(np.full(len(words), 5, "u4"), np.full(len(words), lm.START)))
     logp = model.inside(code, np.array([counts[w] for w in words])) + np.bincount(e.of, weights=lm._log_taken(model.bias, model.weights, e))
     assert abs(np.exp(logp).sum() - 1) < 1e-3

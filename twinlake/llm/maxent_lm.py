@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlake.llm.bpe import pack_places, unpack_places
-from twinlake.llm.common import materialise
+from twinlake.llm.common import materialise, tidy
 from twinlake.llm.tokens import binary
 
 SLOTS = 16
-#: Slots of the root: one of 16 words, three of 256 words, eleven of 4,096 buckets, one for words seen once or never.
-TOP, MID, BUCKETS, RARE_SLOT = 16, 3 * 256, 11 * 4096, 15
-HEAD = TOP + MID
+#: Slots of the root: five of one word, one of 16 words, three of 256, six of 4,096 buckets, one for words seen once or never.
+DIRECT, TOP, MID, BUCKETS, RARE_SLOT = 5, 16, 3 * 256, 6 * 4096, 15
+HEAD = DIRECT + TOP + MID
 #: Codes of words: rank among the frequent ones, the rare class, then buckets.
 RARE, CODES = HEAD, HEAD + 1 + BUCKETS
 #: Classes: the root, its slots, theirs, and theirs.
@@ -97,7 +97,7 @@ def batches(d: DataFrame) -> DataFrame:
                 binary([pack_places(np.concatenate(b.places))]), pa.array([list(b.words)], pa.list_(pa.binary())),
             ], names=[x.split()[0] for x in HELD.split(", ")] + ["words"])
 
-    return d.mapInArrow(run, HELD + ", words array<binary>")
+    return d.mapInArrow(tidy(run), HELD + ", words array<binary>")
 
 
 def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -120,7 +120,7 @@ def word_counts(t: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(w), pa.int64()), pa.array(range(at, at + len(w)), pa.int32()), binary(w), pa.array(n[at : at + len(w)], pa.int64())], names=["batch", "idx", "word", "n"])
 
     own = Window.partitionBy("word")
-    d = t.drop("docs").mapInArrow(run, "batch long, idx int, word binary, n long")
+    d = t.drop("docs").mapInArrow(tidy(run), "batch long, idx int, word binary, n long")
     return d.select("batch", "idx", "word", F.sum("n").over(own).alias("c"), F.row_number().over(own.orderBy("batch")).alias("nth"))
 
 
@@ -148,12 +148,13 @@ def coded(t: DataFrame, words: DataFrame, head: dict[bytes, int]) -> DataFrame:
 
 def paths(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes and slots of each code's path, four columns, and how many of them count."""
-    q, b = code - TOP, code - RARE - 1
-    top, mid, rare = code < TOP, (code >= TOP) & (code < HEAD), code == RARE
-    slot = np.where(top, 0, np.where(mid, 1 + q // 256, np.where(rare, RARE_SLOT, 4 + b // 4096)))
-    one = np.where(top, code, np.where(mid, q // 16 % 16, b // 256 % 16))
+    t, q, b = code - DIRECT, code - DIRECT - TOP, code - RARE - 1
+    direct, rare = code < DIRECT, code == RARE
+    top, mid = (code >= DIRECT) & (t < TOP), (q >= 0) & (q < MID)
+    slot = np.where(direct, code, np.where(top, DIRECT, np.where(mid, 1 + DIRECT + q // 256, np.where(rare, RARE_SLOT, 4 + DIRECT + b // 4096))))
+    one = np.where(top, t, np.where(mid, q // 16 % 16, b // 256 % 16))
     two = np.where(mid, q % 16, b // 16 % 16)
-    depth = np.where(top, 2, np.where(mid, 3, np.where(rare, 1, 4)))
+    depth = np.where(direct | rare, 1, np.where(top, 2, np.where(mid, 3, 4)))
     node = np.stack([np.zeros_like(slot), 1 + slot, 17 + slot * 16 + one, 273 + slot * 256 + one * 16 + two], 1)
     return node.astype("i4"), np.stack([slot, one, two, b % 16], 1).astype("i4"), depth
 
@@ -296,7 +297,7 @@ def train(t: DataFrame, bias: np.ndarray, total: int, rounds: int = ROUNDS) -> n
             out = [binary([(change / seen[:, None]).astype("<f2").tobytes()]), binary([seen.astype("<f4").tobytes()])]
             return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "change": out[0], "seen": out[1]})
 
-        got = t.mapInArrow(run, kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).collect()
+        got = t.mapInArrow(tidy(run), kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind).collect()
         w = w + np.concatenate([np.frombuffer(bytes(g.change), "<f2").astype("f4") for g in sorted(got, key=lambda g: g.block)]).reshape(w.shape)
     return w
 
@@ -360,7 +361,7 @@ def scored(t: DataFrame, model: Model) -> DataFrame:
             per = [known, base, np.add.reduceat(logp, starts) / np.log(10)]
             yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(p["lens"]), pa.array(per[0]), pa.array(per[1]), pa.array(per[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return t.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return t.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(df: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
