@@ -40,7 +40,7 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 #: Rows of text that go to Python at once: a batch is held by the JVM, outside its heap, and by the worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 2048
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinlake.llm.common import materialise, others, small_batches, tidy
-from twinlake.llm.tokens import Encoder, binary, spaced
+from twinlake.llm.tokens import ENCODED, Encoder, binary, spaced
 
 CAPACITY = 1024
 PIECE = "doc_id long, piece int, start long, length long, ids binary"
@@ -177,8 +177,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = Encoder.of(tokenizer, spaced), np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part, rows = b.slice(at, 512), []
+            for at in range(0, b.num_rows, ENCODED):
+                part, rows = b.slice(at, ENCODED), []
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     rows += [(doc, k, a, n, ids[4 * a : 4 * (a + n)]) for k, (a, n) in enumerate(cut(len(ids) // 4, capacity))]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlake.llm.common import fresh_path
-from twinlake.llm.tokens import Encoder, binary, words_only
+from twinlake.llm.tokens import ENCODED, Encoder, binary, words_only
 
 BLOCK, BLOCKS = 32768, 4
 CHUNK = "shard int, chunk int, start long, n_ids long, block int, width int, mode string, planes array<binary>, doc_ids array<long>, doc_lens array<long>"
@@ -60,8 +60,8 @@ def _writer(path: str, end_id: int, cut, block: int, mode: str, level: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, ENCODED):
+                part = b.slice(at, ENCODED)
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     held.append(ids + end)
                     docs.append(doc)

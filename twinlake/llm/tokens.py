@@ -14,7 +14,9 @@ from twinlake.llm.common import chunks, is_odd
 #: Words that are encoded as one text, and the longest one that is.
 TOGETHER, SHORT = 256, 100
 #: Words after which a worker begins a new memory, beside which it keeps the last one, and the longest word it remembers.
-REMEMBERED, LONGEST = 100_000, 40
+REMEMBERED, LONGEST = 150_000, 40
+#: Texts that are encoded together: their new words are found and encoded at once.
+ENCODED = 2048
 
 
 def spaced(text: str) -> list[str]:
