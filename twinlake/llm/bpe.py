@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlake.llm.common import others
+from twinlake.llm.common import others, tidy
 from twinlake.llm.tokens import binary, spaced, spaced_text
 
 #: Characters of text after which a batch is closed; a longer document is a batch of its own or ends one.
@@ -111,7 +111,7 @@ def distinct_words(d: DataFrame) -> DataFrame:
                 w = b.words[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(w), dtype="i8") + (b.number << 24)), pa.array(w, pa.string())], names=["at", "word"])
 
-    return d.mapInArrow(run, "at long, word string")
+    return d.mapInArrow(tidy(run), "at long, word string")
 
 
 def encode_words(words: DataFrame, ranks: str) -> DataFrame:
@@ -147,7 +147,7 @@ def encode_words(words: DataFrame, ranks: str) -> DataFrame:
         if held:
             yield from flush()
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "batch long, at binary, lens binary, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "batch long, at binary, lens binary, ids binary")
 
 
 def positions(d: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def positions(d: DataFrame) -> DataFrame:
         for b in batches_of(it):
             yield pa.RecordBatch.from_arrays([pa.array([b.number], pa.int64()), pa.array([len(b.words)], pa.int64()), pa.array([b.docs], pa.list_(pa.int64())), pa.array([b.lens], pa.list_(pa.int64())), binary([pack_places(b.places)])], names=["batch", "n_words", "docs", "lens", "places"])
 
-    return d.mapInArrow(run, "batch long, n_words long, docs array<long>, lens array<long>, places binary")
+    return d.mapInArrow(tidy(run), "batch long, n_words long, docs array<long>, lens array<long>, places binary")
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -187,51 +187,48 @@ def _reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
             out = ragged(flat, start[p], length[p])
             doc_ids.append(doc)
             n_tokens.append(len(out))
-            ids.append(out.astype("<i4"))
-    ends = np.concatenate([[0], np.cumsum(n_tokens)]).astype("i8")
-    flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, "<i4"), pa.int32())
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)})
+            ids.append(out.tobytes())
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": binary(ids)})
 
 
 def encode(df: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document ``doc_id``, ``n_tokens``, ``ids`` (an array), as tiktoken's encode_ordinary.
+    """Per document ``doc_id``, ``n_tokens``, ``ids`` (little-endian 32-bit), as tiktoken's encode_ordinary.
 
     Null texts are empty and have no ids; null ids and repeated rows stay, each with its own ids. The
     input is read twice and must give the same rows in the same tasks both times (a table does); a
     difference is found and raised."""
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     ids = encode_words(distinct_words(d), ranks)
-    return positions(d).groupBy("batch").cogroup(ids.groupBy("batch")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids array<int>")
+    return positions(d).groupBy("batch").cogroup(ids.groupBy("batch")).applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary")
 
 
-#: Tokens that a vocabulary may have for its table to go to every executor.
-MOST_TOKENS = 1 << 20
+def _byte_table(ranks: str) -> list[bytes]:
+    key = ("bytes", ranks)
+    if key not in _held:
+        table = {i: w for w, i in load_ranks(ranks).items()}
+        _held[key] = [table.get(i, b"") for i in range(max(table) + 1)]
+    return _held[key]
 
 
-def token_bytes(spark: SparkSession, ranks: str) -> DataFrame:
-    """(id, bytes): the token-byte table, bytes as a string of letters up to 255."""
-    rows = [(i, w.decode("latin-1")) for w, i in load_ranks(ranks).items()]
-    if len(rows) > MOST_TOKENS:
-        raise ValueError("the vocabulary is too large to be sent to every executor")
-    return spark.createDataFrame(rows, "id int, bytes string")
+def decode(df: DataFrame, ranks: str, listed: bool = False) -> DataFrame:
+    """Adds ``decoded`` (the bytes of ``ids``) by a lookup in the token-byte table, which has a row a token.
 
+    ``listed`` adds the ids in decimal, joined by commas, as ``listed``. Columns of these names are replaced."""
+    df = df.select(*[F.col(f"`{c}`") for c in others(df, "decoded", *["listed"] * listed)])
 
-def decode(df: DataFrame, ranks: str, listed: bool = False) -> DataFrame:
-    """Adds ``decoded`` (the bytes of the array ``ids``) by a join with the token-byte table.
-
-    The table is brought to one row, an array by id, and joined to every document: it has a row a token of the
-    vocabulary, whose number is checked, so it is broadcast. An id that it lacks decodes to nothing. ``listed`` adds
-    the ids in decimal, joined by commas, as ``listed``. Columns of these names are replaced."""
-    names = others(df, "decoded", *["listed"] * listed)
-    table = token_bytes(df.sparkSession, ranks)
-    every = df.sparkSession.range(table.agg(F.max("id")).first()[0] + 1).select(F.col("id").cast("int").alias("id")).join(table, "id", "left")
-    every = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bytes", F.lit("")).alias("b")))), lambda x: x.b).alias("table"))
-    d = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.lit(1).alias("one")).join(F.broadcast(every.withColumn("one", F.lit(1))), "one")
-    said = F.array_join(F.transform("row.ids", lambda i: F.coalesce(F.get("table", i), F.lit(""))), "")
-    more = [F.encode(said, "ISO-8859-1").alias("decoded")]
-    if listed:
-        more.append(F.array_join(F.transform("row.ids", lambda i: i.cast("string")), ",").alias("listed"))
-    return d.select(*[F.col(f"row.`{c}`") for c in names], *more)
+    def run(it):
+        table = _byte_table(ranks)
+        get, say = table.__getitem__, [str(i) for i in range(len(table))].__getitem__
+        for b in it:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                ids = [np.frombuffer(x, "<u4").tolist() for x in part.column("ids").to_pylist()]
+                more = [binary([b"".join(map(get, x)) for x in ids])]
+                if listed:
+                    more.append(pa.array([",".join(map(say, x)) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "decoded", "listed"][: len(part.columns) + len(more)])
+
+    return df.mapInArrow(tidy(run), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, decoded binary{', listed string' * listed}")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
