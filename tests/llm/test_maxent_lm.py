@@ -163,3 +163,21 @@ def test_a_count_is_a_repeated_example():
     assert np.allclose(*w, atol=1e-6) and np.allclose(*seen, atol=1e-5)
     used, times = lm._events({"code": code, "h1": h, "h2": h}, np.arange(3))
     assert sorted(zip(code[used].tolist(), times.tolist(), strict=True)) == [(5, 1.0), (700, 2.0)]
+
+
+def test_parts_of_a_batch_are_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    lens = [3, 1, 1, 9, 2, 30]
+    place = rng.integers(0, 5, sum(lens)).astype("u4")
+    crc, code = rng.integers(1, 2**32 - 1, 5).astype("<u4"), rng.integers(0, 900, 5).astype("<i4")
+    r = {"places": lm.pack_places(place), "lens": lens, "train": [True, False, True, True, False, True], "c": np.zeros(5, "<i8").tobytes(), "crc": crc.tobytes(), "code": code.tobytes()}
+    want, at = [], 0
+    for n, t in zip(lens, r["train"], strict=True):
+        for k in range(n):
+            back = [int(crc[place[at + k - j]]) if k >= j else 0xFFFFFFFF for j in (1, 2)]
+            want.append((int(code[place[at + k]]), *back, t))
+        at += n
+    for size in (1, 2, 7, 1000):
+        monkeypatch.setattr(lm, "TOGETHER", size)
+        got = [row for _, p in lm.Coded(r).parts() for row in zip(*(p[c].tolist() for c in ("code", "h1", "h2", "train")), strict=True)]
+        assert got == want

@@ -38,7 +38,7 @@ ROUNDS, RATE, MINIBATCH, FIRST_SEEN = 1, 0.3, 4096, 0.05
 #: Positions that one task learns from, blocks that weights travel in, and characters of a batch of documents.
 TASK_POSITIONS, BLOCKS, BATCH_CHARS = 8_000_000, 64, 20_000_000
 #: Positions of a batch that are put in random order, and equal events among them put together, at once.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 _U = np.uint32
 
@@ -238,17 +238,24 @@ def _step(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, e: Examples, times:
     w[at] = w.take(at, 0) - total
 
 
-def _positions(r: dict) -> dict:
-    """Of a coded batch, by position: code, the two words before, place in the batch's words."""
-    place, lens = unpack_places(r["places"]), np.array(r["lens"], "i8")
-    crc = np.frombuffer(r["crc"], "<u4")[place]
-    first = np.repeat(np.cumsum(lens) - lens, lens)
-    nth = np.arange(len(place)) - first
-    h1, h2 = np.full(len(crc), START), np.full(len(crc), START)
-    h1[1:], h2[2:] = crc[:-1], crc[:-2]
-    h1[nth < 1] = START
-    h2[nth < 2] = START
-    return {"code": np.frombuffer(r["code"], "<i4")[place], "h1": h1, "h2": h2, "place": place, "lens": lens}
+class Coded:
+    """A coded batch: places in its words by position; what a position has is made for some positions at a time."""
+
+    def __init__(self, r: dict):
+        self.place, self.lens, self.train = unpack_places(r["places"]), np.array(r["lens"], "i8"), np.array(r["train"], bool)
+        self.ends = np.cumsum(self.lens)
+        self.starts = self.ends - self.lens
+        self.c, self.crc, self.code = (np.frombuffer(r[k], kind) for k, kind in (("c", "<i8"), ("crc", "<u4"), ("code", "<i4")))
+
+    def parts(self) -> Iterator[tuple[int, dict]]:
+        """The first of ``TOGETHER`` positions, and for each its code, the two words before, and whether to learn from it."""
+        for a in range(0, len(self.place), TOGETHER):
+            at = np.arange(a, min(a + TOGETHER, len(self.place)))
+            doc = np.searchsorted(self.ends, at, "right")
+            nth, first = at - self.starts[doc], max(0, a - 2)
+            crc = np.concatenate([np.full(2 - (a - first), START), self.crc[self.place[first : at[-1] + 1]]])
+            h1, h2 = np.where(nth < 1, START, crc[1 : 1 + len(at)]), np.where(nth < 2, START, crc[: len(at)])
+            yield a, {"code": self.code[self.place[a : at[-1] + 1]], "h1": h1, "h2": h2, "train": self.train[doc]}
 
 
 def _events(p: dict, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,11 +281,10 @@ def train(t: DataFrame, bias: np.ndarray, total: int, rounds: int = ROUNDS) -> n
             w = w.astype("f4")
             v, seen, n = w.copy(), np.full(len(w), FIRST_SEEN, "f4"), 0
             for row in _rows(it):
-                p = _positions(row)
-                used = np.flatnonzero(np.repeat(np.array(row["train"], bool), p["lens"]))
-                n += len(used)
-                for start in range(0, len(used), TOGETHER):
-                    some, times = _events(p, used[start : start + TOGETHER])
+                for _, p in Coded(row).parts():
+                    used = np.flatnonzero(p["train"])
+                    n += len(used)
+                    some, times = _events(p, used)
                     order = np.random.default_rng(r).permutation(len(some))
                     for at in range(0, len(some), MINIBATCH):
                         i, k = some[order[at : at + MINIBATCH]], times[order[at : at + MINIBATCH]]
@@ -349,17 +355,18 @@ def scored(t: DataFrame, model: Model) -> DataFrame:
 
     def run(it):
         for r in _rows(it):
-            p, c = _positions(r), np.frombuffer(r["c"], "<i8")
-            starts = np.cumsum(p["lens"]) - p["lens"]
-            known = np.add.reduceat((c > 0).astype("i8")[p["place"]], starts)
-            base = np.add.reduceat(np.log10((c + 1) / (model.n + model.v + 1))[p["place"]], starts)
-            logp = model.inside(np.frombuffer(r["code"], "<i4"), c)[p["place"]]
-            for at in range(0, len(logp), MINIBATCH):
-                i = slice(at, at + MINIBATCH)
-                e = Examples(p["code"][i], features(p["h1"][i], p["h2"][i]))
-                logp[i] += np.bincount(e.of, weights=_log_taken(model.bias, model.weights, e), minlength=len(logp[i]))
-            per = [known, base, np.add.reduceat(logp, starts) / np.log(10)]
-            yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(p["lens"]), pa.array(per[0]), pa.array(per[1]), pa.array(per[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            t = Coded(r)
+            known = np.add.reduceat((t.c > 0).astype("i8")[t.place], t.starts)
+            base = np.add.reduceat(np.log10((t.c + 1) / (model.n + model.v + 1))[t.place], t.starts)
+            logp = model.inside(t.code, t.c)[t.place]
+            for start, p in t.parts():
+                for at in range(0, len(p["code"]), MINIBATCH):
+                    i = slice(at, at + MINIBATCH)
+                    e = Examples(p["code"][i], features(p["h1"][i], p["h2"][i]))
+                    n = len(p["code"][i])
+                    logp[start + at : start + at + n] += np.bincount(e.of, weights=_log_taken(model.bias, model.weights, e), minlength=n)
+            per = [known, base, np.add.reduceat(logp, t.starts) / np.log(10)]
+            yield pa.RecordBatch.from_arrays([pa.array(r["docs"], pa.int64()), pa.array(t.lens), pa.array(per[0]), pa.array(per[1]), pa.array(per[2])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return t.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
