@@ -178,7 +178,9 @@ def candidates(held: DataFrame, asked: DataFrame, t: Tables, probes: int, hits:
     parts = max(1, -(-blocks * BLOCK_ROWS // PART_ROWS))
     rows = held.select("node", "vec").mapInArrow(index, "cell long, node long")
     cells = rows.groupBy("cell", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")).agg(F.collect_list("node").alias("nodes"))
-    met = cells.join(asked.mapInArrow(probe, "cell long, query_id long"), "cell").select("query_id", "part", "nodes")
+    # a query is thousands of probes, which the planner does not know: without the hint it takes them for a small side
+    probed = asked.mapInArrow(probe, "cell long, query_id long").hint("merge")
+    met = cells.join(probed, "cell").select("query_id", "part", "nodes")
     return materialise(met.groupBy("query_id", "part").applyInArrow(count, "block long, query_id long, nodes array<long>"), "ann-met")
 
 
