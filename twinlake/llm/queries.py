@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinlake.llm import ann, bagminhash, bpe, langid, linededup, maxent_lm, media, packing, pii, token_store
+from twinlake.llm import ann, bagminhash, bpe, collocations, filter_audit, langid, linededup, maxent_lm, media, packing, pii, sharding, token_store
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_pii": pii.op8,
         "op9_near_duplicates": bagminhash.op9,
         "op10_nearest": ann.op10,
+        "op11_collocations": collocations.op11,
+        "op12_shards": sharding.op12,
+        "op13_filter_audit": filter_audit.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.OP7_SQL}
+    return {"op7_line_dedup": linededup.OP7_SQL, "op11_collocations": collocations.OP11_SQL, "op12_shards": sharding.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
