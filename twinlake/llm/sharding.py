@@ -59,9 +59,10 @@ class Order:
             return out
         asked, back = np.unique(np.stack([self.bucket[at[inside]], bounds[inside] - out[inside]], 1), axis=0, return_inverse=True)
         spark = self.groups.sparkSession
-        whole = lambda x: F.lit(x.tolist()).cast("array<bigint>")
-        q = spark.range(1).select(F.explode(F.arrays_zip(whole(np.arange(len(asked))).alias("q"), whole(asked[:, 0]).alias("at"), whole(asked[:, 1]).alias("most"))).alias("a")).select("a.*")
-        near = self.groups.where(F.col("bucket").isin(np.unique(asked[:, 0]).tolist())).select("bucket", "run")
+        said = F.lit(",".join(f"{k} {b} {most}" for k, (b, most) in enumerate(asked.tolist())))  # one literal: at most TRIED bounds
+        one = lambda k: F.get("a", k).cast("long")
+        q = spark.range(1).select(F.explode(F.split(said, ",")).alias("a")).select(F.split("a", " ").alias("a")).select(one(0).alias("q"), one(1).alias("at"), one(2).alias("most"))
+        near = self.groups.where(F.col("bucket").between(int(asked[0, 0]), int(asked[-1, 0]))).select("bucket", "run")
         found = near.join(F.broadcast(q), (F.col("bucket") == F.col("at")) & (F.col("run") <= F.col("most"))).groupBy("q").agg(F.max("run").alias("run"))
         more = np.zeros(len(asked), "i8")
         for r in found.collect():
