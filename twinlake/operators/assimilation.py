@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.functions.ensemble import KEY, anomalies
+from twinlake.operators.ensemble_space import updated
 from twinlake.operators.localization import FACTORS, taper
 
 
@@ -32,66 +35,21 @@ def localised_update(e: DataFrame, index: int, obs: float, r: float, weight: Col
     return j.select("ens", "n", "i", (F.col("x") + slope * (gain * (obs - F.col("m")) + shrink * F.col("ya"))).alias("x"))
 
 
-def regressed(e: DataFrame, index: int, move: Column) -> DataFrame:
-    """(ens, n, i, x): members move at state ``index`` by ``move``, and elsewhere by their regression on it.
-
-    ``move`` is over ``ya``, ``ym`` (anomaly and mean there), ``v`` (variance) and the keys ``ens`` and ``n``. Without
-    variance nothing moves."""
-    y = observed(e, index)
-    v = y.groupBy("ens").agg(F.var_samp("ya").alias("v"))
-    y = y.join(v.where("v > 0"), "ens")
-    j = anomalies(e).join(y.select("ens", "n", F.col("v").alias("v"), "ya", move.alias("move")), ["ens", "n"], "left")
-    c = j.groupBy(*KEY).agg((F.sum(F.col("a") * F.col("ya")) / (F.count(F.lit(1)) - 1) / F.first("v", ignorenulls=True)).alias("slope"))
-    return j.join(c, KEY).select("ens", "n", "i", (F.col("x") + F.coalesce(F.col("slope") * F.col("move"), F.lit(0.0))).alias("x"))
-
-
-def centred_noise(e: DataFrame, noise: Column, unit: bool = False) -> DataFrame:
-    """(ens, n, z): one draw a member (``noise`` over ens and n), its mean taken off; ``unit`` makes its mean square one."""
-    z = e.select("ens", "n").distinct().withColumn("z", noise)
-    m = z.groupBy("ens").agg(F.avg("z").alias("zm"), F.count(F.lit(1)).alias("size"), F.sum("z").alias("zs"), F.sum(F.col("z") ** 2).alias("zz"))
-    z = z.join(m, "ens").withColumn("z", F.col("z") - F.col("zm"))
-    scale = F.sqrt(F.col("size") / (F.col("zz") - F.col("zs") * F.col("zm"))) if unit else F.lit(1.0)
-    return z.select("ens", "n", (F.col("z") * scale).alias("z"))
-
-
-def stochastic_update(e: DataFrame, index: int, obs: float, r: float, noise: Column, unit: bool = False) -> DataFrame:
-    """(ens, n, i, x) after one observation that each member sees with its own noise.
-
-    ``noise`` is a standard draw a member, keyed by (ens, n), so it is the same in every task and retry."""
-    z = centred_noise(e, noise, unit)
-    y = observed(e, index)
-    v = y.groupBy("ens").agg(F.var_samp("ya").alias("v"))
-    y = y.join(v, "ens").join(z, ["ens", "n"])
-    gain = F.col("v") / (F.col("v") + r)
-    y = y.select("ens", "n", "ya", "v", (gain * (obs + np.sqrt(r) * F.col("z") - F.col("ym") - F.col("ya"))).alias("move"))
-    j = anomalies(e).join(y, ["ens", "n"])
-    c = j.groupBy(*KEY).agg((F.sum(F.col("a") * F.col("ya")) / (F.count(F.lit(1)) - 1)).alias("c"))
-    slope = F.when(F.col("v") > 0, F.col("c") / F.col("v")).otherwise(0.0)
-    return j.join(c, KEY).select("ens", "n", "i", (F.col("x") + slope * F.col("move")).alias("x"))
-
-
 def serial_updates(e: DataFrame, observations: list[tuple[int, float]], r: float, flavour: str = "Serial", noise=None) -> DataFrame:
-    """One observation (index, value) after another, each of variance ``r``.
+    """One observation (index, value) after another, each of variance ``r``; the state is read once, not once an observation.
 
     Flavours: ``Serial`` (square root), ``DEnKF`` (half gain), ``Stoch`` (noise of its own for each member) and
     ``Var1`` (the same with mean square one). ``noise(j)`` is the draw of the j-th observation."""
-    gain = F.col("v") / (F.col("v") + r)
-    part = {"Serial": 1 / (1 + F.sqrt(F.lit(r) / (F.col("v") + r))), "DEnKF": F.lit(0.5)}.get(flavour)
-    if part is None and flavour not in ("Stoch", "Var1"):
+    if flavour not in ("Serial", "DEnKF", "Stoch", "Var1"):
         raise ValueError(f"no such flavour: {flavour}")
-    for j, (index, obs) in enumerate(observations):
-        if part is None:
-            e = stochastic_update(e, index, obs, r, noise(j), unit=flavour == "Var1")
-        else:
-            e = regressed(e, index, gain * (obs - F.col("ym")) - part * gain * F.col("ya"))
-    return e
+    return updated(e, observations, r, "Serial DEnKF" if flavour == "DEnKF" else flavour, noise)
 
 
-def analysis(e: DataFrame, observations: list[tuple[int, float]], r: float, flavour: str, noise=None, inflation: float = 1.0) -> DataFrame:
-    """The ensemble update of a named flavour, then inflation."""
+def analysis(e: DataFrame, observations: list[tuple[int, float]], r: float | list[float], flavour: str, noise=None, inflation: float = 1.0) -> DataFrame:
+    """The ensemble update of a named flavour (those of ``ensemble_space.updated``), then inflation."""
     from twinlake.functions.ensemble import inflated
 
-    e = serial_updates(e, observations, r, {"PertObs": "Stoch"}.get(flavour, flavour), noise)
+    e = updated(e, observations, r, flavour, noise)
     return e if inflation == 1.0 else inflated(e, inflation)
 
 
@@ -126,19 +84,43 @@ def rank_histogram_update(e: DataFrame, index: int, obs: float, r: float) -> Dat
     return j.join(c, KEY).select("ens", "n", "i", (F.col("x") - F.col("move") * F.col("slope") * np.sqrt(r)).alias("x"))
 
 
-def square_root_weights(y: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean weights and the symmetric transform of N members whose scaled observed anomalies are ``y`` (N, Ny)."""
-    n1 = len(y) - 1
-    d, v = np.linalg.eigh(y @ y.T + n1 * np.eye(len(y)))
-    return v / d @ v.T @ (y @ dy), np.sqrt(n1) * (v / np.sqrt(d)) @ v.T
-
+def square_root_weights(y: np.ndarray, dy: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The square-root update of N members whose scaled observed anomalies are ``y`` (N, Ny), as a map of state anomalies (N, Nx).
 
-def local_transform(e: DataFrame, obs: DataFrame, r: float, radius: float, size: int, batch: int = 2, kind: str = "GC") -> DataFrame:
+    By the smaller side: along an eigenvector of y'y (or yy') of value s, anomalies shrink by h with h^2 = N1 / (s + N1)."""
+    n1 = len(y) - 1
+    if y.shape[1] < len(y):
+        s, v = np.linalg.eigh(y.T @ y)
+        h2 = n1 / (np.maximum(s, 0) + n1)
+        mean, cut = v * (h2 / n1) @ v.T @ dy, v * (h2 / (1 + np.sqrt(h2)) / n1) @ v.T
+        return lambda a: a + (mean - y @ cut) @ (y.T @ a)
+    s, v = np.linalg.eigh(y @ y.T)
+    h2 = n1 / (np.maximum(s, 0) + n1)
+    w = v * (h2 / n1) @ v.T @ (y @ dy) + v * np.sqrt(h2) @ v.T
+    return lambda a: w @ a
+
+
+def second_order_weights(y: np.ndarray, dy: np.ndarray, scale: float = 1.0, laplace: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """The nonlinear transform: members weighed by their likelihood, and the symmetric root of diag(w) - w w' times root N.
+
+    The new mean is the weighted one, the new covariance the weighted one's. ``scale`` divides misfits; ``laplace`` takes
+    double-exponential errors for Gauss ones."""
+    misfit = (dy - y) / scale
+    lw = -np.sqrt(2) * np.abs(misfit).sum(1) if laplace else -0.5 * (misfit**2).sum(1)
+    w = np.exp(lw - lw.max())
+    w /= w.sum()
+    s, v = np.linalg.eigh(np.diag(w) - np.outer(w, w))
+    root = np.sqrt(len(y)) * (v * np.sqrt(np.maximum(s, 0))) @ v.T + w
+    return lambda a: root @ a
+
+
+def local_transform(e: DataFrame, obs: DataFrame, r: float, radius: float, size: int, batch: int = 2, kind: str = "GC", weights=square_root_weights) -> DataFrame:
     """(ens, n, i, x) of a ring of ``size``: each batch of state variables is updated by what is observed near it.
 
     ``obs`` is (j, i, y): observed indices and values. An observation's weight is the taper of its mean
     distance to the batch; observations under the cutoff are not sent to it. A group is one batch of one
-    ensemble: its members and its few local observations, whatever the size of the state."""
+    ensemble: its members and its few local observations, whatever the size of the state. ``weights`` gives the map of
+    anomalies: ``square_root_weights`` or ``second_order_weights``. A batch that sees no observation stays as it is."""
     reach = int(np.ceil(2 * radius * FACTORS[kind])) + batch  # no taper is felt farther off
     d = lambda i: F.least(F.abs(i - F.col("oi")), size - F.abs(i - F.col("oi")))
     hit = F.array_distinct(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.floor(F.pmod(F.col("oi") + k, F.lit(size)) / batch).cast("long")))
@@ -157,9 +139,9 @@ def local_transform(e: DataFrame, obs: DataFrame, r: float, radius: float, size:
         y = local.pivot(index="n", columns="i", values="ya").reindex(x.index).to_numpy()
         one = local.drop_duplicates("i").sort_values("i")
         root = np.sqrt(one["h"].to_numpy() / r)
-        w, t = square_root_weights(y * root, one["dy"].to_numpy() * root)
         mu = x.to_numpy().mean(0)
-        out = pd.DataFrame(mu + (w + t) @ (x.to_numpy() - mu), index=x.index, columns=x.columns)
+        new = weights(y * root, one["dy"].to_numpy() * root)
+        out = pd.DataFrame(mu + new(x.to_numpy() - mu), index=x.index, columns=x.columns)
         return out.stack().rename("x").reset_index().assign(ens=state["ens"].iat[0])[["ens", "n", "i", "x"]]
 
     return mine.groupBy("ens", "batch").cogroup(seen.groupBy("ens", "batch")).applyInPandas(run, "ens long, n long, i long, x double")

@@ -23,6 +23,16 @@ def grid(spark: SparkSession, method: str, accepts: dict[str, list], fixed: dict
     return d
 
 
+def combined(xps: DataFrame, by: list[str], params: list[str], fixed: dict | None = None) -> DataFrame:
+    """For each coordinate of ``by`` every combination of the values that ``params`` have there (nulls left out), and fixed columns.
+
+    Parameters have few values each; their combinations are spelled out where the lists are, without a join."""
+    d = xps.groupBy(by).agg(*[F.collect_set(c).alias(c) for c in params])
+    for c in params:
+        d = d.withColumn(c, F.explode(c))
+    return d.withColumns({k: F.lit(v) for k, v in (fixed or {}).items()})
+
+
 def union_unique(*tables: DataFrame) -> DataFrame:
     """All rows once, columns matched by name and null where a table lacks them."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).dropDuplicates()
@@ -49,8 +59,19 @@ def subspace(xps: DataFrame, **values) -> DataFrame:
 
 
 def nest(xps: DataFrame, outer: list[str], inner: list[str]) -> DataFrame:
-    """Per outer coordinate the sorted list of its inner ones, and how many."""
-    return xps.groupBy(outer).agg(F.count(F.lit(1)).alias("size"), F.to_json(F.array_sort(F.collect_set(F.struct(*inner)))).alias("inside"))
+    """(outer coordinates, inner coordinates, size, cells): a row an inner coordinate of each outer one, how many experiments
+    are there, and how many coordinates the outer one has.
+
+    A nested space is these rows: none is held as one value, so an outer coordinate may have any number of inner ones."""
+    cells = xps.groupBy(*outer, *inner).agg(F.count(F.lit(1)).alias("size"))
+    many = cells.groupBy(outer).agg(F.count(F.lit(1)).alias("cells"))
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{c}").eqNullSafe(F.col(f"m.{c}")) for c in outer], F.lit(True))
+    return cells.alias("c").join(many.alias("m"), same).select(*[f"c.{c}" for c in (*outer, *inner)], "size", "cells")
+
+
+def unnested(nested: DataFrame, outer: list[str], inner: list[str], **at) -> DataFrame:
+    """The inner space at one outer coordinate."""
+    return matching(nested, **{c: at[c] for c in outer}).select(*inner, "size")
 
 
 def mean_over(xps: DataFrame, keep: list[str], value: str = "val") -> DataFrame:
@@ -61,13 +82,16 @@ def mean_over(xps: DataFrame, keep: list[str], value: str = "val") -> DataFrame:
     return xps.groupBy(keep).agg(F.avg(v).alias("val"), F.sqrt(F.var_samp(v) / n).alias("prec"), n.alias("n_total"), (n - ok).alias("n_fail"), ok.alias("n_success"))
 
 
-def tune(xps: DataFrame, keep: list[str], over: list[str], value: str = "val", decreasing: bool = True, order: str = "seq") -> DataFrame:
-    """The best row per kept coordinate; of equals the last, NaN never, and nulls if there is no other."""
-    cost = F.col(value) if decreasing else -F.col(value)
-    w = Window.partitionBy(keep).orderBy(F.isnan(value), cost, F.desc(order))
-    best = xps.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    none = F.isnan(value)
-    return best.select(*keep, *[F.when(~none, F.col(c)).alias(c) for c in over], value)
+def tune(xps: DataFrame, keep: list[str], over: list[str], value: str = "val", decreasing: bool = True, order: str = "seq", cost: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The best row per kept coordinate; of equals the last, NaN never, and nulls if there is no other.
+
+    Best is the least value (the greatest if not ``decreasing``), or that of the least ``cost``, a function of the value's
+    column. An aggregate: no more than one row a coordinate moves from a task."""
+    c = cost(F.col(value)) if cost else F.col(value) if decreasing else -F.col(value)
+    none = F.isnan(value) | F.col(value).isNull() | F.isnan(c) | c.isNull()
+    place = F.struct((~none).alias("some"), F.when(~none, -c).alias("gain"), F.col(order).alias("last"))
+    best = xps.groupBy(keep).agg(F.max_by(F.struct(*over, value, none.alias("_none")), place).alias("b"))
+    return best.select(*keep, *[F.when(~F.col("b._none"), F.col(f"b.{c}")).alias(c) for c in over], F.col(f"b.{value}").alias(value))
 
 
 def table(xps: DataFrame, rows: list[str], across: str, labels: list, value: str = "val") -> DataFrame:
@@ -132,23 +156,37 @@ def stat_or_raise(avrgs: DataFrame, key: str, experiments: DataFrame) -> DataFra
 
 
 def at(xps: DataFrame, place: int | slice | list[int], order: str = "seq") -> DataFrame:
-    """The experiments at places of the list in order: one, a slice without negative parts, or a list.
+    """The experiments at places of the list in order, as a list has them: one, a slice, or several places.
 
-    Only rows up to the last place asked for are put in order and numbered."""
-    if isinstance(place, int):
-        place = slice(place, place + 1)
+    Negative places count from the end: they are found by the reverse order, or by the number of rows (one count). Only rows
+    up to the place that is farthest from its end are put in order and numbered."""
     if isinstance(place, slice):
+        parts = (place.start, place.stop, place.step)
+        if place.step is None and place.stop is None and (place.start or 0) < 0:  # the last rows
+            return xps.orderBy(F.desc(order)).limit(-place.start)
+        if any(p is not None and p < 0 for p in parts) or (place.step not in (None, 1) and place.stop is None):
+            r = range(xps.count())[place]
+            if not len(r):
+                return xps.limit(0)
+            low, high = min(r[0], r[-1]), max(r[0], r[-1])
+            d = xps.orderBy(order).offset(low).limit(high - low + 1)
+            n = F.row_number().over(Window.orderBy(order)) - 1
+            return d if abs(r.step) == 1 else d.withColumn("_at", n).where((F.col("_at") % abs(r.step)) == 0).drop("_at")
         first, step = place.start or 0, place.step or 1
-        if step != 1 and place.stop is None:
-            raise ValueError("a slice with a step needs an end: rows are numbered up to it")
         d = xps.orderBy(order).offset(first)
         d = d if place.stop is None else d.limit(max(0, place.stop - first))
         if step == 1:
             return d
         n = F.row_number().over(Window.orderBy(order)) - 1
         return d.withColumn("_at", n).where(F.col("_at") % step == 0).drop("_at")
-    top = xps.orderBy(order).limit(max(place, default=-1) + 1).withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    return top.where(F.col("_at").isin(*place)).drop("_at")
+    asked = [place] if isinstance(place, int) else list(place)
+    out = xps.limit(0) if not asked else None
+    for some, by in (([p for p in asked if p >= 0], F.col(order)), ([-1 - p for p in asked if p < 0], F.desc(order))):
+        if some:
+            top = xps.orderBy(by).limit(max(some) + 1).withColumn("_at", F.row_number().over(Window.orderBy(by)) - 1)
+            top = top.where(F.col("_at").isin(*some)).drop("_at")
+            out = top if out is None else out.unionByName(top)
+    return out.dropDuplicates([order]) if isinstance(place, list) and len(asked) > 1 else out
 
 
 def is_like(name: str, pattern: str | re.Pattern | Callable | Iterable) -> bool:
@@ -211,3 +249,25 @@ def plotted(xps: DataFrame, panel: list[str], line: list[str], axis: str, mean:
     """The data of a plot: per panel and line a point for each tick of ``axis``, with the tick's place (null last)."""
     m = mean_over(xps, [*panel, *line, axis], value)
     return m.join(ticks(xps, axis), F.col(axis).eqNullSafe(F.col("tick"))).select(*panel, *line, axis, "place", "val", "prec")
+
+
+def table_tree(xps: DataFrame, roles: dict[str, list[str]], value: str = "val", cost: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The data of a nested table by the role of each dimension: ``outer`` and ``inner`` coordinates stay, ``mean`` ones are averaged
+    over, ``optim`` ones are set where the mean's value (or ``cost`` of it) is least; others are ``inner``.
+
+    A row an outer and inner coordinate: the optimum's coordinates, ``val``, ``prec``, ``n_fail``, ``n_success``. A dimension with two
+    roles, or in none of the columns, is an error."""
+    named = [c for cs in roles.values() for c in cs]
+    if len(named) != len(set(named)) or not set(roles) <= {"outer", "inner", "mean", "optim"}:
+        raise ValueError("each dimension has one of the roles outer, inner, mean and optim")
+    if missing := [c for c in named if c not in xps.columns]:
+        raise ValueError(f"there are no dimensions {missing}")
+    keep, optim = [*roles.get("outer", []), *roles.get("inner", [])], roles.get("optim", [])
+    m = mean_over(xps, [*keep, *optim], value)
+    if not optim:
+        return m.select(*keep, "val", "prec", "n_fail", "n_success")
+    c = cost(F.col("val")) if cost else F.col("val")
+    none = F.isnan("val") | F.isnan(c) | c.isNull()
+    rank = F.struct(none.alias("none"), F.when(~none, c).alias("cost"), *[F.col(x) for x in optim])
+    best = m.groupBy(keep).agg(F.min_by(F.struct(*optim, "val", "prec", "n_fail", "n_success"), rank).alias("b"))
+    return best.select(*keep, "b.*")

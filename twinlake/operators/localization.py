@@ -22,21 +22,32 @@ def distance(a: list[Column], b: list[Column], period: list[float] | None = None
 
 
 def taper(d: Column, radius: float, kind: str = "GC") -> Column:
-    """Weight of an observation at distance ``d``."""
-    r = d / (radius * FACTORS[kind])
-    if kind in ("Gauss", "Exp"):
-        return F.exp(-0.5 * F.pow(r, F.lit(2.0 if kind == "Gauss" else 3.0)))
-    if kind == "Step":
-        return F.when(r <= 1, 1.0).otherwise(0.0)
-    if kind in ("Cubic", "Quadro"):
-        p = 3.0 if kind == "Cubic" else 4.0
-        return F.when(r <= 1, F.pow(1 - F.pow(r, F.lit(p)), F.lit(p))).otherwise(0.0)
-    # Gaspari and Cohn's piecewise quintic, by Horner's rule
+    """Weight of an observation at distance ``d``, which is computed once a pair whatever the taper makes of it."""
+    weight = _TAPERS[kind]
+    return F.get(F.transform(F.array(d / (radius * FACTORS[kind])), weight), 0)
+
+
+def _bell(p: float):
+    return lambda r: F.when(r <= 1, F.pow(1 - F.pow(r, F.lit(p)), F.lit(p))).otherwise(0.0)
+
+
+def _quintic(r: Column) -> Column:
+    """Gaspari and Cohn's piecewise quintic, by Horner's rule."""
     near = 1 + r * r * (-5 / 3 + r * (5 / 8 + r * (0.5 - 0.25 * r)))
     far = 4 - 2 / (3 * r) + r * (-5 + r * (5 / 3 + r * (5 / 8 + r * (r / 12 - 0.5))))
     return F.when(r <= 1, near).when(r <= 2, far).otherwise(0.0)
 
 
+_TAPERS = {
+    "Gauss": lambda r: F.exp(-0.5 * r * r),
+    "Exp": lambda r: F.exp(-0.5 * r * r * r),
+    "Step": lambda r: F.when(r <= 1, 1.0).otherwise(0.0),
+    "Cubic": _bell(3.0),
+    "Quadro": _bell(4.0),
+    "GC": _quintic,
+}
+
+
 def _shifted(at, k: int):
     return lambda x: at(k, x)
 
@@ -87,13 +98,12 @@ def batches(df: DataFrame, index: str, size: int, parts: int) -> DataFrame:
     return df.withColumn("batch", F.when(i < big * (base + 1), F.floor(i / (base + 1))).otherwise(F.lit(big) + F.floor((i - big * (base + 1)) / base)).cast("long"))
 
 
-def direct_localization(spark, shape: list[int], seen: Column, radius: float, kind: str = "GC") -> DataFrame:
-    """(p, s, coeff) of a periodic grid numbered row by row, whose points for which ``seen`` (over ``i``) holds are observed."""
-    size, place, rest = 1, [], F.col("i")
+def direct_localization(points: DataFrame, shape: list[int], seen: Column, radius: float, kind: str = "GC") -> DataFrame:
+    """(p, s, coeff) of ``points`` (i) of a periodic grid numbered row by row, of which those are observed for which ``seen`` (over ``i``) holds."""
+    place, rest = [], F.col("i")
     for n in reversed(shape):
         place.insert(0, (rest % n).cast("double"))
         rest = F.floor(rest / n)
-        size *= n
-    g = spark.range(size).select(F.col("id").alias("i")).select("i", F.col("i").alias("id"), F.array(*place).alias("pos"))
+    g = points.select("i").select("i", F.col("i").alias("id"), F.array(*place).alias("pos"))
     reach = 2 * radius * FACTORS[kind] if kind == "GC" else radius * FACTORS[kind] * (4 if kind in ("Gauss", "Exp") else 1)
     return local_observations(near_points(g.select("id", "pos"), g.where(seen).select("id", "pos"), len(shape), max(1.0, radius), reach, [float(n) for n in shape]), radius, kind)

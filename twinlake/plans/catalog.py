@@ -10,9 +10,9 @@ from twinlake.functions import series as se
 from twinlake.operators import experiments as xp
 from twinlake.operators import localization as lo
 from twinlake.operators import particle as pa
-from twinlake.plans import filters, models
+from twinlake.plans import filters
 from twinlake.plans.registry import query
-from twinlake.sources.tables import ensembles, read, series, time_grid
+from twinlake.sources.tables import ensembles, grids, read, series
 
 
 def r6(c, places: int = 6):
@@ -177,9 +177,17 @@ def spectral_obs(spark, d):
 # --- time and series -------------------------------------------------------------------------------------
 
 
-@query("tseq_ticker", "SELECT k::BIGINT AS k, CASE WHEN k % 5 = 0 AND k > 0 THEN (k // 5 - 1)::BIGINT END AS ko, round(k * 0.05, 6) AS t, CASE WHEN k > 0 THEN 0.05::DOUBLE END AS dt FROM range(0, 106) r(k)")
+_GRID = f"{EVENTS}, gr AS (SELECT sys, unnest(range(0, ((max(k) + 4) // 5) * 5 + 1)) AS k FROM s GROUP BY sys)"
+
+
+def _grid(spark, d):
+    return grids(_events(spark, d).groupBy("sys").agg(F.max("k").alias("last")), 0.05, 5)
+
+
+@query("tseq_ticker", f"WITH {_GRID} SELECT sys, k::BIGINT AS k, CASE WHEN k % 5 = 0 AND k > 0 THEN (k // 5 - 1)::BIGINT END AS ko, round(k * 0.05, 6) AS t, CASE WHEN k > 0 THEN 0.05::DOUBLE END AS dt FROM gr")
 def tseq_ticker(spark, d):
-    return rounded(time_grid(spark, 0.05, 5, 103), "t")
+    """The time grid of each series, as long as it is."""
+    return rounded(_grid(spark, d), "t")
 
 
 _ACOV = "c AS (SELECT sys, k, y - avg(y) OVER (PARTITION BY sys) AS a, avg(y) OVER (PARTITION BY sys) AS mu, count(*) OVER (PARTITION BY sys) AS n FROM s), ac AS (SELECT p.sys, p.n, p.mu, l.l, sum(p.a * q.a) / (p.n - l.l) AS v FROM c p CROSS JOIN range(0, 5) l(l) JOIN c q ON q.sys = p.sys AND q.k = p.k + l.l GROUP BY p.sys, p.n, p.mu, l.l)"
@@ -229,10 +237,10 @@ def time_avg_burnin(spark, d):
 # --- rounding --------------------------------------------------------------------------------------------
 
 
-@query("round2_cases", "SELECT x, p, round_even(x * 10 ** (-floor(log10(p))), 0) / 10 ** (-floor(log10(p))) AS y FROM (VALUES (1.65::DOUBLE, 0.543::DOUBLE), (1.66, 0.543), (1.65, 1.234), (2.5, 1.0), (0.125, 0.01)) v(x, p)")
+@query("round2_cases", "SELECT p_partkey, CASE WHEN f <= 0 THEN round_even(p_retailprice * 10 ** (-f), 0) / 10 ** (-f) ELSE round_even(p_retailprice / 10 ** f, 0) * 10 ** f END AS y FROM (SELECT *, floor(log10(p_size * 0.37::DOUBLE)) AS f FROM part)")
 def round2_cases(spark, d):
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(p).alias("p")) for x, p in ((1.65, 0.543), (1.66, 0.543), (1.65, 1.234), (2.5, 1.0), (0.125, 0.01))])))
-    return rows.withColumn("y", ro.round_to(F.col("x"), F.col("p")))
+    """Prices to the order of a precision of their own."""
+    return read(spark, d, "part").select("p_partkey", ro.round_to(F.col("p_retailprice"), F.col("p_size") * 0.37).alias("y"))
 
 
 @query("round2sigfig_prices", "SELECT o_orderkey, CASE WHEN 2 - floor(log10(o_totalprice)) >= 0 THEN round_even(o_totalprice * 10 ** (2 - floor(log10(o_totalprice))), 0) / 10 ** (2 - floor(log10(o_totalprice))) ELSE round_even(o_totalprice / 10 ** (floor(log10(o_totalprice)) - 2), 0) * 10 ** (floor(log10(o_totalprice)) - 2) END AS price FROM orders WHERE o_totalprice > 0")
@@ -378,11 +386,10 @@ def _xps(spark, d):
     )
 
 
-@query("grid_combinator", "SELECT m.da_method, n.n::BIGINT AS n, i.infl, f.f::BIGINT AS f FROM (VALUES ('EnKF'), ('LETKF')) m(da_method), (VALUES (10), (20), (40)) n(n), (VALUES (1.0::DOUBLE), (1.02), (1.05)) i(infl), (VALUES (8)) f(f) UNION ALL SELECT 'Climatology', NULL, NULL, 8")
+@query("grid_combinator", f"WITH {_XPS} SELECT da_method, upd_a, seed, infl, 8::BIGINT AS f FROM (SELECT DISTINCT da_method, upd_a FROM x) JOIN (SELECT DISTINCT da_method, upd_a, seed FROM x) USING (da_method, upd_a) JOIN (SELECT DISTINCT da_method, upd_a, infl FROM x WHERE infl IS NOT NULL) USING (da_method, upd_a)")
 def grid_combinator(spark, d):
-    n, infl = [10, 20, 40], [1.0, 1.02, 1.05]
-    g = xp.union_unique(*[xp.grid(spark, m, {"n": n, "infl": infl}, {"f": 8}) for m in ("EnKF", "LETKF")], xp.grid(spark, "Climatology", {}, {"f": 8}))
-    return g.select("da_method", F.col("n").cast("long").alias("n"), "infl", F.col("f").cast("long").alias("f"))
+    """Of each method every combination of the values that its parameters have."""
+    return xp.combined(_xps(spark, d), ["da_method", "upd_a"], ["seed", "infl"], {"f": 8}).withColumn("f", F.col("f").cast("long"))
 
 
 @query("xp_prep_table", f"WITH {_XPS} SELECT 'da_method' AS \"column\", CASE WHEN min(da_method) <> max(da_method) THEN 'distinct' WHEN count(da_method) = count(*) THEN 'common' ELSE 'redundant' END AS kind FROM x WHERE infl IS NULL OR infl = 2 UNION ALL SELECT 'infl', CASE WHEN min(infl) <> max(infl) THEN 'distinct' WHEN count(infl) = count(*) THEN 'common' ELSE 'redundant' END FROM x WHERE infl IS NULL OR infl = 2 UNION ALL SELECT 'seed', 'distinct'")
@@ -400,10 +407,10 @@ def xp_inds_loose(spark, d):
     return xp.matching(_xps(spark, d), strict=False, infl=3).agg(F.count(F.lit(1)).alias("n"), F.count("infl").alias("set"))
 
 
-@query("xp_nest", f"WITH {_XPS} SELECT da_method, count(*)::BIGINT AS size, count(DISTINCT seed * 10 + coalesce(infl, 9))::BIGINT AS inner_n FROM x GROUP BY da_method")
+@query("xp_nest", f"WITH {_XPS}, c AS (SELECT da_method, seed, infl, count(*)::BIGINT AS size FROM x GROUP BY da_method, seed, infl) SELECT da_method, seed, infl, size, count(*) OVER (PARTITION BY da_method)::BIGINT AS cells FROM c")
 def xp_nest(spark, d):
-    n = xp.nest(_xps(spark, d), ["da_method"], ["seed", "infl"])
-    return n.select("da_method", "size", F.size(F.from_json("inside", "array<struct<seed:long,infl:long>>")).cast("long").alias("inner_n"))
+    """The inner coordinates of each outer one, as rows."""
+    return xp.nest(_xps(spark, d), ["da_method"], ["seed", "infl"])
 
 
 _MEAN = f"WITH {_XPS}, g AS (SELECT da_method, upd_a, infl, count(*)::BIGINT AS n_total, sum(CASE WHEN isnan(val) THEN 1 ELSE 0 END)::BIGINT AS n_fail, avg(CASE WHEN isnan(val) THEN 0 ELSE val END) AS m, var_samp(CASE WHEN isnan(val) THEN 0 ELSE val END) AS v FROM x GROUP BY da_method, upd_a, infl)"
@@ -464,45 +471,6 @@ def xp_table_tree(spark, d):
     return t.withColumn("val", F.when(F.isnan("val"), -1.0).otherwise(F.round("val", 3)))
 
 
-# --- models ----------------------------------------------------------------------------------------------
-
-
-def _recursive(names, flow, x0, dt, steps, ids):
-    """SQL of the fourth-order Runge-Kutta recursion of a few named variables."""
-    at = lambda h, k: {v: f"({v} + {h} * k{k}{v})" for v in names}
-    put = lambda sub: {v: flow(sub)[v] for v in names}
-    cols = ", ".join(names)
-    ks = ["SELECT *, " + ", ".join(f"{e} AS k1{v}" for v, e in put({v: v for v in names}).items()) + f" FROM s WHERE k < {steps}"]
-    for k, h in ((2, dt / 2), (3, dt / 2), (4, dt)):
-        ks.append("SELECT *, " + ", ".join(f"{e} AS k{k}{v}" for v, e in put(at(h, k - 1)).items()) + f" FROM ({ks[-1]})")
-    step = ", ".join(f"{v} + {dt} / 6 * (k1{v} + 2 * k2{v} + 2 * k3{v} + k4{v})" for v in names)
-    first = ", ".join(f"({x}::DOUBLE + id * 0.01) AS {v}" for v, x in zip(names, x0, strict=True))
-    out = ", ".join(f"round({v}, 5) + 0.0 AS {v}" for v in names)
-    return f"WITH RECURSIVE s(truth_id, k, {cols}) AS (SELECT id::BIGINT, 0::BIGINT, {first} FROM range(0, {ids}) t(id) UNION ALL SELECT truth_id, k + 1, {step} FROM ({ks[-1]})) SELECT truth_id, k, {out} FROM s"
-
-
-def _simulated(name, model, names, flow, x0, dt, steps=60, ids=8):
-    @query(name, _recursive(names, flow, x0, dt, steps, ids))
-    def run(spark, d):
-        s = models.simulate(models.starts(spark, x0, ids), model, dt, steps)
-        return s.select("truth_id", "k", *[r6(F.get("x", i), 5).alias(v) for i, v in enumerate(names)])
-
-
-_simulated("sim_l63", "lorenz63", ["x", "y", "z"], lambda s: {"x": f"10 * ({s['y']} - {s['x']})", "y": f"{s['x']} * (28 - {s['z']}) - {s['y']}", "z": f"{s['x']} * {s['y']} - 8.0 / 3 * {s['z']}"}, [1.509, -1.531, 25.46], 0.01)
-_simulated("sim_l84", "lorenz84", ["x", "y", "z"], lambda s: {"x": f"- {s['y']} * {s['y']} - {s['z']} * {s['z']} - 0.25 * {s['x']} + 2.0", "y": f"{s['x']} * {s['y']} - 4 * {s['x']} * {s['z']} - {s['y']} + 1.23", "z": f"4 * {s['x']} * {s['y']} + {s['x']} * {s['z']} - {s['z']}"}, [1.65, 0.49, 1.21], 0.05)
-_simulated("sim_lv", "lotka_volterra", ["a", "b", "c", "e"], lambda s: {
-    "a": f"{s['a']} * (1 - {s['a']} - 1.09 * {s['b']} - 1.52 * {s['c']})", "b": f"0.72 * {s['b']} * (1 - {s['b']} - 0.44 * {s['c']} - 1.36 * {s['e']})",
-    "c": f"1.53 * {s['c']} * (1 - 2.33 * {s['a']} - {s['c']} - 0.47 * {s['e']})", "e": f"1.27 * {s['e']} * (1 - 1.21 * {s['a']} - 0.51 * {s['b']} - 0.35 * {s['c']} - {s['e']})",
-}, [0.25, 0.25, 0.25, 0.25], 0.1)
-_simulated("sim_l96_small", "lorenz96", [f"v{i}" for i in range(5)], lambda s: {f"v{i}": f"({s[f'v{(i + 1) % 5}']} - {s[f'v{(i - 2) % 5}']}) * {s[f'v{(i - 1) % 5}']} - {s[f'v{i}']} + 8" for i in range(5)}, [1.0, 0.0, 0.0, 0.0, 0.0], 0.05, steps=40)
-
-
-@query("sim_ikeda", "WITH RECURSIVE s(truth_id, k, x, y) AS (SELECT id::BIGINT, 0::BIGINT, id * 0.01::DOUBLE, id * 0.01::DOUBLE FROM range(0, 8) t(id) UNION ALL SELECT truth_id, k + 1, 1 + 0.9 * (x * cos(a) - y * sin(a)), 0.9 * (x * sin(a) + y * cos(a)) FROM (SELECT *, 0.4 - 6 / (1 + x * x + y * y) AS a FROM s WHERE k < 20)) SELECT truth_id, k, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y FROM s")
-def sim_ikeda(spark, d):
-    s = models.simulate(models.starts(spark, [0.0, 0.0], 8), "ikeda", 1.0, 20)
-    return s.select("truth_id", "k", r6(F.get("x", 0), 5).alias("x"), r6(F.get("x", 1), 5).alias("y"))
-
-
 # --- assimilation ----------------------------------------------------------------------------------------
 
 
@@ -556,21 +524,6 @@ _update("enkf_denkf_scalar", "DEnKF", "0.5")
 _update("enkf_serial_scalar", "Serial", "1 / (1 + sqrt(0.02 / (v.v + 0.02)))")
 
 
-@query("twin_l63")
-def twin_l63(spark, d):
-    """A sweep of methods, ensemble sizes, inflations and seeds on Lorenz-63, then the mean over seeds, best inflation per row."""
-    g = xp.union_unique(
-        *[xp.grid(spark, m, {"N": [10, 40], "infl": [1.0, 1.04, 1.1], "seed": list(range(3000, 3004))}) for m in ("EnKF-Sqrt", "EnKF-DEnKF", "EnKF-PertObs")],
-        xp.grid(spark, "PartFilt", {"N": [100], "seed": list(range(3000, 3004))}),
-        *[xp.grid(spark, m, {"seed": list(range(3000, 3004))}) for m in ("Climatology", "OptInterp")],
-    )
-    g = g.withColumn("xp_id", F.xxhash64("da_method", "N", "infl", "seed"))
-    s = filters.twin_experiments(g, 0.01, 12, 150, 2.0, "lorenz63", [1.509, -1.531, 25.46], burn_in=4.0)
-    avg = s.groupBy("xp_id").agg(F.sqrt(F.avg(F.col("err") ** 2)).alias("val"), F.avg("spread").alias("spread"))
-    m = xp.mean_over(g.join(avg, "xp_id"), ["da_method", "N", "infl"])
-    return xp.tune(m, ["da_method", "N"], ["infl"], order="infl")
-
-
 # --- streams ---------------------------------------------------------------------------------------------
 
 

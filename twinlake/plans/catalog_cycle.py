@@ -95,7 +95,7 @@ def _flavour(name, flavour, steps, observations=OBSERVATIONS, inflation=1.0, noi
 _WAVE = lambda j: f"sin(vec_id * 1.7 + {j})"
 _flavour("enkf_serial_two", "Serial", [_step(1, "ens", 3, _ROOT(0.1)), _step(2, "e1", 20, _ROOT(-0.05))])
 _flavour("enkf_serial_inflated", "Serial", [_step(1, "ens", 3, _ROOT(0.1)), _step(2, "e1", 20, _ROOT(-0.05))], inflation=1.05)
-_flavour("enkf_denkf_two", "DEnKF", [_step(1, "ens", 3, _HALF(0.1)), _step(2, "e1", 20, _HALF(-0.05))])
+_flavour("enkf_denkf_two", "Serial DEnKF", [_step(1, "ens", 3, _HALF(0.1)), _step(2, "e1", 20, _HALF(-0.05))])
 # noise of the queries is a wave over the member, so that SQL has the same; its default use is with row-keyed draws
 _flavour("enkf_pert_obs", "PertObs", [_step(1, "ens", 3, _OWN(0.1), _WAVE(0))], OBSERVATIONS[:1], noise=lambda j: F.sin(F.col("n") * 1.7 + j))
 _flavour("enkf_serial_stoch", "Stoch", [_step(1, "ens", 3, _OWN(0.1), _WAVE(0)), _step(2, "e1", 20, _OWN(-0.05), _WAVE(1))], noise=lambda j: F.sin(F.col("n") * 1.7 + j))

@@ -14,11 +14,11 @@ from twinlake.operators import assimilation as da
 from twinlake.operators import experiments as xp
 from twinlake.operators import localization as lo
 from twinlake.operators import particle as pa
-from twinlake.plans import filters, models, settings
-from twinlake.plans.catalog import _ACOV, _AR1, _COV, _MEAN, _PART, _XPS, ENS, EVENTS, MOMENTS, TRUTH, UNIFORM, WEIGHTED, _ens, _events, _particles, _recursive, _shared, _simulated, _truth, _weighted, _xps, r6, rounded
+from twinlake.plans import filters, settings
+from twinlake.plans.catalog import _ACOV, _AR1, _COV, _GRID, _MEAN, _PART, _XPS, ENS, EVENTS, MOMENTS, TRUTH, UNIFORM, WEIGHTED, _ens, _events, _grid, _particles, _shared, _truth, _weighted, _xps, r6, rounded
 from twinlake.plans.registry import query
 from twinlake.sources import runs
-from twinlake.sources.tables import read, time_grid
+from twinlake.sources.tables import read
 
 # --- observation -----------------------------------------------------------------------------------------
 
@@ -213,17 +213,17 @@ def pf_jitter_rows(spark, d):
 # --- time ------------------------------------------------------------------------------------------------
 
 
-@query("cycle_steps", "SELECT ko::BIGINT AS ko, (ko * 5 + s)::BIGINT AS k FROM range(0, 21) a(ko), range(1, 6) b(s)")
+@query("cycle_steps", f"WITH {_GRID} SELECT sys, (k - 1) // 5 AS ko, k FROM gr WHERE k > 0")
 def cycle_steps(spark, d):
-    """The model steps of each observation period."""
-    return time_grid(spark, 0.05, 5, 103).where("k > 0").select(F.floor((F.col("k") - 1) / 5).cast("long").alias("ko"), "k")
+    """The model steps of each observation period of each series."""
+    return _grid(spark, d).where("k > 0").select("sys", F.floor((F.col("k") - 1) / 5).cast("long").alias("ko"), "k")
 
 
-@query("lag_blocks", "SELECT ko::BIGINT AS ko, k::BIGINT AS k FROM range(0, 21) a(ko) JOIN range(1, 106) b(k) ON k <= (ko + 1) * 5 AND k > (ko - 1) * 5")
+@query("lag_blocks", f"WITH {_GRID}, o AS (SELECT sys, k // 5 - 1 AS ko, k AS z FROM gr WHERE k % 5 = 0 AND k > 0) SELECT o.sys, o.ko, gr.k FROM o JOIN gr ON gr.sys = o.sys AND gr.k <= o.z AND gr.k > o.z - 10 AND gr.k > 0")
 def lag_blocks(spark, d):
     """The steps that a smoother of lag one goes over again at each observation: exploded from the grid, no join."""
-    g = time_grid(spark, 0.05, 5, 103).where("ko is not null")
-    return g.select("ko", F.explode(F.sequence(F.greatest((F.col("ko") - 1) * 5 + 1, F.lit(1)), F.col("k"))).alias("k"))
+    g = _grid(spark, d).where("ko is not null")
+    return g.select("sys", "ko", F.explode(F.sequence(F.greatest((F.col("ko") - 1) * 5 + 1, F.lit(1)), F.col("k"))).alias("k"))
 
 
 @query("serial_order", f"WITH {ENS}, v AS (SELECT ens, i, var_samp(x) AS v FROM ens GROUP BY ens, i) SELECT ens, i, row_number() OVER (PARTITION BY ens ORDER BY round(v, 9), i)::BIGINT AS place FROM v")
@@ -239,10 +239,13 @@ def corr_length(spark, d):
     return a.select("sys", r6(se.correlation_length(F.col("a"))).alias("length"))
 
 
-@query("error_growth", "SELECT k::BIGINT AS k, round(1 / (1 + exp(-(ln(0.2 / 0.8) + (k - 10) / 4.0))), 9) + 0.0 AS s FROM range(0, 50) t(k)")
+@query("error_growth", f"WITH {EVENTS}, {_ACOV}, {_AR1} SELECT s.sys, s.k, round(1 / (1 + exp(-(ln(0.2 / 0.8) + (s.k - 10) / CASE WHEN a = 0 THEN 1 ELSE 1 / ln(1 / a) END))), 9) + 0.0 AS s FROM s JOIN ar ON ar.sys = s.sys")
 def error_growth(spark, d):
-    """Logistic growth of an error that is a fifth of its limit at step 10, at the rate of the correlation length."""
-    return spark.range(50).select(F.col("id").alias("k"), r6(se.logistic(F.col("id"), 0.2, 4.0, 10), 9).alias("s"))
+    """Logistic growth of an error that is a fifth of its limit at step 10, at the rate of each series' correlation length."""
+    s = _events(spark, d)
+    a = se.autocovariance(s).select("sys", se.correlation_length(se.ar1(F.col("acov"))).alias("length"))
+    length = F.when(F.col("length") == 0, 1.0).otherwise(F.col("length"))
+    return s.join(a, "sys").select("sys", "k", r6(se.logistic(F.col("k"), 0.2, length, 10), 9).alias("s"))
 
 
 # --- draws -----------------------------------------------------------------------------------------------
@@ -250,40 +253,43 @@ def error_growth(spark, d):
 _KINDS = "('gauss'), ('laplace'), ('laplace_parallel'), ('student'), ('cube'), ('exponential')"
 
 
-@query("rv_moments", f"SELECT kind, 4::BIGINT AS dims, CASE WHEN kind = 'exponential' THEN 1.0 ELSE 0.0 END::DOUBLE AS mean, 1.0::DOUBLE AS var FROM (VALUES {_KINDS}) v(kind)")
+@query("rv_moments", f"SELECT kind, 4 * (SELECT count(*) FROM lineitem)::BIGINT AS draws, CASE WHEN kind = 'exponential' THEN 1.0 ELSE 0.0 END::DOUBLE AS mean, 1.0::DOUBLE AS var FROM (VALUES {_KINDS}) v(kind)")
 def rv_moments(spark, d):
-    """Mean and variance of each kind of draw over 100,000 rows of four coordinates, to one decimal."""
-    row = [F.col("n")]
-    e = spark.range(100_000).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
-    key = [F.col("n"), F.col("i")]
-    kinds = {"gauss": draws.gauss(1, *key), "laplace": draws.laplace(100, row, *key), "laplace_parallel": draws.laplace_parallel(200, *key), "student": draws.student(300, 9, row, *key), "cube": draws.cube(400, *key), "exponential": draws.exponential(500, *key)}
+    """Mean and variance of each kind of draw over every line item and four coordinates, to one decimal: draws go by a row's keys."""
+    row = [F.col("l_orderkey"), F.col("l_linenumber")]
+    e = read(spark, d, "lineitem").select(*row, F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    key = [*row, F.col("i")]
+    kinds = {"gauss": draws.gauss(1, *key), "laplace": draws.laplace(1, row, *key), "laplace_parallel": draws.laplace_parallel(1, *key), "student": draws.student(1, 9, row, *key), "cube": draws.cube(1, *key), "exponential": draws.exponential(1, *key)}
     x = e.select("i", *[v.alias(k) for k, v in kinds.items()])
-    s = x.agg(F.count_distinct("i").alias("dims"), *[a for k in kinds for a in (F.avg(k).alias(f"{k}_m"), F.var_samp(k).alias(f"{k}_v"))])
-    return s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("dims").alias("dims"), r6(F.col(f"{k}_m"), 1).alias("mean"), r6(F.col(f"{k}_v"), 1).alias("var")) for k in kinds])).alias("s")).select("s.*")
+    s = x.agg(F.count(F.lit(1)).alias("draws"), *[a for k in kinds for a in (F.avg(k).alias(f"{k}_m"), F.var_samp(k).alias(f"{k}_v"))])
+    return s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("draws").alias("draws"), r6(F.col(f"{k}_m"), 1).alias("mean"), r6(F.col(f"{k}_v"), 1).alias("var")) for k in kinds])).alias("s")).select("s.*")
 
 
-@query("rv_ball", "SELECT true AS inside, 0.0::DOUBLE AS mean, 20000::BIGINT AS rows_")
+@query("rv_ball", "SELECT true AS inside, 0.0::DOUBLE AS mean, count(*)::BIGINT AS rows_ FROM lineitem")
 def rv_ball(spark, d):
-    e = draws.ball(spark.range(20_000).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")), ["n"], "i", 3, 5)
-    r = e.groupBy("n").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("r"), F.avg("x").alias("m"))
-    return r.agg((F.max("r") <= 2.0).alias("inside"), r6(F.avg("m"), 1).alias("mean"), F.count(F.lit(1)).alias("rows_"))
+    """Uniform draws in a ball, a row a line item."""
+    e = read(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    e = draws.ball(e, ["n"], "i", 3, 5)
+    r = e.groupBy("n").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("r"), F.avg("x").alias("m"), (F.count(F.lit(1)) / 3).alias("times"))
+    return r.agg((F.max("r") <= 2.0 + 1e-9).alias("inside"), r6(F.avg("m"), 1).alias("mean"), F.sum("times").cast("long").alias("rows_"))
 
 
 # --- localization ----------------------------------------------------------------------------------------
 
 
-@query("rect_batches", "WITH p AS (SELECT y, x FROM range(0, 4) a(y), range(0, 13) b(x)) SELECT y::BIGINT AS y, x::BIGINT AS x, ((y // 2) * 3 + CASE WHEN x < 5 THEN 0 ELSE 1 + (x - 5) // 4 END)::BIGINT AS batch FROM p")
+@query("rect_batches", "WITH p AS (SELECT vec_id AS y, i - 1 AS x FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), z AS (SELECT max(y) + 1 AS n, (max(y) + 1) % 7 AS big, (max(y) + 1) // 7 AS base FROM p) SELECT y, x, CASE WHEN y < big * (base + 1) THEN y // (base + 1) ELSE big + (y - big * (base + 1)) // base END * 9 + CASE WHEN x < 8 THEN x // 8 ELSE 1 + (x - 8) // 7 END AS batch FROM p, z")
 def rect_batches(spark, d):
-    """A grid of 4 by 13 in rectangles of about 2 by 4."""
-    g = spark.range(52).select(F.floor(F.col("id") / 13).cast("long").alias("y"), (F.col("id") % 13).alias("x"))
-    g = lo.batches(g, "y", 4, 2).withColumnRenamed("batch", "by")
-    return lo.batches(g, "x", 13, 3).select("y", "x", (F.col("by") * 3 + F.col("batch")).alias("batch"))
+    """Members by variables as a grid, in 7 by 9 rectangles."""
+    e = _ens(spark, d).select(F.col("n").alias("y"), F.col("i").alias("x"))
+    size = e.agg(F.max("y")).first()[0] + 1
+    g = lo.batches(e, "y", size, 7).withColumnRenamed("batch", "by")
+    return lo.batches(g, "x", 64, 9).select("y", "x", (F.col("by") * 9 + F.col("batch")).alias("batch"))
 
 
-@query("obs_shift", "SELECT j::BIGINT AS j, (j * 4 + round(6 * 0.3)::BIGINT) % 64 AS i FROM range(0, 16) t(j)")
+@query("obs_shift", f"WITH {EVENTS} SELECT sys, k, (k * 4 + round(k * 0.3)::BIGINT) % 64 AS i FROM s")
 def obs_shift(spark, d):
-    """Observation sites carried along a ring by the flow."""
-    return spark.range(16).select(F.col("id").alias("j"), F.pmod(F.col("id") * 4 + F.round(F.lit(6 * 0.3)).cast("long"), F.lit(64)).alias("i"))
+    """Observation sites carried along a ring by the flow, the farther the later."""
+    return _events(spark, d).select("sys", "k", F.pmod(F.col("k") * 4 + F.round(F.col("k") * 0.3).cast("long"), F.lit(64)).alias("i"))
 
 
 # --- experiments and runs --------------------------------------------------------------------------------
@@ -318,11 +324,14 @@ def xp_tabulate(spark, d):
     return t.select("da_method", "upd_a", "infl", *[F.round(F.col(f"`{c}`"), 3).alias(c) for c in ("rmse.a", "rmv.a")])
 
 
-@query("uq_format", "SELECT * FROM (VALUES ('1.2 ±0.3'), ('0.07 ±0.02'), ('12.3 ±0.4'), ('5 ±0')) v(said)")
+_UQ = "u AS (SELECT p_partkey, p_retailprice / 100 AS v, p_size * 0.013::DOUBLE AS p FROM part), q AS (SELECT *, round_even(p * 10 ** (-floor(log10(p))), 0) / 10 ** (-floor(log10(p))) AS q FROM u), w AS (SELECT *, round_even(v * 10 ** (-floor(log10(q))), 0) / 10 ** (-floor(log10(q))) AS w FROM q)"
+_PLAIN = lambda x: f"regexp_replace(printf('%.10f', {x}), '\\.?0+$', '')"
+
+
+@query("uq_format", f"WITH {_UQ} SELECT p_partkey, {_PLAIN('w')} || ' ±' || {_PLAIN('q')} AS said FROM w")
 def uq_format(spark, d):
     """A value and its precision as text: the precision to one figure, the value to its order."""
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("v"), F.lit(b).alias("p")) for a, b in ((1.2345, 0.3), (0.0712, 0.02), (12.345, 0.42), (5.0, 0.0))])))
-    return rows.select(ro.with_precision(F.col("v"), F.col("p")).alias("said"))
+    return read(spark, d, "part").select("p_partkey", ro.with_precision(F.col("p_retailprice") / 100, F.col("p_size") * 0.013).alias("said"))
 
 
 @query("runs_crashed", f"WITH {_XPS} SELECT seq AS xp_id FROM x WHERE seq % 10 = 7")
@@ -340,44 +349,7 @@ def runs_crashed(spark, d):
 _SETTINGS = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::{'DOUBLE' if isinstance(v, float) else 'INTEGER'}" for v in row) + ")" for row in settings.SETTINGS)
 
 
-@query("settings_table", f"SELECT * FROM (VALUES {_SETTINGS}) v({', '.join(c.split()[0] for c in settings.KIND.split(', '))})")
+@query("settings_table", f"WITH {EVENTS}, v AS (SELECT * FROM (VALUES {_SETTINGS}) v({', '.join(c.split()[0] for c in settings.KIND.split(', '))})) SELECT s.sys, v.name, v.model, count(*)::BIGINT AS steps, count(*) FILTER (s.k % v.dko = 0)::BIGINT AS observed, count(*) FILTER (s.k * v.dt > v.burn_in)::BIGINT AS counted FROM s, v GROUP BY s.sys, v.name, v.model")
 def settings_table(spark, d):
-    return settings.settings(spark)
-
-
-# --- models ----------------------------------------------------------------------------------------------
-
-_S, _C = lambda s: f"sin({s['c']} - {s['a']})", lambda s: f"cos({s['c']} - {s['a']})"
-_simulated("sim_dp", "double_pendulum", ["a", "b", "c", "e"], lambda s: {
-    "a": s["b"], "c": s["e"],
-    "b": f"({s['b']} * {s['b']} * {_S(s)} * {_C(s)} + 9.8 * sin({s['c']}) * {_C(s)} + {s['e']} * {s['e']} * {_S(s)} - 2 * 9.8 * sin({s['a']})) / (2 - {_C(s)} * {_C(s)})",
-    "e": f"(- {s['e']} * {s['e']} * {_S(s)} * {_C(s)} + 2 * 9.8 * sin({s['a']}) * {_C(s)} - 2 * {s['b']} * {s['b']} * {_S(s)} - 2 * 9.8 * sin({s['c']})) / (2 - {_C(s)} * {_C(s)})",
-}, [1.2, 0.1, -0.1, 0.0], 0.01, steps=20, ids=4)
-
-
-@query("sim_advection", "SELECT id::BIGINT AS truth_id, k::BIGINT AS k, ((k + 3) % 10)::DOUBLE + id * 0.01 AS x3 FROM range(0, 4) a(id), range(0, 31) b(k)")
-def sim_advection(spark, d):
-    s = models.simulate(models.starts(spark, [float(i) for i in range(10)], 4), "advection", 1.0, 30)
-    return s.select("truth_id", "k", F.get("x", 3).alias("x3"))
-
-
-@query("sim_two_scale")
-def sim_two_scale(spark, d):
-    """A ring of 36 slow and 360 fast variables; the slow ones' mean and spread over time."""
-    s = models.simulate(models.starts(spark, [1.0] + [0.0] * 395, 4), "two_scale", 0.005, 200, every=50)
-    return s.select("truth_id", "k", r6(F.reduce(F.slice("x", 1, 36), F.lit(0.0), lambda a, v: a + v) / 36, 3).alias("slow_mean"))
-
-
-@query("sim_ks")
-def sim_ks(spark, d):
-    """Kuramoto-Sivashinsky on 64 points: the mean is conserved."""
-    x0 = [0.1 * ((i * 7) % 13 - 6) for i in range(64)]
-    s = models.simulate(models.starts(spark, x0, 4), "kuramoto_sivashinsky", 0.01, 100, every=20)
-    return s.select("truth_id", "k", r6(F.reduce("x", F.lit(0.0), lambda a, v: a + v) / 64, 4).alias("mean"))
-
-
-@query("lyapunov_l63", "SELECT id::BIGINT AS truth_id, -13.7::DOUBLE AS total FROM range(0, 4) t(id)")
-def lyapunov_l63(spark, d):
-    """Growth rates of Lorenz-63; they add up to the divergence of its flow, -41/3."""
-    y = models.lyapunov(models.starts(spark, [1.509, -1.531, 25.46], 4), "lorenz63", 0.01, 500)
-    return y.groupBy("truth_id").agg(r6(F.sum("exponent"), 1).alias("total"))
+    """What each named setting makes of each series: its steps, those observed, and those after burn-in."""
+    return settings.configured(_events(spark, d))

@@ -75,10 +75,12 @@ def subsample_alignment(spark, d):
     return s.withColumnRenamed("y", "model").join(t, ["sys", "k"])
 
 
-@query("nd_id_localization", "WITH g AS (SELECT r.i, r.i // 16 AS y, r.i % 16 AS x FROM range(0, 256) r(i)), o AS (SELECT * FROM g WHERE i % 4 = 0), dd AS (SELECT g.i AS p, o.i AS s, sqrt(least(abs(g.y - o.y), 16 - abs(g.y - o.y)) ** 2 + least(abs(g.x - o.x), 16 - abs(g.x - o.x)) ** 2) AS dist FROM g, o), c AS (SELECT p, s, CASE WHEN dist <= 3.28 THEN (1 - (dist / 3.28) ** 4) ** 4 ELSE 0 END AS coeff FROM dd) SELECT p, s, round(coeff, 6) + 0.0 AS coeff FROM c WHERE coeff > 1e-3")
+@query("nd_id_localization", "WITH n AS (SELECT (max(p_partkey) - 1) // 40 + 1 AS h FROM part), g AS (SELECT p_partkey - 1 AS i, (p_partkey - 1) // 40 AS y, (p_partkey - 1) % 40 AS x, h FROM part, n), o AS (SELECT * FROM g WHERE i % 4 = 0), dd AS (SELECT g.i AS p, o.i AS s, sqrt(least(abs(g.y - o.y), g.h - abs(g.y - o.y)) ** 2 + least(abs(g.x - o.x), 40 - abs(g.x - o.x)) ** 2) AS dist FROM g, o), c AS (SELECT p, s, CASE WHEN dist <= 3.28 THEN (1 - (dist / 3.28) ** 4) ** 4 ELSE 0 END AS coeff FROM dd) SELECT p, s, round(coeff, 6) + 0.0 AS coeff FROM c WHERE coeff > 1e-3")
 def nd_id_localization(spark, d):
-    """Directly observed points of a periodic grid of 16 by 16: which of them inform each point, and how much."""
-    return rounded(lo.direct_localization(spark, [16, 16], F.col("i") % 4 == 0, 2.0, "Quadro"), "coeff")
+    """Parts as points of a periodic grid, every fourth observed: which of them inform each point, and how much."""
+    points = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("i"))
+    high = points.agg(F.floor(F.max("i") / 40) + 1).first()[0]
+    return rounded(lo.direct_localization(points, [high, 40], F.col("i") % 4 == 0, 2.0, "Quadro"), "coeff")
 
 
 # --- series ----------------------------------------------------------------------------------------------
@@ -172,13 +174,13 @@ def xp_put(spark, d):
     return xp.put(x.groupBy(dims).agg(F.min("val").alias("val")), x.where("seed = 1").groupBy(dims).agg(F.max("val").alias("val")), dims)
 
 
-@query("runs_overwritten", f"WITH {_XPS} SELECT seq AS xp_id, 2 * val AS val FROM x WHERE seq % 3 = 0 AND NOT isnan(val)")
+@query("runs_overwritten", f"WITH {_XPS} SELECT seq AS xp_id, 2 * val AS val FROM x WHERE NOT isnan(val)")
 def runs_overwritten(spark, d):
     """A run replaced by what is made of it; the folders of jobs are told by their numbers."""
     root = _shared(spark, "runs")
     x = _xps(spark, d).where(~F.isnan("val")).select(F.col("seq").alias("xp_id"), "val")
     for job in (10, 2):
-        runs.save_run(x.where("xp_id % 3 = 0"), f"{root}/{job}", "sweep", 1)
+        runs.save_run(x, f"{root}/{job}", "sweep", 1)
     assert runs.job_folders(spark, root) == [2, 10]
     run = runs.load_run(spark, f"{root}/2", "sweep")
     runs.overwritten(spark, run.withColumn("val", 2 * F.col("val")), f"{root}/2", "sweep", 1)

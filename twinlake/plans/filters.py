@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.functions.ensemble import KEY, anomalies
 from twinlake.functions.series import BLOCK, blocked
+from twinlake.plans.matrix_kalman import Model, kalman_matrix
 
 
 def climatology(s: DataFrame) -> DataFrame:
@@ -40,87 +38,16 @@ def optimal_interpolation(s: DataFrame, r: float, scale: float = 1.0) -> DataFra
     return s.join(c, "sys").select("sys", "k", "y", (F.col("mu") + b / (b + r) * (F.col("y") - F.col("mu"))).alias("analysis"))
 
 
-def variance_after(k: int, f: float, q: float, r: float) -> float:
-    """Variance of the scalar filter after step ``k``, from ``r`` at the first: a fractional linear map, by powers of its matrix."""
-    m, v, n = np.array([[r * f * f, r * q], [f * f, q + r]]), np.array([r, 1.0]), k - 1
-    while n:
-        if n & 1:
-            v = m @ v
-            v = v / v[1]
-        m = m @ m
-        m = m / np.abs(m).max()
-        n >>= 1
-    return float(v[0] / v[1])
-
-
 def kalman(s: DataFrame, f: float, q: float, r: float, smooth: bool = False, size: int = BLOCK) -> DataFrame:
     """(sys, k, y, forecast, mean, var[, smoothed]): the scalar Kalman filter of each series (k from 1, without gaps).
 
-    Starts from the first observation with variance r. ``smooth`` adds the backward pass. Gains depend on k alone, and
-    a step is a linear map of the mean, so a block of ``size`` steps is one too: blocks are summed up each by itself,
-    the sums are chained (a row a block), and each block then runs from the mean that it starts with. The backward
-    pass is chained from the last block in the same way."""
-    pass_ = s.withColumn("blk", F.floor((F.col("k") - 1) / size).cast("long"))
-
-    def gains(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Forecast variances and gains of ``n`` steps from ``k``; the first step of all takes its observation as it is."""
-        pf, g = np.empty(n), np.empty(n)
-        p = variance_after(k - 1, f, q, r) if k > 1 else r
-        for i in range(n):
-            pf[i], g[i] = (f * f * p + q, 0.0) if k + i > 1 else (r, 0.0)
-            g[i] = pf[i] / (pf[i] + r) if k + i > 1 else 0.0
-            p = (1 - g[i]) * pf[i]
-        return pf, g
-
-    def forward(pdf: pd.DataFrame, m: float) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        k, y = int(pdf["k"].iat[0]), pdf["y"].to_numpy()
-        pf, g = gains(k, len(y))
-        fc, mean = np.empty(len(y)), np.empty(len(y))
-        for i in range(len(y)):
-            fc[i] = f * m if k + i > 1 else y[i]
-            m = mean[i] = fc[i] + g[i] * (y[i] - fc[i])
-        return pd.DataFrame({"sys": pdf["sys"], "k": pdf["k"], "y": y, "forecast": fc, "mean": mean, "var": (1 - g) * pf, "blk": pdf["blk"]})
-
-    def backward(pdf: pd.DataFrame, z: float | None) -> np.ndarray:
-        """Smoothed means of one block, from the first of the next, or from the last itself."""
-        mean, var = pdf["mean"].to_numpy(), pdf["var"].to_numpy()
-        c, out = var * f / (f * f * var + q), np.empty(len(mean))
-        for i in range(len(mean) - 1, -1, -1):
-            z = out[i] = mean[i] if z is None else mean[i] + c[i] * (z - f * mean[i])
-        return out
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = [forward(pdf, m)["mean"].iat[-1] for m in (0.0, 1.0)]
-        return pd.DataFrame({"sys": [pdf["sys"].iat[0]], "blk": [pdf["blk"].iat[0]], "slope": [ends[1] - ends[0]], "level": [ends[0]]})
-
-    def summed_back(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        starts = [backward(pdf, z)[0] for z in (0.0, 1.0, None)]
-        return pd.DataFrame({"sys": [pdf["sys"].iat[0]], "blk": [pdf["blk"].iat[0]], "slope": [starts[1] - starts[0]], "level": [starts[0]], "alone": [starts[2]]})
-
-    def chained(pdf: pd.DataFrame, reverse: bool) -> pd.DataFrame:
-        pdf, at, out = pdf.sort_values("blk", ascending=not reverse), None, []
-        for row in pdf.itertuples():
-            out.append(at)
-            at = row.level + row.slope * (at or 0.0) if at is not None or not reverse else row.alone
-        return pd.DataFrame({"sys": pdf["sys"], "blk": pdf["blk"], "at": out})
-
-    one, link = "sys string, blk long, slope double, level double", "sys string, blk long, at double"
-    steps = "sys string, k long, y double, forecast double, mean double, var double, blk long"
-    start = pass_.groupBy("sys", "blk").applyInPandas(summed, one).groupBy("sys").applyInPandas(lambda x: chained(x, False), link)
-    begun = pass_.join(start, ["sys", "blk"])
-    out = begun.groupBy("sys", "blk").applyInPandas(lambda x: forward(x, 0.0 if pd.isna(x["at"].iat[0]) else float(x["at"].iat[0])), steps)
-    if not smooth:
-        return out.drop("blk")
-    end = out.groupBy("sys", "blk").applyInPandas(summed_back, f"{one}, alone double").groupBy("sys").applyInPandas(lambda x: chained(x, True), link)
-
-    def smoothed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        z = pdf["at"].iat[0]
-        return pdf.drop(columns=["at", "blk"]).assign(smoothed=backward(pdf, None if pd.isna(z) else float(z)))[["sys", "k", "y", "forecast", "mean", "var", "smoothed"]]
-
-    return out.join(end, ["sys", "blk"]).groupBy("sys", "blk").applyInPandas(smoothed, steps.replace("blk long", "smoothed double"))
+    Starts from the first observation with variance r. ``smooth`` adds the backward pass. A scan over blocks of ``size`` steps
+    with whole arrays (see ``matrix_kalman``): no task holds a whole series, and none loops over rows."""
+    one = lambda x: np.array([[float(x)]])
+    model = Model(one(f), one(q), one(1), one(r), np.zeros(1), one(0), fresh=True)
+    out = kalman_matrix(s.select("sys", "k", F.array("y").alias("y")), model, smooth, size=size)
+    more = [F.get("smoothed", 0).alias("smoothed")] if smooth else []
+    return s.join(out, ["sys", "k"]).select("sys", "k", "y", F.get("forecast", 0).alias("forecast"), F.get("mean", 0).alias("mean"), F.get("cov", 0).alias("var"), *more)
 
 
 def scalar_update(e: DataFrame, index: int, obs: float, r: float, flavour: str = "DEnKF") -> DataFrame:
@@ -137,82 +64,3 @@ def scalar_update(e: DataFrame, index: int, obs: float, r: float, flavour: str =
     gain = F.col("c") / (F.col("v") + r)
     part = F.lit(0.5) if flavour == "DEnKF" else 1 / (1 + F.sqrt(F.lit(r) / (F.col("v") + r)))
     return j.select("ens", "n", "i", (F.col("x") + gain * (obs - F.col("ym")) - part * gain * F.col("ya")).alias("x"))
-
-
-def _symmetric_root(a: np.ndarray, power: float) -> np.ndarray:
-    d, v = np.linalg.eigh(a)
-    return v * np.maximum(d, 0) ** power @ v.T
-
-
-def _analysis(e, y, r, flavour, rng):
-    n1 = len(e) - 1
-    mu, a = e.mean(0), e - e.mean(0)
-    if flavour == "Sqrt":
-        s = a / np.sqrt(r)
-        g = s @ s.T + n1 * np.eye(len(e))
-        w = np.linalg.solve(g, s @ (y - mu) / np.sqrt(r))
-        return mu + w @ a + np.sqrt(n1) * _symmetric_root(g, -0.5) @ a
-    c = a.T @ a / n1
-    gain = np.linalg.solve((c + r * np.eye(len(mu))).T, c.T).T
-    if flavour == "DEnKF":
-        return e + (y - mu) @ gain.T - 0.5 * a @ gain.T
-    d = rng.standard_normal(e.shape)
-    return e + (y + np.sqrt(r) * (d - d.mean(0)) - e) @ gain.T
-
-
-def twin_experiments(xps: DataFrame, dt: float, dko: int, obs: int, r: float, model: str, x0: list[float], burn_in: float) -> DataFrame:
-    """(xp_id, ko, err, spread): analysis error and spread of each experiment at each observation after ``burn_in``.
-
-    An experiment is a row (xp_id, da_method, N, infl, seed) and one task's work: truth, noisy observations
-    of the whole state and the filter follow from its seed alone, so a lost task gives the same rows again.
-    Methods: Climatology, OptInterp, EnKF-Sqrt, EnKF-DEnKF, EnKF-PertObs, PartFilt. A run whose numbers
-    fail gives NaN, not null."""
-    from twinlake.plans.models import stepper
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        go = stepper(model, dt)
-        for b in it:
-            for xp in b.itertuples():
-                rng = np.random.default_rng(int(xp.seed))
-                x = np.array(x0)[None] + np.sqrt(2) * rng.standard_normal((1, len(x0)))
-                free, xs = x.copy(), []
-                for _ in range(400):
-                    free = go(free)
-                    xs.append(free[0])
-                mu, cov = np.mean(xs[100:], 0), np.cov(np.array(xs[100:]).T)
-                e = np.array(x0) + np.sqrt(2) * rng.standard_normal((2 if pd.isna(xp.N) else int(xp.N), len(x0)))
-                w, rows = np.full(len(e), 1 / len(e)), []
-                for ko in range(obs):
-                    for _ in range(dko):
-                        x, e = go(x), go(e)
-                    y = x[0] + np.sqrt(r) * rng.standard_normal(len(x0))
-                    if xp.da_method == "Climatology":
-                        mean, var = mu, np.diag(cov)
-                    elif xp.da_method == "OptInterp":
-                        gain = cov @ np.linalg.inv(cov + r * np.eye(len(mu)))
-                        mean, var = mu + gain @ (y - mu), np.diag(cov - gain @ cov)
-                    elif xp.da_method == "PartFilt":
-                        lw = np.log(np.maximum(w, 1e-300)) - 0.5 * ((y - e) ** 2).sum(1) / r
-                        w = np.exp(lw - lw.max())
-                        w /= w.sum()
-                        mean = w @ e
-                        var = w @ (e - mean) ** 2 / max(1e-10, 1 - w @ w)
-                        if 1 / (w @ w) < 0.5 * len(e):
-                            at = np.searchsorted(np.cumsum(w), (rng.random() + np.arange(len(e))) / len(e)).clip(max=len(e) - 1)
-                            e = e[at] + len(e) ** (-1 / (len(x0) + 4)) * np.sqrt(var) * rng.standard_normal(e.shape)
-                            w = np.full(len(e), 1 / len(e))
-                    else:
-                        e = _analysis(e, y, r, xp.da_method.split("-")[1], rng)
-                        mean = e.mean(0)
-                        e = mean + xp.infl * (e - mean)
-                        var = e.var(0, ddof=1)
-                    if (ko + 1) * dko * dt > burn_in:
-                        rows.append((xp.xp_id, ko, float(np.sqrt(((mean - x[0]) ** 2).mean())), float(np.sqrt(var.mean()))))
-                yield pd.DataFrame(rows, columns=["xp_id", "ko", "err", "spread"])
-
-    return xps.select("xp_id", "da_method", "N", F.coalesce("infl", F.lit(1.0)).alias("infl"), "seed").repartition("xp_id").mapInPandas(run, "xp_id long, ko long, err double, spread double")
-
-
-def scheduled(s: DataFrame, plan: DataFrame, slot) -> DataFrame:
-    """Adds ``mu``, the estimate that ``plan`` (slot, mu) gives beforehand for the slot of each step."""
-    return s.withColumn("slot", slot).join(plan, "slot").drop("slot")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KIND = "name string, model string, nx int, ny int, dt double, dko int, burn_in double, r double, c0 double"
 #: Fixed values of published settings: sizes, step, steps an observation, burn-in, variances of observations and starts.
@@ -24,3 +25,11 @@ SETTINGS = [
 
 def settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SETTINGS, KIND)
+
+
+def configured(s: DataFrame) -> DataFrame:
+    """(sys, name, model, steps, observed, counted) of series (sys, k): a row a series and setting; steps, those with an observation,
+    and those after burn-in. Settings stand in each row as one array, so series are read once and nothing is joined."""
+    every = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("model"), F.lit(dko).alias("dko"), F.lit(dt).alias("dt"), F.lit(b).alias("burn_in")) for n, m, _, _, dt, dko, b, _, _ in SETTINGS])
+    d = s.select("sys", "k", F.inline(every))
+    return d.groupBy("sys", "name", "model").agg(F.count(F.lit(1)).alias("steps"), F.sum((F.col("k") % F.col("dko") == 0).cast("long")).alias("observed"), F.sum((F.col("k") * F.col("dt") > F.col("burn_in")).cast("long")).alias("counted"))

@@ -49,11 +49,29 @@ def job_folders(spark: SparkSession, root: str) -> list[int]:
 
 
 def overwritten(spark: SparkSession, xps: DataFrame, root: str, name: str, run_ts: int) -> None:
-    """Put ``xps`` in place of a run: written beside it first, so the old rows may be read for it, then renamed."""
+    """Put ``xps`` in place of a run: written beside it first, so the old rows may be read for it; then the old run is put
+    aside, the new one in its place, and the old one deleted. Whatever fails on the way, one of both is there."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    old, new = hadoop.Path(f"{root}/{name}/run_ts={run_ts}"), hadoop.Path(f"{root}/{name}/_new_{run_ts}")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    here, new, aside = (hadoop.Path(f"{root}/{name}/{x}") for x in (f"run_ts={run_ts}", f"_new_{run_ts}", f"_old_{run_ts}"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    restored(spark, root, name, run_ts)
     xps.write.mode("overwrite").parquet(new.toString())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    if fs.exists(here) and not fs.rename(here, aside):
+        raise OSError(f"could not put {here.toString()} aside")
+    if not fs.rename(new, here):
+        restored(spark, root, name, run_ts)
         raise OSError(f"could not rename {new.toString()}")
+    fs.delete(aside, True)
+
+
+def restored(spark: SparkSession, root: str, name: str, run_ts: int) -> bool:
+    """Bring back a run that an overwrite had put aside when it broke off; whether there was one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    here, aside = hadoop.Path(f"{root}/{name}/run_ts={run_ts}"), hadoop.Path(f"{root}/{name}/_old_{run_ts}")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(aside):
+        return False
+    if fs.exists(here):  # the new run is whole: only the old one's deletion is open
+        fs.delete(aside, True)
+        return False
+    return fs.rename(aside, here)

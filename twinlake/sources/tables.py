@@ -10,14 +10,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def time_grid(spark: SparkSession, dt: float, dko: int, steps: int) -> DataFrame:
-    """(k, ko, t, dt): a uniform grid of whole observation periods; no observation at the start.
-
-    The number of steps is rounded up to a multiple of ``dko``; ``ko`` is null between observations."""
-    last = -(-steps // dko) * dko
-    k = F.col("id")
-    ko = F.when((k % dko == 0) & (k > 0), (k / dko - 1).cast("long"))
-    return spark.range(last + 1).select(k.alias("k"), ko.alias("ko"), (k * dt).alias("t"), F.when(k > 0, F.lit(dt)).alias("dt"))
+def grids(last: DataFrame, dt: float, dko: int, size: int = 4096) -> DataFrame:
+    """(sys, k, ko, t, dt) for each row of (sys, last): a uniform grid of whole observation periods; no observation at the start.
+
+    The number of steps is rounded up to a multiple of ``dko``; ``ko`` is null between observations. A long grid is dealt out
+    in pieces of ``size`` steps before it is spelled out."""
+    end = (F.ceil(F.col("last") / dko) * dko).cast("long")
+    d = last.select("sys", end.alias("end")).select("sys", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end") / size))).alias("piece")).repartition("sys", "piece")
+    d = d.select("sys", F.explode(F.sequence(F.col("piece") * size, F.least(F.col("end"), F.col("piece") * size + size - 1))).alias("k"))
+    ko = F.when((F.col("k") % dko == 0) & (F.col("k") > 0), (F.col("k") / dko - 1).cast("long"))
+    return d.select("sys", "k", ko.alias("ko"), (F.col("k") * dt).alias("t"), F.when(F.col("k") > 0, F.lit(dt)).alias("dt"))
 
 
 def ensembles(df: DataFrame, ens: str = "label", member: str = "vec_id", state: str = "embedding") -> DataFrame:
