@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import re
 import tempfile
@@ -28,7 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: The folder of the run that is going on in this thread, if ``scratch`` began one.
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("twinlake_run", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A run whose intermediate tables lie in one folder, which goes at the end: write what the run gives before that.
+
+    Without it such tables stay in the shared folder, since a result may be read at any time."""
+    path = fresh_path(spark, "run")
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
