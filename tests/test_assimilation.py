@@ -84,3 +84,32 @@ def test_localised_update_leaves_far_variables(spark):
     assert np.array_equal(got[:, 6:], x[:, 6:]) and not np.allclose(got[:, 3], x[:, 3])
     v = x[:, 3].var(ddof=1)
     assert got[:, 3].var(ddof=1) == pytest.approx(v * 0.2 / (v + 0.2)) and got[:, 3].mean() == pytest.approx(x[:, 3].mean() + v / (v + 0.2) * (0.5 - x[:, 3].mean()))
+
+
+def test_spectra_by_either_side(spark):
+    """Few members in a large state and many in a small one: values and misfits of the singular vectors."""
+    for members, size in ((5, 9), (12, 4)):
+        g = np.random.default_rng(members)
+        x, truth = g.normal(size=(members, size)), g.normal(size=size)
+        e = spark.createDataFrame([(1, n, i, float(x[n, i])) for n in range(members) for i in range(size)], "ens long, n long, i long, x double")
+        t = spark.createDataFrame([(i, float(truth[i])) for i in range(size)], "i long, truth double")
+        _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        many = min(members - 1, size)
+        for side in ("state", "members"):
+            got = sorted(da.ensemble_spectra(e, t, size, side).collect(), key=lambda r: r.s)[:many]
+            assert np.allclose([r.sval for r in got], s[:many] / np.sqrt(members - 1))
+            assert np.allclose([abs(r.umisf) for r in got], np.abs(v[:many] @ (x.mean(0) - truth)))
+
+
+def test_assessment_refuses_what_is_not_finite_or_not_weighed(spark):
+    from twinlake.functions import statistics as st
+
+    rows = lambda x, w: spark.createDataFrame([(1, 0, n, 0, v, u) for n, (v, u) in enumerate(zip(x, w, strict=True))], "ens long, k long, n long, i long, x double, w double")
+    truth = spark.createDataFrame([(0, 0, 0.5)], "k long, i long, truth double")
+    good = {r.stat: r.m for r in st.assess_ensembles(rows([0.0, 1.0, 3.0], [0.25, 0.25, 0.5]), truth).collect()}
+    assert good["err"] == pytest.approx(1.25) and good["rh"] == 1.0 and good["spread"] == pytest.approx(np.sqrt((0.25 * 1.75**2 + 0.25 * 0.75**2 + 0.5 * 1.25**2) / (1 - 0.375)))
+    still = {r.stat for r in st.assess_ensembles(rows([2.0, 2.0], [0.5, 0.5]), truth).collect()}
+    assert still == {"err", "spread", "mad", "crps", "rh"}
+    for x, w, said in (([0.0, float("nan")], [0.5, 0.5], "not finite"), ([0.0, 1.0], [0.5, 0.6], "add up")):
+        with pytest.raises(Exception, match=said):
+            st.assess_ensembles(rows(x, w), truth).collect()

@@ -192,3 +192,19 @@ def test_tabulated_draws(spark):
     t = draws.integrated(spark, lambda x: F.when((x >= 0) & (x <= 1), 2 * x).otherwise(0.0), -1.0, 2.0, 3000)
     got = {r.id: r.x for r in draws.by_table(u, t, F.col("u"), cells=7).collect()}
     assert len(got) == 2001 and max(abs(got[k] - np.sqrt(k / 2000)) for k in range(1, 2001)) < 2e-3
+
+
+def test_perturbations_exact_to_second_order(spark):
+    """More members than variables: mean and covariance are the Kalman filter's; fewer: those of the ensemble less its least direction."""
+    for members, size in ((14, 10), (6, 10)):
+        x, e = ensemble(spark, 10, members, size)
+        got = back(es.second_order_exact(e, OBSERVATIONS, ERRORS, draws.gauss(5, F.col("ens"))), members, size)
+        a = x - x.mean(0)
+        if members < size:
+            u, s, v = np.linalg.svd(a, full_matrices=False)
+            s[members - 2 :] = 0
+            a = u * s @ v
+        p, h, r = a.T @ a / (members - 1), np.eye(size)[SITES], np.diag(ERRORS)
+        k = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
+        assert np.allclose(np.cov(got.T), (np.eye(size) - k @ h) @ p, atol=1e-8)
+        assert np.allclose(got.mean(0), x.mean(0) + k @ (np.array(VALUES) - x.mean(0)[SITES]), atol=1e-8)

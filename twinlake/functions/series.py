@@ -80,11 +80,14 @@ def after_burn_in(s: DataFrame, burn_in: float, dt: float, time: str = "k") -> D
     return s.where(F.col(time) * dt > burn_in)
 
 
-def ring_mean(e: DataFrame, half: int, dims: int) -> DataFrame:
-    """Circular moving average over ``2 * half + 1`` neighbours of each member."""
+def ring_mean(e: DataFrame, half: int, dims: int, half_ends: bool = False) -> DataFrame:
+    """Circular moving average over ``2 * half + 1`` neighbours of each member; with ``half_ends`` the two outer ones count half."""
     wide = e.unionByName(e.where(F.col("i") < half).withColumn("i", F.col("i") + dims)).unionByName(e.where(F.col("i") >= dims - half).withColumn("i", F.col("i") - dims))
-    w = Window.partitionBy("ens", "n").orderBy("i").rowsBetween(-half, half)
-    return wide.withColumn("x", F.avg("x").over(w)).where(F.col("i").between(0, dims - 1))
+    by = Window.partitionBy("ens", "n").orderBy("i")
+    w = by.rowsBetween(-half, half)
+    ends = (F.first("x").over(w) + F.last("x").over(w)) / 2
+    x = (F.sum("x").over(w) - ends) / (2 * half) if half_ends and half else F.avg("x").over(w)
+    return wide.withColumn("x", x).where(F.col("i").between(0, dims - 1))
 
 
 def logistic(k: Column, at: float, length: float, base: float) -> Column:

@@ -5,10 +5,10 @@ forecast, ``a`` analysis and ``s`` smoothed at observation times, ``i`` at every
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlake.functions.ensemble import crps_gauss
+from twinlake.functions.ensemble import crps_gauss, field_summaries, moments, uniform_weights
 from twinlake.functions.series import mean_with_confidence
 
 
@@ -44,6 +44,45 @@ def assess(estimates: DataFrame, truth: DataFrame) -> DataFrame:
     return e.select("sys", "sub", "k", "ko", F.inline(F.array(*[F.struct(F.lit(n).alias("stat"), v.alias("value")) for n, v in values.items()]))).select("sys", "stat", "sub", "k", "ko", "value")
 
 
+def assess_ensembles(e: DataFrame, truth: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
+    """(ens, k, stat, part, m, ms, rms, ma, gm): ensembles (ens, k, n, i, x[, w]) against (k, i, truth), summarised over the field.
+
+    Statistics of each variable are err, spread, mad, skew, kurt, crps, gscore and rh; ``part`` is ``field`` or a sector of
+    ``sectors`` (sector, i), which may overlap. A weight sum that is not one, and a member that is not finite, are errors;
+    without variance skew, kurt and gscore are null and left out of the summaries."""
+    bad = F.when(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")), F.raise_error(F.lit("a member is not finite")))
+    keyed = e.select(F.struct("ens", "k").alias("ens"), "n", "i", (F.col("x") + F.coalesce(bad.cast("double"), F.lit(0.0))).alias("x"), *(["w"] if "w" in e.columns else []))
+    if "w" in e.columns:
+        total = keyed.groupBy("ens", "i").agg(F.sum("w").alias("t"))
+        off = F.when(F.abs(F.col("t") - 1) > 1e-5, F.raise_error(F.lit("weights do not add up to one")))
+        keyed = keyed.join(total, ["ens", "i"]).withColumn("w", F.col("w") + F.coalesce(off.cast("double"), F.lit(0.0))).drop("t")
+    else:
+        keyed = uniform_weights(keyed)
+    x = truth.select("k", "i", "truth")
+    at = lambda d: d.withColumn("k", F.col("ens.k")).join(x, ["k", "i"])
+    own = at(keyed)
+    point = own.select("ens", "i", "truth").distinct()
+    one = moments(keyed).join(point, ["ens", "i"])
+    err, sd = F.col("mu") - F.col("truth"), F.col("spread")
+    one = one.select("ens", "i", err.alias("err"), "spread", "mad", "skew", "kurt", F.when(sd > 0, 2 * F.log(sd) + (err / sd) ** 2).alias("gscore"))
+    below = own.groupBy("ens", "i").agg(F.sum((F.col("x") < F.col("truth")).cast("long")).cast("double").alias("rh"))
+    one = one.join(crps_of(own), ["ens", "i"]).join(below, ["ens", "i"])
+    names = ["err", "spread", "mad", "skew", "kurt", "gscore", "crps", "rh"]
+    long = one.select("ens", "i", F.inline(F.array(*[F.struct(F.lit(n).alias("stat"), F.col(n).alias("value")) for n in names]))).where("value is not null")
+    whole = field_summaries(long.withColumn("part", F.lit("field")), "value", ["ens", "stat", "part"])
+    if sectors is not None:
+        whole = whole.unionByName(field_summaries(long.join(sectors.withColumnRenamed("sector", "part"), "i"), "value", ["ens", "stat", "part"]))
+    return whole.select("ens.ens", "ens.k", "stat", "part", "m", "ms", "rms", "ma", "gm")
+
+
+def crps_of(own: DataFrame) -> DataFrame:
+    """(ens, i, crps) of rows that carry their ``truth``: members in order and running sums, no pairs."""
+    below = Window.partitionBy("ens", "i").orderBy("x", "n").rowsBetween(Window.unboundedPreceding, -1)
+    o = own.withColumns({"wb": F.coalesce(F.sum("w").over(below), F.lit(0.0)), "sb": F.coalesce(F.sum(F.col("w") * F.col("x")).over(below), F.lit(0.0))})
+    pair = F.sum(F.col("w") * (F.col("x") * F.col("wb") - F.col("sb")))
+    return o.groupBy("ens", "i").agg((F.sum(F.col("w") * F.abs(F.col("x") - F.col("truth"))) - pair).alias("crps"))
+
+
 def register(stats: DataFrame, name: str, of: str, value: Column) -> DataFrame:
     """``stats`` with one more statistic: ``value``, a column over the rows of statistic ``of``."""
     return stats.unionByName(stats.where(F.col("stat") == of).withColumn("value", value).withColumn("stat", F.lit(name)))

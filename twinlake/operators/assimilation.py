@@ -157,44 +157,77 @@ def noise_inflation(e: DataFrame, q: float, by_index: bool) -> DataFrame:
     return a.join(f, KEY if by_index else "ens").select("ens", "n", "i", (F.col("mu") + F.col("f") * F.col("a")).alias("x"))
 
 
-def ensemble_spectra(e: DataFrame, truth: DataFrame, dims: int) -> DataFrame:
-    """(ens, s, sval, umisf): singular values of the anomalies (largest first, as standard deviations) and the error along each."""
+#: State variables up to which spectra are made from the covariance; beyond it from the members' Gram matrix.
+STATE_SIDE = 256
+
+
+def ensemble_spectra(e: DataFrame, truth: DataFrame, dims: int, side: str | None = None) -> DataFrame:
+    """(ens, s, sval, umisf): singular values of the anomalies (largest first, as standard deviations) and the error along each.
+
+    From the smaller of two matrices that one aggregate gives: the covariance of ``dims`` variables, or the members' products
+    (which, with those of members and error, tell the misfits too: no singular vector of the state is made). By members there
+    are as many values as members less one, at most ``dims``. A group is one small matrix; signs of misfits are arbitrary."""
+    e, side = e.where(F.col("i") < dims), side or ("state" if dims <= STATE_SIDE else "members")
+    a = anomalies(e).join(truth, "i").select("ens", "n", "i", "a", (F.col("mu") - F.col("truth")).alias("err"))
+    if side == "state":
+        b = a.select("ens", "n", F.col("i").alias("j"), F.col("a").alias("b"))
+        g = a.join(b, ["ens", "n"]).groupBy("ens", "i", "j").agg((F.sum(F.col("a") * F.col("b")) / (F.count(F.lit(1)) - 1)).alias("g"), F.first("err").alias("err"))
+    else:
+        b = a.select("ens", F.col("n").alias("j"), "i", F.col("a").alias("b"))
+        g = a.join(b, KEY).groupBy("ens", F.col("n").alias("i"), "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"), F.sum(F.col("a") * F.col("err")).alias("err"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="n", columns="i", values="x")
-        t = pdf.drop_duplicates("i").set_index("i")["truth"].reindex(x.columns).to_numpy()
-        a = (x - x.mean()).to_numpy()
-        d, v = np.linalg.eigh(a.T @ a / (len(a) - 1))
-        order = np.argsort(-d)
-        return pd.DataFrame({"ens": pdf["ens"].iat[0], "s": range(len(d)), "sval": np.sqrt(np.maximum(d[order], 0)), "umisf": v[:, order].T @ (x.mean().to_numpy() - t)})
+        m = pdf.pivot(index="i", columns="j", values="g")
+        err = pdf.drop_duplicates("i").set_index("i")["err"].reindex(m.index).to_numpy()
+        d, v = np.linalg.eigh(m.to_numpy())
+        d, along = np.maximum(d[::-1], 0), v.T[::-1] @ err
+        if side != "state":
+            many = min(len(d) - 1, dims)
+            along, d = along[:many] / np.sqrt(np.maximum(d[:many], 1e-300)), d[:many] / (len(d) - 1)
+        return pd.DataFrame({"ens": pdf["ens"].iat[0], "s": range(len(d)), "sval": np.sqrt(d), "umisf": along})
 
-    return e.where(F.col("i") < dims).join(truth, "i").groupBy("ens").applyInPandas(run, "ens long, s long, sval double, umisf double")
+    return g.groupBy("ens").applyInPandas(run, "ens long, s long, sval double, umisf double")
 
 
 def finite_size_inflation(e: DataFrame, obs: DataFrame, r: float, xn: float = 1.0, g: int = 0) -> DataFrame:
-    """(ens, infl): the inflation that a finite ensemble asks for, the minimum of the dual cost in it.
+    """(ens, infl): the inflation that a finite ensemble asks for, from the Gram matrix of its observations ``obs`` (j, i, y).
+
+    With s_k^2 the eigenvalues of that matrix, d_k the misfit along them and N1 = N - 1, it is the factor l that makes
 
-    From the observed anomalies alone: a group is an ensemble at the observed indices ``obs`` (j, i, y)."""
+        sum_k d_k^2 / (l^2 s_k^2 + N1)  +  e / l^2  +  c log l^2
+
+    least, where e = (N + 1) / N and c = (N + g) / N1 are a finite ensemble's constants, times ``xn`` for one that is surer.
+    The prior of l^2 by itself is greatest at e / c; so that it is one where observations say nothing, e is divided and c
+    multiplied by (e / c)^(h / 2), h being the mean over all N directions of N1 / (s^2 + N1). (Bocquet, Raanes and Hannart,
+    "Expanding the validity of the ensemble Kalman filter without the intrinsic need for inflation", 2015.)"""
+    a = anomalies(e).join(obs, "i").select("ens", "n", "j", (F.col("a") / float(np.sqrt(r))).alias("a"), ((F.col("y") - F.col("mu")) / float(np.sqrt(r))).alias("d"))
+    b = a.select("ens", "n", F.col("j").alias("k"), F.col("a").alias("b"))
+    gram = a.join(b, ["ens", "n"]).groupBy("ens", "j", "k").agg(F.sum(F.col("a") * F.col("b")).alias("g"), F.first("d").alias("d"), F.count(F.lit(1)).alias("size"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.pivot(index="n", columns="j", values="a").to_numpy() / np.sqrt(r)
-        dy = pdf.drop_duplicates("j").sort_values("j")["dy"].to_numpy() / np.sqrt(r)
-        n = len(y)
-        _, s, vt = np.linalg.svd(y, full_matrices=False)  # directions without spread add nothing to the slope
-        s2, du2 = s**2, (vt @ dy) ** 2
-        prior = np.mean(1 / (np.concatenate([s**2, np.zeros(n)])[:n] + n - 1)) * (n - 1)
-        en, cl = (n + 1) / n, (n + g) / (n - 1)
-        fix = np.sqrt((en / cl) ** prior)
-        en, cl = xn * en / fix, xn * cl * fix
-        grad = lambda p: -np.sum(s2 * du2 / (np.exp(p) * s2 + n - 1) ** 2) * np.exp(p) - en * np.exp(-p) + cl
+        m = pdf.pivot(index="j", columns="k", values="g")
+        d = pdf.drop_duplicates("j").set_index("j")["d"].reindex(m.index).to_numpy()
+        n = int(pdf["size"].iat[0])
+        s2, v = np.linalg.eigh(m.to_numpy())
+        s2, d2 = np.maximum(s2, 0), (v.T @ d) ** 2
+        e_, c_ = constants(n, s2, xn, g)
+        slope = lambda p: c_ - e_ * np.exp(-p) - np.exp(p) * np.sum(s2 * d2 / (np.exp(p) * s2 + n - 1) ** 2)
         lo, hi = -12.0, 12.0  # in the log of the squared factor the slope rises through nought once or stays on a side
         for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if grad(mid) < 0 else (lo, mid)
+            lo, hi = (mid, hi) if slope(mid) < 0 else (lo, mid)
         return pd.DataFrame({"ens": [pdf["ens"].iat[0]], "infl": [float(np.exp((lo + hi) / 4))]})
 
-    a = anomalies(e).join(obs, "i").select("ens", "n", "j", "a", (F.col("y") - F.col("mu")).alias("dy"))
-    return a.groupBy("ens").applyInPandas(run, "ens long, infl double")
+    return gram.groupBy("ens").applyInPandas(run, "ens long, infl double")
+
+
+def constants(n: int, s2: np.ndarray, xn: float = 1.0, g: int = 0) -> tuple[float, float]:
+    """e and c of ``finite_size_inflation`` for ``n`` members whose observations' Gram matrix has eigenvalues ``s2`` (others nought)."""
+    e, c = (n + 1) / n, (n + g) / (n - 1)
+    lam = np.sort(s2)[::-1][:n]
+    h = (np.sum((n - 1) / (lam + n - 1)) + n - len(lam)) / n
+    shift = (e / c) ** (h / 2)
+    return xn * e / shift, xn * c * shift
 
 
 def diagonal_spectra(m: DataFrame, truth: DataFrame) -> DataFrame:
@@ -205,13 +238,21 @@ def diagonal_spectra(m: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def mean_weight(e: DataFrame, index: int, obs: DataFrame, r: float) -> DataFrame:
-    """(ens, size, ww): the squared length of the mean's weights in ensemble space after one observation (y) of a state."""
+    """(ens, size, ww, s2): the squared length of the mean's weights in ensemble space after one observation (y) of a state, and
+    the eigenvalue of the observation's Gram matrix."""
     a = anomalies(e.where(F.col("i") == index))
     s = a.groupBy("ens").agg((F.sum(F.col("a") ** 2) / r).alias("s"), F.first("mu").alias("mu"), F.count(F.lit(1)).cast("double").alias("size"))
     s = s.withColumn("one", F.lit(1)).join(obs.withColumn("one", F.lit(1)), "one")
-    return s.select("ens", "size", (F.col("s") * (F.col("y") - F.col("mu")) ** 2 / r / (F.col("size") - 1 + F.col("s")) ** 2).alias("ww"))
+    return s.select("ens", "size", (F.col("s") * (F.col("y") - F.col("mu")) ** 2 / r / (F.col("size") - 1 + F.col("s")) ** 2).alias("ww"), F.col("s").alias("s2"))
+
 
+def zeta(size: Column, ww: Column, s2: Column | None = None) -> Column:
+    """The effective number of the prior's precision after an analysis, for squared weights ``ww``.
 
-def zeta(size: Column, ww: Column) -> Column:
-    """The effective number of the prior's precision after an analysis, for squared weights ``ww``."""
-    return (size - 1) * (size / (size - 1)) / ((size + 1) / size + ww)
+    With ``s2``, the eigenvalue of the one observation, by the constants of ``finite_size_inflation`` as corrected there."""
+    e, c = (size + 1) / size, size / (size - 1)
+    if s2 is not None:
+        h = ((size - 1) / (s2 + size - 1) + size - 1) / size
+        shift = F.pow(e / c, h / 2)
+        e, c = e / shift, c * shift
+    return (size - 1) * c / (e + ww)

@@ -175,3 +175,52 @@ def square_root_by_members(e: DataFrame, obs: DataFrame) -> DataFrame:
     w = g.groupBy("ens").applyInPandas(run, "ens long, n long, m long, w double")
     move = a.select("ens", F.col("n").alias("m"), "i", "a").join(w, ["ens", "m"]).groupBy("ens", "n", "i").agg(F.sum(F.col("a") * F.col("w")).alias("move"))
     return e.join(move, ["ens", "n", "i"], "left").select("ens", "n", "i", (F.col("x") + F.coalesce("move", F.lit(0.0))).alias("x"))
+
+
+def second_order_exact(e: DataFrame, observations: list[tuple[int, float]], r: float | list[float], side: Column) -> DataFrame:
+    """(ens, n, i, x) after observations in turn, with perturbations that leave the sample covariance exact (``ESOPS``).
+
+    A perturbation lies along one direction of members on which the state does not depend, so it adds its variance and no
+    correlation: the direction of least spread gives way first (nothing, where members outnumber the state), and it is turned
+    out of the state's way again after each step. ``side`` is a draw an ensemble (over ens), whose sign each first perturbation
+    takes. A group is one matrix of members."""
+    each = [float(x) for x in r] if isinstance(r, (list, tuple)) else [float(r)] * len(observations)
+    size = len(observations)
+    u = members(e, observations, each).withColumn("side", side)
+    a = anomalies(e)
+    b = a.select("ens", F.col("n").alias("m"), "i", F.col("a").alias("b"))
+    g = a.join(b, KEY).groupBy("ens", "n", "m").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+    g = g.join(u.select("ens", "n", "u", "d", "side"), ["ens", "n"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.pivot(index="n", columns="m", values="g")
+        one = pdf.drop_duplicates("n").set_index("n").reindex(own.index)
+        y, d = np.array(one["u"].to_list())[:, :size], np.array(one["d"].iat[0])
+        n, sign = len(own), 1.0 if one["side"].iat[0] >= 0 else -1.0
+        if n < 3:
+            w = np.zeros((n, n))
+        else:
+            gram, mean = own.to_numpy(), np.zeros(n)
+            flat = np.ones(n) / np.sqrt(n)
+            vec = np.linalg.eigh(gram + np.trace(gram) * np.outer(flat, flat))[1]  # the even direction is then the last
+            v = vec[:, 0]
+            t = np.eye(n) - np.outer(v, v) - np.outer(flat, flat)
+            gram, y = t @ gram @ t.T, t @ y
+            for j in range(size):
+                if j:
+                    v = v - (v @ gram @ last) / max(last @ gram @ last, 1e-300) * last  # noqa: F821
+                    v = v / np.linalg.norm(v)
+                last = y[:, j].copy()
+                c = last @ last + n - 1
+                step = np.outer(sign * v * np.sqrt(n - 1) - last, last) / c
+                mean = mean + d[j] / c * (last @ t)
+                d = d - d[j] / c * (last @ y)
+                t, y = t + step @ t, y + step @ y
+                gram = (np.eye(n) + step) @ gram @ (np.eye(n) + step).T
+            w = t + mean[None] - np.eye(n)
+        out = pd.DataFrame(w, index=own.index, columns=own.columns).stack().rename("w").reset_index()
+        return out.assign(ens=pdf["ens"].iat[0])[["ens", "n", "m", "w"]]
+
+    w = g.groupBy("ens").applyInPandas(run, "ens long, n long, m long, w double")
+    move = b.join(w, ["ens", "m"]).groupBy("ens", "n", "i").agg(F.sum(F.col("b") * F.col("w")).alias("move"))
+    return e.join(move, ["ens", "n", "i"], "left").select("ens", "n", "i", (F.col("x") + F.coalesce("move", F.lit(0.0))).alias("x"))

@@ -353,3 +353,9 @@ _SETTINGS = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}:
 def settings_table(spark, d):
     """What each named setting makes of each series: its steps, those observed, and those after burn-in."""
     return settings.configured(_events(spark, d))
+
+
+@query("settings_load", f"WITH {EVENTS} SELECT sys, 'lorenz96_sakov2008' AS name, 'lorenz96' AS model, count(*)::BIGINT AS steps, count(*)::BIGINT AS observed, count(*) FILTER (k * 0.05::DOUBLE > 20)::BIGINT AS counted FROM s GROUP BY sys")
+def settings_load(spark, d):
+    """One setting, loaded by its name, on each series."""
+    return settings.configured(_events(spark, d), "lorenz96_sakov2008")

@@ -75,10 +75,10 @@ def subsample_alignment(spark, d):
     return s.withColumnRenamed("y", "model").join(t, ["sys", "k"])
 
 
-@query("nd_id_localization", "WITH n AS (SELECT (max(p_partkey) - 1) // 40 + 1 AS h FROM part), g AS (SELECT p_partkey - 1 AS i, (p_partkey - 1) // 40 AS y, (p_partkey - 1) % 40 AS x, h FROM part, n), o AS (SELECT * FROM g WHERE i % 4 = 0), dd AS (SELECT g.i AS p, o.i AS s, sqrt(least(abs(g.y - o.y), g.h - abs(g.y - o.y)) ** 2 + least(abs(g.x - o.x), 40 - abs(g.x - o.x)) ** 2) AS dist FROM g, o), c AS (SELECT p, s, CASE WHEN dist <= 3.28 THEN (1 - (dist / 3.28) ** 4) ** 4 ELSE 0 END AS coeff FROM dd) SELECT p, s, round(coeff, 6) + 0.0 AS coeff FROM c WHERE coeff > 1e-3")
+@query("nd_id_localization", "WITH n AS (SELECT max(p_partkey) // 40 + 1 AS h FROM part), g AS (SELECT p_partkey AS i, p_partkey // 40 AS y, p_partkey % 40 AS x, h FROM part, n), o AS (SELECT * FROM g WHERE i % 4 = 0), dd AS (SELECT g.i AS p, o.i AS s, sqrt(least(abs(g.y - o.y), g.h - abs(g.y - o.y)) ** 2 + least(abs(g.x - o.x), 40 - abs(g.x - o.x)) ** 2) AS dist FROM g, o), c AS (SELECT p, s, CASE WHEN dist <= 3.28 THEN (1 - (dist / 3.28) ** 4) ** 4 ELSE 0 END AS coeff FROM dd) SELECT p, s, round(coeff, 6) + 0.0 AS coeff FROM c WHERE coeff > 1e-3")
 def nd_id_localization(spark, d):
     """Parts as points of a periodic grid, every fourth observed: which of them inform each point, and how much."""
-    points = read(spark, d, "part").select((F.col("p_partkey") - 1).alias("i"))
+    points = read(spark, d, "part").select(F.col("p_partkey").alias("i"))
     high = points.agg(F.floor(F.max("i") / 40) + 1).first()[0]
     return rounded(lo.direct_localization(points, [high, 40], F.col("i") % 4 == 0, 2.0, "Quadro"), "coeff")
 

@@ -122,3 +122,17 @@ def rv_density(spark, d):
     rows = read(spark, d, "part").select(F.col("p_partkey").alias("n"), (F.col("p_partkey") * 0.6180339887498949 % 1).alias("u"))
     t = draws.integrated(spark, lambda x: F.exp(-0.5 * x * x), -4.0, 4.0)
     return rounded(draws.by_table(rows, t, F.col("u")).select("n", "x"), "x")
+
+
+# --- perturbations that are exact to second order --------------------------------------------------------
+
+
+@query("enkf_exact_perturbations", f"WITH {_SLOTS}, c AS (SELECT ens, avg(x0) AS m0, avg(x1) AS m1, var_samp(x0) AS p00, covar_samp(x0, x1) AS p01, var_samp(x1) AS p11 FROM sw GROUP BY ens), o AS (SELECT ens, m0 + p00 / (p00 + 0.02) * (0.05 - m0) AS m0, m1 + p01 / (p00 + 0.02) * (0.05 - m0) AS m1, p00 - p00 * p00 / (p00 + 0.02) AS p00, p01 - p00 * p01 / (p00 + 0.02) AS p01, p11 - p01 * p01 / (p00 + 0.02) AS p11 FROM c), q AS (SELECT ens, m0 + p01 / (p11 + 0.03) * (-0.1 - m1) AS m0, m1 + p11 / (p11 + 0.03) * (-0.1 - m1) AS m1, p00 - p01 * p01 / (p11 + 0.03) AS p00, p01 - p01 * p11 / (p11 + 0.03) AS p01, p11 - p11 * p11 / (p11 + 0.03) AS p11 FROM o) SELECT ens, round(m0, 6) + 0.0 AS m0, round(m1, 6) + 0.0 AS m1, round(p00, 6) + 0.0 AS p00, round(p01, 6) + 0.0 AS p01, round(p11, 6) + 0.0 AS p11 FROM q")
+def enkf_exact_perturbations(spark, d):
+    """Two observations in turn with perturbations by keyed draws: means and covariances are the Kalman filter's."""
+    from twinlake.operators.ensemble_space import second_order_exact
+
+    x = second_order_exact(_slots(spark, d), [(0, 0.05), (1, -0.1)], [0.02, 0.03], draws.gauss(21, F.col("ens")))
+    w = x.groupBy("ens", "n").agg(F.max(F.when(F.col("i") == 0, F.col("x"))).alias("x0"), F.max(F.when(F.col("i") == 1, F.col("x"))).alias("x1"))
+    c = w.groupBy("ens").agg(F.avg("x0").alias("m0"), F.avg("x1").alias("m1"), F.var_samp("x0").alias("p00"), F.covar_samp("x0", "x1").alias("p01"), F.var_samp("x1").alias("p11"))
+    return rounded(c, "m0", "m1", "p00", "p01", "p11")

@@ -27,9 +27,19 @@ def settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SETTINGS, KIND)
 
 
-def configured(s: DataFrame) -> DataFrame:
-    """(sys, name, model, steps, observed, counted) of series (sys, k): a row a series and setting; steps, those with an observation,
-    and those after burn-in. Settings stand in each row as one array, so series are read once and nothing is joined."""
-    every = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(m).alias("model"), F.lit(dko).alias("dko"), F.lit(dt).alias("dt"), F.lit(b).alias("burn_in")) for n, m, _, _, dt, dko, b, _, _ in SETTINGS])
+def load(name: str) -> dict:
+    """One setting by its name; an unknown name is an error that tells the known ones."""
+    columns = [c.split()[0] for c in KIND.split(", ")]
+    found = [dict(zip(columns, row, strict=True)) for row in SETTINGS if row[0] == name]
+    if not found:
+        raise KeyError(f"there is no setting {name}; there are {', '.join(row[0] for row in SETTINGS)}")
+    return found[0]
+
+
+def configured(s: DataFrame, *names: str) -> DataFrame:
+    """(sys, name, model, steps, observed, counted) of series (sys, k): a row a series and setting (all, or those named); steps,
+    those with an observation, and those after burn-in. Settings stand in each row as one array, so series are read once."""
+    some = [load(n) for n in names or [row[0] for row in SETTINGS]]
+    every = F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in ("name", "model", "dko", "dt", "burn_in")]) for c in some])
     d = s.select("sys", "k", F.inline(every))
     return d.groupBy("sys", "name", "model").agg(F.count(F.lit(1)).alias("steps"), F.sum((F.col("k") % F.col("dko") == 0).cast("long")).alias("observed"), F.sum((F.col("k") * F.col("dt") > F.col("burn_in")).cast("long")).alias("counted"))
