@@ -69,7 +69,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of a base and of its inverse, modulo 2^64."""
     held = _POWERS.get(base)
     if held is None or len(held[0]) < n:
-        size = 1 << max(STRIP.bit_length(), (n - 1).bit_length())
+        size = 1 << max(16, (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
