@@ -29,8 +29,6 @@ def with_precision(val: Column, prec: Column, figures: int = 4) -> Column:
     """Text of a value and its precision: the precision to one figure, the value to its order.
 
     Without a precision ``figures`` significant figures; with a precision of nought ten decimals."""
-    one = round_figures(prec, 1)
-    order = F.greatest(-log10_int(one), F.lit(0))
-    said = F.concat(F.regexp_replace(F.format_string("%.10f", round_to(val, one)), r"\.?0+$", ""), F.lit(" ±"), F.regexp_replace(F.format_string("%.10f", one), r"\.?0+$", ""))
     plain = lambda x: F.regexp_replace(F.format_string("%.10f", x), r"\.?0+$", "")
-    return F.when(F.isnan(prec), plain(round_figures(val, figures))).when(prec == 0, F.concat(plain(val), F.lit(" ±0"))).when(order >= 0, said)
+    both = F.get(F.transform(F.array(round_figures(prec, 1)), lambda one: F.concat(plain(round_to(val, one)), F.lit(" ±"), plain(one))), 0)
+    return F.when(F.isnan(prec), plain(round_figures(val, figures))).when(prec == 0, F.concat(plain(val), F.lit(" ±0"))).otherwise(both)
