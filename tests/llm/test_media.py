@@ -133,3 +133,52 @@ def test_recall_of_planted_edits(spark):
     got = found(spark, images)
     assert all(source[i] == source[c] for i, c in got.items())
     assert sum(got[i] == source[i] for i in got) >= 0.9 * len(got)
+
+
+def described_as(spark, monkeypatch, own):
+    """``copies`` of images given by their corners: (y, x, seed of the tests' outcomes)."""
+    rows = []
+    for i, corners in own.items():
+        places = np.array([(0, 0, y, x) for y, x, _ in corners], "<u4")
+        bits = np.stack([np.random.default_rng(key).integers(0, 256, 12).astype(np.uint8) for _, _, key in corners])
+        rows.append((i, bytearray([i] * 16), len(corners), bytearray(media._packed(places, bits))))
+    monkeypatch.setattr(media, "described", lambda images: spark.createDataFrame(rows, "id long, digest binary, n int, corners binary"))
+    return {r.id: (r.class_id, r.n_links) for r in media.copies(spark.createDataFrame([], KIND)).collect()}
+
+
+def test_links_within_a_class_are_all_counted(spark, monkeypatch):
+    """Four images of one scene are copies of each other, whichever met first; a fifth is a copy of one of them only."""
+    scene = [(20 * k, 13 * k * k % 300, 100 + k) for k in range(12)]
+    more = [(20 * k, 7 * k * k % 300, 300 + k) for k in range(12)]
+    own = {i: [*scene, (300 + i, 5, 200 + i)] for i in (1, 2, 3)} | {4: scene + more, 5: [*more, (310, 5, 205)]}
+    monkeypatch.setattr(media, "TOGETHER", 2)
+    assert described_as(spark, monkeypatch, own) == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (1, 4), 5: (1, 1)}
+
+
+def test_repeated_corners(spark, monkeypatch):
+    """Tiled images, of which one corner comes again and again, share few entries, but many corners stand behind them."""
+    tiles = [(30 * k, 11 * k * k % 200, 100 + k % 2) for k in range(24)]
+    own = {1: [*tiles, (900, 5, 301)], 2: [*tiles, (900, 5, 302)], 3: [(30 * k, 17 * k, 400 + k) for k in range(8)]}
+    assert described_as(spark, monkeypatch, own) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+
+
+def test_pairs_that_share_fewer_entries_than_votes_are_asked(spark, monkeypatch):
+    """Of 12 matches of 40 corners eight have a wrong bit in each band: four corners, with two entries each, are shared, ten are asked for.
+
+    The first image of those entries is another one, which shares no more than two with either."""
+    own = {i + 1: [(9 * i, 4, 100 + i)] * 1 + [(9 * i, 40 * i, 600 + 20 * i + k) for k in range(3)] for i in range(8)}
+    own |= {i: [(25 * k, 19 * k * k % 400, 100 + k) for k in range(4)] + [(900 + 9 * k, 7 * k, 1000 * i + k) for k in range(28)] for i in (20, 21)}
+    near = [(25 * k, 19 * k * k % 400, 2000 + k) for k in range(4, 12)]
+    rows = []
+    for i, corners in own.items():
+        if i >= 20:
+            corners = corners + near
+        places = np.array([(0, 0, y, x) for y, x, _ in corners], "<u4")
+        bits = np.stack([np.random.default_rng(key).integers(0, 256, 12).astype(np.uint8) for _, _, key in corners])
+        if i == 21:
+            bits[-8:, 0] ^= 1
+            bits[-8:, 6] ^= 1
+        rows.append((i, bytearray([i] * 16), len(corners), bytearray(media._packed(places, bits))))
+    monkeypatch.setattr(media, "described", lambda images: spark.createDataFrame(rows, "id long, digest binary, n int, corners binary"))
+    got = {r.id: (r.class_id, r.n_links) for r in media.copies(spark.createDataFrame([], KIND)).collect()}
+    assert got == {i: (20, 1) if i in (20, 21) else (i, 0) for i in own}

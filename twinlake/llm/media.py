@@ -140,23 +140,27 @@ def described(images: DataFrame) -> DataFrame:
 
 
 def tables(found: DataFrame) -> DataFrame:
-    """(row, key): the entries of each image in the tables, one table a band of the bits."""
+    """(row, key, w, n): the entries of each image in the tables, one table a band of the bits; ``w`` of its ``n`` corners have that entry."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = TESTS // 8 // BANDS
         for b in it:
-            rows, keys = [], []
+            rows, keys, times, sizes = [], [], [], []
             for row, blob in zip(b.column("row").to_pylist(), b.column("corners").to_pylist(), strict=True):
                 d = _unpacked(blob)[1]
                 for k in range(BANDS):
                     word = np.zeros((len(d), 8), np.uint8)
                     word[:, :step], word[:, 7] = d[:, k * step : (k + 1) * step], k
-                    keys.append(np.unique(word.reshape(-1).view("<i8")))
-                    rows.append(np.full(len(keys[-1]), row))
+                    key, w = np.unique(word.reshape(-1).view("<i8"), return_counts=True)
+                    keys.append(key)
+                    times.append(w)
+                    rows.append(np.full(len(key), row))
+                    sizes.append(np.full(len(key), len(d)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["row", "key"])
+                kinds = (rows, pa.int64()), (keys, pa.int64()), (times, pa.int32()), (sizes, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in kinds], names=["row", "key", "w", "n"])
 
-    return found.select("row", "corners").mapInArrow(run, "row long, key long")
+    return found.select("row", "corners").mapInArrow(run, "row long, key long, w int, n int")
 
 
 def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
@@ -211,35 +215,65 @@ def links(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def remaining_pairs(shared: DataFrame, label: DataFrame) -> DataFrame:
     """(a, b): candidates of different components, which the first round did not look at.
 
-    Of a table entry's images those outside its largest component are a query set that is held against its images
-    of other components. A pair that is a copy shares as many entries as it has votes, t at least, so each image takes
-    part as the one with fewer corners without its t / 2 commonest entries, and as the other without its commonest
-    few: all that both leave out are the commonest that they share, so they still meet in t - t / 2."""
+    ``w`` says how many corners of an image stand behind an entry, so images that repeat a corner are counted in full.
+    Each image, as the one with fewer corners, leaves out its commonest entries while fewer than ``VOTES`` of its corners
+    stand behind them; the other one leaves out none. So every pair of which the entries they share hold ``VOTES`` corners
+    of the one with fewer still meets. Of an entry's images those outside its largest component are a query set that is
+    held against its images of other components."""
     s = shared.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("comp", "row"))
     per = s.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
-    common = Window.partitionBy("row").orderBy(F.desc("holders"), "key")
-    s = s.withColumn("place", F.row_number().over(common)).join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
-    s = s.withColumn("need", F.greatest(F.lit(VOTES), F.ceil(SHARE * F.col("n")).cast("int")))
-    s = materialise(s.where(F.col("place") > VOTES // 2).drop("main", "holders"), "media-rest")
-    fewer = s.where(F.col("place") > F.floor(F.col("need") / 2)).select("key", F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("other").alias("oa"), "need")
+    common = Window.partitionBy("row").orderBy(F.desc("holders"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("behind", F.sum("w").over(common)).join(mixed, "key").withColumn("other", F.col("comp") != F.col("main"))
+    s = materialise(s.select("key", "row", "comp", "n", "other", "behind"), "media-rest")
+    fewer = s.where(F.col("behind") >= VOTES).select("key", F.col("row").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("other").alias("oa"))
     more = s.select("key", F.col("row").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("other").alias("ob"))
     apart = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb"))
     m = fewer.where("oa").join(more, "key").where(apart).unionByName(fewer.where("not oa").join(more.where("ob"), "key").where(apart))
-    m = m.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first("need").alias("need")).where(F.col("met") >= F.col("need") - F.floor(F.col("need") / 2))
     return m.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+#: Images of a class that are held against each other at once.
+TOGETHER = 256
+
+
+def class_links(label: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, n_links) of the images of every class (node, comp): how many of its class each is a copy of, all held against all.
+
+    A class is dealt into parts of about ``TOGETHER`` images, and each pair of parts is a group; pairs are no rows."""
+
+    def run(key, members):
+        i, j = key[1].as_py(), key[2].as_py()
+        part, row = members.column("part").to_pylist(), members.column("row").to_pylist()
+        own = [_unpacked(x) for x in members.column("corners").to_pylist()]
+        n = [0] * len(own)
+        left, right = ([k for k, p in enumerate(part) if p == q] for q in (i, j))
+        for x in left:
+            for y in right:
+                if (i != j or x < y) and is_copy(own[x], own[y]):
+                    n[x] += 1
+                    n[y] += 1
+        return pa.table({"row": pa.array(row, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    size = label.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    d = label.join(size, "comp").withColumn("parts", F.ceil(F.col("size") / TOGETHER))
+    two = d.where("size = 2").select(F.col("node").alias("row"), F.lit(1).cast("long").alias("n"))
+    d = d.where("size > 2").withColumn("part", F.pmod(F.xxhash64("node"), "parts")).join(found.select(F.col("row").alias("node"), "corners"), "node")
+    d = d.select(F.col("node").alias("row"), "comp", "part", "corners", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
+    d = d.select("row", "comp", "part", "corners", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    n = two.unionByName(d.groupBy("comp", "i", "j").applyInArrow(run, "row long, n long"))
+    return n.groupBy("row").agg(F.sum("n").alias("n_links"))
+
+
 def copies(images: DataFrame) -> DataFrame:
     """One row per row of ``images``: ``id``, ``class_id`` (smallest id of its class), ``n_links``.
 
-    Candidates are images that share entries of the tables, as many as ``is_copy`` asks votes: copies of which so many
-    corners have at most a wrong bit in one band. In each entry all images first meet its first one, so a hot pattern
-    gives a row an image, not pairs, and those that so meet an image often enough are looked at; where an entry's images
-    are then still in different components, those outside the largest are held against the others. Every candidate pair
-    is so looked at, or is in one class already.
-    A pair is linked by ``is_copy``, on all corners and bits, and links make classes. ``n_links`` counts the links
-    that were found so; pairs that others have joined already are not looked at again.
+    Candidates are images that share entries of the tables behind which ``VOTES`` corners stand. In each entry all
+    images first meet its first one, so a hot pattern gives a row an image, not pairs, and those that so meet an image often enough are
+    looked at; where an entry's images are then still in different components, those outside the largest are held against
+    the others. Every candidate pair is so looked at, or is in one class already.
+    A pair is linked by ``is_copy``, on all corners and bits, and links make classes. ``n_links`` counts all different images
+    that an image is linked to, which are of its class: within a class all are held against all.
     Equal images (height, width, pixels) are one node. Rows are told apart by their place: one id on several images
     is each of them. Null ids, and null, empty or ill-sized pixels, are left out of matching and are a
     class of their own. An image without corners links to equals only."""
@@ -247,20 +281,16 @@ def copies(images: DataFrame) -> DataFrame:
     good = found.where("digest is not null")
     rep = good.groupBy("digest").agg(F.min("row").alias("rep"))
     rows = materialise(good.select("row", "id", "digest", "n").join(rep, "digest").select("row", "id", "rep", "n"), "media-rows")
-    every = tables(good)
-    first = every.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    shared = every.join(first, "key").join(rows.select("row", "rep"), "row").select("key", "rep", "first", "holders")
-    shared = shared.join(rows.select(F.col("row").alias("first"), F.col("rep").alias("to")), "first").groupBy("key", "rep", "to").agg(F.max("holders").alias("holders"))
-    shared = materialise(shared.withColumnRenamed("rep", "row"), "media-shared")
-    met = shared.where("row <> to").groupBy(F.least("row", "to").alias("a"), F.greatest("row", "to").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    node = good.join(rows.where("row = rep").select("row"), "row", "left_semi")
+    every = tables(node)
+    first = every.groupBy("key").agg(F.min("row").alias("to"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    shared = materialise(every.join(first, "key").select("key", "row", "to", "holders", "w", "n"), "media-shared")
+    met = shared.where("row <> to").groupBy(F.col("to").alias("a"), F.col("row").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     pairs = materialise(met.where(F.col("met") >= VOTES).select("a", "b"), "media-pairs")
-    known = links(pairs, good)
-    label = components(known)
-    held = shared.join(rows.select("row", F.col("n").cast("long").alias("n")), "row").select("key", "row", "n", "holders")
-    more = remaining_pairs(held, label).join(pairs, ["a", "b"], "left_anti")
-    known = known.unionByName(links(more, good))
-    label = components(known)
-    degree = known.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    known = links(pairs, node)
+    more = remaining_pairs(shared, components(known)).join(pairs, ["a", "b"], "left_anti")
+    label = components(known.unionByName(links(more, node)))
+    degree = class_links(label, node).withColumnRenamed("row", "rep")
     node = rows.groupBy("rep").agg(F.min("id").alias("least")).join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     group = node.groupBy("comp").agg(F.min("least").alias("class_id"))
     node = node.join(group, "comp").join(degree, "rep", "left").select("rep", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
