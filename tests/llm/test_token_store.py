@@ -54,3 +54,19 @@ def test_empty_table(spark, tmp_path):
     path = f"{tmp_path}/none"
     ts.write_store(documents(spark, []), path, public_tokenizers.path("word_bpe_49k.json"), 1)
     assert ts.read_store(spark, path).collect() == []
+
+
+def test_reading_whole_stores_shuffles_no_planes(spark, tmp_path):
+    """Also where the index is too large to be sent about, the planes of a store are not."""
+    path = f"{tmp_path}/store"
+    ts.write_store(documents(spark, [(k, f"text {k}") for k in range(40)]), path, public_tokenizers.path("word_bpe_49k.json"), 1)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        d = ts.read_store(spark, path)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert d.count() == 40
+    finally:
+        spark.conf.set(key, before)

@@ -104,14 +104,20 @@ def _bases(spark: SparkSession, path: str) -> dict[int, int]:
 def read_store(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Per document: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids`` (little-endian 32-bit).
 
-    The chunk index gives each chunk its start, and says which chunks hold ids from ``first`` to ``last``: only
+    The chunk index gives each shard, or chunk, its start, and says which chunks hold ids from ``first`` to ``last``: only
     these are unpacked. Without bounds all documents are read; with a bound, those with a null id are not."""
     index = spark.read.parquet(f"{path}/index")
+    chunks = spark.read.schema(CHUNK).parquet(f"{path}/chunks")
+    if first is None and last is None:
+        # a row a shard, so as many as tasks wrote: the planes stay where they are read
+        base = index.groupBy("shard").agg(F.min("start").alias("base"))
+        chunks = chunks.join(F.broadcast(base), "shard").withColumn("start", F.col("start") + F.col("base"))
     if first is not None:
         index = index.where(F.col("last_doc") >= first)
     if last is not None:
         index = index.where(F.col("first_doc").isNull() | (F.col("first_doc") <= last))
-    chunks = spark.read.schema(CHUNK).parquet(f"{path}/chunks").drop("start").join(index.select("shard", "chunk", "start"), ["shard", "chunk"])
+    if first is not None or last is not None:
+        chunks = chunks.drop("start").join(index.select("shard", "chunk", "start"), ["shard", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor().decompress
