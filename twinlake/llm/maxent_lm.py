@@ -41,6 +41,8 @@ TASK_POSITIONS, BLOCKS, BATCH_CHARS = 8_000_000, 64, 20_000_000
 TOGETHER = 1 << 19
 
 _U = np.uint32
+#: A row of weights as one item, which is moved whole.
+ROW = np.dtype(("V", 4 * SLOTS))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -182,6 +184,9 @@ def features(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 _NODE, _SLOT, _DEPTH = paths(np.arange(CODES))
+#: The same without what does not count, the steps of a code from ``_FIRST`` on.
+_NODE, _SLOT = (x[np.arange(4) < _DEPTH[:, None]] for x in (_NODE, _SLOT))
+_FIRST = np.cumsum(_DEPTH) - _DEPTH
 
 
 class Examples:
@@ -190,52 +195,68 @@ class Examples:
     The word before and the pair count at every class, the skip at the root, where most is decided, alone."""
 
     def __init__(self, code: np.ndarray, f: np.ndarray):
-        depth = _DEPTH[code]
+        depth = _DEPTH.take(code)
         self.of = np.repeat(np.arange(len(code)), depth)
-        level = np.arange(len(self.of)) - (np.cumsum(depth) - depth)[self.of]
-        self.node, self.slot = _NODE[code[self.of], level], _SLOT[code[self.of], level]
-        self.top = np.flatnonzero(level == 0)
-        mixed = lambda x, node: (_mix(x + node.astype(_U) * _U(0x165667B1)) >> _U(32 - ROW_BITS)).astype("i4")
-        self.rows = [mixed(f[self.of, 0], self.node), mixed(f[self.of, 1], self.node), mixed(f[:, 2], self.node[self.top])]
+        self.top = np.cumsum(depth) - depth
+        step = np.repeat(_FIRST.take(code) - self.top, depth)
+        step += np.arange(len(step))
+        self.node, self.slot = _NODE.take(step), _SLOT.take(step)
+        salt = self.node.astype(_U) * _U(0x165667B1)
+        mixed = lambda x: (_mix(x) >> _U(32 - ROW_BITS)).astype("i4")
+        self.rows = [mixed(np.repeat(f[:, 0], depth) + salt), mixed(np.repeat(f[:, 1], depth) + salt), mixed(f[:, 2] + salt.take(self.top))]
 
 
 def _sums(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
-    """What each softmax is taken of, less its largest."""
+    """What each softmax is taken of."""
     z = bias.take(e.node, 0)
     z += w.take(e.rows[0], 0)
     z += w.take(e.rows[1], 0)
     z[e.top] += w.take(e.rows[2], 0)
-    z -= z.max(1, keepdims=True)
     return z
 
 
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``z``, its exponentials and their sums by row; less each row's largest, where any sum would leave a float's range."""
+    with np.errstate(over="ignore"):
+        x = np.exp(z)
+    s = np.einsum("ij->i", x)
+    if len(s) and not (1e-30 < s.min() and s.max() < 1e30):
+        z = z - z.max(1, keepdims=True)
+        x = np.exp(z)
+        s = np.einsum("ij->i", x)
+    return z, x, s
+
+
 def _log_taken(bias: np.ndarray, w: np.ndarray, e: Examples) -> np.ndarray:
     """Log probability of the slot that each example takes."""
-    z = _sums(bias, w, e)
-    own = z[np.arange(len(z)), e.slot].astype("f8")
-    return own - np.log(np.exp(z, out=z).sum(1, dtype="f8"))
+    z, _, s = _exponentials(_sums(bias, w, e))
+    own = z.reshape(-1).take(np.arange(0, z.size, SLOTS) + e.slot)
+    return own.astype("f8") - np.log(s.astype("f8"))
 
 
 def _step(bias: np.ndarray, w: np.ndarray, seen: np.ndarray, e: Examples, times: np.ndarray | None = None) -> None:
-    """One AdaGrad step, with one accumulator a row of weights; an example's position counts ``times``."""
-    g = _sums(bias, w, e)
-    np.exp(g, out=g)
-    g /= g.sum(1, keepdims=True)
-    every = np.arange(len(g))
-    g[every, e.slot] -= 1
-    if times is not None:
-        g *= times[e.of][:, None]
-    flat = np.concatenate(e.rows)
-    of = np.concatenate([every, every, e.top])
+    """One AdaGrad step, with one accumulator a row of weights; an example's position counts ``times``.
+
+    Most rows are met by one example of a batch; only those met by more are summed."""
+    _, g, s = _exponentials(_sums(bias, w, e))
+    much = np.float32(1) if times is None else times.take(e.of)
+    g *= (much / s)[:, None]
+    g.reshape(-1)[np.arange(0, g.size, SLOTS) + e.slot] -= much
+    flat, every = np.concatenate(e.rows), np.arange(len(g))
     order = np.argsort(flat)
-    own = flat[order]
+    own, of = flat.take(order), np.concatenate([every, every, e.top]).take(order)
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    total = np.add.reduceat(g.take(of[order], 0), starts, axis=0)
-    at = own[starts]
-    much = seen[at] + np.einsum("ij,ij->i", total, total) / SLOTS
+    at, size = own.take(starts), np.diff(starts, append=len(own))
+    total = g.take(of.take(starts), 0)
+    shared = size > 1
+    if shared.any():
+        size_of = size[shared]
+        total[shared] = np.add.reduceat(g.take(of[np.repeat(shared, size)], 0), np.cumsum(size_of) - size_of, axis=0)
+    much = seen.take(at) + np.einsum("ij,ij->i", total, total) / SLOTS
     seen[at] = much
-    total *= (RATE / np.sqrt(much))[:, None]
-    w[at] = w.take(at, 0) - total
+    total *= (-RATE / np.sqrt(much))[:, None]
+    total += w.take(at, 0)
+    np.put(w.reshape(-1).view(ROW), at, total.reshape(-1).view(ROW))
 
 
 class Coded:
