@@ -13,6 +13,7 @@ AdaGrad steps from shared weights, and what they changed is averaged row by row,
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,17 +57,15 @@ class Words:
     """A batch: documents as places in the list of their distinct words, in order of first use."""
 
     def __init__(self, number: int):
-        self.number, self.words = number, {}
+        self.number, self.words = number, defaultdict()
+        self.words.default_factory = self.words.__len__  # a new word's place is the number of those before it
         self.docs, self.train, self.places, self.chars = [], [], [], 0
 
     def add(self, doc, train: bool, text: str | None) -> None:
-        got, words = tokens(text), self.words
-        for w in dict.fromkeys(got):
-            if w not in words:
-                words[w] = len(words)
+        got = tokens(text)
         self.docs.append(doc)
         self.train.append(train)
-        self.places.append(np.fromiter(map(words.__getitem__, got), "<u4", len(got)))
+        self.places.append(np.fromiter(map(self.words.__getitem__, got), "<u4", len(got)))
         self.chars += len(text or "")
 
 
@@ -111,7 +110,7 @@ def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def word_counts(t: DataFrame) -> DataFrame:
     """(batch, idx, word, c, nth): each batch's distinct words with their count in all training documents.
 
-    One shuffle by word, of one row a word and batch; ``nth`` is 1 in one row of each word."""
+    One shuffle by word, of one row a word and batch, and one sort; ``nth`` is 1 in one row of each word."""
 
     def run(it):
         for r in _rows(it):
@@ -121,9 +120,10 @@ def word_counts(t: DataFrame) -> DataFrame:
                 w = r["words"][at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([r["batch"]] * len(w), pa.int64()), pa.array(range(at, at + len(w)), pa.int32()), binary(w), pa.array(n[at : at + len(w)], pa.int64())], names=["batch", "idx", "word", "n"])
 
-    own = Window.partitionBy("word")
+    own = Window.partitionBy("word").orderBy("batch")
+    every = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = t.drop("docs").mapInArrow(tidy(run), "batch long, idx int, word binary, n long")
-    return d.select("batch", "idx", "word", F.sum("n").over(own).alias("c"), F.row_number().over(own.orderBy("batch")).alias("nth"))
+    return d.select("batch", "idx", "word", F.sum("n").over(every).alias("c"), F.row_number().over(own).alias("nth"))
 
 
 def coded(t: DataFrame, words: DataFrame, head: dict[bytes, int]) -> DataFrame:
