@@ -182,3 +182,32 @@ def test_pairs_that_share_fewer_entries_than_votes_are_asked(spark, monkeypatch)
     monkeypatch.setattr(media, "described", lambda images: spark.createDataFrame(rows, "id long, digest binary, n int, corners binary"))
     got = {r.id: (r.class_id, r.n_links) for r in media.copies(spark.createDataFrame([], KIND)).collect()}
     assert got == {i: (20, 1) if i in (20, 21) else (i, 0) for i in own}
+
+
+def plain_near(a, b):
+    """All pairs on all bits at once."""
+    wrong = np.bitwise_count(a.view("<u4")[:, None] ^ b.view("<u4")[None]).sum(2)
+    return np.nonzero(wrong <= media.WRONG)
+
+
+def test_near_corners_are_those_of_all_bits_in_less_time():
+    import time
+
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 256, (2, 700, 12)).astype(np.uint8)
+    for k in range(300):  # up to twelve wrong bits, in any of the bytes
+        b[k] = a[(7 * k) % 700]
+        for bit in rng.choice(96, k % 13, replace=False):
+            b[k, bit // 8] ^= 1 << bit % 8
+    took = []
+    for way in (plain_near, media.near):
+        best = []
+        for _ in range(3):
+            began = time.process_time()
+            got = way(a, b)
+            best.append(time.process_time() - began)
+        took.append((min(best), set(zip(*(x.tolist() for x in got), strict=True))))
+    assert took[0][1] == took[1][1] and len(took[0][1]) > 150
+    assert took[1][0] < 0.5 * took[0][0]
+    for x, y in ((a[:0], b), (a, b[:0]), (a[:1], b)):
+        assert [v.tolist() for v in media.near(x, y)] == [v.tolist() for v in plain_near(x, y)]

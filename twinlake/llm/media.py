@@ -163,31 +163,43 @@ def tables(found: DataFrame) -> DataFrame:
     return found.select("row", "corners").mapInArrow(run, "row long, key long, w int, n int")
 
 
-def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """How many corners of ``a`` have a match in ``b`` (all bits, ``WRONG`` may differ) on one turn, scale and shift."""
-    p, q = a[1].view("<u4"), b[1].view("<u4")
-    at = []
-    for k in range(0, len(p), 512):
-        wrong = np.bitwise_count(p[k : k + 512, None] ^ q[None]).sum(2)
-        i, j = np.nonzero(wrong <= WRONG)
-        at.append(np.stack([i + k, j]))
+def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the test bits of ``a`` and ``b`` of which at most ``WRONG`` differ.
+
+    The first 64 bits rule out nearly all, so the rest is looked at for few."""
+    p, q = (np.ascontiguousarray(x[:, :8]).view("<u8").reshape(-1) for x in (a, b))
+    rest, of = (np.ascontiguousarray(x[:, 8:]).view("<u4").reshape(-1) for x in (a, b))
+    at, few = [], max(1, (1 << 16) // max(1, len(q)))
+    for k in range(0, len(p), few):
+        wrong = np.bitwise_count(p[k : k + few, None] ^ q)
+        one = np.flatnonzero(wrong <= WRONG)
+        i, j = one // max(1, len(q)), one % max(1, len(q))
+        ok = wrong.reshape(-1)[one] + np.bitwise_count(rest[i + k] ^ of[j]) <= WRONG
+        at.append(np.stack([i[ok] + k, j[ok]]))
     i, j = np.concatenate(at, 1) if at else np.zeros((2, 0), "i8")
-    if len(i) < VOTES:
-        return 0
+    return i, j
+
+
+def agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], need: float) -> bool:
+    """Whether ``need`` corners of ``a`` have a match in ``b`` (all bits, ``WRONG`` may differ) on one turn, scale and shift."""
+    i, j = near(a[1], b[1])
+    if np.count_nonzero(np.bincount(i)) < need:
+        return False
     s, t = a[0][i], b[0][j]
     ds, spin = t[:, 0] - s[:, 0], (t[:, 1] - s[:, 1]) % TURNS
     grow, angle = 2.0**ds, spin * (2 * np.pi / TURNS)
     dy = t[:, 2] - grow * (np.cos(angle) * s[:, 2] + np.sin(angle) * s[:, 3])
     dx = t[:, 3] - grow * (np.cos(angle) * s[:, 3] - np.sin(angle) * s[:, 2])
     # one number a vote: the transform, and the corner that votes for it (place in an image under 2^20 bins)
-    best, of = 0, ((ds.astype("i8") + 8) * TURNS + spin.astype("i8")) << 40
+    of = ((ds.astype("i8") + 8) * TURNS + spin.astype("i8")) << 40
     for v in (0, 0.5):
         for u in (0, 0.5):
             bins = of + ((np.floor(dy / BIN + v).astype("i8") + (1 << 19)) << 20) + np.floor(dx / BIN + u).astype("i8") + (1 << 19)
             bins, at_bin = np.unique(bins, return_inverse=True)
-            voted = np.unique(at_bin * len(p) + i)
-            best = max(best, int(np.bincount(voted // len(p)).max()))
-    return best
+            voted = np.unique(at_bin * len(a[1]) + i)
+            if np.bincount(voted // len(a[1])).max() >= need:
+                return True
+    return False
 
 
 def is_copy(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
@@ -195,7 +207,7 @@ def is_copy(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     if len(a[0]) > len(b[0]):
         a, b = b, a
     need = max(VOTES, SHARE * len(a[0]))
-    return len(a[0]) >= need and agreeing(a, b) >= need
+    return len(a[0]) >= need and agree(a, b, need)
 
 
 def links(pairs: DataFrame, found: DataFrame) -> DataFrame:
