@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,7 @@ class Words:
     """A batch: documents as places in the list of their distinct words, in order of first use."""
 
     def __init__(self, number: int):
-        self.number, self.words = number, defaultdict()
-        self.words.default_factory = self.words.__len__  # a new word's place is the number of those before it
+        self.number, self.words = number, defaultdict(count().__next__)  # a new word's place is the number of those before it
         self.docs, self.train, self.places, self.chars = [], [], [], 0
 
     def add(self, doc, train: bool, text: str | None) -> None:
