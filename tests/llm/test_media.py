@@ -211,3 +211,71 @@ def test_near_corners_are_those_of_all_bits_in_less_time():
     assert took[1][0] < 0.5 * took[0][0]
     for x, y in ((a[:0], b), (a, b[:0]), (a[:1], b)):
         assert [v.tolist() for v in media.near(x, y)] == [v.tolist() for v in plain_near(x, y)]
+
+
+def plain_agree(a, b):
+    """Whether corners agree on one transform, bin by bin."""
+    from collections import defaultdict
+
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    need = max(media.VOTES, media.SHARE * len(a[0]))
+    votes = defaultdict(set)
+    for i, j in zip(*plain_near(a[1], b[1]), strict=True):
+        (s0, s1, sy, sx), (t0, t1, ty, tx) = a[0][i], b[0][j]
+        grow, angle = 2.0 ** (t0 - s0), (t1 - s1) % media.TURNS * 2 * np.pi / media.TURNS
+        dy, dx = ty - grow * (np.cos(angle) * sy + np.sin(angle) * sx), tx - grow * (np.cos(angle) * sx - np.sin(angle) * sy)
+        for v in (0, 0.5):
+            for u in (0, 0.5):
+                votes[v, u, t0 - s0, (t1 - s1) % media.TURNS, np.floor(dy / media.BIN + v), np.floor(dx / media.BIN + u)].add(i)
+    return len(a[0]) >= need and max(map(len, votes.values()), default=0) >= need
+
+
+def crowd(seed, count):
+    """Images that share corners of a few scenes, some at one shift and some anywhere, with wrong bits and repeated corners."""
+    rng = np.random.default_rng(seed)
+    bits, places = rng.integers(0, 256, (40, 12)).astype(np.uint8), rng.integers(0, 400, (40, 2))
+    out = []
+    for _ in range(count):
+        own = rng.choice(40, rng.integers(1, 30))  # some of them again and again
+        d, yx = bits[own].copy(), places[own] + rng.integers(0, 50, 2)
+        loose = rng.random(len(own)) < rng.choice([0, 0.5, 0.9])
+        yx[loose] = rng.integers(0, 400, (loose.sum(), 2))
+        for k in range(len(own)):
+            for bit in rng.choice(96, rng.integers(0, 7), replace=False):
+                d[k, bit // 8] ^= 1 << bit % 8
+        out.append((np.concatenate([rng.integers(0, 2, (len(own), 1)) * (rng.random() < 0.3), np.zeros((len(own), 1)), yx], 1).astype("f8"), d))
+    return out
+
+
+def test_images_held_together_give_the_copies_of_pair_by_pair(monkeypatch):
+    own = sorted(crowd(4, 50), key=lambda x: len(x[0]))
+    want = {(x, y) for x in range(50) for y in range(x + 1, 50) if plain_agree(own[x], own[y])}
+    for at_once in (media.AT_ONCE, 200):
+        monkeypatch.setattr(media, "AT_ONCE", at_once)
+        assert {(x, y) for x, ys in media.copies_among(own, lambda x: np.full(49 - x, True)) for y in ys.tolist()} == want
+    for step in (2, 5):
+        asked = lambda x: (np.arange(x + 1, 50) + x) % step == 0  # noqa: B023, E731
+        assert {(x, y) for x, ys in media.copies_among(own, asked) for y in ys.tolist()} == {(x, y) for x, y in want if (x + y) % step == 0}
+    assert all(media.is_copy(own[y], own[x]) == ((x, y) in want) for x in range(50) for y in range(x + 1, 50) if len(own[x][0]) < len(own[y][0]))
+    assert 20 < len(want) < 1000
+
+
+def test_a_hot_entry_gives_no_pairs_but_its_copies(spark, monkeypatch):
+    """Of 90 images that share entries but for two scenes are no copies, no pair is a row; in an entry of a few they are."""
+    monkeypatch.setattr(media, "TOGETHER", 16)
+    own = crowd(9, 90)
+    node = spark.createDataFrame([(i, len(p), bytearray(media._packed(p.astype("<u4"), d))) for i, (p, d) in enumerate(own)], "row long, n int, corners binary")
+    kind = "key long, row long, comp long, n int, holders long, enough boolean"
+    hot = spark.createDataFrame([(7, i, i // 2, len(p), 90, i % 3 > 0) for i, (p, _) in enumerate(own)], kind)
+    assert media.few_pairs(hot).collect() == []
+    less = lambda i, j: (len(own[i][0]), i) < (len(own[j][0]), j)
+    met = lambda i, j: i // 2 != j // 2 and less(i, j) and (i % 3 > 0 or j % 3 > 0 and len(own[i][0]) == len(own[j][0]))
+    want = {(i, j) for i in range(90) for j in range(90) if met(i, j) and plain_agree(own[i], own[j])}
+    assert {tuple(r) for r in media.hot_links(hot, node).collect()} == want and want
+    few = spark.createDataFrame([(i // 30, i, i // 2, len(p), 30, i % 3 > 0) for i, (p, _) in enumerate(own)], kind)
+    pairs = media.few_pairs(few)
+    assert {tuple(r) for r in pairs.collect()} == {(i, j) for i in range(90) for j in range(90) if i // 30 == j // 30 and met(i, j)}
+    near = media.may_be_links(pairs, node)
+    assert {tuple(r) for r in media.links(near, node).collect()} == {tuple(r) for r in media.links(pairs, node).collect()} == {(i, j) for i, j in want if i // 30 == j // 30}
+    assert near.count() < pairs.count()
