@@ -382,12 +382,21 @@ def _in_order(key, members):
 def hot_links(entries: DataFrame, node: DataFrame) -> DataFrame:
     """(a, b): copies of different components among the images of an entry of more than ``FEW``, held against each other in blocks; no pair is a row but a copy.
 
-    As in ``few_pairs`` the image with fewer corners has ``enough``."""
+    As in ``few_pairs`` the image with fewer corners has ``enough``. Images of one scene share many such entries: a pair is
+    looked at in the least of those in which it is asked for, which each image's list of its entries tells."""
 
     def run(key, members):
         own, cols, apart = _in_order(key, members)
         comp, enough, n = cols["comp"], cols["enough"], cols["n"]
-        asked = lambda x: apart(x) & (comp[x + 1 :] != comp[x]) & (enough[x] | enough[x + 1 :] & (n[x + 1 :] == n[x]))
+        lists = [[k[k < key[0].as_py()] for k in cols[c]] for c in ("keys", "asking")]
+        ids = np.unique(np.concatenate(lists[0]))
+        has, asks = np.zeros((2, len(own), len(ids)), "f4")
+        for of, rows in zip((has, asks), lists, strict=True):
+            for r, k in enumerate(rows):
+                of[r, np.searchsorted(ids, k)] = 1
+        done = asks @ has.T > 0
+        done = [done[x, x + 1 :] | done[x + 1 :, x] & (n[x + 1 :] == n[x]) for x in range(len(own))]
+        asked = lambda x: apart(x) & (comp[x + 1 :] != comp[x]) & (enough[x] | enough[x + 1 :] & (n[x + 1 :] == n[x])) & ~done[x]
         got = [(np.full(len(y), cols["row"][x]), cols["row"][y]) for x, y in copies_among(own, asked)]
         a, b = (np.concatenate(x) for x in zip(*got, strict=True)) if got else ([], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -395,7 +404,8 @@ def hot_links(entries: DataFrame, node: DataFrame) -> DataFrame:
     hot = entries.where(F.col("holders") > FEW)
     mixed = hot.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("enough").alias("any")).where("low <> high and any").select("key")
     hot = hot.join(mixed, "key", "left_semi").select("key", "row", "comp", "n", "enough", "holders")
-    d = hot.join(corners_of(node, hot.select("row")).hint("merge"), "row")
+    lists = hot.groupBy("row").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("enough"), F.col("key"))).alias("asking"))
+    d = hot.join(lists, "row").join(corners_of(node, hot.select("row")).hint("merge"), "row")
     return blocks(d, "holders", "key").applyInArrow(run, "a long, b long")
 
 
