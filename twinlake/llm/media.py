@@ -26,6 +26,8 @@ SCALES, REACH, RADIUS, TURNS = 2, 10, 7, 16
 TESTS, BANDS, FLAT = 96, 2, 8
 #: Wrong bits of a match; matches that must agree on a transform, also as a share of the corners of the image with fewer; side of a voting bin.
 WRONG, VOTES, SHARE, BIN = 8, 6, 0.25, 6
+#: Matches of a corner up to which it votes before those that have more.
+RARE = 2
 #: Rows of an image that are looked at together.
 STRIP = 2048
 IMAGE = "id long, height int, width int, pixels binary"
@@ -207,13 +209,20 @@ def copies_of(a: tuple[np.ndarray, np.ndarray], places: np.ndarray, bits: np.nda
         return out
     i, j = near(a[1], bits)
     of = np.searchsorted(starts, j, "right") - 1
-    matched = np.zeros((len(out), n), bool)
-    matched[of, i] = True
-    keep = (matched.sum(1) >= need)[of]
-    if not keep.any():
-        return out
+    times = np.bincount(of * n + i, minlength=len(out) * n)
+    keep = ((times.reshape(-1, n) > 0).sum(1) >= need)[of]
     i, j, of = i[keep], j[keep], of[keep]
-    s, t = a[0][i], places[j]
+    rare = times[of * n + i] <= RARE
+    for some in (rare, True):  # corners that repeat have most matches: who has votes enough without them needs no more
+        at = np.flatnonzero(~out[of] & some)
+        if len(at):
+            out |= _voted(a[0][i[at]], places[j[at]], i[at], of[at], len(out), n, need)
+    return out
+
+
+def _voted(s: np.ndarray, t: np.ndarray, i: np.ndarray, of: np.ndarray, images: int, n: int, need: float) -> np.ndarray:
+    """Which images get ``need`` votes for one transform by matches of places ``s`` and ``t``: corner ``i`` of ``n`` and image ``of``."""
+    out = np.zeros(images, bool)
     scale, spin = t[:, 0] - s[:, 0], (t[:, 1] - s[:, 1]).astype("i8") % TURNS
     grow, cos, sin = 2.0**scale, _cos[spin], _sin[spin]
     dy = t[:, 2] - grow * (cos * s[:, 2] + sin * s[:, 3])
