@@ -31,6 +31,19 @@ def back(df, x, seconds=90):
     return {ens: pdf[pdf["ens"] == ens].pivot(index="n", columns="i", values="x").to_numpy() for ens in x}
 
 
+def test_noise_in_the_span_of_many_members(both):
+    x, e = both
+    got = back(no.add_noise(e, 0.3 + 0.1 * F.col("i"), "Sqrt-Core", 0.5), x)
+    for ens, a in x.items():
+        q = np.diag(0.3 + 0.1 * np.arange(a.shape[1]))
+        proj = np.linalg.pinv(a - a.mean(0)) @ (a - a.mean(0))
+        assert np.allclose(np.cov(got[ens].T), np.cov(a.T) + 0.5 * proj @ q @ proj, atol=1e-9) and np.allclose(got[ens].mean(0), a.mean(0))
+    total = back(no.add_noise(e, 0.3 + 0.1 * F.col("i"), "Sqrt-Mult-1", 0.5), x)
+    for ens, a in x.items():
+        q = 0.3 + 0.1 * np.arange(a.shape[1])
+        assert np.trace(np.cov(total[ens].T)) == pytest.approx(np.trace(np.cov(a.T)) + 0.5 * q.sum())
+
+
 def test_exact_perturbations_of_many_members(both):
     x, e = both
     values, errors = [(0, 0.3), (1, -0.2), (9, 5.0)], [0.4, 0.6, 1.0]
@@ -41,3 +54,13 @@ def test_exact_perturbations_of_many_members(both):
     assert np.allclose(np.cov(got[1].T), (np.eye(SIZE) - k @ h) @ p, atol=1e-8)
     assert np.allclose(got[1].mean(0), a.mean(0) + k @ (np.array([0.3, -0.2]) - a.mean(0)[:2]), atol=1e-8)
     assert got[2].shape == (3, 5) and np.isfinite(got[2]).all()
+
+
+def test_a_variable_that_some_members_lack(both):
+    """Its anomalies are nought where it is not there, as in products of members; no row is made for it."""
+    _, e = both
+    some = e.where("ens = 1 and n < 200 and not (i = 1 and n % 5 = 0)")
+    n = some.count()
+    for out in (no.add_noise(some, F.lit(0.3), "Sqrt-Core", 0.5), es.second_order_exact(some, [(0, 0.3)], [0.4], F.lit(1.0))):
+        rows = out.toPandas()
+        assert len(rows) == n and np.isfinite(rows["x"]).all()

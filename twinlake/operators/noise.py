@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions.ensemble import KEY, anomalies
-from twinlake.operators.ensemble_space import centred, combined, grams
+from twinlake.operators.ensemble_space import MAPS, centred, combined, grams, mapped, sides, state_grams, states, symmetric, together
 
 #: Share of a member's directions under which a truncated inverse leaves them out.
 RANK = 1e-10
@@ -58,9 +58,40 @@ def _root(dt: float):
 
 
 def square_root_noise(e: DataFrame, q: Column, dt: float = 1.0) -> DataFrame:
-    """(ens, n, i, x, more): anomalies transformed so that the covariance grows by the part of the noise (variance ``q`` over i,
-    times ``dt``) that lies in the ensemble's span; ``more`` is what the total variance lacks then (one number an ensemble)."""
-    a = anomalies(e).select("ens", "n", "i", "x", "a", "mu")
+    """(ens, n, i, x, mu, t, ratio): anomalies ``t`` transformed so that the covariance grows by the part of the noise (variance ``q``
+    over i, times ``dt``) that lies in the ensemble's span; ``ratio`` is the total variance wanted over that reached.
+
+    By members, or by variables where members are more."""
+    tall, wide = sides(e)
+    parts = []
+    if tall is not None:
+        v = states(tall)
+        g = state_grams(v).withColumn("q", q.cast("double"))
+        r = g.groupBy("ens").applyInPandas(lambda pdf: _root_by_state(pdf, dt), MAPS + ", ratio double")
+        parts.append(mapped(v, r, "ratio").select("ens", "n", "i", (F.col("mu") + F.col("t")).alias("x"), "mu", "t", "ratio"))
+    if wide is not None:
+        parts.append(_root_by_members(wide, q, dt))
+    return together(parts)
+
+
+def _root_by_state(pdf: pd.DataFrame, dt: float) -> pd.DataFrame:
+    """With A = U S V', anomalies go to A (I + V S^-1 (M - I) S V'), M being the root of I + dt N1 S^-1 V' q V S^-1."""
+    at, g = symmetric(pdf)
+    q = pdf.drop_duplicates("i").set_index("i")["q"].reindex(at).to_numpy()
+    n1 = int(pdf["n"].max()) - 1
+    s2, v = np.linalg.eigh(g)
+    keep = s2 > RANK * max(s2.max(), 1e-300)
+    s, v = np.sqrt(s2[keep]), v[:, keep]
+    lam, u = np.linalg.eigh(np.eye(len(s)) + dt * n1 * (v.T * q @ v) / np.outer(s, s))
+    root = u * np.sqrt(np.maximum(lam, 0)) @ u.T
+    m = np.eye(len(at)) + v / s @ (root - np.eye(len(s))) * s @ v.T
+    reached = np.trace(m.T @ g @ m)
+    ratio = (np.trace(g) + dt * n1 * q.sum()) / reached if reached > 0 else np.nan
+    return pd.DataFrame({"ens": [pdf["ens"].iat[0]], "at": [at.tolist()], "rt": [m.T.tolist()], "more": [[0.0] * len(at)], "ratio": [ratio]})
+
+
+def _root_by_members(a: DataFrame, q: Column, dt: float) -> DataFrame:
+    a = a.select("ens", "n", "i", "x", "a", "mu")
     b = a.select("ens", F.col("n").alias("m"), "i", F.col("a").alias("b"))
     g = a.join(b, KEY).groupBy("ens", "n", "m").agg(F.sum(F.col("a") * F.col("b")).alias("g"), F.sum(F.col("a") * F.col("b") * q).alias("q"))
     moved = applied(small(g, _root(dt), "g", "q"), b, "t")
