@@ -44,6 +44,21 @@ def test_noise_in_the_span_of_many_members(both):
         assert np.trace(np.cov(total[ens].T)) == pytest.approx(np.trace(np.cov(a.T)) + 0.5 * q.sum())
 
 
+def test_spectra_of_many_members(spark, both):
+    x, e = both
+    truth = spark.createDataFrame([(i, 0.1 * i) for i in range(5)], "i long, truth double")
+    began = time.time()
+    pdf = da.ensemble_spectra(e, truth, 5, side="members").toPandas()
+    assert time.time() - began < 90
+    for ens, a in x.items():
+        s, v = np.linalg.svd((a - a.mean(0)) / np.sqrt(len(a) - 1), full_matrices=False)[1:]
+        many = min(len(a) - 1, len(s))
+        own = pdf[pdf["ens"] == ens].sort_values("s")
+        err = a.mean(0) - 0.1 * np.arange(a.shape[1])
+        assert len(own) == min(len(a) - 1, 5) and np.allclose(own["sval"][:many], s[:many]) and np.allclose(own["sval"][many:], 0)
+        assert np.allclose(np.abs(own["umisf"][:many]), np.abs(v @ err)[:many])
+
+
 def test_exact_perturbations_of_many_members(both):
     x, e = both
     values, errors = [(0, 0.3), (1, -0.2), (9, 5.0)], [0.4, 0.6, 1.0]
