@@ -13,7 +13,7 @@ from twinlake.operators import experiments as xp
 from twinlake.operators import localization as lo
 from twinlake.operators import particle as pa
 from twinlake.plans import filters
-from twinlake.plans.catalog import _XPS, ENS, EVENTS, TRUTH, _ens, _events, _shared, _truth, _xps, r6, rounded
+from twinlake.plans.catalog import _XPS, ENS, EVENTS, TRUTH, _ens, _events, _shared, _truth, _xps, pairs_rounded, r6, rounded
 from twinlake.plans.registry import query
 from twinlake.sources import runs
 from twinlake.sources.tables import read
@@ -80,7 +80,7 @@ def nd_id_localization(spark, d):
     """Parts as points of a periodic grid, every fourth observed: which of them inform each point, and how much."""
     points = read(spark, d, "part").select(F.col("p_partkey").alias("i"))
     high = points.agg(F.floor(F.max("i") / 40) + 1).first()[0]
-    return rounded(lo.direct_localization(points, [high, 40], F.col("i") % 4 == 0, 2.0, "Quadro"), "coeff")
+    return pairs_rounded(lo.direct_localization(points, [high, 40], F.col("i") % 4 == 0, 2.0, "Quadro"), "coeff")
 
 
 # --- series ----------------------------------------------------------------------------------------------
