@@ -31,3 +31,11 @@ def test_weights_of_many_members():
     w = np.exp(-0.5 * (0.5 - y[:, 0]) ** 2)
     w /= w.sum()
     assert np.allclose(new.mean(0), w @ a, atol=1e-9) and np.allclose(np.cov(new.T, bias=True), (a * w[:, None]).T @ a - np.outer(w @ a, w @ a), atol=1e-8)
+
+
+def test_rank_histogram_of_many_members(spark):
+    """No frame reaches to the end: Spark goes through such a one anew for every row."""
+    e = spark.range(30_000).select(F.lit(1).cast("long").alias("ens"), F.col("id").alias("n"), F.lit(0).cast("long").alias("i"), F.sin(F.col("id") * 1.7).alias("x"))
+    new = da.rank_histogram_update(e, 0, 0.1, 0.5)
+    assert "currentrow$(), unboundedfollowing" not in new._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert new.where("x is not null").count() == 30_000
