@@ -10,6 +10,7 @@ from twinlake.operators import assimilation as da
 from twinlake.operators import localization as lo
 
 
+@pytest.mark.parametrize("sharp", [0.1, 3.0, 40.0])
 def test_root_of_weights_without_the_matrix(sharp):
     """As the matrix gives it, also where most weights are nearly nought or nought."""
     rng = np.random.default_rng(1)
@@ -39,3 +40,19 @@ def test_rank_histogram_of_many_members(spark):
     new = da.rank_histogram_update(e, 0, 0.1, 0.5)
     assert "currentrow$(), unboundedfollowing" not in new._jdf.queryExecution().optimizedPlan().toString().lower()
     assert new.where("x is not null").count() == 30_000
+
+
+@pytest.mark.parametrize("cells", [200, 4000])
+def test_sums_over_near_points(spark, cells):
+    """On a ring, also across its seam and where points lie just at the reach."""
+    points = spark.range(2000).select((F.col("id") % 3).alias("batch"), (F.col("id") * 7.31 % 360).cast("double").alias("pos"))
+    sites = spark.range(120).select("id", (F.col("id") * 3.7 % 360).cast("double").alias("pos"))
+    got = {(r.batch, r.s): (r.n, r.total) for r in lo.near_sums(points, sites, 9.0, 360.0, cells).collect()}
+    p, b = (np.array(points.select(c).toPandas()[c]) for c in ("pos", "batch"))
+    for s, pos in enumerate(np.array(sites.orderBy("id").toPandas()["pos"])):
+        d = np.abs(p - pos)
+        d = np.minimum(d, 360 - d)
+        for k in range(3):
+            own = d[(d <= 9) & (b == k)]
+            n, total = got.get((k, s), (0, 0.0))
+            assert n == len(own) and total == pytest.approx(own.sum(), abs=1e-7)
