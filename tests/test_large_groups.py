@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from twinlake.operators import assimilation as da
 from twinlake.operators import localization as lo
+from twinlake.streaming import ordered
 
 
 @pytest.mark.parametrize("sharp", [0.1, 3.0, 40.0])
@@ -56,3 +57,13 @@ def test_sums_over_near_points(spark, cells):
             own = d[(d <= 9) & (b == k)]
             n, total = got.get((k, s), (0, 0.0))
             assert n == len(own) and total == pytest.approx(own.sum(), abs=1e-7)
+
+
+def test_pending_rows_are_kept_in_packs():
+    """A pack a batch of rows, whatever its rows; those that wait are put back in packs, in order of time and id."""
+    t, ids, y = np.array([5, 3, 5]), np.array([2, 9, 1]), np.array([0.5, np.nan, -1.0])
+    packs = [ordered.packed(t, ids, y), ordered.packed(t[:1] - 4, ids[:1], y[:1])]
+    assert all(isinstance(x, bytes) for p in packs for x in p)
+    got = ordered.unpacked(packs)
+    assert got[0].tolist() == [1, 3, 5, 5] and got[1].tolist() == [2, 9, 1, 2] and np.array_equal(got[2], [0.5, np.nan, -1.0, 0.5], equal_nan=True)
+    assert [len(x) for x in ordered.unpacked([])] == [0, 0, 0]
