@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from twinlake.operators import assimilation as da
 from twinlake.operators import localization as lo
+from twinlake.operators import noise as no
 from twinlake.streaming import ordered
 
 
@@ -67,3 +68,19 @@ def test_pending_rows_are_kept_in_packs():
     got = ordered.unpacked(packs)
     assert got[0].tolist() == [1, 3, 5, 5] and got[1].tolist() == [2, 9, 1, 2] and np.array_equal(got[2], [0.5, np.nan, -1.0, 0.5], equal_nan=True)
     assert [len(x) for x in ordered.unpacked([])] == [0, 0, 0]
+
+
+def test_jitter_by_blocks_of_members(spark, monkeypatch):
+    """Blocks cut anywhere give what the whole products do; an index that the colouring lacks stays, with its repeat's sum of squares."""
+    monkeypatch.setattr(no, "BLOCK", 7)
+    monkeypatch.setattr(no, "ROWS", 4)
+    rng = np.random.default_rng(4)
+    c = {ens: rng.normal(size=(m, 3)) for ens, m in ((1, 30), (2, 7), (3, 1))}
+    source = spark.createDataFrame([(ens, m, i, float(a[m, i])) for ens, a in c.items() for m in range(len(a)) for i in range(3)], "ens long, m long, i long, c double")
+    rows = spark.createDataFrame([(ens, n, k, i, 1.0, k > 0) for ens in c for n in range(11) for k in range(n % 3 + 1) for i in range(4)], "ens long, n long, copy long, i long, x double, again boolean")
+    out = no.jittered_rows(rows, source, lambda m: F.sin(m * 1.3 + F.col("n") * 0.7 + F.col("copy"))).collect()
+    assert len(out) == rows.count()
+    for r in out:
+        a = c[r.ens]
+        d = np.sin(np.arange(len(a)) * 1.3 + r.n * 0.7 + r.copy)
+        assert r.x == pytest.approx(1 + (d @ a[:, r.i] if r.copy and r.i < 3 else 0)) and (r.chi2 == pytest.approx((d**2).sum() * min(1, 3 / len(a))) if r.copy else r.chi2 is None)

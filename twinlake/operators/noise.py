@@ -5,11 +5,12 @@ Draws are keyed by row, so they are the same in any task, order or retry."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.functions.ensemble import KEY, anomalies
@@ -158,16 +159,74 @@ def rotated(e: DataFrame, draws: list[Column]) -> DataFrame:
     return combined(e, u, grams(u, size), size, solve)
 
 
+#: Members, and repeats, of a block of ``jittered_rows``.
+BLOCK, ROWS = 1024, 256
+
+
 def jittered_rows(drawn: DataFrame, source: DataFrame, draw: Callable[[Column], Column], rank_scale: bool = True) -> DataFrame:
     """(ens, n, copy, i, x, chi2): resampled rows in several dimensions (``drawn``: ens, n, copy, again) with jitter on repeats.
 
     ``source`` (ens, m, i, c) is a colouring whose products summed over m are the covariance; a repeat moves by the sum over m of a
     standard draw (``draw`` of the member m, keyed by ens, n, copy) times ``c``. ``chi2`` is the draws' squares summed, brought to
-    the state's dimensions where members are more (``rank_scale``); null where nothing moves."""
-    again = drawn.where("again").select("ens", "n", "copy").distinct()
-    m = source.select("ens", "m").distinct()
-    d = again.join(m, "ens").withColumn("d", draw(F.col("m")))
-    dims = source.groupBy("ens").agg((F.count_distinct("i") / F.count_distinct("m")).alias("share"))
-    chi = d.groupBy("ens", "n", "copy").agg(F.sum(F.col("d") ** 2).alias("chi2")).join(dims, "ens").select("ens", "n", "copy", (F.col("chi2") * (F.least("share", F.lit(1.0)) if rank_scale else F.lit(1.0))).alias("chi2"))
-    move = d.join(source, ["ens", "m"]).groupBy("ens", "n", "copy", "i").agg(F.sum(F.col("d") * F.col("c")).alias("move"))
-    return drawn.join(move, ["ens", "n", "copy", "i"], "left").join(chi, ["ens", "n", "copy"], "left").select("ens", "n", "copy", "i", (F.col("x") + F.coalesce("move", F.lit(0.0))).alias("x"), "chi2")
+    the state's dimensions where members are more (``rank_scale``); null where nothing moves.
+
+    There is a draw a repeat and member, so the draws grow with the square of an ensemble; they are made where they are summed,
+    a block of members at a time, and only a row of sums a repeat and block is sent on."""
+    key = ["ens", "n", "copy"]
+
+    def blocks(d: DataFrame, order: list[str], size: int, name: str) -> DataFrame:
+        return d.withColumn(name, F.floor((F.row_number().over(Window.partitionBy("ens").orderBy(*order)) - 1) / size))
+
+    c = source.groupBy("ens", "m").agg(F.collect_list(F.struct("i", "c")).alias("v"))
+    c = blocks(c, ["m"], BLOCK, "mb").groupBy("ens", "mb").agg(F.collect_list(F.struct("m", "v")).alias("block"))
+    many = source.groupBy("ens").agg(F.count_distinct("m").alias("members"), F.count_distinct("i").alias("dims"))
+    again = blocks(drawn.where("again").select(*key).distinct(), ["n", "copy"], ROWS, "nb")
+    again = again.groupBy("ens", "nb").agg(F.collect_list(F.struct("n", "copy")).alias("rows")).join(many, "ens")
+    again = again.select("ens", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("members") - 1) / BLOCK))).alias("mb"))
+    j = again.join(c, ["ens", "mb"])
+    # the block's colouring goes ahead of its repeats, once
+    none = F.lit(None).cast("long")
+    head = F.array(F.struct(none.alias("n"), none.alias("copy"), F.col("block").getField("v").alias("v")))
+    tail = F.transform("rows", lambda r: F.struct(r["n"].cast("long").alias("n"), r["copy"].cast("long").alias("copy"), F.lit(None).cast(source_type(source)).alias("v")))
+    j = j.select("ens", F.col("block").getField("m").alias("ms"), F.explode(F.concat(head, tail)).alias("r")).select("ens", "ms", "r.n", "r.copy", "r.v")
+    j = j.select("ens", "n", "copy", "v", F.when(F.col("n").isNotNull(), F.transform("ms", lambda m: draw(m).cast("double"))).alias("d"))
+    part = j.mapInArrow(_block_sums, "ens long, n long, copy long, i array<long>, move array<double>, chi2 double")
+    part = part.repartition(*key)
+    chi = part.select(*key, "chi2", F.explode(F.arrays_zip("i", "move")).alias("p")).groupBy(*key, F.col("p.i").alias("i")).agg(F.sum("p.move").alias("move"), F.sum("chi2").alias("chi2"))
+    moves = chi.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("i", "move"))).alias("move"), F.first("chi2").alias("chi2")).join(many, "ens")
+    share = F.least(F.col("dims") / F.col("members"), F.lit(1.0)) if rank_scale else F.lit(1.0)
+    moves = moves.select(*key, "move", (F.col("chi2") * share).alias("chi2"))
+    return drawn.join(moves, key, "left").select(*key, "i", (F.col("x") + F.coalesce(F.try_element_at("move", F.col("i")), F.lit(0.0))).alias("x"), "chi2")
+
+
+def source_type(source: DataFrame) -> str:
+    kinds = dict(source.dtypes)
+    return f"array<array<struct<i:{kinds['i']},c:{kinds['c']}>>>"
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draws of repeats times the colouring (rows v) that came ahead of them."""
+    at = c = None
+    for b in batches:
+        heads = np.flatnonzero(b["n"].is_null().to_numpy(zero_copy_only=False))
+        starts = np.union1d([0], heads).astype(int)
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(b)], strict=True):
+            if hi > lo and b["v"][lo].is_valid:
+                at, c = _matrix(b["v"].slice(lo, 1).flatten())
+                lo += 1
+            if hi == lo:
+                continue
+            d = b["d"].slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+            move = d @ c
+            offsets = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(at))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.tile(at, hi - lo), move.ravel())]
+            yield pa.RecordBatch.from_arrays([*[b[k].slice(lo, hi - lo) for k in ("ens", "n", "copy")], *lists, pa.array((d * d).sum(1))], ["ens", "n", "copy", "i", "move", "chi2"])
+
+
+def _matrix(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The indices and the colouring (members, indices) of a list a member."""
+    rows, flat = np.repeat(np.arange(len(v)), np.asarray(v.value_lengths())), v.flatten()
+    at, where = np.unique(flat.field("i").to_numpy(zero_copy_only=False), return_inverse=True)
+    c = np.zeros((len(v), len(at)))
+    c[rows, where] = flat.field("c").to_numpy(zero_copy_only=False)
+    return at, c
